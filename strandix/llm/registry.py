@@ -5,8 +5,10 @@ from __future__ import annotations
 from .licenses import op10_license_scan
 from .pii import op7_personal_data
 from .secrets import op4_secret_scan
+from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
     "op4_secret_scan": op4_secret_scan,
     "op7_personal_data": op7_personal_data,
     "op10_license_scan": op10_license_scan,
