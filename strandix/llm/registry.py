@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from .bpe import op9_bpe
 from .licenses import op10_license_scan
 from .pii import op7_personal_data
 from .secrets import op4_secret_scan
 from .toxicity import op3_toxicity
+from .vectors import op6_block_topk, op8_additive_quantisation
 
 QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_secret_scan": op4_secret_scan,
+    "op6_block_topk": op6_block_topk,
     "op7_personal_data": op7_personal_data,
+    "op8_additive_quantisation": op8_additive_quantisation,
+    "op9_bpe": op9_bpe,
     "op10_license_scan": op10_license_scan,
 }
 ORACLE: dict[str, str] = {}
