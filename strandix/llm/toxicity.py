@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, map_texts
+from .common import documents, map_texts, written
 
 # What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "*": "aeiou", "#": "aeiou", "%": "aeiou", "?": "aeiou"}
@@ -221,13 +221,14 @@ def train_scorer(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """Learns lexicon and weights from labelled rows outside the held-out fifth, and the character model from all texts."""
     model = character_model(df, text_col)
     free = F.crc32(F.col(id_col).cast("string")) % 5 != 0
-    known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y"), free_of(id_col).alias("ok")).where("ok and y in (0, 1)").drop("ok")
+    known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y"), free_of(id_col).alias("ok")).where("ok and y in (0, 1)").drop("ok").distinct()
     n = known.count()
     grain = 1_000_003
     bound = grain if n <= max_train else grain * max_train // n
     picked = lambda c: F.pmod(F.xxhash64(c), F.lit(grain)) < bound
     rows = df.where(free & picked(F.col(id_col))).select(F.col(id_col).alias("k"), F.col(text_col).alias("text"))
-    sample = rows.join(known.where(picked(F.col("k"))), "k").select("y", "text")
+    # distinct labels picked by hash are about ``max_train`` rows at most, so they can go to every task
+    sample = written(rows.join(F.broadcast(known.where(picked(F.col("k")))), "k").select("y", "text"), "toxicity-sample")
 
     def words(ys, texts):
         count = Counter()
