@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from .bpe import op9_bpe
 from .licenses import op10_license_scan
+from .mixing import op2_source_mixing
+from .mixing import oracle_sql as mixing_sql
 from .pii import op7_personal_data
 from .secrets import op4_secret_scan
 from .toxicity import op3_toxicity
 from .vectors import op6_block_topk, op8_additive_quantisation
 
 QUERIES = {
+    "op2_source_mixing": op2_source_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_secret_scan": op4_secret_scan,
     "op6_block_topk": op6_block_topk,
@@ -18,4 +21,4 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_license_scan": op10_license_scan,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_source_mixing": mixing_sql()}
