@@ -6,12 +6,14 @@ from .bpe import op9_bpe
 from .licenses import op10_license_scan
 from .mixing import op2_source_mixing
 from .mixing import oracle_sql as mixing_sql
+from .ngram_join import op1_ngram_join
 from .pii import op7_personal_data
 from .secrets import op4_secret_scan
 from .toxicity import op3_toxicity
 from .vectors import op6_block_topk, op8_additive_quantisation
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_source_mixing": op2_source_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_secret_scan": op4_secret_scan,
