@@ -9,6 +9,7 @@ from .mixing import oracle_sql as mixing_sql
 from .ngram_join import op1_ngram_join
 from .pii import op7_personal_data
 from .secrets import op4_secret_scan
+from .suffix_dedup import op5_suffix_dedup
 from .toxicity import op3_toxicity
 from .vectors import op6_block_topk, op8_additive_quantisation
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_source_mixing": op2_source_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_secret_scan": op4_secret_scan,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_block_topk": op6_block_topk,
     "op7_personal_data": op7_personal_data,
     "op8_additive_quantisation": op8_additive_quantisation,
