@@ -63,6 +63,28 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, kernel: Callable[[list,
     return narrow.mapInArrow(run, struct)
 
 
+def map_column(df: DataFrame, text_col: str, fn: Callable[[list], list], *, keep: bool = False) -> DataFrame:
+    """``df`` with its text column replaced by what ``fn`` makes of slices of it; or, with ``keep``, the rows where that is true."""
+    place, schema = df.columns.index(text_col), df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(place)
+            made: list = []
+            while len(made) < len(column):
+                some, held = [], 0
+                while len(made) + len(some) < len(column) and held < SLICE_BYTES:
+                    some.append(column[len(made) + len(some)].as_py())
+                    held += len(some[-1] or "")
+                made += fn(some)
+            if keep:
+                yield batch.filter(pa.array(made, pa.bool_()))
+            else:
+                yield batch.set_column(place, batch.schema.field(place), pa.array(made, column.type))
+
+    return df.mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of this machine only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

@@ -1,9 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions only.
 
 Tokens are summed into cells of (source, language, topic). Cell weights are raked in turn to the target share of each
-source, each language and each topic, for a fixed number of rounds; a document's calibrated probability is its cell's
-weight over its cell's tokens, scaled so that the largest is 1. A document is sampled when a hash of its id, taken as
-a number in [0, 1), is below that: expected sampled tokens then have the target shares, whatever the order of rows.
+source, each language and each topic of the tokens wanted in all, and trimmed to the cell's tokens, for a fixed number of rounds; a
+document's calibrated probability is its cell's weight over its cell's tokens. A document is sampled when a hash of its id,
+taken as a number in [0, 1), is below that: expected sampled tokens then have the target shares, as far as there are tokens,
+whatever the order of rows.
 
 Targets are shares by value; without them, a dimension's shares are its token counts to the power ``temper``.
 A value missing from given targets has share 0.
@@ -23,6 +24,7 @@ from .common import documents, written
 DIMENSIONS = ("source", "lang", "topic")
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 ROUNDS, ROUNDS_A_TABLE = 12, 4
+SHARE = 0.5  # of all tokens, wanted in the sample
 
 # Signs by which a text's topic is told, the first that it holds.
 TOPIC_SIGNS = (("table", " | "), ("legal", "icense"), ("contact", "@"), ("config", "="), ("junk", "%%%"))
@@ -44,29 +46,30 @@ def profiled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     return df.withColumns({"__source": F.col(source_col).cast("string"), "__lang": F.col(lang_col).cast("string"), "__topic": topic_of(text), "__tokens": F.regexp_count(text, F.lit(r"\S+")).cast("long"), "__u": uniform})
 
 
-def raked_cells(profile: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """One row a cell: its tokens, its raked weight, and ``__f``, weight over tokens as a share of the largest."""
+def raked_cells(profile: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, share: float = SHARE) -> DataFrame:
+    """One row a cell: its tokens, its raked weight, and ``__f``, weight over tokens."""
     names = [f"__{d}" for d in DIMENSIONS]
     cells = written(profile.groupBy(*names).agg(F.sum("__tokens").alias("t")), "mixing-cells")
     for d, name in zip(DIMENSIONS, names, strict=True):
         held = F.sum("t").over(Window.partitionBy(name)).cast("double")
         if targets and d in targets:
-            share = F.coalesce(F.create_map(*(F.lit(x) for pair in targets[d].items() for x in pair))[F.col(name)], F.lit(0.0))
-            cells = cells.withColumn(f"raw_{d}", share)
+            given = F.coalesce(F.create_map(*(F.lit(x) for pair in targets[d].items() for x in pair))[F.col(name)], F.lit(0.0))
+            cells = cells.withColumn(f"raw_{d}", given)
         else:
             cells = cells.withColumn(f"raw_{d}", F.when(held > 0, F.pow(held, F.lit(TEMPER[d]))).otherwise(0.0))
         # the share of a value counts once, spread over its cells
         cells = cells.withColumn(f"part_{d}", F.when(held > 0, F.col(f"raw_{d}") * F.col("t") / held).otherwise(0.0))
-    totals = cells.agg(*(F.sum(f"part_{d}").alias(d) for d in DIMENSIONS)).first()
-    cells = cells.select(*names, "t", F.col("t").cast("double").alias("w"), *((F.col(f"raw_{d}") / F.lit(totals[d] or 1.0)).alias(f"goal_{d}") for d in DIMENSIONS))
+    totals = cells.agg(F.sum("t").alias("t"), *(F.sum(f"part_{d}").alias(d) for d in DIMENSIONS)).first()
+    wanted = float(totals["t"] or 0) * share
+    cells = cells.select(*names, "t", F.col("t").cast("double").alias("w"), *((F.col(f"raw_{d}") * F.lit(wanted) / F.lit(totals[d] or 1.0)).alias(f"goal_{d}") for d in DIMENSIONS))
     for i in range(rounds):
         for d, name in zip(DIMENSIONS, names, strict=True):
             now = F.sum("w").over(Window.partitionBy(name))
             cells = cells.withColumn("w", F.when(now > 0, F.col("w") * F.col(f"goal_{d}") / now).otherwise(0.0))
+        cells = cells.withColumn("w", F.least(F.col("w"), F.col("t").cast("double")))
         if (i + 1) % ROUNDS_A_TABLE == 0 or i + 1 == rounds:
             cells = written(cells, "mixing-round")
-    top = cells.agg(F.max(F.when(F.col("t") > 0, F.col("w") / F.col("t")))).first()[0] or 1.0
-    return cells.select(*names, "t", "w", F.when(F.col("t") > 0, F.col("w") / F.col("t") / F.lit(top)).otherwise(0.0).alias("__f"))
+    return cells.select(*names, "t", "w", F.when(F.col("t") > 0, F.col("w") / F.col("t")).otherwise(0.0).alias("__f"))
 
 
 def with_probability(profile: DataFrame, cells: DataFrame) -> DataFrame:
@@ -76,10 +79,10 @@ def with_probability(profile: DataFrame, cells: DataFrame) -> DataFrame:
     return profile.join(right, same[0] & same[1] & same[2], "left")
 
 
-def mix(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, **columns) -> DataFrame:
+def mix(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, share: float = SHARE, **columns) -> DataFrame:
     """The sampled rows of ``df``, with all their columns."""
     profile = profiled(df, **columns)
-    cells = raked_cells(profile, targets, rounds)
+    cells = raked_cells(profile, targets, rounds, share)
     return with_probability(profile, cells).where(F.col("__u") < F.col("__f")).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
@@ -98,7 +101,7 @@ def op2_source_mixing(spark, sf_dir):
     )
 
 
-def oracle_sql(table: str = "documents", rounds: int = ROUNDS) -> str:
+def oracle_sql(table: str = "documents", rounds: int = ROUNDS, share: float = SHARE) -> str:
     """The same in DuckDB SQL, the rounds written out one after another."""
     topic = "case " + " ".join(f"when contains(coalesce(text, ''), '{sign}') then '{name}'" for name, sign in TOPIC_SIGNS) + " else 'prose' end"
     steps = [
@@ -107,7 +110,7 @@ def oracle_sql(table: str = "documents", rounds: int = ROUNDS) -> str:
         "cells as (select source, lang, topic, cast(sum(n_tokens) as double) t from profile group by all)",
     ]
     for d in DIMENSIONS:
-        steps.append(f"goal_{d} as (select {d} k, case when s > 0 then pow(s, {TEMPER[d]}) else 0 end / (select sum(pow(s, {TEMPER[d]})) from (select sum(t) s from cells group by {d}) where s > 0) g from (select {d}, sum(t) s from cells group by {d}))")
+        steps.append(f"goal_{d} as (select {d} k, case when s > 0 then pow(s, {TEMPER[d]}) else 0 end * (select sum(t) * {share} from cells) / (select sum(pow(s, {TEMPER[d]})) from (select sum(t) s from cells group by {d}) where s > 0) g from (select {d}, sum(t) s from cells group by {d}))")
     last, n = "cells_0", 0
     steps.append("cells_0 as (select *, t w from cells)")
     for _ in range(rounds):
@@ -116,7 +119,10 @@ def oracle_sql(table: str = "documents", rounds: int = ROUNDS) -> str:
             steps.append(f"sum_{n} as (select {d} k, sum(w) s from {last} group by {d})")
             steps.append(f"cells_{n} as materialized (select c.source, c.lang, c.topic, c.t, case when x.s > 0 then c.w * g.g / x.s else 0 end w from {last} c join sum_{n} x on x.k is not distinct from c.{d} join goal_{d} g on g.k is not distinct from c.{d})")
             last = f"cells_{n}"
-    steps.append(f"final as (select *, case when t > 0 then w / t / (select max(w / t) from {last} where t > 0) else 0 end f from {last})")
+        n += 1
+        steps.append(f"cells_{n} as (select source, lang, topic, t, least(w, t) w from {last})")
+        last = f"cells_{n}"
+    steps.append(f"final as (select *, case when t > 0 then w / t else 0 end f from {last})")
     return (
         "with " + ", ".join(steps) + " select p.doc_id, p.source, p.lang, p.topic, p.n_tokens, round(f, 6) probability, round(w, 6) cell_weight, coalesce(u < f, false) sampled "
         "from profile p join final c on p.source is not distinct from c.source and p.lang is not distinct from c.lang and p.topic = c.topic"

@@ -20,7 +20,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, map_texts
+from .common import documents, map_column, map_texts
 
 # The base patterns, and the kinds in the order in which ties are listed.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
@@ -168,24 +168,21 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_texts(df, id_col, text_col, kernel, f"{id_col} {kind}, spans {SPAN_TYPE}", binary=True)
 
 
-def redact_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and text with each span, overlapping ones as one, replaced by ``[SECRET]``; null texts stay null."""
+def redacted(text: bytes) -> bytes:
+    """The text with each span, overlapping ones as one, replaced by ``[SECRET]``."""
+    out, at = [], 0
+    for a, b in sorted((a, b) for _, a, b in scan(text)):
+        if b > at:
+            if a >= at:
+                out += [text[at:a], b"[SECRET]"]
+            at = b
+    return b"".join([*out, text[at:]])
 
-    def kernel(ids, texts):
-        for i, x in zip(ids, texts, strict=True):
-            if x:
-                out, at = [], 0
-                for a, b in sorted((a, b) for _, a, b in scan(x)):
-                    if b <= at:
-                        continue
-                    if a >= at:
-                        out += [x[at:a], b"[SECRET]"]
-                    at = b
-                x = b"".join([*out, x[at:]])
-            yield i, None if x is None else x.decode()
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return map_texts(df, id_col, text_col, kernel, f"{id_col} {kind}, {text_col} string", binary=True)
+def redact_in_place(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """All rows and columns of ``df``, with secrets in the text replaced; null texts stay null."""
+
+    return map_column(df, text_col, lambda texts: [x if x is None else redacted(x.encode()).decode() for x in texts])
 
 
 def op4_secret_scan(spark, sf_dir):

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, map_texts, written
+from .common import documents, map_column, map_texts, written
 
 # What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "*": "aeiou", "#": "aeiou", "%": "aeiou", "?": "aeiou"}
@@ -285,11 +285,7 @@ def reject_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """The rows of ``df`` whose text scores below ``threshold``, with all their columns."""
     scorer = train_scorer(df, labels, id_col, text_col, **training)
 
-    @F.pandas_udf("boolean")
-    def clean(texts):
-        return texts.map(lambda x: scorer.score(x) < threshold).astype(bool)
-
-    return df.where(clean(F.col(text_col).cast("string")))
+    return map_column(df, text_col, lambda texts: [scorer.score(x) < threshold for x in texts], keep=True)
 
 
 def op3_toxicity(spark, sf_dir):
