@@ -20,6 +20,7 @@ import os
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -109,40 +110,43 @@ def distinct_words(df: DataFrame, text_col: str, special: tuple[str, ...], held:
 
 def word_table(df: DataFrame, text_col: str, vocabulary: Vocabulary) -> DataFrame:
     """word and its packed ids (little-endian uint32); every distinct word is encoded once."""
-    special = vocabulary.special()
+    special = tuple(vocabulary.special())
 
     def kernel(words, _):
-        plain = [w for w in words if w not in special]
-        codes = dict(zip(plain, vocabulary.tokenizer.encode_batch(plain, add_special_tokens=False), strict=True))
-        for w in words:
-            yield w, np.array([special[w]] if w in special else codes[w].ids, "<u4").tobytes()
+        for at in range(0, len(words), 1000):  # the library's results are large
+            some = words[at : at + 1000]
+            for w, code in zip(some, vocabulary.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+                yield w, np.array(code.ids, "<u4").tobytes()
+
+    return map_texts(distinct_words(df, text_col, special), "word", "word", kernel, "word string, ids binary")
 
-    return map_texts(distinct_words(df, text_col, tuple(special)), "word", "word", kernel, "word string, ids binary")
 
+def _as_arrays(table: DataFrame, words: int, codes: int, wide: bool) -> tuple[np.ndarray, ...] | None:
+    """Sorted hashes, each word's first id and number of ids, and all ids; None if two words share a hash.
 
-def _as_arrays(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Sorted hashes, id offsets and ids of a word table; None if two words share a hash."""
+    Partitions come one at a time into arrays of known size, so that the driver holds little beside them.
+    """
+    kind = "<u4" if wide else "<u2"
 
     def pack(batches):
         for b in batches:
             words, ids = b.column(0).to_pylist(), b.column(1).to_pylist()
             hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-            sizes = np.array([len(x) // 4 for x in ids], np.uint32)
-            yield pa.RecordBatch.from_pydict({"h": [hashes.tobytes()], "n": [sizes.tobytes()], "ids": [b"".join(ids)]})
-
-    rows = table.select("word", "ids").mapInArrow(pack, "h binary, n binary, ids binary").collect()
-    hashes = np.frombuffer(b"".join(r["h"] for r in rows), np.uint64)
-    sizes = np.frombuffer(b"".join(r["n"] for r in rows), np.uint32).astype(np.int64)
-    ids = np.frombuffer(b"".join(r["ids"] for r in rows), "<u4")
-    del rows
+            sizes = np.array([len(x) // 4 for x in ids], "<u4")
+            yield pa.RecordBatch.from_pydict({"h": [hashes.tobytes()], "n": [sizes.tobytes()], "ids": [np.frombuffer(b"".join(ids), "<u4").astype(kind).tobytes()]})
+
+    hashes, sizes, ids = np.empty(words, np.uint64), np.empty(words, np.uint32), np.empty(codes, kind)
+    at = end = 0
+    for row in table.select("word", "ids").mapInArrow(pack, "h binary, n binary, ids binary").toLocalIterator():
+        h, n, c = np.frombuffer(row["h"], np.uint64), np.frombuffer(row["n"], "<u4"), np.frombuffer(row["ids"], kind)
+        hashes[at : at + len(h)], sizes[at : at + len(h)], ids[end : end + len(c)] = h, n, c
+        at, end = at + len(h), end + len(c)
     order = np.argsort(hashes)
     hashes = hashes[order]
-    if len(hashes) and (hashes[1:] == hashes[:-1]).any():
+    if (hashes[1:] == hashes[:-1]).any():
         return None
-    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1][order]
-    offsets = np.concatenate([[0], np.cumsum(sizes[order])])
-    small = np.uint16 if not len(ids) or ids.max() < 65536 else np.uint32
-    return hashes, offsets, ids[_ranges(starts, sizes[order])].astype(small)
+    starts = np.cumsum(sizes, dtype=np.int64) - sizes
+    return hashes, starts.astype(np.uint32)[order], sizes[order], ids
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -154,30 +158,33 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, broadcast_bytes: int = 256 << 20) -> DataFrame:
-    """id, n_tokens and ``ids`` packed as little-endian unsigned 32-bit integers."""
+def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, broadcast_bytes: int = 128 << 20, decode: bool = False) -> DataFrame:
+    """id, n_tokens and ``ids`` packed as little-endian unsigned 32-bit integers; with ``decode`` also the decoded text."""
     spark, vocabulary = df.sparkSession, Vocabulary(path or default_vocabulary())
     special = tuple(vocabulary.special())
     table = written(word_table(df, text_col, vocabulary), "bpe-words")
-    size = table.agg((F.count("*") * 16 + F.coalesce(F.sum(F.length("ids")), F.lit(0))).alias("n")).collect()[0]["n"]
-    arrays = _as_arrays(table) if size <= broadcast_bytes else None
+    words, codes = table.agg(F.count("*"), F.coalesce(F.sum(F.length("ids")), F.lit(0)) / 4).first()
+    wide = max(vocabulary.pieces()) >= 65536
+    size = 16 * words + (4 if wide else 2) * int(codes)
+    arrays = _as_arrays(table, words, int(codes), wide) if size <= broadcast_bytes else None
     kind = df.schema[id_col].dataType.simpleString()
     if arrays is None:
-        return _encode_by_join(df, table, id_col, text_col, special)
-    shared = spark.sparkContext.broadcast(arrays)
+        coded = _encode_by_join(df, table, id_col, text_col, special)
+        return coded.withColumn("decoded", _decoder(vocabulary, spark)("ids")) if decode else coded
+    shared, pieces = spark.sparkContext.broadcast(arrays), _pieces(vocabulary, spark)
 
     def kernel(ids, texts):
-        hashes, offsets, codes = shared.value
+        hashes, starts, sizes, codes = shared.value
         index: dict[str, int] = {}
         number = index.setdefault
         places = [np.array([number(w, len(index)) for w in split_words(x, special)] if x else [], np.int64) for x in texts]
         at = np.searchsorted(hashes, np.array([xxhash.xxh3_64_intdigest(w) for w in index], np.uint64))
         for i, place in zip(ids, places, strict=True):
             row = at[place] if len(place) else place
-            found = codes[_ranges(offsets[row], offsets[row + 1] - offsets[row])].astype("<u4")
-            yield i, len(found), found.tobytes()
+            found = codes[_ranges(starts[row].astype(np.int64), sizes[row].astype(np.int64))].astype("<u4")
+            yield (i, len(found), found.tobytes(), _text(found, pieces.value)) if decode else (i, len(found), found.tobytes())
 
-    return map_texts(df, id_col, text_col, kernel, f"{id_col} {kind}, n_tokens long, ids binary")
+    return map_texts(df, id_col, text_col, kernel, f"{id_col} {kind}, n_tokens long, ids binary" + ", decoded string" * decode)
 
 
 def _encode_by_join(df: DataFrame, table: DataFrame, id_col: str, text_col: str, special: tuple[str, ...]) -> DataFrame:
@@ -200,34 +207,34 @@ def _encode_by_join(df: DataFrame, table: DataFrame, id_col: str, text_col: str,
     return joined.select(F.col("id").cast(kind).alias(id_col), (F.length(ids) / 4).cast("long").alias("n_tokens"), ids.alias("ids"))
 
 
-def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """id and text: packed ids joined to the pieces of the vocabulary, whose number is fixed."""
-    vocabulary = Vocabulary(path or default_vocabulary())
+def _pieces(vocabulary: Vocabulary, spark):
+    """The table of pieces by id, broadcast: its size is the vocabulary's."""
     pieces = vocabulary.pieces()
-    shared = encoded.sparkSession.sparkContext.broadcast([pieces.get(i, b"") for i in range(max(pieces) + 1)])
+    return spark.sparkContext.broadcast([pieces.get(i, b"") for i in range(max(pieces) + 1)])
 
-    def kernel(ids, packed):
-        piece = shared.value
-        for i, x in zip(ids, packed, strict=True):
-            yield i, b"".join([piece[k] for k in np.frombuffer(x or b"", "<u4").tolist()]).decode("utf-8", "replace")
 
-    kind = encoded.schema[id_col].dataType.simpleString()
-    return map_texts(encoded, id_col, ids_col, kernel, f"{id_col} {kind}, text string", binary=True)
+def _text(ids: np.ndarray, pieces: list[bytes]) -> str:
+    return b"".join([pieces[k] for k in ids.tolist()]).decode("utf-8", "replace")
 
 
-def encode_and_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, **settings) -> DataFrame:
-    """id, n_tokens, packed ids and the text decoded from them."""
-    encoded = encode_documents(df, id_col, text_col, path, **settings)
-    vocabulary = Vocabulary(path or default_vocabulary())
-    pieces = vocabulary.pieces()
-    shared = df.sparkSession.sparkContext.broadcast([pieces.get(i, b"") for i in range(max(pieces) + 1)])
+def _decoder(vocabulary: Vocabulary, spark):
+    pieces = _pieces(vocabulary, spark)
 
     @F.pandas_udf("string")
-    def text_of(packed):
-        piece = shared.value
-        return packed.map(lambda x: b"".join([piece[k] for k in np.frombuffer(x or b"", "<u4").tolist()]).decode("utf-8", "replace"))
+    def text_of(packed: pd.Series) -> pd.Series:
+        return packed.map(lambda x: _text(np.frombuffer(x or b"", "<u4"), pieces.value))
+
+    return text_of
 
-    return encoded.withColumn("decoded", text_of("ids"))
+
+def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
+    """id and text: packed ids joined to the pieces of the vocabulary, whose number is fixed."""
+    return encoded.select(id_col, _decoder(Vocabulary(path or default_vocabulary()), encoded.sparkSession)(ids_col).alias("text"))
+
+
+def encode_and_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, **settings) -> DataFrame:
+    """id, n_tokens, packed ids and ``decoded``, the text that the pieces of these ids make up."""
+    return encode_documents(df, id_col, text_col, path, decode=True, **settings)
 
 
 def op9_bpe(spark, sf_dir):
