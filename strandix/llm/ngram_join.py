@@ -6,9 +6,10 @@ orders n-grams of like rarity. Two sets that reach the threshold share an n-gram
 
 1. One scan fills the sketch, a second makes each set's class (equal sets are one class) and its prefixes.
 2. Postings of the first order give candidates: lists of up to ``LIST`` classes give their pairs of fitting size, which must
-   also share a prefix n-gram under the two other orders; a longer list only ties its classes into one family.
+   also share a prefix n-gram under the two other orders, and whose n-grams, counted in cells, can overlap enough; a longer list
+   only ties its classes into one family.
 3. Families are the connected components of the candidates; every link lies within a family. Families are verified whole,
-   in pairs of blocks of at most ``BLOCK`` classes, from the sets themselves; links that join nothing new are not emitted.
+   in pairs of blocks of at most ``BLOCK`` classes and about ``BLOCK_GRAMS`` n-grams, from the sets themselves; links that join nothing new are not emitted.
 
 Defined results: a null or empty text, or one without words, has an empty set, is linked with nothing and is a component of
 its own; with fewer than n words the whole sequence is the one n-gram; repeated rows are documents of the same class; rows of
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import SLICE_BYTES, documents, map_texts, written
 from .graph import components
 
-LIST, BLOCK = 64, 512
+LIST, BLOCK, BLOCK_GRAMS = 64, 512, 1 << 19
+TASK_GRAMS = 1 << 20  # n-grams of the small families that one group verifies
+STEP_BYTES = 1 << 20  # of text that is hashed at a time
 SKETCH_BITS, CHUNK_BITS = 22, 16
 BITMAP_BITS = 26
 SIZE_STEP = 1.02  # a class's number begins with the logarithm of its size to this base
@@ -70,6 +73,16 @@ class Shingler:
     def sets(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """For each text the sorted hashes of its distinct n-grams; texts are UTF-8, A-Z count as a-z."""
         texts = [x or b"" for x in texts]
+        out: list[np.ndarray] = []
+        at = size = 0
+        for i, x in enumerate(texts):
+            if size and size + len(x) > STEP_BYTES:
+                out += self._sets(texts[at:i])
+                at, size = i, 0
+            size += len(x)
+        return out + self._sets(texts[at:])
+
+    def _sets(self, texts: list[bytes]) -> list[np.ndarray]:
         joint = b" ".join(texts).lower() + b" "
         raw = np.frombuffer(joint, np.uint8)
         self._powers(len(raw) + 1)
@@ -164,6 +177,24 @@ def _levels_apart(percent: int) -> int:
     return int(np.log(100 / percent) / np.log(SIZE_STEP)) + 1
 
 
+def cell_counts(s: np.ndarray) -> bytes:
+    """How many n-grams fall into each of 64 to 1,024 cells, about one each; a first byte tells how wide the counts are."""
+    cells = min(1024, max(64, 1 << (len(s) - 1).bit_length()))
+    counts = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return b"\1" + counts.astype("u1").tobytes() if counts.max() < 256 else b"\4" + counts.astype("<u4").tobytes()
+
+
+def overlap_bound(x: bytes, y: bytes) -> tuple[int, int]:
+    """The most n-grams that two sets can share by their cell counts, and both sizes together."""
+    a, b = (np.frombuffer(v, "u1" if v[0] == 1 else "<u4", offset=1).astype(np.int64) for v in (x, y))
+    while len(a) != len(b):  # the finer counts are folded
+        if len(a) > len(b):
+            a = a[: len(a) // 2] + a[len(a) // 2 :]
+        else:
+            b = b[: len(b) // 2] + b[len(b) // 2 :]
+    return int(np.minimum(a, b).sum()), int(a.sum() + b.sum())
+
+
 def classified(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """id, n_shingles, class, and for the first of each class in a task its prefixes under the three orders."""
     spark = df.sparkSession
@@ -176,11 +207,11 @@ def classified(df: DataFrame, id_col: str, text_col: str, n: int, percent: int)
             level = shared.value
             for i, s in zip(ids, shingler.sets(texts), strict=True):
                 if not len(s):
-                    yield i, 0, None, None, None, None
+                    yield i, 0, None, None, None, None, None
                     continue
                 c, size = _class_of(s), prefix_size(len(s), percent)
                 if c in seen:
-                    yield i, len(s), c, None, None, None
+                    yield i, len(s), c, None, None, None, None
                     continue
                 if len(seen) >= 500_000:
                     seen.clear()
@@ -189,12 +220,12 @@ def classified(df: DataFrame, id_col: str, text_col: str, n: int, percent: int)
                 first = [s[np.argpartition(rank | _mix(s, salt) >> np.uint64(8), size - 1)[:size]] for salt in (1, 2, 3)]
                 # n-grams of the other orders are only compared, and 16 bits of them never hide a common one
                 rest = [np.unique((x >> np.uint64(20)).astype("<u2")).tobytes() for x in first[1:]]
-                yield i, len(s), c, first[0].astype(np.int64), rest[0], rest[1]
+                yield i, len(s), c, first[0].astype(np.int64), rest[0], rest[1], cell_counts(s)
 
         return kernel
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_texts(df, id_col, text_col, fresh(), f"id {kind}, n long, c long, a array<long>, b2 binary, b3 binary", binary=True)
+    return map_texts(df, id_col, text_col, fresh(), f"id {kind}, n long, c long, a array<long>, b2 binary, b3 binary, cells binary", binary=True)
 
 
 def _share(left: pd.Series, right: pd.Series) -> list[bool]:
@@ -226,15 +257,20 @@ def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
 
     found = written(members.select(F.explode(pairs("cs")).alias("p")).select("p.u", "p.v").distinct(), "ngram-pairs")
     needed = found.select(F.col("u").alias("c")).union(found.select(F.col("v").alias("c"))).distinct()
-    others = classes.where("a is not null").join(needed, "c", "left_semi").dropDuplicates(["c"]).select("c", "b2", "b3")
-    left = others.select(F.col("c").alias("u"), F.col("b2").alias("u2"), F.col("b3").alias("u3"))
-    right = others.select(F.col("c").alias("v"), F.col("b2").alias("v2"), F.col("b3").alias("v3"))
+    others = classes.where("a is not null").join(needed, "c", "left_semi").dropDuplicates(["c"]).select("c", "b2", "b3", "cells")
+    left = others.select(F.col("c").alias("u"), F.col("b2").alias("u2"), F.col("b3").alias("u3"), F.col("cells").alias("u4"))
+    right = others.select(F.col("c").alias("v"), F.col("b2").alias("v2"), F.col("b3").alias("v3"), F.col("cells").alias("v4"))
+
+    def may_link(x: bytes, y: bytes) -> bool:
+        both, sizes = overlap_bound(x, y)
+        return 100 * both >= percent * (sizes - both)
 
     @F.pandas_udf("boolean")
-    def both_meet(u2: pd.Series, v2: pd.Series, u3: pd.Series, v3: pd.Series) -> pd.Series:
-        return pd.Series([x and y for x, y in zip(_share(u2, v2), _share(u3, v3), strict=True)], dtype=bool)
+    def fit(u2: pd.Series, v2: pd.Series, u3: pd.Series, v3: pd.Series, u4: pd.Series, v4: pd.Series) -> pd.Series:
+        meet = (x and y for x, y in zip(_share(u2, v2), _share(u3, v3), strict=True))
+        return pd.Series([m and may_link(x, y) for m, x, y in zip(meet, u4, v4, strict=True)], dtype=bool)
 
-    kept = found.join(left, "u").join(right, "v").where(both_meet("u2", "v2", "u3", "v3")).select("u", "v")
+    kept = found.join(left, "u").join(right, "v").where(fit("u2", "v2", "u3", "v3", "u4", "v4")).select("u", "v")
     return ties.union(kept)
 
 
@@ -303,7 +339,10 @@ def verified_links(df: DataFrame, id_col: str, text_col: str, classes: DataFrame
     spark = df.sparkSession
     first = classes.where("c is not null").join(families.select(F.col("node").alias("c"), "root"), "c").groupBy("c", "root").agg(F.min("id").alias("id"))
     first = written(first, "ngram-members")
-    sizes = first.groupBy("root").agg(F.count("*").alias("m"))
+    # what a class adds to a block: its n-grams as its number tells them, or its share of the rows
+    cost = F.greatest(F.pow(F.lit(SIZE_STEP), F.shiftrightunsigned("c", 53)), F.lit(BLOCK_GRAMS / BLOCK)).cast("long")
+    first = first.withColumn("cost", cost)
+    sizes = first.groupBy("root").agg(F.count("*").alias("m"), F.sum("cost").alias("grams"))
     bits = spark.sparkContext.broadcast(_bitmap(first))
     place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << BITMAP_BITS))
 
@@ -325,10 +364,10 @@ def verified_links(df: DataFrame, id_col: str, text_col: str, classes: DataFrame
     kind = df.schema[id_col].dataType.simpleString()
     wanted = df.select(id_col, text_col).where(F.col(id_col).isNull() | marked(place))
     sets = map_texts(wanted, id_col, text_col, fresh(), f"id {kind}, c long, s binary", binary=True)
-    own = first.join(sizes, "root").withColumn("blocks", F.ceil(F.col("m") / BLOCK))
+    own = first.join(sizes, "root").withColumn("blocks", F.ceil(F.col("grams") / BLOCK_GRAMS))
     # blocks by class number hold classes of like size when a family is large
-    order = F.row_number().over(Window.partitionBy("root").orderBy("c"))
-    own = own.where("m = 1 or blocks = 1").withColumn("block", F.lit(0)).union(own.where("blocks > 1").withColumn("block", ((order - 1) / BLOCK).cast("int")))
+    before = F.sum("cost").over(Window.partitionBy("root").orderBy("c").rowsBetween(Window.unboundedPreceding, -1))
+    own = own.where("blocks = 1").withColumn("block", F.lit(0)).union(own.where("blocks > 1").withColumn("block", (F.coalesce(before, F.lit(0)) / BLOCK_GRAMS).cast("int")))
     spans = own.where("blocks > 1").groupBy("root", "block").agg(F.min("c").alias("low"), F.max("c").alias("high"))
     level = lambda c: F.shiftrightunsigned(c, 53)
     other = spans.select("root", F.col("block").alias("other"), F.col("low").alias("low2"))
@@ -339,7 +378,7 @@ def verified_links(df: DataFrame, id_col: str, text_col: str, classes: DataFrame
     as_second = many.join(meets.where("other > block").withColumnRenamed("block", "i").withColumnRenamed("other", "block"), ["root", "block"]).select("c", "root", "i", F.col("block").alias("j"), F.lit(True).alias("second"))
     placed = written(one.union(as_first).union(as_second), "ngram-places")
     # many small families share a task; a pair of blocks has a group of its own
-    groups = max(1, first.count() // 2000)
+    groups = max(1, (first.agg(F.sum("cost")).first()[0] or 0) // TASK_GRAMS)
     group = F.when((F.col("i") == 0) & (F.col("j") == 0), F.pmod(F.xxhash64("root"), F.lit(groups))).otherwise(F.xxhash64("root", "i", "j").bitwiseOR(F.lit(-(2**63))))
     rows = sets.dropDuplicates(["c"]).join(placed, "c").withColumn("g", group)
 
