@@ -1,10 +1,7 @@
-"""Queries over the driver's tables, by name."""
+"""Queries over the driver's tables, by name, and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .queries import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
