@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracle
 from .bpe import op9_bpe
 from .licenses import op10_license_scan
 from .mixing import op2_source_mixing
@@ -25,4 +26,8 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_license_scan": op10_license_scan,
 }
-ORACLE: dict[str, str] = {"op2_source_mixing": mixing_sql()}
+ORACLE: dict[str, str] = {
+    "op1_ngram_join": oracle.ngram_components(),
+    "op2_source_mixing": mixing_sql(),
+    "op6_block_topk": oracle.top_inner_products(),
+}
