@@ -5,7 +5,7 @@ or around a single newline), each distinct word is encoded once, and the ids are
 joins ids to the table of pieces.
 
 The word table is broadcast, as sorted hashes with ids, only while it measures at most ``broadcast_bytes``; a larger
-table is joined by word and position in DataFrame operations, with the same result. Hashes of the broadcast form are
+table is joined to the distinct words of each slice of texts, with the same result. Hashes of the broadcast form are
 checked to be distinct when the table is built.
 
 Defined results: a null text is treated as empty and has no ids; special tokens in a text are recognised, as the
@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import documents, map_texts, written
+from .common import documents, map_texts, slices, small_batches, written
 
 _TWO_SPACES = re.compile(r"\s\s|\0")
 _BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
@@ -188,23 +191,43 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _encode_by_join(df: DataFrame, table: DataFrame, id_col: str, text_col: str, special: tuple[str, ...]) -> DataFrame:
-    """The same for a word table of any size: words with their positions are joined to it and put together again."""
+    """The same for a word table of any size: each slice of texts joins its distinct words to the table, and its places to them."""
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    rows = written(rows, "bpe-rows")  # fixes the row numbers
-
-    def kernel(row, texts):
-        for i, x in zip(row, texts, strict=True):
-            for k, w in enumerate(split_words(x, special) if x else ()):
-                yield i, k, w
-
-    places = map_texts(rows, "row", "text", kernel, "row long, k int, word string")
-    packed = places.join(table, "word").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
-    joined = rows.select("row", "id").join(packed, "row", "left")
-    # hex strings are put together, as SQL has no sum of binaries
-    ids = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["ids"])), ""))
-    ids = F.coalesce(ids, F.lit(b""))
-    return joined.select(F.col("id").cast(kind).alias(id_col), (F.length(ids) / 4).cast("long").alias("n_tokens"), ids.alias("ids"))
+    small_batches(df.sparkSession)
+    narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema = T._parse_datatype_string(f"slice string, ids array<{kind}>, places array<binary>, words array<string>")
+
+    def split(batches):
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b in slices(texts):
+                index: dict[str, int] = {}
+                number = index.setdefault
+                places = [np.array([number(w, len(index)) for w in split_words(x, special)] if x else [], "<u4").tobytes() for x in texts[a:b]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([uuid.uuid4().hex], [ids[a:b]], [places], [list(index)]), arrow, strict=True)], schema=arrow)
+
+    parts = written(narrow.mapInArrow(split, schema), "bpe-slices")
+    words = parts.select("slice", F.posexplode("words").alias("k", "word"))
+    codes = words.join(table, "word").groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("codes"))
+    joined = parts.select("slice", "ids", "places").join(codes, "slice", "left").select("ids", "places", F.transform("codes", lambda c: c["ids"]).alias("codes"))
+    out = T._parse_datatype_string(f"{id_col} {kind}, n_tokens long, ids binary")
+
+    def put_together(batches):
+        arrow = to_arrow_schema(out)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, places, codes = (batch.column(c)[row].as_py() for c in range(3))
+                codes = codes or []
+                sizes = np.array([len(c) // 4 for c in codes], np.int64)
+                starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(codes), "<u4")
+                found = []
+                for place in places:
+                    at = np.frombuffer(place, "<u4")
+                    found.append(flat[_ranges(starts[at], sizes[at])].tobytes() if len(at) else b"")
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids, [len(x) // 4 for x in found], found), arrow, strict=True)], schema=arrow)
+
+    return joined.mapInArrow(put_together, out)
 
 
 def _pieces(vocabulary: Vocabulary, spark):
