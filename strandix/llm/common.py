@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: Rows of an Arrow batch that carries texts, where the session doesn't say.
+BATCH_ROWS = 2_000
 #: UTF-8 bytes of text that one call of a kernel gets at most, unless a single text is longer.
 SLICE_BYTES = 4 << 20
 
@@ -32,11 +34,19 @@ def slices(texts: list, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches of texts stay small, unless the session sets their size itself."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) in (None, "10000"):
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def map_texts(df: DataFrame, id_col: str, text_col: str, kernel: Callable[[list, list], Iterable[tuple]], schema: str | T.StructType, *, binary: bool = False, start: Callable[[], None] | None = None) -> DataFrame:
     """Applies ``kernel(ids, texts) -> rows`` to slices of bounded size; other columns never leave the JVM.
 
     Null texts arrive as None. With ``binary``, texts arrive as UTF-8 bytes.
     """
+    small_batches(df.sparkSession)
     text = F.col(text_col).cast("binary") if binary else F.col(text_col).cast("string")
     narrow = df.select(F.col(id_col).alias("id"), text.alias("text"))
     struct = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -65,6 +75,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, kernel: Callable[[list,
 
 def map_column(df: DataFrame, text_col: str, fn: Callable[[list], list], *, keep: bool = False) -> DataFrame:
     """``df`` with its text column replaced by what ``fn`` makes of slices of it; or, with ``keep``, the rows where that is true."""
+    small_batches(df.sparkSession)
     place, schema = df.columns.index(text_col), df.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -344,26 +344,22 @@ def verified_links(df: DataFrame, id_col: str, text_col: str, classes: DataFrame
     first = first.withColumn("cost", cost)
     sizes = first.groupBy("root").agg(F.count("*").alias("m"), F.sum("cost").alias("grams"))
     bits = spark.sparkContext.broadcast(_bitmap(first))
-    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << BITMAP_BITS))
-
-    @F.pandas_udf("boolean")
-    def marked(at: pd.Series) -> pd.Series:
-        at = at.to_numpy()
-        return pd.Series((bits.value[at >> 3] >> (at & 7)) & 1 == 1)
+    # the test is made where the sets are: a separate filter would keep a second Python worker a task
+    place = F.when(F.col(id_col).isNotNull(), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << BITMAP_BITS)))
 
     def fresh():
         shingler = Shingler(n)
 
-        def kernel(ids, texts):
-            for i, s in zip(ids, shingler.sets(texts), strict=True):
+        def kernel(places, texts):
+            marks = bits.value
+            wanted = [x if p is None or marks[p >> 3] >> (p & 7) & 1 else None for p, x in zip(places, texts, strict=True)]
+            for s in shingler.sets(wanted):
                 if len(s):
-                    yield i, _class_of(s), s.tobytes()
+                    yield _class_of(s), s.tobytes()
 
         return kernel
 
-    kind = df.schema[id_col].dataType.simpleString()
-    wanted = df.select(id_col, text_col).where(F.col(id_col).isNull() | marked(place))
-    sets = map_texts(wanted, id_col, text_col, fresh(), f"id {kind}, c long, s binary", binary=True)
+    sets = map_texts(df.select(place.alias("place"), F.col(text_col).alias("text")), "place", "text", fresh(), "c long, s binary", binary=True)
     own = first.join(sizes, "root").withColumn("blocks", F.ceil(F.col("grams") / BLOCK_GRAMS))
     # blocks by class number hold classes of like size when a family is large
     before = F.sum("cost").over(Window.partitionBy("root").orderBy("c").rowsBetween(Window.unboundedPreceding, -1))
@@ -404,7 +400,8 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = classes.where("c is not null").groupBy("c").agg(F.min("id").alias("least"))
     rooted = least.join(links.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     roots = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    of_class = rooted.join(roots, "root").select("c", "component")
+    # written, so that the join with all documents is planned by its size, and a hot class's rows can be split
+    of_class = written(rooted.join(roots, "root").select("c", "component"), "ngram-components")
     out = classes.select("id", "n", "c").join(of_class, "c", "left")
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("class_id"), F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
 

@@ -129,7 +129,7 @@ def plain_word(token: str) -> str:
 class Scorer:
     """Counts lexicon words in plain and restored tokens; the cache holds what each token stands for."""
 
-    CACHE = 400_000
+    CACHE = 200_000
     LONGEST = 40  # characters of a token that is restored as one word
 
     def __init__(self, words: list[str], weights: np.ndarray, base: float, model: np.ndarray):
