@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+EDGES_A_FILE = 1_000_000
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)
@@ -21,15 +24,18 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     that follow can be split by adaptive execution.
     """
     edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
+    before = _state(edges)
+    if not before[0]:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(limit):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u <> v").distinct(), "edges")
+        # as many files as there are millions of edges, so that small graphs don't become many tasks
+        edges = written(small.where("u <> v").distinct().coalesce(max(4, before[0] // EDGES_A_FILE)), "edges")
         now = _state(edges)
         if now == before:
             break
