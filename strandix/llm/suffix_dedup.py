@@ -275,7 +275,8 @@ def removed_runs(rows: DataFrame) -> DataFrame:
     groups = max(1, strings.where("not hot").count() // 60_000)
     settled = strings.where("not hot").withColumn("g", F.pmod(F.xxhash64("h"), F.lit(groups))).groupBy("g").applyInPandas(settle, "id long, key long, removed binary")
     hot = strings.where("hot")
-    least = hot.groupBy("h").agg(F.min("id").alias("least"))
+    # written, so that the join reads two plain exchanges, whose skewed parts adaptive execution can split
+    least = written(hot.groupBy("h").agg(F.min("id").alias("least")), "suffix-least")
     # a run of one string, packed as the others are: little-endian place, then the number 1
     place = F.hex(F.col("p"))
     little = F.concat(*(F.substring(F.lpad(place, 8, "0"), 7 - 2 * k, 2) for k in range(4)), F.lit("01"))
