@@ -1,6 +1,7 @@
 """The registered queries: every operator over whole tables, each with SQL where SQL can express it.
 
-The main dictionary holds the documents (k = 31); the dictionary of benchmark texts serves the queries whose SQL would be slow on it.
+The main dictionary holds the documents (k = 31). Where SQL over it would be too slow, a query over the dictionary of benchmark texts is held
+against SQL, and its twin ``<name>_of_documents`` does the whole table, has no SQL and is tested against brute force.
 """
 
 from __future__ import annotations
@@ -328,6 +329,71 @@ def super_kmer_histogram(spark, sf_dir):
     return M.super_kmer_histogram(_bench(spark, sf_dir))
 
 
+# ---- the same over all documents, without SQL --------------------------------------------------------
+
+
+@query()
+def kmer_table_of_documents(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return d.kmers.select("kmer_id", "string_id", "kmer_id_in_string", "kmer_offset", d.kmer_strings().alias("kmer"), "weight")
+
+
+@query()
+def kmer_table_k63_of_documents(spark, sf_dir):
+    d = index_of(spark, sf_dir, k=_K63)
+    return d.kmers.select("kmer_id", "string_id", "kmer_id_in_string", "kmer_offset", d.kmer_strings().alias("kmer"), "weight")
+
+
+@query()
+def iterate_from_id_of_documents(spark, sf_dir):
+    return _docs(spark, sf_dir).iterate(first_id=1000)
+
+
+@query()
+def degree_histogram_of_documents(spark, sf_dir):
+    return T.degree_histogram(_docs(spark, sf_dir))
+
+
+@query()
+def minimizers_of_documents(spark, sf_dir):
+    return M.kmer_minimizers(_docs(spark, sf_dir))
+
+
+@query()
+def minimizers_canonical_of_documents(spark, sf_dir):
+    return M.kmer_minimizers(index_of(spark, sf_dir, k=K, canonical=True))
+
+
+@query()
+def super_kmers_of_documents(spark, sf_dir):
+    return M.super_kmers(_docs(spark, sf_dir))
+
+
+@query()
+def buckets_of_documents(spark, sf_dir):
+    return M.buckets(_docs(spark, sf_dir))
+
+
+@query()
+def bucket_histogram_of_documents(spark, sf_dir):
+    return M.bucket_histogram(_docs(spark, sf_dir))
+
+
+@query()
+def bucket_classes_of_documents(spark, sf_dir):
+    return M.bucket_classes(_docs(spark, sf_dir))
+
+
+@query()
+def cumulative_kmers_of_documents(spark, sf_dir):
+    return M.cumulative_kmers(_docs(spark, sf_dir))
+
+
+@query()
+def super_kmer_histogram_of_documents(spark, sf_dir):
+    return M.super_kmer_histogram(_docs(spark, sf_dir))
+
+
 # ---- weights and reordering ----------------------------------------------------------------------------
 
 
