@@ -1,9 +1,9 @@
 """Secret scan with structural confirmation.
 
-Base patterns (assignments, access keys, hex runs) are reported as they stand. Long base64 and hex
-runs are candidates only: they are decoded, and reported when the bytes parse as a key or token --
+Base patterns (assignments, access keys, lower-case hex runs) are reported as they stand. Long base64 runs
+and hex runs of any case are candidates only: they are decoded, and reported when the bytes parse as a key or token --
 DER with nested lengths that fill the value exactly, length-prefixed SSH keys, PEM blocks whose body
-is one of these, and signed tokens whose header is a JSON object that names an algorithm.
+is one of these (its line ends may be escaped, as in JSON), and signed tokens whose header is a JSON object that names an algorithm.
 
 Defined results: a null text is treated as empty; an empty text has no spans; repeated rows are scanned
 each on its own; a null id is passed through. Only the id and text columns are read, so other columns
@@ -30,14 +30,17 @@ BASE_KINDS = ("assign", "access", "hex")
 METHOD_KINDS = ("pem", "token", "der", "ssh")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
-PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{3,40})-----([A-Za-z0-9+/=\s]*)-----END \1-----")
+ANY_HEX = re.compile(rb"[0-9A-Fa-f]{32,}")
+PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{3,40})-----((?:[A-Za-z0-9+/=\s]|\\++(?:[nrt/]|u000[9aAdD]))*+)-----END \1-----")
+ESCAPED = re.compile(rb"\\+(?:[nrt]|u000[9aAdD])|\\+(?=/)|\s+")
+LEAD = re.compile(rb"[nrt]|u000[9aAdD]")
 RUN = re.compile(rb"[A-Za-z0-9+/_-]{18,}={0,2}")
 SIGNED = re.compile(rb"\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 KINDS = {k: i for i, k in enumerate(BASE_KINDS + METHOD_KINDS)}
 SPAN_TYPE = "array<struct<kind:string,start:long,end:long>>"
 
 _B64 = bytes(c if chr(c).isalnum() and c < 128 or c in b"+/_-" else 32 for c in range(256))
-_HEX = bytes(1 if chr(c) in "0123456789abcdef" else 0 for c in range(256))
+_HEX = bytes(1 if chr(c) in "0123456789abcdefABCDEF" else 0 for c in range(256))
 
 
 def decode64(run: bytes) -> bytes | None:
@@ -117,12 +120,14 @@ def scan(text: bytes) -> list[tuple[str, int, int]]:
     if b"\x01" * 8 in text[::4].translate(_HEX):
         for m in HEX.finditer(text):
             spans.append(("hex", m.start(), m.end()))
-            if (m.end() - m.start()) % 2 == 0 and (is_der_key(raw := bytes.fromhex(m[0].decode())) or is_ssh_key(raw)):
-                spans.append(("der" if raw[0] == 0x30 else "ssh", m.start(), m.end()))
+        runs = {m.span() for p in (HEX, ANY_HEX) for m in p.finditer(text)}
+        for a, b in sorted(runs):
+            if (b - a) % 2 == 0 and (is_der_key(raw := bytes.fromhex(text[a:b].decode())) or is_ssh_key(raw)):
+                spans.append(("der" if raw[0] == 0x30 else "ssh", a, b))
     blocks = []
     if b"-----BEGIN " in text:
         for m in PEM.finditer(text):
-            raw = decode64(b"".join(m[2].split()))
+            raw = decode64(ESCAPED.sub(b"", m[2]))
             if raw and (is_der_key(raw) or is_ssh_key(raw)):
                 spans.append(("pem", m.start(), m.end()))
                 blocks.append(m.span())
@@ -131,17 +136,22 @@ def scan(text: bytes) -> list[tuple[str, int, int]]:
         for m in RUN.finditer(text):
             if m.start() < past or any(a <= m.start() < b for a, b in blocks):
                 continue
-            raw = decode64(m[0])
+            # what an escaped line end puts before a run is no part of it
+            start = m.start()
+            if text[start - 1 : start] == b"\\" and (lead := LEAD.match(text, start)):
+                start = lead.end()
+            run = text[start : m.end()]
+            raw = decode64(run)
             if raw is None:
                 continue
             if (rest := SIGNED.match(text, m.end())) and is_token_header(raw):
-                spans.append(("token", m.start(), rest.end()))
+                spans.append(("token", start, rest.end()))
                 past = rest.end()
-            elif not HEX.fullmatch(m[0]):
+            elif not HEX.fullmatch(run):
                 if is_der_key(raw):
-                    spans.append(("der", m.start(), m.end()))
+                    spans.append(("der", start, m.end()))
                 elif is_ssh_key(raw):
-                    spans.append(("ssh", m.start(), m.end()))
+                    spans.append(("ssh", start, m.end()))
     return spans
 
 

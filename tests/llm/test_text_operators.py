@@ -68,6 +68,26 @@ def test_structures_are_confirmed():
     assert not kinds(f"{body}.{body}.{body}") & set(secrets.METHOD_KINDS)
 
 
+def test_keys_in_any_case_and_escaped():
+    key = der(0x30, der(0x02, b"\0") + der(0x30, der(0x06, b"\x2a\x86\x48") + der(0x05, b"")) + der(0x04, bytes(range(200)) * 2))
+    ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(range(32))))
+    mixed = "".join(c.upper() if i % 3 else c for i, c in enumerate(key.hex()))
+    for value, kind in ((key.hex().upper(), "der"), (mixed, "der"), (ssh.hex().upper(), "ssh")):
+        assert [s for s in secrets.scan(f"x {value} y".encode()) if s[0] in secrets.METHOD_KINDS] == [(kind, 2, 2 + len(value))]
+        assert secrets.redacted(f"x {value} y".encode()) == b"x [SECRET] y"
+    lines = re.sub("(.{64})", "\\1\n", b64(key))
+    block = f"-----BEGIN PRIVATE KEY-----\n{lines}\n-----END PRIVATE KEY-----\n"
+    once = json.dumps({"key": block})
+    for text in (once, once.replace("/", "\\/"), once.replace("\\n", "\\r\\n"), once.replace("\\n", "\\u000a"), json.dumps(once)):
+        (span,) = [s for s in secrets.scan(text.encode()) if s[0] == "pem"]
+        assert text[span[1] : span[2]].startswith("-----BEGIN") and text[span[1] : span[2]].endswith("KEY-----")
+        assert b64(key)[:40].encode() not in secrets.redacted(text.encode())
+    for end in ("\\n", "\\r\\n", "\\u000a"):
+        text = '{"key": "' + end + b64(key) + end + '"}'
+        assert [(k, text[a:b]) for k, a, b in secrets.scan(text.encode())] == [("der", b64(key))]
+    assert not {k for k, _, _ in secrets.scan(("x " + key.hex().upper()[:-2]).encode())} & set(secrets.METHOD_KINDS)
+
+
 def test_secrets_on_odd_rows(odd, empty):
     rows = secrets.find_secrets(odd).collect()
     assert len(rows) == len(ODD) + 3 and [len(r.spans) for r in rows if r.doc_id is None] == [1]
