@@ -2,7 +2,8 @@
 
 Tokens that look disguised (signs or digits among letters, long repetitions, letters spaced apart) become a
 lattice of intended characters; a Viterbi search under a character trigram model, counted over all texts, gives
-the likeliest restorations, and the restored text is scored by a logistic model over words.
+the likeliest restorations, and the restored text is scored by a logistic model over words. Tokens are restored
+whole and in the parts between their inner signs; those too long for one word are decoded in overlapping windows.
 
 Labels are learned only from labelled rows with ``crc32(id as text) mod 5 != 0``: at most about ``max_train`` of
 them, chosen by a hash of the id (the bound applies to labelled rows only; the character model has no bound).
@@ -39,6 +40,10 @@ _TALL = re.compile(r"(?<=[a-z])I(?=[a-z])")  # a capital i that passes for a sma
 _SPACED = re.compile(r"(?<!\S)\S{1,2}(?:[ ._*-]\S(?![^\s.,;:!?])|[._*-]\S){2,}[.,;:!?]?(?!\S)")
 _SYMBOLS = 28  # boundary, a to z, any other letter
 _RUN = re.compile(r"(.)\1+")
+_LONG_RUN = re.compile(r"(.)\1{2,}")
+# signs that part words: those that stand for no letter, and all of them
+_PARTING = re.compile("[" + re.escape("".join(c for c in _EDGE if c not in LEET)) + "]+")
+_ANY_SIGN = re.compile("[" + re.escape(_EDGE) + "]+")
 
 
 def _code_table() -> np.ndarray:
@@ -140,15 +145,24 @@ class Scorer:
         self.restorer, self.cache = Restorer(model), {}
 
     def _found(self, token: str) -> tuple[int, ...]:
-        """Lexicon words that a token stands for."""
+        """Lexicon words that a token, or a part of it between signs, stands for."""
+        found = set(self._word(token))
+        parts = {x for p in (_PARTING, _ANY_SIGN) for x in p.split(token) if len(x) >= 3 and x != token}
+        for x in parts:
+            found.update(self._word(x))
+        return tuple(sorted(found))
+
+    def _word(self, token: str) -> tuple[int, ...]:
+        """The lexicon word that a token stands for; of a token longer than a word, those within it."""
         word = plain_word(token)
         if word in self.index:
             return (self.index[word],)
-        if not word or len(word) > self.LONGEST or not any(c.isalpha() for c in word):
+        if not word or not any(c.isalpha() for c in word):
             return ()
         core = _TALL.sub("|", _DECORATION.sub("", token)).lower().lstrip(_OPENING).rstrip(_CLOSING)
         if not core.isalpha():
-            return self._restored(core) if len(core) <= self.LONGEST else ()
+            core = core if len(core) <= self.LONGEST else _LONG_RUN.sub(r"\1\1", core)
+            return self._restored(core) if len(core) <= self.LONGEST else self._within(core)
         if not core.isascii():  # accents and letters of other scripts have one plain form
             core = "".join(LOOKALIKE.get(c) or unicodedata.normalize("NFKD", c)[0] for c in core)
         if core in self.index:
@@ -156,6 +170,9 @@ class Scorer:
         runs = [len(m[0]) for m in _RUN.finditer(core)]
         if runs and (max(runs) > 2 or len(runs) > 1) and (flat := _RUN.sub(r"\1", core)) in self.short:
             return (self.short[flat],)
+        # all letters: the only other spellings are those with shorter runs
+        if len(core) > self.LONGEST:
+            return self._held({core, _LONG_RUN.sub(r"\1\1", core)}) + self._held_flat(_RUN.sub(r"\1", core))
         return ()
 
     def _restored(self, token: str) -> tuple[int, ...]:
@@ -166,14 +183,22 @@ class Scorer:
                 return (self.short[flat],)
         return ()
 
+    def _held(self, forms) -> tuple[int, ...]:
+        """Lexicon words that stand within some spellings."""
+        return tuple(sorted({self.index[w] for form in forms for w in self.long if w in form}))
+
+    def _held_flat(self, form: str) -> tuple[int, ...]:
+        """Lexicon words that stand within a spelling without runs."""
+        return tuple(sorted({self.index[w] for w in self.long if len(flat := _RUN.sub(r"\1", w)) >= 4 and flat in form}))
+
+    def _within(self, core: str) -> tuple[int, ...]:
+        """Lexicon words within a long run of signs and letters, decoded in overlapping windows."""
+        windows = {core[at : at + self.LONGEST] for at in range(0, len(core), self.LONGEST // 2)}
+        return self._held({form for x in windows for form in self.restorer.restore(x)})
+
     def _spaced(self, run: str) -> list[int]:
         """Lexicon words in letters that are spaced apart, which may be several words."""
-        core = "".join(run.lower().split())
-        found = set()
-        for at in range(0, len(core), self.LONGEST // 2):
-            for form in self.restorer.restore(core[at : at + self.LONGEST]):
-                found |= {self.index[w] for w in self.long if w in form}
-        return sorted(found)
+        return list(self._within("".join(run.lower().split())))
 
     def features(self, text: str | None) -> list[int]:
         if not text:

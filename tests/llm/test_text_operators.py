@@ -177,6 +177,18 @@ def test_toxicity_restores(toxic):
     assert 1 in kept and 0 not in kept and 2000 in kept and None not in kept
 
 
+def test_toxicity_in_long_and_glued_tokens(toxic):
+    docs, labels = toxic
+    scorer = toxicity.train_scorer(docs, labels)
+    stretched = ["l" + "o" * 45 + "ser", "m" + "0" * 60 + "ron", "id" + "i" * 20_000 + "ot"]
+    glued = ["hey,moron", "idiot/loser", "idiot...you", "<b>idiot</b>", "<b>id!ot</b>", "plain,1d10t;words"]
+    unspaced = ["therather" * 6 + "moron" + "plainwords" * 6, "therather2" * 6 + "m0ron" + "plainwords" * 6]
+    missed = [x for x in stretched + glued + unspaced if scorer.score(f"the plain {x} of words") < 0.5]
+    assert missed == []
+    assert scorer.score("the plain " + "therather" * 20 + " rather/plain,words " + "x1" * 15_000 + " of words") < 0.5
+    assert len(scorer.features("idiot/loser")) == 2
+
+
 def test_toxicity_without_labels(odd, empty, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.score_toxicity(odd, none).collect()} == {0.0}
