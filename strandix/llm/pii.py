@@ -2,8 +2,8 @@
 
 The network is trained in numpy on labelled spans: windows around base matches of a bounded sample
 (``max_windows`` windows, chosen by hash over all documents) and written-out variants of the same kinds.
-A text is decoded in overlapping windows around its triggers (digits, ``@`` and bracketed ``at``; a window
-without any holds no kind that the labels know). Each character takes its tag from the window in whose middle
+A text is decoded in overlapping windows around its triggers (digits, ``@``, and ``at`` as a word of any case, or
+as capitals between small letters), out to the ends of the words around them and on until the edges are outside any span. Each character takes its tag from the window in whose middle
 it stands most, and spans are read from the tags of the whole text, so window borders leave no mark.
 
 Defined results: a null text is treated as empty; an empty text has no spans; repeated rows are scanned each
@@ -33,7 +33,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGITS = bytes(c for c in range(256) if not 48 <= c <= 57)
-_TRIGGER = re.compile(r"[0-9@]|[(\[{<]\s?(?:at|AT)\s?[)\]}>]")
+_SIGN = re.compile(r"[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]|(?<![A-Za-z])[Aa][Tt](?![A-Za-z])|(?<=[a-z0-9])AT(?=[a-z0-9])")
 
 SPAN_TYPE = "array<struct<kind:string,start:long,end:long>>"
 
@@ -304,12 +305,26 @@ def train_tagger(df: DataFrame, text_col: str = "text", max_windows: int = 1500,
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches within ``REACH`` characters of a trigger, merged."""
+    """Stretches within ``REACH`` characters of a trigger, out to the ends of words, merged.
+
+    An address needs a full stop or ``dot``, so ``at`` is none in a text without either.
+    """
+    trigger = _TRIGGER if "." in text or "dot" in text.lower() else _SIGN
+    return widened(text, [(max(0, m.start() - REACH), min(len(text), m.end() + REACH)) for m in trigger.finditer(text)])
+
+
+def widened(text: str, stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches in order of their starts, out to the ends of words, merged."""
     out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(b, out[-1][1])
+    for a, b in stretches:
+        past = out[-1][1] if out else 0
+        while a > past and not text[a - 1].isspace():
+            a -= 1
+        b = max(b, past)
+        while past < b < len(text) and not text[b].isspace():
+            b += 1
+        if out and a <= past:
+            out[-1][1] = b
         else:
             out.append([a, b])
     return [tuple(x) for x in out]
@@ -320,29 +335,49 @@ def window_starts(a: int, b: int) -> list[int]:
 
 
 def tag_texts(tagger: Tagger, texts: list[str], batch: int = 512) -> list[list[tuple[str, int, int]]]:
-    """Spans of the network for each text, from overlapping windows reconciled over the whole text."""
-    todo = [(i, a, b, s) for i, x in enumerate(texts) for a, b in regions(x) for s in window_starts(a, b)]
-    whole: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    """Spans of the network for each text, from overlapping windows reconciled over the whole text.
+
+    Where a span touches the edge of what was decoded, more is decoded, twice as much each time.
+    """
+    todo, more = {i: found for i, x in enumerate(texts) if (found := regions(x))}, REACH
+    whole: dict[int, np.ndarray] = {}
+    while todo:
+        whole |= _tags(tagger, texts, todo, batch)
+        grown = {}
+        for i, stretches in todo.items():
+            tags, n, wider = whole[i], len(texts[i]), []
+            for a, b in stretches:
+                end = min(n, window_starts(a, b)[-1] + WINDOW)
+                low = max(0, a - more) if tags[a] else a
+                wider.append((low, min(n, end + more) if tags[end - 1] and end < n else b))
+            if wider != stretches:
+                grown[i] = widened(texts[i], wider)
+        todo, more = grown, 2 * more
+    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    for i, tags in whole.items():
+        kinds = np.where(tags > 0, (tags + 1) // 2, 0)
+        cut = np.flatnonzero((np.diff(kinds, prepend=0) != 0) | ((tags % 2 == 1) & (tags > 0)))
+        for a, b in zip(cut, [*cut[1:], len(tags)], strict=False):
+            if kinds[a]:
+                out[i].append((BASE_KINDS[kinds[a] - 1], int(a), int(b)))
+    return out
+
+
+def _tags(tagger: Tagger, texts: list[str], stretches: dict[int, list[tuple[int, int]]], batch: int) -> dict[int, np.ndarray]:
+    """The tag of each character of some texts, 0 outside their stretches."""
+    todo = [(i, s) for i, found in stretches.items() for a, b in found for s in window_starts(a, b)]
+    whole = {i: (np.zeros(len(texts[i]), np.int8), np.full(len(texts[i]), -1e9, np.float32)) for i in stretches}
     middle = -np.abs(np.arange(WINDOW) - (WINDOW - 1) / 2)
     for at in range(0, len(todo), batch):
         part = todo[at : at + batch]
-        paths = tagger.decode(np.stack([encode(texts[i][s : s + WINDOW].ljust(WINDOW)) for i, _, _, s in part]))
-        for (i, _, _, s), path in zip(part, paths, strict=True):
-            if i not in whole:
-                whole[i] = np.zeros(len(texts[i]), np.int8), np.full(len(texts[i]), -1e9)
+        paths = tagger.decode(np.stack([encode(texts[i][s : s + WINDOW].ljust(WINDOW)) for i, s in part]))
+        for (i, s), path in zip(part, paths, strict=True):
             tags, sure = whole[i]
             n = min(WINDOW, len(texts[i]) - s)
             better = middle[:n] > sure[s : s + n]
             tags[s : s + n][better] = path[:n][better]
             sure[s : s + n][better] = middle[:n][better]
-    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for i, (tags, _) in whole.items():
-        kinds = np.where(tags > 0, (tags + 1) // 2, 0)
-        cut = np.flatnonzero((np.diff(kinds, prepend=0) != 0) | ((tags % 2 == 1) & (tags > 0)))
-        for a, b in zip(cut, [*cut[1:], len(tags)], strict=False):
-            if kinds[a]:
-                out[i].append((BASE_KINDS[kinds[a] - 1], int(a), int(b)))
-    return out
+    return {i: tags for i, (tags, _) in whole.items()}
 
 
 def plausible(kind: str, value: str) -> bool:

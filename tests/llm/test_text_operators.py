@@ -145,6 +145,30 @@ def test_windows_leave_no_mark():
     assert set(range(a, b)) <= covered
 
 
+def test_long_and_trigger_free_addresses():
+    t = pii.Tagger()
+    t.fit(*pii.training_windows([], ["the rest of it was written on the house by then"], 2500), steps=300)
+    values = ["abcdefghijklmnoprstuvwabcdefghabc(at)example(dot)org", "smith at example dot org", "john.smith (At) example (dot) org", "smith[ at ]example.com"]
+    for v in values:
+        text = f"please write to {v} then go on"
+        ((a, b),) = pii.regions(text)
+        assert a <= 16 and b >= 16 + len(v), v
+    values.pop(1)  # the network is shown this form, but not trained on it
+    found = pii.tag_texts(t, [f"please write to {v} then go on" for v in values])
+    assert [f for f, v in zip(found, values) if ("email", 16, 16 + len(v)) not in f] == []
+
+
+def test_spans_at_edges_are_decoded_on():
+    class Letters:  # tags every x as inside an address
+        def decode(self, codes):
+            return np.where(codes == ord("x") - 32, 2, 0).astype(np.int8)
+
+    text = "a " * 200 + "x" * 31 + "1" + "x" * 900 + " a" * 200
+    spaced = "a " * 200 + "1" + "x" * 20 + " " + "a " * 200
+    assert ("email", 400, 431) in pii.tag_texts(Letters(), [text])[0] and ("email", 432, 1332) in pii.tag_texts(Letters(), [text])[0]
+    assert pii.tag_texts(Letters(), [spaced, ""]) == [[("email", 401, 421)], []]
+
+
 # ---- toxicity ------------------------------------------------------------------------------------------
 
 
