@@ -40,5 +40,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components have not settled in {limit} rounds")
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
