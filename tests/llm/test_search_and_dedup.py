@@ -123,10 +123,13 @@ def repeats(seed):
     return rows + runs
 
 
-@pytest.mark.parametrize("hot", [10**6, 0])
-def test_repeats_equal_brute_force(spark, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "often", "bits"), [(10**6, 200, 24), (0, 200, 24), (4, 1, 24), (10**6, 2, 6)])
+def test_repeats_equal_brute_force(spark, hot, often, bits, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    monkeypatch.setattr(suffix_dedup, "SEGMENT", 500)
+    monkeypatch.setattr(suffix_dedup, "OFTEN", often)
+    monkeypatch.setattr(suffix_dedup, "CELL_BITS", bits)
+    monkeypatch.setattr(suffix_dedup, "PARSE_BYTES", 500)
+    monkeypatch.setattr(suffix_dedup, "GROUP_PHRASES", 50)
     rows = repeats(1)
     df = spark.createDataFrame([(i, x, 1, 2) for i, x in rows], "doc_id long, text string, key int, removed int")
     got = suffix_dedup.remove_repeats(df).collect()
@@ -235,3 +238,20 @@ def test_quantiser_norms():
 def test_empty_vectors(table):
     assert vectors.top_inner_products(table.limit(0)).count() == 0
     assert vectors.nearest_neighbours(table.limit(0)).count() == 0
+
+
+def test_a_line_of_all_documents_and_a_phrase_without_end(spark):
+    """A line in every document, before ever new words, is a few entries a task; so is a phrase that a document repeats 10^5 times."""
+    r = random.Random(5)
+    line = "this very line stands at the head of every single document of the table\n"
+    rows = [(i, line + "".join(r.choice("abcdefgh ") for _ in range(60))) for i in range(2_000)]
+    rows += [(5_000, "the same phrase, on and on; " * 100_000), (5_001, "x" + "the same phrase, on and on; " * 3), (4_999, "q" + "the same phrase, on and on; " * 3 + "!")]
+    df = spark.createDataFrame([(i, i, x.encode()) for i, x in rows], "id long, key long, text binary").coalesce(1)
+    entries = collections.Counter()
+    for p in suffix_dedup.packed_phrases(df, 512).where("entries is not null").select("bucket", "entries").collect():
+        for h in np.frombuffer(p.entries, suffix_dedup._ENTRY)["h"].tolist():
+            entries[p.bucket, h] += 1
+    assert max(n for (b, _), n in entries.items() if b < 512) == suffix_dedup.OFTEN + 1
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    have = collections.Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got)
+    assert have == brute_repeats(rows)
