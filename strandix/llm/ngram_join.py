@@ -9,12 +9,14 @@ orders n-grams of like rarity. Two sets that reach the threshold share an n-gram
    also share a prefix n-gram under the two other orders, and whose n-grams, counted in cells, can overlap enough; a longer list
    only ties its classes into one family.
 3. Families are the connected components of the candidates; every link lies within a family. Families are verified whole,
-   in pairs of blocks of at most ``BLOCK`` classes and about ``BLOCK_GRAMS`` n-grams, from the sets themselves; links that join nothing new are not emitted.
-
-Defined results: a null or empty text, or one without words, has an empty set, is linked with nothing and is a component of
-its own; with fewer than n words the whole sequence is the one n-gram; repeated rows are documents of the same class; rows of
-one id with different texts each keep a row; a null id takes part, and is the component id only of a component that has no other
-id; other columns are never read; an empty table gives an empty result. Hashes have 64 bits and classes 63.
+   in pairs of blocks of at most ``BLOCK`` classes and about ``BLOCK_GRAMS`` n-grams, from the sets themselves. Every pair of classes that
+   reaches the threshold counts towards the links of both; of the pairs themselves those are emitted that join something new.
+
+Defined results: a null or empty text, or one without words, has an empty set, is linked with nothing and is a class and a component of
+its own; with fewer than n words the whole sequence is the one n-gram; repeated rows are documents of the same class; a null id takes
+part, and is the id of a class or component only if that has no other id; other columns are never read; an empty table gives
+an empty result. n-grams are compared by 64-bit hashes, sets by their size and 128 bits of a digest: a number of 63 bits stands for a
+class, and where sets of different digests meet in one number, the number is changed for all but one of them.
 """
 
 from __future__ import annotations
@@ -53,22 +55,25 @@ def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 class Shingler:
     """Hashes of the word n-grams of texts, a slice of texts at a time."""
 
-    BASE = 0x9E3779B97F4A7C15
-
     def __init__(self, n: int):
         self.n = n
-        self.byte = _mix(np.arange(1, 257, dtype=np.uint64), 0x5851F42D4C957F2D)
         self.place = _mix(np.arange(1, n + 1, dtype=np.uint64), 0x2545F4914F6CDD1D) | np.uint64(1)
-        self.power = np.ones(1, np.uint64)
 
-    def _powers(self, size: int) -> None:
-        """Powers of the base and of its inverse, as far as ``size``."""
-        if len(self.power) < size:
-            steps = np.full(size, self.BASE, np.uint64)
-            steps[0] = 1
-            self.power = np.cumprod(steps, dtype=np.uint64)
-            steps[1:] = pow(self.BASE, -1, 2**64)
-            self.inverse = np.cumprod(steps, dtype=np.uint64)
+    @staticmethod
+    def words(joint: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the words at some places: mixed pieces of eight bytes, each with its number, added up and mixed with the length."""
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        size = ends - starts
+        pieces = (size + 7) >> 3
+        first = np.cumsum(pieces) - pieces
+        number = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
+        eights = np.ndarray((len(joint) + 1,), "<u8", buffer=joint + bytes(8), strides=(1,))
+        read = eights[np.repeat(starts, pieces) + 8 * number]
+        last = first + pieces - 1
+        read[last] &= (np.uint64(1) << ((size - 8 * (pieces - 1)).astype(np.uint64) * np.uint64(8) & np.uint64(63))) - np.uint64(1) | np.where(size & 7, np.uint64(0), ~np.uint64(0))
+        mixed = _mix(read ^ _mix(number.astype(np.uint64), 0x5851F42D4C957F2D))
+        return _mix(np.add.reduceat(mixed, first), 0x9E3779B97F4A7C15) ^ _mix(size.astype(np.uint64), 0xD6E8FEB86659FD93)
 
     def sets(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """For each text the sorted hashes of its distinct n-grams; texts are UTF-8, A-Z count as a-z."""
@@ -85,13 +90,10 @@ class Shingler:
     def _sets(self, texts: list[bytes]) -> list[np.ndarray]:
         joint = b" ".join(texts).lower() + b" "
         raw = np.frombuffer(joint, np.uint8)
-        self._powers(len(raw) + 1)
         space = _SPACE[raw]
         edge = np.flatnonzero(np.diff(space, prepend=True))
         starts, ends = edge[::2], edge[1::2]
-        hashed = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(self.byte[raw] * self.power[: len(raw)], out=hashed[1:])
-        words = _mix((hashed[ends] - hashed[starts]) * self.inverse[starts])
+        words = self.words(joint, starts, ends)
         bounds = np.searchsorted(starts, np.cumsum([0] + [len(x) + 1 for x in texts]))
         n, total = self.n, len(words)
         grams = np.zeros(max(0, total - n + 1), np.uint64)
@@ -166,10 +168,23 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def _class_of(s: np.ndarray) -> int:
-    """The number of an equal-set class: its size's logarithm in 10 bits, then 53 bits of a digest of the set."""
+def _class_of(s: np.ndarray) -> tuple[int, int]:
+    """The number of an equal-set class, its size's logarithm in 10 bits, then 53 bits of a digest of the set; and 64 more bits of it."""
     level = int(np.log(len(s)) / np.log(SIZE_STEP))
-    return level << 53 | int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big") >> 11
+    digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return level << 53 | int.from_bytes(digest[:8], "big") >> 11, int.from_bytes(digest[8:], "big", signed=True)
+
+
+def _told_apart(classes: DataFrame) -> DataFrame:
+    """``classes`` with numbers ``c`` that no two digests (c0, d) share; the first number is c0."""
+    for _ in range(8):
+        twice = classes.where("c is not null").groupBy("c").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("c", "lo")
+        if not twice.head(1):
+            return classes
+        other = F.shiftleft(F.shiftrightunsigned("c", 53), 53).bitwiseOR(F.shiftrightunsigned(F.xxhash64("c", "d"), 11))
+        again = classes.join(twice, "c", "left").withColumn("c", F.when(F.col("d") == F.coalesce("lo", "d"), F.col("c")).otherwise(other))
+        classes = written(again.select(classes.columns), "ngram-classes")
+    raise RuntimeError("class numbers still meet")
 
 
 def _levels_apart(percent: int) -> int:
@@ -196,36 +211,39 @@ def overlap_bound(x: bytes, y: bytes) -> tuple[int, int]:
 
 
 def classified(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """id, n_shingles, class, and for the first of each class in a task its prefixes under the three orders."""
+    """id, hash of the text, size of the set, class, and for the first of each class in a task its prefixes under the three orders."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(rarity_sketch(df, id_col, text_col, n))
 
     def fresh():
         shingler, seen = Shingler(n), set()
 
-        def kernel(ids, texts):
+        def kernel(keys, texts):
             level = shared.value
-            for i, s in zip(ids, shingler.sets(texts), strict=True):
+            for (i, t), s in zip(((k["id"], k["t"]) for k in keys), shingler.sets(texts), strict=True):
                 if not len(s):
-                    yield i, 0, None, None, None, None, None
+                    yield i, t, 0, None, None, None, None, None, None, None
                     continue
-                c, size = _class_of(s), prefix_size(len(s), percent)
-                if c in seen:
-                    yield i, len(s), c, None, None, None, None
+                (c, d), size = _class_of(s), prefix_size(len(s), percent)
+                if (c, d) in seen:
+                    yield i, t, len(s), c, c, d, None, None, None, None
                     continue
-                if len(seen) >= 500_000:
+                if len(seen) >= 300_000:
                     seen.clear()
-                seen.add(c)
+                seen.add((c, d))
                 rank = level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)
                 first = [s[np.argpartition(rank | _mix(s, salt) >> np.uint64(8), size - 1)[:size]] for salt in (1, 2, 3)]
                 # n-grams of the other orders are only compared, and 16 bits of them never hide a common one
                 rest = [np.unique((x >> np.uint64(20)).astype("<u2")).tobytes() for x in first[1:]]
-                yield i, len(s), c, first[0].astype(np.int64), rest[0], rest[1], cell_counts(s)
+                yield i, t, len(s), c, c, d, first[0].astype(np.int64), rest[0], rest[1], cell_counts(s)
 
         return kernel
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_texts(df, id_col, text_col, fresh(), f"id {kind}, n long, c long, a array<long>, b2 binary, b3 binary, cells binary", binary=True)
+    text = F.col(text_col).cast("string")
+    rows = df.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("t")).alias("key"), text.alias("text"))
+    made = map_texts(rows, "key", "text", fresh(), f"id {kind}, t long, n long, c long, c0 long, d long, a array<long>, b2 binary, b3 binary, cells binary", binary=True)
+    return _told_apart(written(made, "ngram-classes"))
 
 
 def _share(left: pd.Series, right: pd.Series) -> list[bool]:
@@ -300,17 +318,25 @@ class _Forest:
         return x != y
 
 
-def linked(sets: list[np.ndarray], percent: int, split: int | None = None) -> list[tuple[int, int]]:
-    """Links among sets that suffice for the components; with ``split``, only links across it are looked for."""
+def linked(sets: list[np.ndarray], percent: int, split: int | None = None, weights: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links among sets that suffice for the components, and for each set the weight of all sets that it is linked with.
+
+    With ``split``, only links across it are looked for.
+    """
     sizes, out, forest = np.array([len(s) for s in sets]), [], _Forest(len(sets))
+    weights = np.ones(len(sets), np.int64) if weights is None else weights
+    links = np.zeros(len(sets), np.int64)
     if len(sets) < 6:
         for i in range(len(sets)):
             for j in range(i):
-                if (split is None or j < split <= i) and forest.root(i) != forest.root(j):
+                if split is None or j < split <= i:
                     both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * both >= percent * (sizes[i] + sizes[j] - both) and forest.join(i, j):
-                        out.append((i, j))
-        return out
+                    if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                        links[i] += weights[j]
+                        links[j] += weights[i]
+                        if forest.join(i, j):
+                            out.append((i, j))
+        return out, links
     tokens, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), sizes)
     common = (times > 1)[place]
@@ -327,17 +353,23 @@ def linked(sets: list[np.ndarray], percent: int, split: int | None = None) -> li
     low = 0 if split is None else split
     both = shared.astype(np.int64)
     good = 100 * both >= percent * (sizes[low:, None] + sizes[None, :a] - both)
+    if split is None:
+        np.fill_diagonal(good, False)
+        links += good @ weights
+    else:
+        links[low:] += good @ weights[:a]
+        links[:a] += weights[low:] @ good
     for i, j in zip(*np.nonzero(good), strict=True):
         i = int(i) + low
         if (split is not None or j < i) and forest.join(i, int(j)):
             out.append((i, int(j)))
-    return out
+    return out, links
 
 
 def verified_links(df: DataFrame, id_col: str, text_col: str, classes: DataFrame, families: DataFrame, n: int, percent: int) -> DataFrame:
-    """(u, v): links between classes within their families, from the sets of one document a class."""
+    """(u, v, links): links between classes within their families, from the sets of one document a class; without v, linked documents of u."""
     spark = df.sparkSession
-    first = classes.where("c is not null").join(families.select(F.col("node").alias("c"), "root"), "c").groupBy("c", "root").agg(F.min("id").alias("id"))
+    first = classes.where("c is not null").join(families.select(F.col("node").alias("c"), "root"), "c").groupBy("c", "root").agg(F.min("id").alias("id"), F.count("*").alias("docs"), F.min("c0").alias("c0"), F.min("d").alias("d"))
     first = written(first, "ngram-members")
     # what a class adds to a block: its n-grams as its number tells them, or its share of the rows
     cost = F.greatest(F.pow(F.lit(SIZE_STEP), F.shiftrightunsigned("c", 53)), F.lit(BLOCK_GRAMS / BLOCK)).cast("long")
@@ -355,11 +387,11 @@ def verified_links(df: DataFrame, id_col: str, text_col: str, classes: DataFrame
             wanted = [x if p is None or marks[p >> 3] >> (p & 7) & 1 else None for p, x in zip(places, texts, strict=True)]
             for s in shingler.sets(wanted):
                 if len(s):
-                    yield _class_of(s), s.tobytes()
+                    yield *_class_of(s), s.tobytes()
 
         return kernel
 
-    sets = map_texts(df.select(place.alias("place"), F.col(text_col).alias("text")), "place", "text", fresh(), "c long, s binary", binary=True)
+    sets = map_texts(df.select(place.alias("place"), F.col(text_col).alias("text")), "place", "text", fresh(), "c0 long, d long, s binary", binary=True)
     own = first.join(sizes, "root").withColumn("blocks", F.ceil(F.col("grams") / BLOCK_GRAMS))
     # blocks by class number hold classes of like size when a family is large
     before = F.sum("cost").over(Window.partitionBy("root").orderBy("c").rowsBetween(Window.unboundedPreceding, -1))
@@ -368,52 +400,75 @@ def verified_links(df: DataFrame, id_col: str, text_col: str, classes: DataFrame
     level = lambda c: F.shiftrightunsigned(c, 53)
     other = spans.select("root", F.col("block").alias("other"), F.col("low").alias("low2"))
     meets = spans.join(other, "root").where((F.col("other") >= F.col("block")) & (level("low2") - level("high") <= _levels_apart(percent))).select("root", "block", "other")
-    one = own.where("blocks = 1 and m > 1").select("c", "root", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("second"))
-    many = own.where("blocks > 1").select("c", "root", "block")
-    as_first = many.join(meets, ["root", "block"]).select("c", "root", F.col("block").alias("i"), F.col("other").alias("j"), F.lit(False).alias("second"))
-    as_second = many.join(meets.where("other > block").withColumnRenamed("block", "i").withColumnRenamed("other", "block"), ["root", "block"]).select("c", "root", "i", F.col("block").alias("j"), F.lit(True).alias("second"))
+    told = ("c", "c0", "d", "docs", "root")
+    one = own.where("blocks = 1 and m > 1").select(*told, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("second"))
+    many = own.where("blocks > 1").select(*told, "block")
+    as_first = many.join(meets, ["root", "block"]).select(*told, F.col("block").alias("i"), F.col("other").alias("j"), F.lit(False).alias("second"))
+    as_second = many.join(meets.where("other > block").withColumnRenamed("block", "i").withColumnRenamed("other", "block"), ["root", "block"]).select(*told, "i", F.col("block").alias("j"), F.lit(True).alias("second"))
     placed = written(one.union(as_first).union(as_second), "ngram-places")
     # many small families share a task; a pair of blocks has a group of its own
     groups = max(1, (first.agg(F.sum("cost")).first()[0] or 0) // TASK_GRAMS)
     group = F.when((F.col("i") == 0) & (F.col("j") == 0), F.pmod(F.xxhash64("root"), F.lit(groups))).otherwise(F.xxhash64("root", "i", "j").bitwiseOR(F.lit(-(2**63))))
-    rows = sets.dropDuplicates(["c"]).join(placed, "c").withColumn("g", group)
+    rows = sets.dropDuplicates(["c0", "d"]).join(placed, ["c0", "d"]).select("c", "docs", "root", "i", "j", "second", "s").withColumn("g", group)
 
     def verify(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        u, v, n = [], [], []
         for _, family in part.groupby(["root", "i", "j"], sort=False):
             family = family.sort_values(["second", "c"], kind="stable")
             c = family["c"].to_numpy()
             sets = [np.frombuffer(x, np.uint64) for x in family["s"]]
             split = int((~family["second"].to_numpy(bool)).sum()) if family["second"].any() else None
-            out += [(c[i], c[j]) for i, j in linked(sets, percent, split)]
-        return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
+            pairs, links = linked(sets, percent, split, family["docs"].to_numpy(np.int64))
+            some = np.flatnonzero(links)
+            u += [int(c[i]) for i, _ in pairs] + c[some].tolist()
+            v += [int(c[j]) for _, j in pairs] + [None] * len(some)
+            n += [None] * len(pairs) + links[some].tolist()
+        return pd.DataFrame({"u": pd.array(u, "Int64"), "v": pd.array(v, "Int64"), "links": pd.array(n, "Int64")})
 
-    return rows.groupBy("g").applyInPandas(verify, "u long, v long")
+    return rows.groupBy("g").applyInPandas(verify, "u long, v long, links long")
 
 
-def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """id, n_shingles, class and component_id: the smallest id reachable by links of ``percent`` per cent Jaccard or more."""
-    kind = df.schema[id_col].dataType.simpleString()
-    classes = written(classified(df, id_col, text_col, n, percent), "ngram-classes")
+def _components(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """id, t, n, c, and by class its smallest id, its number of documents and links, and root and smallest id of its component."""
+    classes = classified(df, id_col, text_col, n, percent)
     families = written(components(candidate_edges(classes, percent)), "ngram-families")
-    links = components(verified_links(df, id_col, text_col, classes, families, n, percent))
-    least = classes.where("c is not null").groupBy("c").agg(F.min("id").alias("least"))
+    verified = written(verified_links(df, id_col, text_col, classes, families, n, percent), "ngram-links")
+    links = components(verified.where("v is not null").select("u", "v"))
+    counts = verified.where("v is null").groupBy("u").agg(F.sum("links").alias("links"))
+    least = classes.where("c is not null").groupBy("c").agg(F.min("id").alias("least"), F.count("*").alias("docs"))
     rooted = least.join(links.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    rooted = rooted.join(counts.withColumnRenamed("u", "c"), "c", "left")
     roots = rooted.groupBy("root").agg(F.min("least").alias("component"))
     # written, so that the join with all documents is planned by its size, and a hot class's rows can be split
-    of_class = written(rooted.join(roots, "root").select("c", "component"), "ngram-components")
-    out = classes.select("id", "n", "c").join(of_class, "c", "left")
-    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("class_id"), F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
+    of_class = rooted.join(roots, "root").select("c", "root", "least", "component", (F.col("docs") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    return classes.select("id", "t", "n", "c").join(written(of_class, "ngram-components"), "c", "left")
+
+
+def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """id, n_shingles, component_id (smallest id reachable by links of ``percent`` per cent Jaccard or more), class_id (smallest id of an equal set) and n_links (linked documents)."""
+    kind = df.schema[id_col].dataType.simpleString()
+    own = lambda c: F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col(c))
+    return _components(df, id_col, text_col, n, percent).select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), own("component").alias("component_id"), own("least").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` without near duplicates: of each component one row of its smallest id; rows without an id all stay."""
-    found = ngram_components(df, id_col, text_col, n, percent)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    own = df.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return own.union(df.where(F.col(id_col).isNull()))
+    """The rows of ``df`` without near duplicates: of each component one row of its smallest id.
+
+    Rows without an id all stay. Of a component's rows of that id that one stays whose text has the smallest class, then hash; a row
+    that equals it in id and text goes. Rows of one id with texts that are not linked are of different components and all stay, rows without words too,
+    but for equal ones.
+    """
+    found = _components(df, id_col, text_col, n, percent).where("id is not null and (c is null or id = component)")
+    # a component keeps one text of its smallest id; texts without words are their own components
+    kept = found.groupBy(F.coalesce("root", F.lit(-1)).alias("root"), "id", F.when(F.col("c").isNull(), F.col("t")).alias("own")).agg(F.min(F.struct("c", "t")).alias("x"), F.count("*").alias("rows"))
+    kept = written(kept.select(F.col("id").alias("__id"), F.col("x.t").alias("__t"), "rows").coalesce(8), "ngram-kept")
+    hashed = df.withColumn("__t", F.xxhash64(F.col(text_col).cast("string")))
+    own = hashed.join(kept.select("__id", "__t"), (F.col(id_col) == F.col("__id")) & (hashed["__t"] == kept["__t"]), "left_semi")
+    if kept.where("rows > 1").head(1):  # only then can two rows have one id and text
+        own = own.dropDuplicates([id_col, "__t"])
+    return own.drop("__t").union(df.where(F.col(id_col).isNull()))
 
 
 def op1_ngram_join(spark, sf_dir):
     """Components at 90 per cent over word 3-grams."""
-    return ngram_components(documents(spark, sf_dir), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
+    return ngram_components(documents(spark, sf_dir), n=3, percent=90)

@@ -12,11 +12,13 @@ def ngram_components(n: int = 3, percent: int = 90) -> str:
         f"'{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') w from documents), "
         f"grams as (select distinct doc_id, case when len(w) < {n} then array_to_string(w, ' ') else array_to_string(w[i:i + {n - 1}], ' ') end g "
         f"from words, unnest(range(1, greatest(1, len(w) - {n - 1}) + 1)) t(i) where len(w) > 0), "
-        "sizes as (select doc_id, count(*) n from grams group by doc_id), "
+        "sizes as materialized (select doc_id, count(*) n, md5(string_agg(g, chr(10) order by g)) own from grams group by doc_id), "
         "pairs as (select a.doc_id x, b.doc_id y, count(*) common from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by all), "
         f"links as materialized (select x, y from pairs join sizes s on s.doc_id = x join sizes t on t.doc_id = y where 100 * common >= {percent} * (s.n + t.n - common)), "
-        "reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.y from reach r join links l on l.x = r.b) "
-        "select d.doc_id, cast(coalesce(s.n, 0) as bigint) n_shingles, (select min(b) from reach r where r.a = d.doc_id) component_id from documents d left join sizes s using (doc_id)"
+        "reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.y from reach r join links l on l.x = r.b), "
+        "least as (select a, min(b) b from reach group by a), counts as (select x, count(*) n from links group by x), classes as (select own, min(doc_id) c from sizes group by own) "
+        "select d.doc_id, cast(coalesce(s.n, 0) as bigint) n_shingles, l.b component_id, coalesce(c.c, d.doc_id) class_id, cast(coalesce(k.n, 0) as bigint) n_links "
+        "from documents d left join sizes s using (doc_id) left join classes c using (own) left join least l on l.a = d.doc_id left join counts k on k.x = d.doc_id"
     )
 
 

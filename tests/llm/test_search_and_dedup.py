@@ -35,6 +35,20 @@ def brute_components(rows, n, percent):
     return collections.Counter((i, len(s), i if not s else least[root(k)]) for k, (i, s) in enumerate(sets))
 
 
+def brute_links(rows, n, percent):
+    """(id, smallest id of an equal set, linked documents) by position."""
+    sets = []
+    for i, x in rows:
+        w = (x or "").encode().lower().split()
+        sets.append(frozenset() if not w else frozenset([tuple(w)]) if len(w) < n else frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)))
+    out = collections.Counter()
+    for k, (i, _) in enumerate(rows):
+        x = sets[k]
+        links = sum(1 for j, y in enumerate(sets) if j != k and x and y and 100 * len(x & y) >= percent * len(x | y))
+        out[i, min([rows[j][0] for j, y in enumerate(sets) if y == x and rows[j][0] is not None], default=None) if x else i, links] += 1
+    return out
+
+
 def copies(seed, count, big):
     r = random.Random(seed)
     words = [f"w{i}" for i in range(400)]
@@ -59,6 +73,43 @@ def test_components_equal_brute_force(spark, n, percent, big, monkeypatch):
     df = spark.createDataFrame([(i, x, 1, 2) for i, x in rows], "doc_id long, text string, c int, root int")
     got = ngram_join.ngram_components(df, n=n, percent=percent).collect()
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, n, percent)
+    assert collections.Counter((r.doc_id, r.class_id, r.n_links) for r in got) == brute_links(rows, n, percent)
+
+
+def test_words_that_defeat_polynomials(spark):
+    a = "a"
+    for _ in range(11):  # the Thue-Morse word and its complement
+        a += a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"x y {a}"), (2, "x y " + a.translate(str.maketrans("ab", "ba"))), (3, f"X Y {a}")]
+    got = {r.doc_id: (r.component_id, r.class_id, r.n_links) for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), n=3, percent=90).collect()}
+    assert got == {1: (1, 1, 1), 2: (2, 2, 0), 3: (1, 1, 1)}
+
+
+def test_word_hashes_tell_words():
+    r = random.Random(1)
+    words = sorted({"".join(r.choice("ab\x80") for _ in range(r.randint(1, 40))) for _ in range(20_000)} | {"ab", "ab\0", "ab\0\0"})
+    joint = " ".join(words).encode() + b" "
+    ends = np.cumsum([len(w.encode()) + 1 for w in words]) - 1
+    starts = ends - [len(w.encode()) for w in words]
+    assert len(np.unique(ngram_join.Shingler.words(joint, starts, ends))) == len(words)
+
+
+def test_classes_that_meet_are_told_apart(spark, monkeypatch):
+    own = ngram_join._class_of
+    monkeypatch.setattr(ngram_join, "_class_of", lambda s: (own(s)[0] >> 53 << 53 | own(s)[0] % 2, own(s)[1]))
+    rows = copies(4, 120, True)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.ngram_components(df, n=5, percent=80).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 5, 80)
+    assert collections.Counter((r.doc_id, r.class_id, r.n_links) for r in got) == brute_links(rows, 5, 80)
+
+
+def test_unlinked_rows_of_one_id_stay(spark):
+    a, b = " ".join(f"t{i}" for i in range(50)), " ".join(f"s{i}" for i in range(50))
+    rows = [(1, a, 1), (1, b, 2), (2, b + " end", 3), (1, a, 4), (1, a + " end", 5), (3, "", 6), (3, "", 7), (3, None, 8), (4, "", 9)]
+    kept = ngram_join.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
+    texts = collections.Counter((r.doc_id, r.text) for r in kept)
+    assert texts[1, a] + texts[1, a + " end"] == 1 and texts[1, b] == 1 and texts[3, ""] == texts[3, None] == texts[4, ""] == 1 and len(kept) == 5
 
 
 def test_one_of_each_stays(spark):
