@@ -1,9 +1,11 @@
 """Secret scan with structural confirmation.
 
-Base patterns (assignments, access keys, lower-case hex runs) are reported as they stand. Long base64 runs
-and hex runs of any case are candidates only: they are decoded, and reported when the bytes parse as a key or token --
-DER with nested lengths that fill the value exactly, length-prefixed SSH keys, PEM blocks whose body
-is one of these (its line ends may be escaped, as in JSON), and signed tokens whose header is a JSON object that names an algorithm.
+Base patterns (assignments, access keys, lower-case hex runs) are reported as they stand. Base64 runs, also over several lines or
+behind a path, and hex runs of any case are candidates only: they are decoded, and reported when the bytes parse as a private key or token --
+DER with nested lengths that fill the value exactly, in the layout of a PKCS#1, PKCS#8 (plain or encrypted), SEC1 or DSA private key;
+OpenSSH private keys, whose fields fill the data; PEM blocks whose body is one of these (its line ends may be escaped, as in JSON),
+or is told to be encrypted by the block's header lines; and signed tokens whose header is a JSON object that names an algorithm.
+Certificates and public keys are no secrets and not reported.
 
 Defined results: a null text is treated as empty; an empty text has no spans; repeated rows are scanned
 each on its own; a null id is passed through. Only the id and text columns are read, so other columns
@@ -31,8 +33,12 @@ METHOD_KINDS = ("pem", "token", "der", "ssh")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 ANY_HEX = re.compile(rb"[0-9A-Fa-f]{32,}")
-PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{3,40})-----((?:[A-Za-z0-9+/=\s]|\\++(?:[nrt/]|u000[9aAdD]))*+)-----END \1-----")
+PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]+)-----((?:\s|\\++(?:[nrt]|u000[9aAdD]))*+(?:[A-Za-z-]+:[ \t][^\n\r\\]*+(?:\s|\\++(?:[nrt]|u000[9aAdD]))++)*+)((?:[A-Za-z0-9+/=\s]|\\++(?:[nrt/]|u000[9aAdD]))*+)-----END \1-----")
 ESCAPED = re.compile(rb"\\+(?:[nrt]|u000[9aAdD])|\\+(?=/)|\s+")
+BREAK = re.compile(rb"(?:[ \t]*\r?\n[ \t>#*]*|\\r?\\?n)")
+LINE = re.compile(rb"[A-Za-z0-9+/]+={0,2}")
+LONGEST_WRAPPED = 1 << 16  # base64 characters; longer keys do not occur
+KEY_START = re.compile(rb"M[CDEFGHI]")
 LEAD = re.compile(rb"[nrt]|u000[9aAdD]")
 RUN = re.compile(rb"[A-Za-z0-9+/_-]{18,}={0,2}")
 SIGNED = re.compile(rb"\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
@@ -67,37 +73,85 @@ def der_length(data: bytes, at: int, end: int) -> tuple[int, int] | None:
     return (at, at + n) if at + n <= end else None
 
 
-def is_der_key(data: bytes) -> bool:
-    """A SEQUENCE that fills the data, whose elements nest exactly and hold an INTEGER or an object id."""
+def der_elements(data: bytes) -> list[tuple[int, int, int]] | None:
+    """(tag, start, stop) of the elements of a SEQUENCE that fills the data and whose lengths nest exactly all the way down."""
     if len(data) < 16 or data[0] != 0x30:
-        return False
-    todo, seen, top = [(0, len(data))], set(), True
+        return None
+    outer = der_length(data, 0, len(data))
+    if outer is None or outer[1] != len(data):
+        return None
+    top: list[tuple[int, int, int]] = []
+    todo = [(*outer, True)]
     while todo:
-        at, end = todo.pop()
+        at, end, first = todo.pop()
         while at < end:
             tag, got = data[at], der_length(data, at, end)
-            if got is None or top and got[1] != len(data):
-                return False
-            top = False
-            seen.add(tag)
+            if got is None:
+                return None
+            if first:
+                top.append((tag, *got))
             if tag & 0x20:
-                todo.append(got)
+                todo.append((*got, False))
             at = got[1]
-    return bool(seen & {0x02, 0x06})
+    return top
+
+
+def is_der_key(data: bytes) -> bool:
+    """A private key: PKCS#1 or DSA integers, PKCS#8, its encrypted form, or SEC1."""
+    top = der_elements(data)
+    if not top:
+        return False
+    tags, small = [t for t, _, _ in top], int.from_bytes(data[top[0][1] : top[0][2]], "big") if top[0][0] == 0x02 else -1
+    names_algorithm = lambda k: data[top[k][1] : top[k][1] + 1] == b"\x06"
+    if set(tags) == {0x02} and small in (0, 1):
+        return len(tags) in (6, 9) and top[1][2] - top[1][1] >= 8 or len(tags) > 9
+    if small in (0, 1) and tags[1:3] == [0x30, 0x04]:
+        return names_algorithm(1) and set(tags[3:]) <= {0xA0, 0xA1, 0x81}
+    if small == 1 and tags[1:2] == [0x04]:
+        return top[1][2] - top[1][1] >= 16 and set(tags[2:]) <= {0xA0, 0xA1}
+    return tags == [0x30, 0x04] and names_algorithm(0) and top[1][2] - top[1][1] >= 16
 
 
 def is_ssh_key(data: bytes) -> bool:
-    """Length-prefixed fields that fill the data, the first naming a key type; or the private format's magic."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    fields, at = [], 0
-    while at + 4 <= len(data):
-        n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data):
+    """An OpenSSH private key: the magic, then cipher, key derivation and its options, public keys and the private part, which fill the data."""
+    magic = b"openssh-key-v1\0"
+    if not data.startswith(magic):
+        return False
+    at, fields = len(magic), 3
+    while fields:
+        if at + 4 > len(data):
             return False
-        fields.append(data[at + 4 : at + 4 + n])
-        at += 4 + n
-    return at == len(data) and len(fields) >= 2 and fields[0].startswith((b"ssh-", b"ecdsa-", b"sk-"))
+        n = int.from_bytes(data[at : at + 4], "big")
+        at, fields = at + 4 + n, fields - 1
+        if not fields and at <= len(data):
+            keys = int.from_bytes(data[at : at + 4], "big")
+            at += 4
+            for _ in range(keys + 1):
+                if at + 4 > len(data):
+                    return False
+                at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at == len(data)
+
+
+def wrapped_key(text: bytes, start: int, end: int) -> int | None:
+    """Where a DER or OpenSSH key ends whose base64 begins at ``start`` and goes on over line ends past ``end``."""
+    head = decode64(text[start : start + 8])
+    if not head or head[0] != 0x30:
+        return None
+    got = der_length(head + bytes(4), 0, 1 << 33)
+    need = -(-got[1] // 3) * 4 if got else 0
+    if not end - start < need <= LONGEST_WRAPPED:
+        return None
+    chars, at = bytearray(text[start:end]), end
+    while len(chars) < need:
+        gap = BREAK.match(text, at)
+        more = LINE.match(text, gap.end(), gap.end() + need - len(chars)) if gap else None
+        if not more:
+            return None
+        chars += more[0]
+        at = more.end()
+    raw = decode64(bytes(chars))
+    return at if raw and is_der_key(raw) else None
 
 
 def is_token_header(data: bytes | None) -> bool:
@@ -108,6 +162,26 @@ def is_token_header(data: bytes | None) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str)
 
 
+def _inner_key(text: bytes, start: int, end: int) -> tuple[int, int] | None:
+    """(start, end) of a key that begins within a run, behind other characters of the alphabet, or goes on over line ends."""
+    for m in KEY_START.finditer(text, start, end):
+        head = decode64(text[m.start() : m.start() + 8])
+        got = der_length(head + bytes(4), 0, 1 << 33) if head and len(head) >= 4 and head[0] == 0x30 else None
+        if got is None:
+            continue
+        chars = -(-got[1] * 4 // 3)  # without padding
+        if m.start() + chars <= end:
+            stop = m.start() + chars
+            while stop < end and text[stop] == 61:
+                stop += 1
+            # a key ends where its run does, or at a sign that is no base64
+            if stop == end and (raw := decode64(text[m.start() : stop])) and is_der_key(raw):
+                return m.start(), stop
+        elif (m.start() == start or text[m.start() - 1 : m.start()] in (b"/", b"_", b"-", b"=")) and (stop := wrapped_key(text, m.start(), end)) is not None:
+            return m.start(), stop
+    return None
+
+
 def scan(text: bytes) -> list[tuple[str, int, int]]:
     """All (kind, start, end) of one text in bytes, unsorted."""
     spans: list[tuple[str, int, int]] = []
@@ -127,8 +201,9 @@ def scan(text: bytes) -> list[tuple[str, int, int]]:
     blocks = []
     if b"-----BEGIN " in text:
         for m in PEM.finditer(text):
-            raw = decode64(ESCAPED.sub(b"", m[2]))
-            if raw and (is_der_key(raw) or is_ssh_key(raw)):
+            raw = decode64(ESCAPED.sub(b"", m[3]))
+            hidden = b"ENCRYPTED" in m[2] and b"DEK-Info" in m[2] and m[1].endswith(b"PRIVATE KEY")
+            if raw and (is_der_key(raw) or is_ssh_key(raw) or hidden and len(raw) % 8 == 0):
                 spans.append(("pem", m.start(), m.end()))
                 blocks.append(m.span())
     if max(map(len, text.translate(_B64).split()), default=0) >= 18:
@@ -143,15 +218,21 @@ def scan(text: bytes) -> list[tuple[str, int, int]]:
             run = text[start : m.end()]
             raw = decode64(run)
             if raw is None:
+                if (found := _inner_key(text, start, m.end())) is not None:
+                    spans.append(("der", *found))
+                    past = found[1]
                 continue
             if (rest := SIGNED.match(text, m.end())) and is_token_header(raw):
                 spans.append(("token", start, rest.end()))
                 past = rest.end()
-            elif not HEX.fullmatch(run):
+            elif not ANY_HEX.fullmatch(run):
                 if is_der_key(raw):
                     spans.append(("der", start, m.end()))
                 elif is_ssh_key(raw):
                     spans.append(("ssh", start, m.end()))
+                elif (found := _inner_key(text, start, m.end())) is not None:
+                    spans.append(("der", *found))
+                    past = found[1]
     return spans
 
 
