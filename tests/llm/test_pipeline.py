@@ -14,7 +14,7 @@ SMOKE = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None or not os.path.isdir(SMOKE), reason="no pipeline or no tables")
 
 
-def plain_mix(docs, share, rounds=12):
+def plain_mix(docs, share):
     """Trimmed raking with dictionaries; the ids that are sampled."""
     from strandix.llm import mixing
 
@@ -30,16 +30,20 @@ def plain_mix(docs, share, rounds=12):
         held = {}
         for c, t in tokens.items():
             held[c[k]] = held.get(c[k], 0) + t
-        raw = {v: t ** mixing.TEMPER[name] for v, t in held.items() if t}
-        goals.append({v: x / sum(raw.values()) * total * share for v, x in raw.items()})
-    w = {c: float(t) for c, t in tokens.items()}
-    for _ in range(rounds):
+        raw, level = {v: float(t) ** mixing.TEMPER[name] if t else 0.0 for v, t in held.items()}, 0.0
+        for _ in range(mixing.FILLINGS):
+            spent = {v for v in held if held[v] <= raw[v] * level}
+            if open_ := sum(raw[v] for v in held if v not in spent):
+                level = (total * share - sum(held[v] for v in spent)) / open_
+        goals.append({v: min(held[v], raw[v] * level) for v in held})
+    x = {c: float(t) for c, t in tokens.items()}
+    for _ in range(mixing.ROUNDS):
         for k in range(3):
             now = {}
-            for c, x in w.items():
-                now[c[k]] = now.get(c[k], 0) + x
-            w = {c: x * goals[k][c[k]] / now[c[k]] if now[c[k]] else 0 for c, x in w.items()}
-        w = {c: min(x, tokens[c]) for c, x in w.items()}
+            for c in x:
+                now[c[k]] = now.get(c[k], 0) + min(x[c], tokens[c])
+            x = {c: v * goals[k][c[k]] / now[c[k]] if now[c[k]] else 0 for c, v in x.items()}
+    w = {c: min(v, tokens[c]) for c, v in x.items()}
     u = lambda i: int(hashlib.md5(f"{i}:mix".encode()).hexdigest()[:8], 16) / 2**32
     return [d for d in docs if tokens[cell[d["doc_id"]]] and u(d["doc_id"]) < w[cell[d["doc_id"]]] / tokens[cell[d["doc_id"]]]]
 

@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -56,13 +57,29 @@ def test_secret_base_patterns():
 
 def test_structures_are_confirmed():
     key = der(0x30, der(0x02, b"\0") + der(0x30, der(0x06, b"\x2a\x86\x48") + der(0x05, b"")) + der(0x04, bytes(range(200)) * 2))
-    ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(range(32))))
+    part = lambda x: len(x).to_bytes(4, "big") + x
+    public = part(b"ssh-ed25519") + part(bytes(range(32)))
+    ssh = b"openssh-key-v1\0" + part(b"none") + part(b"none") + part(b"") + (1).to_bytes(4, "big") + part(public) + part(bytes(range(120)))
     head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256", "typ": "JWT"}).encode()).decode().rstrip("=")
     body = base64.urlsafe_b64encode(b'{"sub":"1"}').decode().rstrip("=")
     kinds = lambda x: {k for k, _, _ in secrets.scan(x.encode())}
     assert "der" in kinds("x " + b64(key)) and "der" in kinds("x " + key.hex()) and "ssh" in kinds("key " + b64(ssh))
     assert "token" in kinds(f"é {head}.{body}.c2lnbmF0dXJl end")
     assert "pem" in kinds("-----BEGIN PRIVATE KEY-----\n" + b64(key) + "\n-----END PRIVATE KEY-----")
+    for layout in (
+        der(0x30, der(0x02, b"\0") + b"".join(der(0x02, bytes(range(1, 40))) for _ in range(8))),
+        der(0x30, der(0x02, b"\1") + der(0x04, bytes(range(32))) + der(0xA0, der(0x06, b"\x2a\x86\x48"))),
+        der(0x30, der(0x30, der(0x06, b"\x2a\x86\x48") + der(0x30, der(0x04, bytes(8)))) + der(0x04, bytes(range(90)))),
+    ):
+        assert "der" in kinds("x " + b64(layout)) and "der" in kinds("x " + layout.hex().upper())
+    wrapped = re.sub("(.{64})", "\\1\n", b64(key))
+    assert secrets.scan(f"dir/x{b64(key)}\nend".encode()) == [("der", 5, 5 + len(b64(key)))]
+    assert secrets.scan(f"key:\n{wrapped}\nend".encode()) == [("der", 5, 5 + len(wrapped))]
+    hidden = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB12\n\n" + b64(bytes(range(160))) + "\n-----END RSA PRIVATE KEY-----"
+    assert [s for s in secrets.scan(f"x {hidden} y".encode()) if s[0] == "pem"] == [("pem", 2, 2 + len(hidden))]
+    certificate = der(0x30, der(0x30, der(0x02, bytes(range(1, 9))) + der(0x30, der(0x06, b"\x2a\x86"))) + der(0x30, der(0x06, b"\x2a\x86")) + der(0x03, bytes(range(120))))
+    for no_secret in (certificate, der(0x30, der(0x30, der(0x06, b"\x2a\x86\x48")) + der(0x03, bytes(range(60)))), der(0x30, der(0x02, bytes(range(1, 20)))), public):
+        assert not kinds("x " + b64(no_secret) + "\n-----BEGIN CERTIFICATE-----\n" + b64(no_secret) + "\n-----END CERTIFICATE-----") & set(secrets.METHOD_KINDS)
     assert not kinds("x " + b64(key[:-1])) & set(secrets.METHOD_KINDS)
     assert not kinds(b64(bytes(range(90)))) & set(secrets.METHOD_KINDS)
     assert not kinds(f"{body}.{body}.{body}") & set(secrets.METHOD_KINDS)
@@ -70,7 +87,8 @@ def test_structures_are_confirmed():
 
 def test_keys_in_any_case_and_escaped():
     key = der(0x30, der(0x02, b"\0") + der(0x30, der(0x06, b"\x2a\x86\x48") + der(0x05, b"")) + der(0x04, bytes(range(200)) * 2))
-    ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(range(32))))
+    part = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = b"openssh-key-v1\0" + part(b"none") + part(b"none") + part(b"") + (1).to_bytes(4, "big") + part(b"public") + part(bytes(range(120)))
     mixed = "".join(c.upper() if i % 3 else c for i, c in enumerate(key.hex()))
     for value, kind in ((key.hex().upper(), "der"), (mixed, "der"), (ssh.hex().upper(), "ssh")):
         assert [s for s in secrets.scan(f"x {value} y".encode()) if s[0] in secrets.METHOD_KINDS] == [(kind, 2, 2 + len(value))]
@@ -213,6 +231,38 @@ def test_toxicity_in_long_and_glued_tokens(toxic):
     assert len(scorer.features("idiot/loser")) == 2
 
 
+def test_restoration_equals_exhaustive_search():
+    r = np.random.default_rng(6)
+    model = np.log(r.dirichlet(np.ones(28), (28, 28)).transpose(2, 0, 1).transpose(1, 2, 0)).astype(np.float32)
+    restorer, words = toxicity.Restorer(model), ["m0r*n", "1d!0t", "b@a@d", "l.o0se", "$+|#", "h3ll00", "a%b", "!!x", "é5"]
+    for token in words:
+        every = {"": (0.0, 0, 0)}
+        paths = [("", 0.0)]
+        for arcs in restorer.lattice(token):
+            paths = [(w + c, s + cost) for w, s in paths for c, cost in arcs]
+        best = {}
+        for w, s in paths:
+            a = b = 0
+            for c in w:
+                n = toxicity._number(c)
+                s -= float(model[a][b][n])
+                a, b = b, n
+            s -= float(model[a][b][0])
+            best[w] = min(s, best.get(w, 1e300))
+        want = sorted((s, w) for w, s in best.items())[: restorer.keep]
+        got = restorer.scored(token)
+        assert [w for _, w in got] == [w for _, w in want] and np.allclose([s for s, _ in got], [s for s, _ in want], atol=1e-4), token
+
+
+def test_decorated_texts_take_little_time(toxic):
+    docs, labels = toxic
+    scorer = toxicity.train_scorer(docs, labels)
+    began = time.time()
+    for x in ("***** " * 20_000, "- - - " * 20_000, "*-*-* _._ " * 10_000, "a.b.c.d " * 10_000, "x*y" * 20_000):
+        assert scorer.score(x) < 0.5
+    assert time.time() - began < 8
+
+
 def test_toxicity_without_labels(odd, empty, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.score_toxicity(odd, none).collect()} == {0.0}
@@ -307,11 +357,25 @@ def test_raked_margins(spark):
     for d in mixing.DIMENSIONS:
         for row in cells.groupBy(f"__{d}").agg(F.sum("w").alias("w")).collect():
             assert abs(row["w"] / total - targets[d][row[0]]) < 1e-6
-    assert abs(total - 0.3 * cells.agg(F.sum("t")).first()[0]) < 1e-3 * total
+    assert abs(total - 0.3 * cells.agg(F.sum("t")).first()[0]) < 1e-3 * total and cells.first()["residual"] < 1e-6
     kept = mixing.mix(docs, targets, share=0.3)
     assert kept.columns == docs.columns and 0.15 < kept.count() / 800 < 0.45
 
 
+def test_goals_beyond_what_there_is(spark):
+    rows = [(i, "w " * 10, "ab"[i % 10 == 0], "en") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    cells = mixing.raked_cells(mixing.profiled(docs), {"source": {"a": 0.5, "b": 0.5}}, share=0.6).collect()
+    assert {c["__source"]: round(c["w"], 6) for c in cells} == {"a": 500.0, "b": 100.0} and cells[0]["residual"] < 1e-9
+
+
+@pytest.mark.parametrize("share", [0.5, 0.9])
+def test_margins_of_the_given_table(spark, share):
+    cells = mixing.raked_cells(mixing.profiled(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")), share=share).collect()
+    total = sum(c["t"] for c in cells)
+    assert cells[0]["residual"] < 0.01 and abs(sum(c["w"] for c in cells) - share * total) < 0.01 * share * total
+
+
 def test_mixing_of_odd_rows(odd, empty):
     profile = mixing.profiled(odd)
     rows = mixing.with_probability(profile, mixing.raked_cells(profile)).collect()
