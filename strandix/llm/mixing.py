@@ -25,7 +25,8 @@ from .common import documents, written
 
 DIMENSIONS = ("source", "lang", "topic")
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.5}
-ROUNDS, ROUNDS_A_TABLE = 24, 4
+ROUNDS, ROUNDS_A_TABLE = 24, 8
+ONE_TASK = 1_000_000  # cells, which one task can rake without a shuffle a step; more are dealt out by value, with the same result
 FILLINGS = 6  # steps in which values that hold too little are found
 SHARE = 0.5  # of all tokens, wanted in the sample
 
@@ -71,18 +72,24 @@ def raked_cells(profile: DataFrame, targets: dict[str, dict[str, float]] | None
     """One row a cell: its tokens, its raked weight, ``__f``, weight over tokens, and the residual of all goals."""
     names = [f"__{d}" for d in DIMENSIONS]
     cells = written(profile.groupBy(*names).agg(F.sum("__tokens").alias("t")), "mixing-cells")
-    wanted = float(cells.agg(F.sum("t")).first()[0] or 0) * share
+    count, total = cells.agg(F.count("*"), F.sum("t")).first()
+    wanted = float(total or 0) * share
+    if count <= ONE_TASK:
+        cells = cells.coalesce(1)
+    goals_of = {d: _goals(cells.select(*names, "t"), d, (targets or {}).get(d), wanted) for d in DIMENSIONS}
     for d, name in zip(DIMENSIONS, names, strict=True):
-        goals = _goals(cells.select(*names, "t"), d, (targets or {}).get(d), wanted)
+        goals = goals_of[d]
         cells = cells.join(goals.select(F.col("value").alias(f"__v_{d}"), F.col("goal").alias(f"goal_{d}")), F.col(name).eqNullSafe(F.col(f"__v_{d}"))).drop(f"__v_{d}")
-    cells = cells.withColumns({"t": F.col("t").cast("double"), "x": F.col("t").cast("double")})
+    cells = written(cells.withColumns({"t": F.col("t").cast("double"), "x": F.col("t").cast("double")}), "mixing-goals")
+    cells = cells.coalesce(1) if count <= ONE_TASK else cells
     for i in range(rounds):
         for d, name in zip(DIMENSIONS, names, strict=True):
             # what a cell gives ends at its tokens, while its weight may go on to grow
             now = F.sum(F.least("x", "t")).over(Window.partitionBy(name))
             cells = cells.withColumn("x", F.when(now > 0, F.col("x") * F.col(f"goal_{d}") / now).otherwise(0.0))
         if (i + 1) % ROUNDS_A_TABLE == 0 or i + 1 == rounds:
-            cells = written(cells.coalesce(8), "mixing-round")
+            cells = written(cells, "mixing-round")
+            cells = cells.coalesce(1) if count <= ONE_TASK else cells
     cells = cells.withColumn("w", F.least("x", "t"))
     for d, name in zip(DIMENSIONS, names, strict=True):
         cells = cells.withColumn(f"off_{d}", F.abs(F.sum("w").over(Window.partitionBy(name)) - F.col(f"goal_{d}")))

@@ -395,11 +395,11 @@ def verified_links(df: DataFrame, id_col: str, text_col: str, classes: DataFrame
     own = first.join(sizes, "root").withColumn("blocks", F.ceil(F.col("grams") / BLOCK_GRAMS))
     # blocks by class number hold classes of like size when a family is large
     before = F.sum("cost").over(Window.partitionBy("root").orderBy("c").rowsBetween(Window.unboundedPreceding, -1))
-    own = own.where("blocks = 1").withColumn("block", F.lit(0)).union(own.where("blocks > 1").withColumn("block", (F.coalesce(before, F.lit(0)) / BLOCK_GRAMS).cast("int")))
+    own = written(own.withColumn("block", F.when(F.col("blocks") > 1, (F.coalesce(before, F.lit(0)) / BLOCK_GRAMS).cast("int")).otherwise(0)), "ngram-blocks")
     spans = own.where("blocks > 1").groupBy("root", "block").agg(F.min("c").alias("low"), F.max("c").alias("high"))
     level = lambda c: F.shiftrightunsigned(c, 53)
     other = spans.select("root", F.col("block").alias("other"), F.col("low").alias("low2"))
-    meets = spans.join(other, "root").where((F.col("other") >= F.col("block")) & (level("low2") - level("high") <= _levels_apart(percent))).select("root", "block", "other")
+    meets = written(spans.join(other, "root").where((F.col("other") >= F.col("block")) & (level("low2") - level("high") <= _levels_apart(percent))).select("root", "block", "other"), "ngram-meets")
     told = ("c", "c0", "d", "docs", "root")
     one = own.where("blocks = 1 and m > 1").select(*told, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("second"))
     many = own.where("blocks > 1").select(*told, "block")
