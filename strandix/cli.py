@@ -9,20 +9,25 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .config import MAX_K, Config
+from .config import ALPHABETS, MAX_K, Config
+from .functions.sequence import random_kmer
 from .operators import reorder
 from .operators.dictionary import Dictionary
-from .operators.reads import total_report
-from .operators.statistics import space_model
-from .sources.files import read_sequences, read_weighted_fasta, write_fasta
+from .operators.minimizers import bucket_classes, skew_partitions
+from .operators.reads import file_report, report_lines
+from .operators.statistics import minimizer_advice, offset_widths, space_breakdown, space_model
+from .sources.files import read_sequences, read_weighted_fasta, write_fasta, write_metrics
 
 
 def _build(spark, args) -> None:
-    config = Config(k=args.k, m=args.m, seed=args.seed, canonical=args.canonical, weighted=args.weighted)
+    config = Config(k=args.k, m=args.m, seed=args.seed, canonical=args.canonical, weighted=args.weighted, encoding=args.encoding)
+    if args.threads:  # a hint only: tasks run on whatever the session has
+        spark.conf.set("spark.sql.shuffle.partitions", str(args.threads))
     rows = read_weighted_fasta(spark, args.input, args.k) if args.weighted else read_sequences(spark, args.input)
-    dictionary = Dictionary.build(rows, config)
+    dictionary = Dictionary.build(rows, config, args.directory)
     if args.verbose:
-        space_model(dictionary).show(truncate=False)
+        for table in (dictionary.metadata(), space_model(dictionary), space_breakdown(dictionary), offset_widths(dictionary), minimizer_advice(dictionary), bucket_classes(dictionary), skew_partitions(dictionary)):
+            table.show(truncate=False)
     if args.check:
         print(json.dumps(dictionary.check()))
     if args.output:
@@ -31,10 +36,11 @@ def _build(spark, args) -> None:
 
 def _query(spark, args) -> None:
     dictionary = Dictionary.load(spark, args.index)
-    reads = read_sequences(spark, args.query, args.multiline).withColumnRenamed("sequence_id", "read_id")
     began = time.time()
-    report = total_report(dictionary, reads).first().asDict()
-    print(json.dumps(report | {"seconds": round(time.time() - began, 3)}))
+    report = file_report(dictionary, args.query, args.multiline)
+    print(json.dumps(report.first().asDict() | {"seconds": round(time.time() - began, 3)}))
+    if args.verbose:
+        print("\n".join(report_lines(report)))
 
 
 def _check(spark, args) -> None:
@@ -44,10 +50,22 @@ def _check(spark, args) -> None:
 def _bench(spark, args) -> None:
     dictionary = Dictionary.load(spark, args.index)
     kmers = dictionary.kmers.select(dictionary.kmer_strings().alias("kmer"), "kmer_id")
-    for name, df in (("lookup", dictionary.lookup(kmers.select("kmer"))), ("access", dictionary.access(kmers.select("kmer_id"))), ("iterate", dictionary.iterate())):
+    random = dictionary.kmers.select(random_kmer(dictionary.k, args.seed).alias("kmer"))
+    timed = {
+        "lookup": dictionary.lookup(kmers.select("kmer")),
+        "negative lookup": dictionary.lookup(random),
+        "lookup and weight": dictionary.weights(dictionary.lookup(kmers.select("kmer"))),
+        "access": dictionary.access(kmers.select("kmer_id")),
+        "iterate": dictionary.iterate(),
+    }
+    n, rows = dictionary.kmers.count(), []
+    for name, df in timed.items():
         began = time.time()
         df.write.format("noop").mode("overwrite").save()
-        print(json.dumps({"operation": name, "seconds": round(time.time() - began, 3)}))
+        rows.append({"operation": name, "seconds": round(time.time() - began, 3), "nanoseconds_per_kmer": round((time.time() - began) / max(1, n) * 1e9, 1)})
+        print(json.dumps(rows[-1]))
+    if args.output:
+        write_metrics(spark.createDataFrame(rows), args.output)
 
 
 def _permute(spark, args) -> None:
@@ -56,6 +74,8 @@ def _permute(spark, args) -> None:
     order, walks = reorder.permutation(ends)
     out = reorder.apply_permutation(rows.select(F.col("sequence_id").alias("string_id"), "seq", "weights"), order)
     write_fasta(out, args.output, "new_pos", "seq", "new_pos", args.k)
+    if args.directory:
+        reorder.write_permutation(order, args.directory)
     print(json.dumps({"strings": rows.count(), "walks": walks}))
 
 
@@ -68,18 +88,26 @@ def main(argv: list[str] | None = None) -> None:
     build.add_argument("-m", type=int, default=20, help="minimizer length, at most min(k, 31)")
     build.add_argument("-s", "--seed", type=int, default=1)
     build.add_argument("-o", "--output")
+    build.add_argument("-d", "--directory", help="folder of the tables while they are built")
+    build.add_argument("-t", "--threads", type=int, help="tasks of a shuffle")
+    build.add_argument("-e", "--encoding", choices=sorted(ALPHABETS), default="default", help="order of the bases")
     for flag in ("--canonical", "--weighted", "--check", "--verbose"):
         build.add_argument(flag, action="store_true")
     query = tools.add_parser("query", help="report on the k-mers of a read file")
     query.add_argument("-i", "--index", required=True)
     query.add_argument("-q", "--query", required=True)
     query.add_argument("--multiline", action="store_true")
-    for name in ("check", "bench"):
-        tools.add_parser(name).add_argument("-i", "--index", required=True)
+    query.add_argument("--verbose", action="store_true")
+    tools.add_parser("check").add_argument("-i", "--index", required=True)
+    bench = tools.add_parser("bench", help="time lookups, access and iteration")
+    bench.add_argument("-i", "--index", required=True)
+    bench.add_argument("-s", "--seed", type=int, default=1)
+    bench.add_argument("-o", "--output", help="folder of JSON lines")
     permute = tools.add_parser("permute", help="reorder weighted strings")
     permute.add_argument("-i", "--input", required=True)
     permute.add_argument("-k", type=int, required=True)
     permute.add_argument("-o", "--output", required=True)
+    permute.add_argument("-d", "--directory", help="folder of the permutation file")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("strandix").getOrCreate()
     {"build": _build, "query": _query, "check": _check, "bench": _bench, "permute": _permute}[args.tool](spark, args)

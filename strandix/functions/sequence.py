@@ -148,9 +148,54 @@ def dna_of(text: Column) -> Column:
     return F.translate(F.regexp_replace(F.lower(text), "[^a-z0-9]", ""), "abcdefghijklmnopqrstuvwxyz0123456789", "ACGT" * 6 + "AC" + "N" * 10)
 
 
-def minimizer_hash(x: Column, magic: int) -> Column:
-    """The mixer of a packed m-mer, as a signed number whose order is the unsigned order of the hash."""
-    # Fixed value: the multiplier of the mixer.
-    wrapped = F.pmod(x.cast("decimal(19,0)") * F.lit(5871781006564002453).cast("decimal(19,0)"), F.lit("18446744073709551616").cast("decimal(20,0)"))
-    signed = F.when(wrapped >= F.lit("9223372036854775808").cast("decimal(20,0)"), wrapped - F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(wrapped).cast("bigint")
-    return signed.bitwiseXOR(F.lit(magic)).bitwiseXOR(F.lit(-(2**63)))
+# ---- packed k-mers of up to 31 bases, the first base lowest
+
+
+def packed_at(x: Column, i: int) -> Column:
+    """The code of base i."""
+    return F.shiftright(x, 2 * i).bitwiseAND(F.lit(3)).cast("int")
+
+
+def packed_take(x: Column, n: int) -> Column:
+    """The first n bases."""
+    return x.bitwiseAND(F.lit((1 << 2 * n) - 1))
+
+
+def packed_drop(x: Column, n: int) -> Column:
+    """All but the first n bases."""
+    return F.shiftrightunsigned(x, 2 * n)
+
+
+def packed_pad(x: Column, code: Column) -> Column:
+    """One more base in front; the k-mer grows."""
+    return F.shiftleft(x, 2).bitwiseOR(code.cast("bigint"))
+
+
+def packed_append(x: Column, code: Column, size: int) -> Column:
+    """One more base behind the ``size`` there are; the k-mer grows."""
+    return x.bitwiseOR(F.shiftleft(code.cast("bigint"), 2 * size))
+
+
+def packed_pop(x: Column) -> tuple[Column, Column]:
+    """The first base's code, and the rest."""
+    return packed_at(x, 0), packed_drop(x, 1)
+
+
+def packed_set(x: Column, i: int, code: Column) -> Column:
+    """Base i replaced."""
+    return x.bitwiseAND(F.lit(~(3 << 2 * i))).bitwiseOR(F.shiftleft(code.cast("bigint"), 2 * i))
+
+
+def minimizer_string(x: Column, m: int) -> Column:
+    """The bases of a packed minimizer."""
+    return unpack(x, m)
+
+
+def same_result(left: str, right: str) -> Column:
+    """Whether two lookup results, struct columns, agree: both missing, or in all but the offset of the k-mer."""
+    fields = ("kmer_id", "kmer_id_in_string", "kmer_orientation", "string_id", "string_begin", "string_end")
+    agree = F.lit(True)
+    for f in fields:
+        agree = agree & (F.col(f"{left}.{f}") == F.col(f"{right}.{f}"))
+    none = F.col(f"{left}.kmer_id").isNull() & F.col(f"{right}.kmer_id").isNull()
+    return none | F.coalesce(agree, F.lit(False))

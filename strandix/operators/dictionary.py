@@ -68,10 +68,13 @@ class Dictionary:
         breaks = F.when(F.col("pos") - F.lag("pos").over(along) == 1, 0).otherwise(1)
         placed = first.withColumns({"new": breaks, "rank": (F.row_number().over(along) - 1).cast("long")})
         placed = placed.withColumn("island", F.sum("new").over(along) - 1)
+        # windows by (id, island) keep the partitioning by id: one shuffle serves ranks, islands and their sizes
+        island = Window.partitionBy("id", "island")
+        placed = placed.withColumns({"first_rank": F.min("rank").over(island), "start": F.min("pos").over(island), "string_kmers": F.count("*").over(island)})
         placed = stored(placed, f"{path}/placed")
         per_sequence = placed.groupBy("id").agg(F.count("*").alias("n"), F.sum("new").alias("s"))
         bases = stored(running_sums(per_sequence, "id", {"n": "kmer_base", "s": "string_base"}).select("id", "kmer_base", "string_base"), f"{path}/bases")
-        islands = placed.groupBy("id", "island").agg(F.min("rank").alias("first_rank"), F.min("pos").alias("start"), F.count("*").alias("num_kmers")).join(bases, "id")
+        islands = placed.where("new = 1").select("id", "island", "first_rank", "start", F.col("string_kmers").alias("num_kmers")).join(bases, "id")
         strings = islands.join(sequences.select(F.col("sequence_id").cast("long").alias("id"), "seq"), "id").select(
             (F.col("string_base") + F.col("island")).alias("string_id"),
             F.upper(F.substring(F.col("seq"), (F.col("start") + 1).cast("int"), (F.col("num_kmers") + k - 1).cast("int"))).alias("seq"),
@@ -81,8 +84,7 @@ class Dictionary:
         )
         begin = F.col("first_kmer_id") + F.col("string_id") * (k - 1)
         strings = strings.withColumns({"string_begin": begin, "string_end": begin + F.col("len")})
-        own = islands.select("id", "island", "first_rank", F.col("num_kmers").alias("string_kmers"), "kmer_base", "string_base")
-        kmers = placed.join(own, ["id", "island"]).select(
+        kmers = placed.join(bases, "id").select(
             (F.col("kmer_base") + F.col("rank")).alias("kmer_id"),
             (F.col("string_base") + F.col("island")).alias("string_id"),
             (F.col("rank") - F.col("first_rank")).alias("kmer_id_in_string"),
@@ -150,26 +152,72 @@ class Dictionary:
         """``df`` with id, place, strand and string of each k-mer. ``check_rc=False`` finds stored strands only, in regular mode."""
         return self.lookup_keyed(self.keyed(df, kmer_col), check_rc)
 
-    def members(self, df: DataFrame, kmer_col: str = "kmer", present: bool = True) -> DataFrame:
-        """The rows whose k-mer is, or is not, in the dictionary."""
-        keys = self.kmers.select(F.col("ckey").alias("__key"))
-        return self.keyed(df, kmer_col).join(keys, "__key", "left_semi" if present else "left_anti").select(df.columns)
+    def members(self, df: DataFrame, kmer_col: str = "kmer", present: bool = True, check_rc: bool = True) -> DataFrame:
+        """The rows whose k-mer is, or is not, in the dictionary; ``check_rc=False`` counts stored strands only, in regular mode."""
+        keyed = self.keyed(df, kmer_col)
+        keys = self.kmers.select(F.col("ckey").alias("__ckey"), F.col("strand").alias("__stored"))
+        same = keyed["__key"] == keys["__ckey"]
+        if not check_rc and not self.config.canonical:
+            same = same & (keyed["__strand"] * keys["__stored"] >= 0)
+        return keyed.join(keys, same, "left_semi" if present else "left_anti").select(df.columns)
+
+    def _of_ids(self, df: DataFrame, id_col: str, **columns: Column) -> DataFrame:
+        """``df`` with columns of the k-mer of each id, null outside [0, n); what is stored is joined first and unpacked after."""
+        stored_ = self.kmers.select(F.col("kmer_id").alias("__id"), F.col("ckey").alias("__ckey"), F.col("strand").alias("__stored"), F.col("weight").alias("__weight"))
+        return df.join(stored_, F.col(id_col) == F.col("__id"), "left").select(*df.columns, *(c.alias(name) for name, c in columns.items()))
+
+    def _stored_kmer(self) -> Column:
+        return S.stored_kmer(F.col("__ckey"), F.col("__stored"), self.k)
 
     def access(self, df: DataFrame, id_col: str = "kmer_id") -> DataFrame:
-        """``df`` with the k-mer of each id, on its stored strand; null outside [0, n)."""
-        right = self.kmers.select(F.col("kmer_id").alias("__id"), self.kmer_strings().alias("kmer"))
-        return df.join(right, F.col(id_col) == F.col("__id"), "left").drop("__id")
+        """``df`` with the k-mer of each id, on its stored strand."""
+        return self._of_ids(df, id_col, kmer=self._stored_kmer())
 
     def weights(self, df: DataFrame, id_col: str = "kmer_id") -> DataFrame:
         """``df`` with the weight of each id."""
-        right = self.kmers.select(F.col("kmer_id").alias("__id"), "weight")
-        return df.join(right, F.col(id_col) == F.col("__id"), "left").drop("__id")
+        return self._of_ids(df, id_col, weight=F.col("__weight"))
 
-    def iterate(self, first_id: int = 0, string_id: int | None = None) -> DataFrame:
-        """(kmer_id, kmer) from an id on, or of one string, in order of id."""
+    def access_weighted(self, df: DataFrame, id_col: str = "kmer_id") -> DataFrame:
+        """``df`` with the k-mer and weight of each id, by one join."""
+        return self._of_ids(df, id_col, kmer=self._stored_kmer(), weight=F.col("__weight"))
+
+    def locate(self, df: DataFrame, offset_col: str = "offset", block: int = 1 << 16) -> DataFrame:
+        """``df`` with the string that holds each offset of bases, and the k-mer that begins there; null where there is none.
+
+        An interval join with both sides cut into blocks of offsets.
+        """
+        first, last = F.floor(F.col("string_begin") / block), F.floor((F.col("string_end") - 1) / block)
+        spread = self.strings.withColumn("__block", F.explode(F.sequence(first, last))).select("__block", "string_id", "string_begin", "string_end")
+        left = df.withColumn("__block", F.floor(F.col(offset_col) / block))
+        o = left[offset_col]
+        inside = (left["__block"] == spread["__block"]) & (spread["string_begin"] <= o) & (o < spread["string_end"])
+        found = left.join(spread, inside, "left")
+        place = F.when(o + self.k <= spread["string_end"], o - spread["string_begin"])
+        return found.select(*(left[c] for c in df.columns), "string_id", "string_begin", "string_end", place.alias("kmer_id_in_string"), (F.when(place.isNotNull(), o) - F.col("string_id") * (self.k - 1)).alias("kmer_id"))
+
+    def encoded_offsets(self, relative_bits: int | None = None) -> DataFrame:
+        """(string_id, string_begin, string_end, encoded): string and place in one number, the place in the low bits; and the bits of a place."""
+        bits = self.relative_bits() if relative_bits is None else relative_bits
+        return self.strings.select("string_id", "string_begin", "string_end", F.shiftleft("string_id", bits).alias("encoded"), F.lit(bits).alias("relative_bits"))
+
+    def relative_bits(self) -> int:
+        """How many bits the largest place in a string takes."""
+        return max(1, int(self.strings.agg(F.max("len")).first()[0] or 1).bit_length())
+
+    def decode_offsets(self, df: DataFrame, encoded_col: str = "encoded", relative_bits: int | None = None) -> DataFrame:
+        """``df`` with absolute and relative offset, string, begin and end of encoded offsets; null for unknown strings."""
+        bits = self.relative_bits() if relative_bits is None else relative_bits
+        at = df.withColumns({"__string": F.shiftright(F.col(encoded_col), bits), "relative": F.col(encoded_col).bitwiseAND(F.lit((1 << bits) - 1))})
+        known = self.strings.select("string_id", "string_begin", "string_end")
+        return at.join(known, F.col("__string") == F.col("string_id"), "left").select(*df.columns, (F.col("string_begin") + F.col("relative")).alias("absolute"), "relative", "string_id", "string_begin", "string_end")
+
+    def iterate(self, first_id: int = 0, string_id: int | None = None, backward: bool = False) -> DataFrame:
+        """(kmer_id, kmer) from an id on, or of one string, in order of id; backward, the opposite strands in falling order."""
         rows = self.kmers.where(F.col("kmer_id") >= first_id)
         if string_id is not None:
             rows = rows.where(F.col("string_id") == string_id)
+        if backward:
+            return rows.select("kmer_id", S.reverse_complement(self.kmer_strings()).alias("kmer")).orderBy(F.desc("kmer_id"))
         return rows.select("kmer_id", self.kmer_strings().alias("kmer")).orderBy("kmer_id")
 
     def string_ends(self) -> DataFrame:
@@ -185,7 +233,7 @@ class Dictionary:
 
     # ---- navigation --------------------------------------------------------------------------------
 
-    def neighbours(self, df: DataFrame, kmer_col: str = "kmer", forward: bool = True, backward: bool = True) -> DataFrame:
+    def neighbours(self, df: DataFrame, kmer_col: str = "kmer", forward: bool = True, backward: bool = True, check_rc: bool = True) -> DataFrame:
         """A row for each of the four bases and each direction, found or not, with ``direction``, ``slot`` and ``base``."""
         bases = F.array(*(F.lit(c) for c in self.config.alphabet))
         base = F.upper(F.col(kmer_col))
@@ -196,15 +244,15 @@ class Dictionary:
         sides = [steps("forward", S.append_base)] * forward + [steps("backward", S.prepend_base)] * backward
         steps = F.flatten(F.array(*sides))
         rows = df.withColumn("__step", F.explode(steps)).select(*df.columns, "__step.direction", "__step.slot", "__step.base", F.col("__step.neighbour").alias("neighbour"))
-        return self.lookup(rows, "neighbour")
+        return self.lookup(rows, "neighbour", check_rc)
 
-    def string_neighbours(self) -> DataFrame:
+    def string_neighbours(self, check_rc: bool = True) -> DataFrame:
         """Backward neighbours of each string's first k-mer and forward ones of its last."""
         k = self.k
         ends = self.strings.select("string_id", F.left(F.col("seq"), F.lit(k)).alias("head"), F.right(F.col("seq"), F.lit(k)).alias("tail"))
         ends = ends.withColumnRenamed("string_id", "from_string")
-        back = self.neighbours(ends.select("from_string", F.col("head").alias("kmer")), forward=False)
-        ahead = self.neighbours(ends.select("from_string", F.col("tail").alias("kmer")), backward=False)
+        back = self.neighbours(ends.select("from_string", F.col("head").alias("kmer")), forward=False, check_rc=check_rc)
+        ahead = self.neighbours(ends.select("from_string", F.col("tail").alias("kmer")), backward=False, check_rc=check_rc)
         return back.union(ahead)
 
     def check(self) -> dict[str, int]:
@@ -214,4 +262,11 @@ class Dictionary:
         back = self.lookup(self.kmers.select(F.col("kmer_id").alias("id"), self.kmer_strings().alias("kmer")))
         wrong = back.where("kmer_id is null or kmer_id <> id or kmer_orientation <> 1" if not self.config.canonical else "kmer_id is null or kmer_id <> id").count()
         spelled = self.kmers.join(self.strings.select("string_id", "seq"), "string_id").where(F.substring(F.col("seq"), (F.col("kmer_id_in_string") + 1).cast("int"), F.lit(self.k)) != self.kmer_strings()).count()
-        return {"ids": 0 if n == 0 else int(ids["d"] != n or ids["a"] != 0 or ids["b"] != n - 1), "lookup": wrong, "strings": spelled}
+        # the next k-mer of a string is a forward neighbour of the one before, and the string's bases tell it too
+        step = self.kmers.join(self.kmers.select((F.col("kmer_id") - 1).alias("kmer_id"), F.col("string_id").alias("s2"), self.kmer_strings().alias("ahead")), "kmer_id").where("s2 = string_id")
+        broken = step.where(F.right(self.kmer_strings(), F.lit(self.k - 1)) != F.left("ahead", F.lit(self.k - 1))).count()
+        # k-mers across the end of a string and a changed last base: what is found must be stored elsewhere too
+        turned = self.kmers.select(F.concat(F.left(self.kmer_strings(), F.lit(self.k - 1)), F.translate(F.right(self.kmer_strings(), F.lit(1)), "ACGT", "CGTA")).alias("kmer"))
+        absent = turned.select("kmer", S.canonical(F.col("kmer")).alias("c")).join(self.kmers.select(S.canonical(self.kmer_strings()).alias("c")), "c", "left_anti").select("kmer")
+        negative = self.lookup(absent).where("kmer_id is not null").count()
+        return {"ids": 0 if n == 0 else int(ids["d"] != n or ids["a"] != 0 or ids["b"] != n - 1), "lookup": wrong, "strings": spelled, "navigation": broken, "negative": negative}

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STEP = 1 << 20  # bases that are packed at a time, unless one sequence is longer
+STEP = 1 << 20  # bases that are packed at a time; longer sequences are cut with an overlap of k - 1
 
 _CODE = np.full(256, 4, np.uint8)
 for _i, _c in enumerate("ACTG"):
@@ -74,7 +74,7 @@ def kmerize(df: DataFrame, id_col: str, seq_col: str, k: int) -> DataFrame:
     """
     key = "long" if k <= 31 else "binary"
 
-    def emit(ids: list, sizes: list, joint: bytes) -> pa.RecordBatch | None:
+    def emit(ids: list, shifts: list, sizes: list, joint: bytes) -> pa.RecordBatch | None:
         codes = _CODE[np.frombuffer(joint, np.uint8)]
         bad = np.concatenate([[0], np.cumsum(codes > 3, dtype=np.int32)])
         if len(codes) < k:
@@ -87,24 +87,27 @@ def kmerize(df: DataFrame, id_col: str, seq_col: str, k: int) -> DataFrame:
         row = np.searchsorted(offsets, at, side="right") - 1
         keys = keys[at]
         packed = pa.array(keys.astype(np.int64)) if k <= 31 else pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[row]), pa.array(at - offsets[row]), packed, pa.array(strands[at].astype(np.int32))], names=["id", "pos", "ckey", "strand"])
+        return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[row]), pa.array(at - offsets[row] + np.array(shifts, np.int64)[row]), packed, pa.array(strands[at].astype(np.int32))], names=["id", "pos", "ckey", "strand"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, parts, held = [], [], [], 0
+            ids, shifts, sizes, parts, held = [], [], [], [], 0
             for i, s in zip(batch.column(0), batch.column(1), strict=True):
                 s = s.as_py()
-                if s is None:
-                    continue
-                if held and held + len(s) > STEP:
-                    if (out := emit(ids, sizes, b"\n".join(parts))) is not None:
-                        yield out
-                    ids, sizes, parts, held = [], [], [], 0
-                ids.append(i.as_py())
-                sizes.append(len(s))
-                parts.append(s)
-                held += len(s)
-            if ids and (out := emit(ids, sizes, b"\n".join(parts))) is not None:
+                for at in range(0, max(1, len(s or b"") - k + 1), STEP):
+                    if s is None:
+                        continue
+                    part = s[at : at + STEP + k - 1]
+                    if held and held + len(part) > STEP:
+                        if (out := emit(ids, shifts, sizes, b"\n".join(parts))) is not None:
+                            yield out
+                        ids, shifts, sizes, parts, held = [], [], [], [], 0
+                    ids.append(i.as_py())
+                    shifts.append(at)
+                    sizes.append(len(part))
+                    parts.append(part)
+                    held += len(part)
+            if ids and (out := emit(ids, shifts, sizes, b"\n".join(parts))) is not None:
                 yield out
 
     narrow = df.where(F.length(seq_col) >= k).select(F.col(id_col).cast("long").alias("id"), F.col(seq_col).cast("binary").alias("seq"))

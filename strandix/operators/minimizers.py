@@ -108,3 +108,22 @@ def cumulative_kmers(dictionary: Dictionary) -> DataFrame:
 
 def super_kmer_histogram(dictionary: Dictionary) -> DataFrame:
     return super_kmers(dictionary).groupBy("num_kmers").agg(F.count("*").alias("num_super_kmers"))
+
+
+def minimizer_counts(dictionary: Dictionary) -> DataFrame:
+    """One row: minimizers, their distinct places, super-k-mers, the largest bucket and the most k-mers of a super-k-mer."""
+    runs = super_kmers(dictionary)
+    longest = runs.agg(F.max("num_kmers").alias("max_super_kmer"))
+    return buckets(dictionary).agg(F.count("*").alias("num_minimizers"), F.sum("size").alias("num_positions"), F.sum("num_super_kmers").alias("num_super_kmers"), F.max("size").alias("max_bucket")).crossJoin(longest)
+
+
+def skew_partitions(dictionary: Dictionary) -> DataFrame:
+    """For each partition of heavy buckets the sizes it takes, its buckets and their k-mers."""
+    heavy = buckets(dictionary).where("skew_partition is not null")
+    low = F.pow(F.lit(2.0), F.col("skew_partition") + 6).cast("long")
+    return heavy.groupBy("skew_partition").agg(F.count("*").alias("num_buckets"), F.sum("size").alias("num_positions"), F.sum("num_kmers").alias("num_kmers")).select("skew_partition", low.alias("larger_than"), (low * 2).alias("up_to"), "num_buckets", "num_positions", "num_kmers")
+
+
+def bucket_positions(dictionary: Dictionary, minimizers: DataFrame) -> DataFrame:
+    """(minimizer, pos_in_seq): the distinct places of the given minimizers, a row each."""
+    return super_kmers(dictionary).join(minimizers.select("minimizer").distinct(), "minimizer", "left_semi").select("minimizer", "pos_in_seq").distinct()

@@ -46,3 +46,37 @@ def total_report(dictionary: Dictionary, reads: DataFrame) -> DataFrame:
 def covered_reads(dictionary: Dictionary, reads: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Reads with whether at least ``threshold`` of their k-mers are found; a read without k-mers is not covered."""
     return read_report(dictionary, reads).select("read_id", "num_kmers", "num_positive_kmers", ((F.col("num_kmers") > 0) & (F.col("num_positive_kmers") >= threshold * F.col("num_kmers"))).alias("covered"))
+
+
+def with_percentages(report: DataFrame) -> DataFrame:
+    """A report with the shares of positive, negative and invalid k-mers, and of extensions among positive ones, in per cent; 0 of nothing."""
+    share = lambda a, b: F.round(F.when(F.col(b) > 0, 100.0 * F.col(a) / F.col(b)).otherwise(0.0), 6)
+    return report.withColumns({
+        "positive_percent": share("num_positive_kmers", "num_kmers"),
+        "negative_percent": share("num_negative_kmers", "num_kmers"),
+        "invalid_percent": share("num_invalid_kmers", "num_kmers"),
+        "extension_percent": share("num_extensions", "num_positive_kmers"),
+    })
+
+
+def report_lines(report: DataFrame) -> list[str]:
+    """A one-row report as text."""
+    r = with_percentages(report).first()
+    return [f"{r.num_kmers} k-mers"] + [f"{getattr(r, f'num_{x}_kmers')} {x} ({getattr(r, f'{x}_percent'):.2f} %)" for x in ("positive", "negative", "invalid")] + [f"{r.num_searches} searches, {r.num_extensions} extensions ({r.extension_percent:.2f} % of positive)"]
+
+
+def file_report(dictionary: Dictionary, path: str, multiline: bool = False) -> DataFrame:
+    """The total report of a read file; a file of an unknown kind has no reads, so all its counters are 0."""
+    from ..sources.files import kind_of, read_sequences
+
+    spark = dictionary.kmers.sparkSession
+    if kind_of(path) is None:
+        return total_report(dictionary, spark.createDataFrame([], "read_id long, seq string"))
+    return total_report(dictionary, read_sequences(spark, path, multiline).withColumnRenamed("sequence_id", "read_id"))
+
+
+def require_mode(dictionary: Dictionary, canonical: bool) -> Dictionary:
+    """The dictionary, if it is of the mode that a caller is written for."""
+    if dictionary.config.canonical != canonical:
+        raise ValueError(f"the dictionary is {'canonical' if dictionary.config.canonical else 'regular'}, not {'canonical' if canonical else 'regular'}")
+    return dictionary

@@ -3,14 +3,16 @@
 A string is an edge between its first and last weight, and may be turned round. Strings that follow each other without a new run share
 a weight, so a walk of such strings is a trail, and the fewest walks are the fewest trails that use every edge once: half the weights of
 odd degree in a connected part, at least one. They are found by joining odd weights in pairs with helper edges, walking a closed
-trail of each part, and cutting it at the helpers. The endpoint table has one small row a string and is walked on the driver.
+trail of each part, and cutting it at the helpers. Strings of one pair of weights are alike to this: all but one or two of them are
+walked there and back in one go. So the driver walks the distinct pairs of weights with their counts, and strings take their places by a join on
+their pair and their number in it.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
@@ -76,14 +78,78 @@ def trails(edges: list[tuple[int, int, int]]) -> list[list[tuple[int, bool]]]:
     return out
 
 
-def permutation(endpoints: DataFrame) -> tuple[DataFrame, int]:
-    """(string_id, new_pos, forward) from (string_id, front, back), and the number of walks."""
+def pair_runs(pairs: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, int, int, bool]], int]:
+    """From (low, high, count): (low, high, first number, count, first place, from low) of runs of strings of a pair, and the number of walks.
+
+    A run's strings are walked there and back in turn; those whose ends agree always the same way.
+    """
+    edges = []
+    for k, (a, b, n) in enumerate(pairs):
+        edges += [(2 * k + j, a, b) for j in range(1 if a == b or n % 2 else 2)]
+    walks, runs, done, place = trails(edges), [], {}, 0
+    for walk in walks:
+        for i, forward in walk:
+            a, b, n = pairs[i // 2]
+            size = 1 if i // 2 in done else n if a == b else n - 1 + n % 2
+            runs.append((a, b, done.get(i // 2, 0), size, place, forward))
+            done[i // 2] = done.get(i // 2, 0) + size
+            place += size
+    return runs, len(walks)
+
+
+def permutation(endpoints: DataFrame, block: int = 1 << 16) -> tuple[DataFrame, int]:
+    """(string_id, new_pos, forward) from (string_id, front, back), and the number of walks.
+
+    The driver holds one row a distinct pair of weights. Strings are numbered within their pair in blocks of ids.
+    """
     spark = endpoints.sparkSession
-    edges = [(r[0], r[1], r[2]) for r in endpoints.select("string_id", "front", "back").orderBy("string_id").toLocalIterator()]
-    walks = trails(edges)
-    rows = [(i, forward) for walk in walks for i, forward in walk]
-    data = [(i, n, forward) for n, (i, forward) in enumerate(rows)]
-    return spark.createDataFrame(data, "string_id long, new_pos long, forward boolean"), len(walks)
+    ends = endpoints.select("string_id", "front", F.least("front", "back").alias("low"), F.greatest("front", "back").alias("high"), F.floor(F.col("string_id") / block).alias("block"))
+    counts = ends.groupBy("low", "high", "block").agg(F.count("*").alias("n"))
+    pairs = counts.groupBy("low", "high").agg(F.sum("n").alias("n")).orderBy("low", "high")
+    runs, walks = pair_runs([tuple(r) for r in pairs.toLocalIterator()])
+    before = F.sum("n").over(Window.partitionBy("low", "high").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    bases = counts.select("low", "high", "block", F.coalesce(before, F.lit(0)).alias("base"))
+    nth = F.row_number().over(Window.partitionBy("low", "high", "block").orderBy("string_id")) - 1
+    numbered = ends.withColumn("nth", nth).join(bases, ["low", "high", "block"]).withColumn("nth", F.col("base") + F.col("nth"))
+    table = spark.createDataFrame(runs, "a long, b long, number long, size long, place long, from_low boolean")
+    at = (F.col("low") == F.col("a")) & (F.col("high") == F.col("b")) & (F.col("nth") >= F.col("number")) & (F.col("nth") < F.col("number") + F.col("size"))
+    step = F.col("nth") - F.col("number")
+    ahead = F.col("from_low") == (step % 2 == 0)
+    forward = F.when(F.col("low") == F.col("high"), F.lit(True)).otherwise((F.col("front") == F.col("low")) == ahead)
+    return numbered.join(table, at).select("string_id", (F.col("place") + step).alias("new_pos"), forward.alias("forward")), walks
+
+
+def accounting(endpoints: DataFrame) -> DataFrame:
+    """One row: runs before, strings, walks, runs as these promise (before - strings + walks), and runs as they are after reordering."""
+    order, walks = permutation(endpoints)
+    placed = endpoints.join(order, "string_id").select("new_pos", "num_runs", F.when(F.col("forward"), F.col("front")).otherwise(F.col("back")).alias("first"), F.when(F.col("forward"), F.col("back")).otherwise(F.col("front")).alias("last"))
+    meets = placed.join(placed.select((F.col("new_pos") + 1).alias("new_pos"), F.col("last").alias("previous")), "new_pos", "left")
+    out = meets.agg(F.coalesce(F.sum("num_runs"), F.lit(0)).alias("runs_before"), F.count("*").alias("num_strings"), F.count_if(F.col("previous") == F.col("first")).alias("met"))
+    promised = F.col("runs_before") - F.col("num_strings") + walks
+    return out.select("runs_before", "num_strings", F.lit(walks).cast("long").alias("num_walks"), promised.alias("runs_promised"), (F.col("runs_before") - F.col("met")).alias("runs_after"))
+
+
+def write_permutation(order: DataFrame, path: str) -> None:
+    """Lines ``id sign`` in the new order, the sign 1 for strings as they were and 0 for those turned round."""
+    rows = order.repartitionByRange("new_pos").sortWithinPartitions("new_pos")
+    rows.select(F.concat_ws(" ", F.col("string_id").cast("string"), F.col("forward").cast("int").cast("string")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_permutation(spark, path: str) -> DataFrame:
+    """(string_id, new_pos, forward) of a permutation file."""
+    from ..sources.files import _numbered
+
+    parts = F.split("value", " ")
+    return _numbered(spark.read.text(path)).select(parts[0].cast("long").alias("string_id"), F.col("row").alias("new_pos"), (parts[1] == "1").alias("forward"))
+
+
+def scan_summary(strings: DataFrame) -> DataFrame:
+    """One row for strings with weights: strings, k-mers, runs that restart with each string, distinct weights, sum of weights."""
+    runs = F.size("weights") - F.size(F.filter(F.arrays_zip(F.slice("weights", 1, F.size("weights") - 1).alias("a"), F.slice("weights", 2, F.size("weights")).alias("b")), lambda x: x["a"] == x["b"]))
+    some = strings.where(F.size("weights") > 0).select(F.size("weights").cast("long").alias("n"), runs.cast("long").alias("runs"), "weights")
+    totals = some.agg(F.count("*").alias("num_strings"), F.coalesce(F.sum("n"), F.lit(0)).alias("num_kmers"), F.coalesce(F.sum("runs"), F.lit(0)).alias("num_runs"))
+    weights = some.select(F.explode("weights").alias("w")).groupBy("w").agg(F.count("*").alias("c")).agg(F.count("*").alias("distinct_weights"), F.coalesce(F.sum(F.col("w") * F.col("c")), F.lit(0)).alias("sum_of_weights"))
+    return totals.crossJoin(weights)
 
 
 def apply_permutation(strings: DataFrame, order: DataFrame) -> DataFrame:

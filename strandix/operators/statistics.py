@@ -37,3 +37,44 @@ def degree_histogram(dictionary: Dictionary) -> DataFrame:
     found = dictionary.neighbours(rows)
     each = found.groupBy("from_kmer").agg(F.count_if((F.col("direction") == "forward") & F.col("kmer_id").isNotNull()).alias("forward_degree"), F.count_if((F.col("direction") == "backward") & F.col("kmer_id").isNotNull()).alias("backward_degree"))
     return each.groupBy("forward_degree", "backward_degree").agg(F.count("*").alias("num_kmers"))
+
+
+def offset_widths(dictionary: Dictionary) -> DataFrame:
+    """One row: bits of an absolute offset, of a place in a string, of a string number, and of the latter two together; over 64 is an error."""
+    s = dictionary.strings.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("bases"), F.coalesce(F.max("len"), F.lit(0)).alias("longest"), F.count("*").alias("strings"))
+    width = lambda c: F.greatest(F.lit(1), F.length(F.bin(F.col(c)))).cast("int")
+    out = s.select(width("bases").alias("absolute_bits"), width("longest").alias("relative_bits"), width("strings").alias("string_bits"))
+    both = F.col("relative_bits") + F.col("string_bits")
+    return out.withColumn("encoded_bits", F.when(F.greatest(F.col("absolute_bits"), both) > 64, F.raise_error(F.lit("offsets take more than 64 bits"))).otherwise(both))
+
+
+def space_breakdown(dictionary: Dictionary) -> DataFrame:
+    """A row for each part of the packed form: bits, bits a k-mer, and percent of all."""
+    parts = ("base_bits", "offset_bits", "weight_bits")
+    model = space_model(dictionary)
+    rows = model.select("num_kmers", F.explode(F.array(*(F.struct(F.lit(p.removesuffix("_bits")).alias("part"), F.col(p).alias("bits")) for p in parts))).alias("x"), F.expr(" + ".join(parts)).alias("all"))
+    return rows.select("x.part", "x.bits", F.round(F.col("x.bits") / F.col("num_kmers"), 6).alias("bits_per_kmer"), F.round(100.0 * F.col("x.bits") / F.col("all"), 6).alias("percent"))
+
+
+def minimizer_advice(dictionary: Dictionary) -> DataFrame:
+    """One row: the dictionary's m, the shortest that its number of bases advises, and whether m falls short of it."""
+    bases = int(dictionary.strings.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0])
+    advised, m = suggested_minimizer_length(bases), dictionary.config.m
+    return dictionary.kmers.sparkSession.createDataFrame([(bases, m, advised, m < advised)], "num_bases long, m int, advised_m int, short boolean")
+
+
+def collection_rates(report: DataFrame, by: str) -> DataFrame:
+    """For each collection of reads the mean share of k-mers found, and of those the share that extend a match; reads without k-mers count in neither."""
+    hit = F.when(F.col("num_kmers") > 0, F.col("num_positive_kmers") / F.col("num_kmers"))
+    extended = F.when(F.col("num_positive_kmers") > 0, F.col("num_extensions") / F.col("num_positive_kmers"))
+    return report.groupBy(by).agg(F.count("*").alias("num_reads"), F.round(F.avg(hit), 6).alias("hit_rate"), F.round(F.avg(extended), 6).alias("extension_rate"))
+
+
+def export_csv(df: DataFrame, path: str) -> None:
+    """A result table as CSV files with a header."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def sweep(sequences: DataFrame, configs, measure) -> list[dict]:
+    """One dictionary a configuration, and what ``measure`` tells of it as a row; a parameter sweep."""
+    return [c.as_dict() | measure(Dictionary.build(sequences, c)).first().asDict() for c in configs]

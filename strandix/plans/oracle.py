@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..operators.minimizers import MULTIPLIER
+
 MILLION = 1048576
 DNA = "translate(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz0123456789', '" + "ACGT" * 6 + "AC" + "N" * 10 + "')"
 RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
@@ -79,7 +81,7 @@ def minimizers(k: int, m: int, magic: int, canonical: bool = False) -> str:
     """CTEs up to ``mins``: each k-mer's minimizer and its place."""
     digit = lambda s: "+".join(f"(instr('ACTG', substr({s}, {j + 1}, 1)) - 1) * {4**j}::bigint" for j in range(m))
     unsigned = magic % 2**64
-    mixed = "xor(((code::hugeint * 5871781006564002453::hugeint) % 18446744073709551616::hugeint)::ubigint, " + f"{unsigned}::ubigint)"
+    mixed = f"xor(((code::hugeint * {MULTIPLIER}::hugeint) % 18446744073709551616::hugeint)::ubigint, " + f"{unsigned}::ubigint)"
     out = f"mmers as (select kmer_id, i, {digit('substr(kmer, cast(i + 1 as bigint), ' + str(m) + ')')} code from kmers, unnest(range(0, {k - m + 1})) t(i)), "
     out += f"best as (select kmer_id, min({{'h': {mixed}, 'i': i, 'code': code}}) b from mmers group by kmer_id), "
     if canonical:

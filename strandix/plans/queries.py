@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions import sequence as S
 from ..operators import minimizers as M
 from ..operators import reads as R
@@ -18,7 +19,7 @@ from ..operators import statistics as T
 from ..operators import weights as W
 from ..operators.dictionary import RESULT, Dictionary
 from ..operators.protein import protein_kmers
-from ..sources.files import read_fasta, read_fastq, read_segments, write_fasta
+from ..sources.files import read_blank_separated, read_fasta, read_fastq, read_segments, read_weighted_fasta, write_fasta
 from ..sources.storage import shared_dir
 from . import oracle as Q
 from .inputs import index_of, index_sequences, reads_of, table
@@ -166,7 +167,7 @@ def non_members(spark, sf_dir):
 def access_and_weight(spark, sf_dir):
     d = _docs(spark, sf_dir)
     ids = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("kmer_id"))
-    return d.weights(d.access(ids))
+    return d.access_weighted(ids)
 
 
 @query(CTE + DOCS + " select l.doc_id kmer_id, k.weight from labels l left join kmers k on k.kmer_id = l.doc_id")
@@ -482,3 +483,191 @@ def fastq_round_trip(spark, sf_dir):
     rows = reads_of(table(spark, sf_dir, "benchmark"), "item_id").repartitionByRange("read_id").sortWithinPartitions("read_id")
     rows.select(F.concat(F.lit("@"), F.col("read_id").cast("string"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.expr("repeat('I', length(seq))")).alias("value")).write.text(path)
     return read_fastq(spark, path)
+
+
+@query(_ROUND)
+def gzip_round_trip(spark, sf_dir):
+    path = _folder(spark)
+    rows = reads_of(table(spark, sf_dir, "benchmark"), "item_id").repartitionByRange("read_id").sortWithinPartitions("read_id")
+    rows.select(F.concat(F.lit(">"), F.col("read_id").cast("string"), F.lit("\n"), F.col("seq")).alias("value")).write.option("compression", "gzip").text(path)
+    return read_fasta(spark, path)
+
+
+@query(f"select row_number() over (order by item_id) - 1 sequence_id, {Q.DNA} seq from benchmark")
+def multiline_round_trip(spark, sf_dir):
+    """Sequences of several lines, with an empty line after each."""
+    path = _folder(spark)
+    rows = reads_of(table(spark, sf_dir, "benchmark"), "item_id").repartitionByRange("read_id").sortWithinPartitions("read_id")
+    lines = F.regexp_replace("seq", "(.{60})(?=.)", "$1\n")
+    rows.select(F.concat(F.lit(">"), F.col("read_id").cast("string"), F.lit("\n"), lines, F.lit("\n")).alias("value")).write.text(path)
+    return read_blank_separated(spark, path)
+
+
+@query(CTE + _BENCH31 + " select kmer_id, string_id, kmer, pos + 1 weight from kmers")
+def weighted_fasta_dictionary(spark, sf_dir):
+    """A dictionary with weights from headers: each k-mer is given its place in its sequence, counted from 1."""
+    path = _folder(spark)
+    rows = reads_of(table(spark, sf_dir, "benchmark"), "item_id").where(F.length("seq") >= K)
+    write_fasta(rows.withColumn("weights", F.sequence(F.lit(1).cast("long"), (F.length("seq") - (K - 1)).cast("long"))), path, "read_id")
+    d = Dictionary.build(read_weighted_fasta(spark, path, K), Config(k=K, weighted=True))
+    return d.kmers.select("kmer_id", "string_id", d.kmer_strings().alias("kmer"), "weight")
+
+
+@query(CTE + BENCH + " select kmer_id, string_id, kmer_id_in_string, kmer_offset, kmer, weight from kmers")
+def save_and_load(spark, sf_dir):
+    path = _folder(spark)
+    _bench(spark, sf_dir).save(path)
+    d = Dictionary.load(spark, path)
+    return d.kmers.select("kmer_id", "string_id", "kmer_id_in_string", "kmer_offset", d.kmer_strings().alias("kmer"), "weight")
+
+
+# ---- one strand only, packed forms, offsets ------------------------------------------------------------
+
+
+@query(CTE + DOCS + ", " + READS + " select read_id, pos, kmer from read_windows q where exists (select 1 from kmers d where d.kmer = q.kmer)")
+def members_forward_only(spark, sf_dir):
+    return _docs(spark, sf_dir).members(_windows(spark, sf_dir), check_rc=False)
+
+
+@query(CTE + DOCS + ", " + READS + ", " + _steps("read_windows", K).replace(Q.lookup("steps", K, column="neighbour"), Q.lookup("steps", K, column="neighbour", check_rc=False)) + f" select read_id, pos, kmer, direction, slot, base, neighbour, {RESULTS} from found")
+def neighbours_forward_only(spark, sf_dir):
+    return _docs(spark, sf_dir).neighbours(_windows(spark, sf_dir), check_rc=False)
+
+
+@query(CTE + DOCS + f", heads as (select string_id from_string, left(seq, {K}) kmer from strings), tails as (select string_id from_string, right(seq, {K}) kmer from strings), {_STEPS}, "
+    f"steps as (select from_string, kmer, 'backward' direction, slot, base, base || left(kmer, {K - 1}) neighbour from heads, slots union all select from_string, kmer, 'forward', slot, base, substr(kmer, 2, {K - 1}) || base from tails, slots), found as ({Q.lookup('steps', K, column='neighbour', check_rc=False)}) select from_string, kmer, direction, slot, base, neighbour, {RESULTS} from found")
+def string_neighbours_forward_only(spark, sf_dir):
+    return _docs(spark, sf_dir).string_neighbours(check_rc=False)
+
+
+@query(CTE + BENCH + f" select kmer_id, {Q.rc('kmer')} kmer from kmers")
+def iterate_backward(spark, sf_dir):
+    return _bench(spark, sf_dir).iterate(backward=True)
+
+
+_SHORT = "w as (select read_id, pos, left(kmer, 20) s from read_windows)"
+_CODE = "(instr('ACTG', substr(s, {0}, 1)) - 1)"
+
+
+@query(CTE + READS + f", {_SHORT} select read_id, pos, cast({Q.packed('s', 20)} as bigint) packed, cast({_CODE.format(6)} as integer) at5, cast({Q.packed('left(s, 7)', 7)} as bigint) taken, cast({Q.packed('substr(s, 8)', 13)} as bigint) dropped, "
+    f"cast({Q.packed(repr('G') + ' || s', 21)} as bigint) padded, cast({Q.packed('s || ' + repr('T'), 21)} as bigint) appended, cast({_CODE.format(1)} as integer) popped, cast({Q.packed('substr(s, 2)', 19)} as bigint) rest, cast({Q.packed('left(s, 4) || ' + repr('C') + ' || substr(s, 6)', 20)} as bigint) replaced, substr(s, 8, 7) minimizer from w")
+def packed_functions(spark, sf_dir):
+    x = S.pack(F.substring("kmer", 1, 20))
+    first, rest = S.packed_pop(F.col("packed"))
+    rows = _windows(spark, sf_dir).select("read_id", "pos", x.alias("packed"))
+    p = F.col("packed")
+    return rows.select("read_id", "pos", "packed", S.packed_at(p, 5).alias("at5"), S.packed_take(p, 7).alias("taken"), S.packed_drop(p, 7).alias("dropped"), S.packed_pad(p, F.lit(3)).alias("padded"), S.packed_append(p, F.lit(2), 20).alias("appended"), first.alias("popped"), rest.alias("rest"), S.packed_set(p, 4, F.lit(1)).alias("replaced"), S.minimizer_string(S.packed_take(S.packed_drop(p, 7), 7), 7).alias("minimizer"))
+
+
+@query(CTE + READS + f" select read_id, pos, kmer, cast({Q.packed('kmer', K).replace('ACTG', 'ACGT')} as bigint) packed, kmer unpacked, cast(instr('ACGT', left(kmer, 1)) - 1 as integer) code from read_windows")
+def packed_in_the_other_alphabet(spark, sf_dir):
+    x, e = F.col("kmer"), "traditional"
+    return _windows(spark, sf_dir).select("read_id", "pos", "kmer", S.pack(x, e).alias("packed"), S.unpack(S.pack(x, e), K, e).alias("unpacked"), S.char_code(S.base_at(x, 0), e).alias("code"))
+
+
+@query(CTE + DOCS + f" select l.doc_id * 7 \"offset\", s.string_id, s.string_begin, s.string_end, case when l.doc_id * 7 + {K} <= s.string_end then l.doc_id * 7 - s.string_begin end kmer_id_in_string, case when l.doc_id * 7 + {K} <= s.string_end then l.doc_id * 7 - s.string_id * {K - 1} end kmer_id from labels l left join strings s on s.string_begin <= l.doc_id * 7 and l.doc_id * 7 < s.string_end")
+def locate_offsets(spark, sf_dir):
+    return _docs(spark, sf_dir).locate(table(spark, sf_dir, "labels").select((F.col("doc_id") * 7).alias("offset")))
+
+
+_BITS = "(select cast(floor(log2(max(length(seq)))) + 1 as integer) from strings)"
+
+
+@query(CTE + DOCS + f" select string_id, string_begin, string_end, string_id << {_BITS} encoded, {_BITS} relative_bits from strings")
+def encoded_offsets(spark, sf_dir):
+    return _docs(spark, sf_dir).encoded_offsets()
+
+
+@query(CTE + DOCS + f", e as (select (string_id << {_BITS}) + num_kmers encoded, string_begin + num_kmers absolute, num_kmers relative, string_id, string_begin, string_end from strings) select * from e")
+def decoded_offsets(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    bits = d.relative_bits()
+    return d.decode_offsets(d.strings.select((F.shiftleft("string_id", bits) + F.col("num_kmers")).alias("encoded")), relative_bits=bits)
+
+
+@query(CTE + DOCS + ", b as (select sum(length(seq)) bases, max(length(seq)) longest, count(*) n from strings) select cast(floor(log2(bases)) + 1 as integer) absolute_bits, cast(floor(log2(longest)) + 1 as integer) relative_bits, cast(floor(log2(n)) + 1 as integer) string_bits, cast(floor(log2(longest)) + floor(log2(n)) + 2 as integer) encoded_bits from b")
+def offset_widths(spark, sf_dir):
+    return T.offset_widths(_docs(spark, sf_dir))
+
+
+@query(CTE + DOCS + ", " + Q.RUNS + ", a as (select (select count(*) from kmers) k, (select count(*) from strings) s, (select sum(length(seq)) from strings) b, (select count(distinct run_id) from runs) r, (select count(distinct weight) from kmers) w), "
+    "p as (select 'base' part, cast(2 * b as bigint) bits, k from a union all select 'offset', cast((s + 1) * ceil(log2(b + 1)) as bigint), k from a union all select 'weight', cast(r * (ceil(log2(k + 1)) + greatest(1, ceil(log2(w + 1)))) as bigint), k from a) "
+    "select part, bits, round(bits::double / k, 6) bits_per_kmer, round(100.0::double * bits / (select sum(bits) from p), 6) percent from p")
+def space_breakdown(spark, sf_dir):
+    return T.space_breakdown(_docs(spark, sf_dir))
+
+
+@query(CTE + DOCS + ", b as (select cast(sum(length(seq)) as bigint) n from strings) select n num_bases, 20 m, cast(ceil(log2(n) / 2) + 1 as integer) advised_m, 20 < ceil(log2(n) / 2) + 1 short from b")
+def minimizer_advice(spark, sf_dir):
+    return T.minimizer_advice(_docs(spark, sf_dir))
+
+
+# ---- buckets of short minimizers, which are heavy ------------------------------------------------------
+
+SHORT_M = 3
+SHORT = CTE + BENCH + ", " + Q.minimizers(SMALL_K, SHORT_M, MAGIC) + ", " + Q.SUPER
+
+
+@query(SHORT + f" select {CLASS} bucket_class, count(*) num_buckets, cast(sum(size) as bigint) num_positions, cast(sum(num_kmers) as bigint) num_kmers, max(size) max_size from buckets group by 1")
+def bucket_classes_of_short_minimizers(spark, sf_dir):
+    return M.bucket_classes(_bench(spark, sf_dir, m=SHORT_M))
+
+
+@query(SHORT + ", h as (select *, cast(ceil(log2(size)) - 7 as integer) skew_partition from buckets where size >= 65) select skew_partition, 1::bigint << (skew_partition + 6) larger_than, 1::bigint << (skew_partition + 7) up_to, count(*) num_buckets, cast(sum(size) as bigint) num_positions, cast(sum(num_kmers) as bigint) num_kmers from h group by skew_partition")
+def skew_partitions(spark, sf_dir):
+    return M.skew_partitions(_bench(spark, sf_dir, m=SHORT_M))
+
+
+@query(SHORT + " select count(*) num_minimizers, cast(sum(size) as bigint) num_positions, cast(sum(num_super_kmers) as bigint) num_super_kmers, max(size) max_bucket, (select max(num_kmers) from supers) max_super_kmer from buckets")
+def minimizer_counts(spark, sf_dir):
+    return M.minimizer_counts(_bench(spark, sf_dir, m=SHORT_M))
+
+
+@query(SHORT + " select distinct minimizer, pos_in_seq from supers where minimizer in (select minimizer from buckets where size >= 65)")
+def bucket_positions(spark, sf_dir):
+    d = _bench(spark, sf_dir, m=SHORT_M)
+    return M.bucket_positions(d, M.buckets(d).where("size >= 65"))
+
+
+@query()
+def skew_partitions_of_documents(spark, sf_dir):
+    return M.skew_partitions(_docs(spark, sf_dir))
+
+
+@query()
+def minimizer_counts_of_documents(spark, sf_dir):
+    return M.minimizer_counts(_docs(spark, sf_dir))
+
+
+# ---- reports and reordering as tables ------------------------------------------------------------------
+
+_SHARE = "round(case when {1} > 0 then 100.0::double * {0} / {1} else 0 end, 6)"
+
+
+@query(CTE + DOCS + ", " + READS + ", " + _REPORT + f", total as ({_TOTAL}) select *, {_SHARE.format('num_positive_kmers', 'num_kmers')} positive_percent, {_SHARE.format('num_negative_kmers', 'num_kmers')} negative_percent, {_SHARE.format('num_invalid_kmers', 'num_kmers')} invalid_percent, {_SHARE.format('num_extensions', 'num_positive_kmers')} extension_percent from total")
+def read_report_percent(spark, sf_dir):
+    return R.with_percentages(R.total_report(_docs(spark, sf_dir), reads_of(table(spark, sf_dir, "benchmark"), "item_id", True)))
+
+
+@query("select 0::bigint num_kmers, 0::bigint num_positive_kmers, 0::bigint num_negative_kmers, 0::bigint num_invalid_kmers, 0::bigint num_searches, 0::bigint num_extensions")
+def report_of_unknown_file(spark, sf_dir):
+    return R.file_report(_bench(spark, sf_dir), "reads.unknown")
+
+
+@query(CTE + _BENCH31 + ", " + Q.reads(K, "documents", "doc_id", False) + ", " + _REPORT + " select d.lang, count(*) num_reads, round(avg(case when num_kmers > 0 then num_positive_kmers / num_kmers end), 6) hit_rate, round(avg(case when num_positive_kmers > 0 then num_extensions / num_positive_kmers end), 6) extension_rate from report r join documents d on d.doc_id = r.read_id group by d.lang")
+def hit_rates_by_language(spark, sf_dir):
+    report = R.read_report(_bench(spark, sf_dir, k=K, m=20), reads_of(table(spark, sf_dir, "documents"), "doc_id"))
+    languages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), "lang")
+    return T.collection_rates(report.join(languages, "read_id"), "lang")
+
+
+@query("with recursive " + DOCS + _ENDS + ", links as materialized (select distinct front a, back b from ends union select distinct back, front from ends), reach(a, b) as (select a, a from links union select r.a, l.b from reach r join links l on l.a = r.b), "
+    "part as (select a, min(b) p from reach group by a), degree as (select w, count(*) n from (select front w from ends union all select back from ends) group by w), walks as (select p, greatest(1, count_if(n % 2 = 1) // 2) n from degree join part on part.a = degree.w group by p), "
+    "sums as (select cast(sum(num_runs) as bigint) runs, count(*) s from ends) select runs runs_before, s num_strings, cast(w as bigint) num_walks, cast(runs - s + w as bigint) runs_promised, cast(runs - s + w as bigint) runs_after from sums, (select sum(n) w from walks)")
+def reordering_accounting(spark, sf_dir):
+    return O.accounting(W.endpoints(_docs(spark, sf_dir)))
+
+
+@query(CTE + DOCS + ", " + Q.RUNS + " select (select count(*) from strings) num_strings, (select count(*) from kmers) num_kmers, (select count(*) from (select distinct string_id, run from runs)) num_runs, (select count(distinct weight) from kmers) distinct_weights, (select cast(sum(weight) as bigint) from kmers) sum_of_weights")
+def weighted_scan_summary(spark, sf_dir):
+    return O.scan_summary(O.weighted_strings(_docs(spark, sf_dir)))

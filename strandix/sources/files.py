@@ -65,10 +65,15 @@ def read_blank_separated(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("row").alias("sequence_id"), F.array_join(F.transform(lines, F.trim), "").alias("seq"))
 
 
+def kind_of(path: str) -> str | None:
+    """The kind of a sequence file by its suffix, with or without ``.gz``; None for others."""
+    name = path.removesuffix(".gz")
+    return next((v for s, v in SUFFIXES.items() if name.endswith(s)), None)
+
+
 def read_sequences(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """A query file by its suffix, with or without ``.gz``."""
-    name = path.removesuffix(".gz")
-    kind = next((v for s, v in SUFFIXES.items() if name.endswith(s)), None)
+    kind = kind_of(path)
     if kind is None:
         raise ValueError(f"no reader for {path}: its suffix is none of {sorted(SUFFIXES)}")
     if kind == "fasta" and multiline:

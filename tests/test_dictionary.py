@@ -31,7 +31,7 @@ def test_worked_fixture(small):
     got = small.kmers.select("kmer_id", small.kmer_strings().alias("kmer"), "string_id", "kmer_id_in_string", "kmer_offset", "weight").orderBy("kmer_id").collect()
     assert [tuple(r) for r in got] == [(0, "AAC", 0, 0, 0, 2), (1, "ACT", 0, 1, 1, 2), (2, "CTG", 0, 2, 2, 7), (3, "GGA", 1, 0, 5, 7), (4, "GAT", 1, 1, 6, 7), (5, "ATA", 1, 2, 7, 1)]
     assert [(r.string_begin, r.string_end) for r in small.strings.orderBy("string_id").collect()] == [(0, 5), (5, 10)]
-    assert small.check() == {"ids": 0, "lookup": 0, "strings": 0}
+    assert small.check() == {"ids": 0, "lookup": 0, "strings": 0, "navigation": 0, "negative": 0}
 
 
 def test_weight_runs(small, spark):
@@ -88,7 +88,7 @@ def test_against_sets(spark, k):
     got = d.kmers.select("kmer_id", d.kmer_strings().alias("kmer"), "weight").orderBy("kmer_id").collect()
     assert [g.kmer for g in got] == order
     assert [g.weight for g in got] == [want[min(w, rc(w))] for w in order]
-    assert d.check() == {"ids": 0, "lookup": 0, "strings": 0}
+    assert d.check() == {"ids": 0, "lookup": 0, "strings": 0, "navigation": 0, "negative": 0}
     hits = R.total_report(d, rows.withColumnRenamed("sequence_id", "read_id")).first()
     assert hits.num_positive_kmers == sum(want.values()) and hits.num_negative_kmers == 0
 
@@ -175,3 +175,69 @@ def test_trails_use_each_edge_once(seed):
     for v, n in degree.items():
         odd[root(v)] = odd.get(root(v), 0) + n % 2
     assert len(walks) == sum(max(1, n // 2) for n in odd.values())
+
+
+def test_access_with_clashing_names(small, spark):
+    ids = spark.createDataFrame([(0, "a", 9), (5, "b", 8), (6, "c", 7), (-1, "d", 6)], "kmer_id long, ckey string, strand int")
+    got = sorted(small.access_weighted(ids).collect(), key=lambda r: r.kmer_id)
+    assert [(r.kmer_id, r.ckey, r.strand, r.kmer, r.weight) for r in got] == [(-1, "d", 6, None, None), (0, "a", 9, "AAC", 2), (5, "b", 8, "ATA", 1), (6, "c", 7, None, None)]
+
+
+def test_one_strand(small, spark):
+    q = spark.createDataFrame([("AAC",), ("GTT",), ("TTT",)], "kmer string")
+    assert [r.kmer for r in small.members(q, check_rc=False).collect()] == ["AAC"] and small.members(q).count() == 2
+    assert sorted(r.kmer for r in small.members(q, present=False, check_rc=False).collect()) == ["GTT", "TTT"]
+    found = small.neighbours(spark.createDataFrame([("ACT",)], "kmer string"), check_rc=False).where("kmer_id is not null").collect()
+    assert sorted((r.direction, r.slot, r.kmer_id) for r in found) == [("backward", 0, 0), ("forward", 3, 2)]
+
+
+def test_offsets(small, spark):
+    got = small.locate(spark.createDataFrame([(o,) for o in range(-1, 11)], "offset long")).orderBy("offset").collect()
+    assert [(r.string_id, r.kmer_id) for r in got] == [(None, None), (0, 0), (0, 1), (0, 2), (0, None), (0, None), (1, 3), (1, 4), (1, 5), (1, None), (1, None), (None, None)]
+    bits = small.relative_bits()
+    back = small.decode_offsets(spark.createDataFrame([((1 << bits) + 2,), (7 << bits,)], "encoded long")).collect()
+    assert sorted((r.absolute, r.relative, r.string_id) for r in back if r.string_id is not None) == [(7, 2, 1)] and len(back) == 2
+
+
+def test_mode_report_and_results(small, spark):
+    assert R.require_mode(small, False) is small
+    with pytest.raises(ValueError):
+        R.require_mode(small, True)
+    report = R.total_report(small, spark.createDataFrame([(0, "AACTGNGTTA")], "read_id long, seq string"))
+    assert R.report_lines(report)[:2] == ["8 k-mers", "4 positive (50.00 %)"]
+    both = small.lookup(spark.createDataFrame([("AAC",), ("GTT",), ("TTT",)], "kmer string"))
+    pairs = both.select(F.struct("*").alias("a")).crossJoin(both.select(F.struct("*").alias("b")))
+    assert {(r.a.kmer, r.b.kmer) for r in pairs.where(S.same_result("a", "b")).collect()} == {("AAC", "AAC"), ("GTT", "GTT"), ("TTT", "TTT")}
+
+
+def test_long_sequences_are_cut(spark, monkeypatch):
+    from strandix.operators import kmerize as Z
+
+    r = random.Random(4)
+    s = "".join(r.choice("ACGTN" if i % 50 == 0 else "ACGT") for i in range(3_000))
+    df = spark.createDataFrame([(7, s), (8, None), (9, s[:40])], "id long, seq string")
+    want = {(x.id, x.pos, x.ckey, x.strand) for x in kmerize(df, "id", "seq", 21).collect()}
+    monkeypatch.setattr(Z, "STEP", 100)
+    got = [(x.id, x.pos, x.ckey, x.strand) for x in Z.kmerize(df, "id", "seq", 21).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("weights", [2, 5, 40])
+def test_reordering_reaches_what_it_promises(spark, weights):
+    r = random.Random(weights)
+    rows = [(i, a, b, r.randint(1, 4)) for i in range(300) for a, b in [(r.randrange(weights), r.randrange(weights))]]
+    ends = spark.createDataFrame(rows, "string_id long, front long, back long, num_runs long")
+    order, walks = O.permutation(ends, block=16)
+    placed = sorted((x.new_pos, x.string_id, x.forward) for x in order.collect())
+    assert [p for p, _, _ in placed] == list(range(300)) and {i for _, i, _ in placed} == set(range(300))
+    assert walks == len(O.trails([(i, a, b) for i, a, b, _ in rows]))
+    (row,) = O.accounting(ends).collect()
+    assert row.runs_after <= row.runs_promised == row.runs_before - 300 + walks
+
+
+def test_permutation_file(spark, tmp_path):
+    order = spark.createDataFrame([(4, 0, True), (2, 1, False), (9, 2, True)], "string_id long, new_pos long, forward boolean")
+    O.write_permutation(order, str(tmp_path / "p"))
+    assert sorted(map(tuple, O.read_permutation(spark, str(tmp_path / "p")).collect())) == sorted(map(tuple, order.collect()))
+    strings = spark.createDataFrame([([2, 2, 7],), ([7],), ([],)], "weights array<long>")
+    assert tuple(O.scan_summary(strings).first()) == (2, 4, 3, 2, 18)
