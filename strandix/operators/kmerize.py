@@ -111,4 +111,7 @@ def kmerize(df: DataFrame, id_col: str, seq_col: str, k: int) -> DataFrame:
                 yield out
 
     narrow = df.where(F.length(seq_col) >= k).select(F.col(id_col).cast("long").alias("id"), F.col(seq_col).cast("binary").alias("seq"))
+    if not df.isStreaming:
+        # one file or row group may hold all sequences; dealing them out moves a twentieth of what their windows will
+        narrow = narrow.repartition("id", "seq")
     return narrow.mapInArrow(run, f"id long, pos long, ckey {key}, strand int")
