@@ -155,6 +155,7 @@ class Scorer:
         self.index = {w: i for i, w in enumerate(words)}
         self.short = {_RUN.sub(r"\1", w): i for w, i in self.index.items()}
         self.long = [w for w in words if len(w) >= 4]
+        self.most = max(map(len, self.short), default=0)
         self.weights, self.base = weights, base
         self.restorer, self.cache = Restorer(model), {}
 
@@ -189,7 +190,19 @@ class Scorer:
             return self._held({core, _LONG_RUN.sub(r"\1\1", core)}) + self._held_flat(_RUN.sub(r"\1", core))
         return ()
 
+    def _too_long(self, token: str) -> bool:
+        """Whether every spelling of a token has more letters, runs counted once, than any lexicon word."""
+        n, before = 0, set()
+        for arcs in self.restorer.lattice(token):
+            letters = {c for c, _ in arcs}
+            if "" not in letters:
+                n += letters.isdisjoint(before)
+                before = letters
+        return n > self.most
+
     def _restored(self, token: str) -> tuple[int, ...]:
+        if self._too_long(token):
+            return ()
         for form in self.restorer.restore(token):
             if form in self.index:
                 return (self.index[form],)
