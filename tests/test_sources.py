@@ -81,3 +81,16 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["permute", "-i", path, "-k", "3", "-o", f"file://{tmp_path}/p"])
     out = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
     assert set(out[0].values()) == {0} and out[1]["num_positive_kmers"] == 4 and out[2] == {"strings": 2, "walks": 1}
+
+
+def test_shared_folder_of_a_cluster_has_to_be_named():
+    from types import SimpleNamespace
+
+    from strandix.sources.storage import shared_dir
+
+    conf = SimpleNamespace(get=lambda name, default=None: default, set=lambda name, value: None)
+    session = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+    assert shared_dir(session("local[4]")).startswith("file://")
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,3000]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master))
