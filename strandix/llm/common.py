@@ -97,9 +97,11 @@ def map_column(df: DataFrame, text_col: str, fn: Callable[[list], list], *, keep
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine only where the session names none."""
+    """The folder that driver and executors share; where the session names none, one of this machine in local mode, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "strandix-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
