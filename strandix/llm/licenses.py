@@ -133,7 +133,7 @@ class LicenseScanner:
         return out
 
     def spans(self, words: list[bytes]) -> list[tuple[str, int, int, float]]:
-        """(label, first word, word after the last, covered share) of the best chain of each template."""
+        """(label, first word, word after the last, covered share) of the chains of each template, the best first, that do not overlap."""
         held = defaultdict(list)
         for at, run in self._known_runs(words):
             for end, n, state in self.automaton.matches(run, self.min_match):
@@ -141,10 +141,16 @@ class LicenseScanner:
                     held[k].append((at + end - n, stop - n, n))
         out = []
         for k, matches in sorted(held.items()):
-            cover, first, last = self._chain(sorted(matches))
-            if cover / self.sizes[k] >= self.min_cover:
+            todo = [sorted(matches)]
+            while todo:
+                some = todo.pop()
+                cover, first, last = self._chain(some)
+                if cover / self.sizes[k] < self.min_cover:
+                    continue
                 out.append((self.labels[k], first, last, cover / self.sizes[k]))
-        return out
+                # further copies of the text stand before or behind
+                todo += [x for x in ([m for m in some if m[0] + m[2] <= first], [m for m in some if m[0] >= last]) if x]
+        return sorted(out, key=lambda x: (self.labels.index(x[0]), x[1]))
 
     def _known_runs(self, words: list[bytes]):
         """Runs of template words, at least ``min_match`` long: no match crosses another word."""

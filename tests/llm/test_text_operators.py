@@ -304,6 +304,15 @@ def test_license_places_and_spans(odd, empty):
     assert len(rows) == len(ODD) + 3 and licenses.scan_licenses(empty).count() == 0
 
 
+def test_every_copy_of_a_template_is_found():
+    s = licenses.LicenseScanner()
+    mit, gpl = licenses.TEMPLATES["mit-text"], licenses.TEMPLATES["gpl-text"]
+    text = " ".join([mit, "one two three " * 20, mit, gpl, "four five " * 15, " ".join(mit.split()[:40]), "six", mit])
+    found = s.scan(text.encode())[2]
+    assert [x[0] for x in found].count("mit-text") == 4 and [x[0] for x in found].count("gpl-text") == 1
+    assert all(a[2] <= b[1] for a, b in zip(found, found[1:]) if a[0] == b[0])
+
+
 def test_known_runs_are_whole():
     s, r = licenses.LicenseScanner(min_match=4), random.Random(6)
     s.known = {"a", "b"}
