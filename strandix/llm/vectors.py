@@ -209,6 +209,22 @@ class AdditiveQuantiser:
         return out.T if norms is None else (2 * out - norms[:, None]).T
 
 
+    def estimate(self, queries: np.ndarray, codes: np.ndarray, norms: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Inner products with the coded vectors, each sum stretched to the length of the vector that it stands for.
+
+        What single precision can't hold counts as large, so that the exact products decide.
+        """
+        stretch = np.where(norms > 0, lengths / np.sqrt(np.where(norms > 0, norms, 1)), 1)
+        found = np.nan_to_num(self.lookup(queries, codes) * stretch, nan=np.inf, posinf=np.inf)
+        found[:, ~(np.isfinite(norms) & np.isfinite(lengths))] = np.inf
+        return found
+
+
+def rerank_size(n: int, rerank: int, k: int) -> int:
+    """How many of a unit's ``n`` vectors are reranked: ``rerank`` of a full range, the same share of a smaller one, and 4 k at least."""
+    return min(n, max(4 * k, -(-rerank * n // RANGE_ROWS)))
+
+
 def train_quantiser(df: DataFrame, id_col: str, vector_col: str, max_train: int = 8_192, **shape) -> AdditiveQuantiser | None:
     """Fits codebooks on the ``max_train`` vectors of smallest id hash (of the commonest length among them)."""
     rows = valid_vectors(df, id_col, vector_col, False).orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_train).collect()
@@ -219,7 +235,7 @@ def train_quantiser(df: DataFrame, id_col: str, vector_col: str, max_train: int
 
 
 def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, rerank: int = 512, max_train: int = 8_192) -> DataFrame:
-    """query_id, rank, vec_id, score: every vector is coded, ``rerank`` a unit are reranked by exact inner product."""
+    """query_id, rank, vec_id, score: every vector is coded; by the estimates of stretched sums, ``rerank`` of each full range are reranked by exact inner product."""
     aq = train_quantiser(df, id_col, vector_col, max_train)
     dim = aq.codebooks.shape[2] if aq else 0
 
@@ -227,17 +243,20 @@ def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str =
         if vectors.shape[1] != dim:
             return b""
         codes, norms = aq.encode(vectors)
-        return norms.astype("<f4").tobytes() + codes.tobytes()
+        lengths = np.sqrt((vectors**2).sum(1))
+        return norms.astype("<f4").tobytes() + lengths.astype("<f4").tobytes() + codes.tobytes()
 
     def unit(q, c):
         query_ids, queries, _ = q
         ids, vectors, extra = c
         n = len(ids)
-        if vectors.shape[1] != dim or n <= rerank:  # vectors of another length are compared exactly
+        take = rerank_size(n, rerank, k)
+        if vectors.shape[1] != dim or take == n:  # vectors of another length are compared exactly, and those that are all reranked
             near = np.broadcast_to(np.arange(n), (len(queries), n))
         else:
-            codes = np.frombuffer(extra, np.uint8, offset=4 * n).reshape(n, -1)
-            near = np.argpartition(-aq.lookup(queries, codes), rerank - 1, axis=1)[:, :rerank]
+            norms, lengths = np.frombuffer(extra, "<f4", 2 * n).reshape(2, n)
+            codes = np.frombuffer(extra, np.uint8, offset=8 * n).reshape(n, -1)
+            near = np.argpartition(-aq.estimate(queries, codes, norms, lengths), take - 1, axis=1)[:, :take]
         out = []
         for i, x, some in zip(query_ids, queries, near, strict=True):
             some = np.sort(some)

@@ -274,6 +274,31 @@ def test_additive_quantiser_recall(table):
     assert all(abs(s - dict(want[i])[j]) < 1e-12 for i in got for j, s in got[i] if j in dict(want[i]))
 
 
+def test_recall_of_the_default_shape(spark):
+    """Half of the vectors are not in the sample, and one in 32 is reranked."""
+    x = np.random.default_rng(5).standard_normal((6_000, 32))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    want = brute_search(rows, 100, 20, None, False)
+    got = by_query(vectors.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=100, max_train=3_000))
+    assert got.keys() == want.keys() and vectors.rerank_size(6_000, 512, 20) == 188
+    assert sum(len({j for j, _ in got[i]} & {j for j, _ in w}) for i, w in want.items()) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_rerank_size():
+    assert [vectors.rerank_size(n, 512, 20) for n in (0, 30, 500, 2_000, 10_260, 16_384)] == [0, 30, 80, 80, 321, 512]
+
+
+def test_estimates_that_single_precision_cannot_hold():
+    x = np.random.default_rng(4).standard_normal((300, 8))
+    aq = vectors.AdditiveQuantiser(books=4, words=16).fit(x)
+    with np.errstate(all="ignore"):
+        wide = np.concatenate([x[:20], x[:1] * 1e60])
+        codes, norms = aq.encode(wide)
+        found = aq.estimate(x[:5], codes, norms.astype("<f4"), np.sqrt((wide**2).sum(1)).astype("<f4"))
+    assert np.isfinite(found[:, :20]).all() and (found[:, 20] == np.inf).all()
+    assert np.corrcoef(found[:, :20].ravel(), (x[:5] @ x[:20].T).ravel())[0, 1] > 0.8
+
+
 def test_quantiser_norms():
     r = np.random.default_rng(3)
     x = r.standard_normal((300, 8))
