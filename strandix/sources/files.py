@@ -25,11 +25,15 @@ def _numbered(df: DataFrame) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(sequence_id, header, seq): records begin with ``>``, and their lines are put together; a final newline may lack."""
-    text = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
+    """(sequence_id, header, seq): records begin with a line that starts with ``>``, and their other lines are put together; a final newline may lack.
+
+    A header may hold further ``>``; a record without header and sequence counts for nothing.
+    """
+    text = spark.read.option("lineSep", "\n>").text(path).where(F.length(F.trim("value")) > 0)
+    text = text.withColumn("value", F.regexp_replace("value", "^>", ""))  # that of a file's first record
     rows = _numbered(text)
     lines = F.split("value", "\n", 2)
-    return rows.select(F.col("row").alias("sequence_id"), F.trim(lines[0]).alias("header"), F.regexp_replace(F.coalesce(lines[1], F.lit("")), r"\s", "").alias("seq"))
+    return rows.select(F.col("row").alias("sequence_id"), F.trim(lines[0]).alias("header"), F.regexp_replace(F.coalesce(F.get(lines, F.lit(1)), F.lit("")), r"\s", "").alias("seq"))
 
 
 def read_weighted_fasta(spark: SparkSession, path: str, k: int) -> DataFrame:
@@ -91,9 +95,23 @@ def write_fasta(df: DataFrame, path: str, id_col: str = "sequence_id", seq_col:
     rows.select(F.concat(head, F.lit("\n"), F.col(seq_col)).alias("value")).write.mode("overwrite").text(path)
 
 
-def mix_reads(left: DataFrame, right: DataFrame, limit: int, seed: int) -> DataFrame:
-    """``limit`` reads of two sets, interleaved at random."""
-    return left.union(right).orderBy(F.rand(seed)).limit(limit)
+def mix_reads(left: DataFrame, right: DataFrame, limit: int | None, seed: int, id_col: str = "sequence_id") -> DataFrame:
+    """The first ``limit`` reads (all, for None) of two sets of the same columns, interleaved at random, with their ``place`` from 0 and ``from_right``.
+
+    Each next read comes from either set with the same probability until one set ends, and the reads of a set stay in order of ``id_col``,
+    whole numbers that are distinct within a set; a read without id is left out. Reads arrive after random waits of one exponential
+    distribution, fixed by id and seed, so the merged arrivals are such an interleaving, and places are running sums without a sort of all rows.
+    """
+
+    def arrivals(df: DataFrame, side: int) -> DataFrame:
+        uniform = (F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(seed), F.lit(side)), F.lit(1 << 53)) + 0.5) / F.lit(float(1 << 53))
+        waits = df.where(F.col(id_col).isNotNull()).withColumn("__wait", (F.lit(float(1 << 20)) * -F.log(uniform)).cast("long") + 1)
+        timed = running_sums(waits, id_col, {"__wait": "__before"})
+        return timed.withColumns({"from_right": F.lit(bool(side)), "__at": 2 * (F.col("__before") + F.col("__wait")) + side, "__one": F.lit(1).cast("long")})
+
+    both = arrivals(left, 0).unionByName(arrivals(right, 1))
+    placed = running_sums(both, "__at", {"__one": "place"}).drop("__wait", "__before", "__at", "__one")
+    return placed if limit is None else placed.where(F.col("place") < limit)
 
 
 def write_metrics(df: DataFrame, path: str) -> None:

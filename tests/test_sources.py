@@ -63,6 +63,29 @@ def test_large_file_keeps_its_order(spark, tmp_path):
     assert [r.header for r in got] == [str(i) for i in range(3000)] and [r.sequence_id for r in got] == list(range(3000))
 
 
+def test_header_with_the_record_sign(spark, tmp_path):
+    path = write(tmp_path / "h.fa", ">a->b x>y\nAC\nGT\n>c > d\nTTT\n>e\n>f\nG")
+    got = files.read_fasta(spark, path).orderBy("sequence_id").collect()
+    assert [(r.sequence_id, r.header, r.seq) for r in got] == [(0, "a->b x>y", "ACGT"), (1, "c > d", "TTT"), (2, "e", ""), (3, "f", "G")]
+
+
+def test_mixed_reads_keep_the_order_of_their_files(spark):
+    reads = lambda n, base: spark.createDataFrame([(base + 3 * i, "ACGT"[i % 4]) for i in range(n)] + [(None, "A")], "sequence_id long, seq string")
+    left, right = reads(1000, 0), reads(400, 5)
+    rows = files.mix_reads(left, right, None, 7).orderBy("place").collect()
+    assert [r.place for r in rows] == list(range(1400))
+    for side, n, base in ((False, 1000, 0), (True, 400, 5)):
+        assert [r.sequence_id for r in rows if r.from_right is side] == [base + 3 * i for i in range(n)]
+    assert 150 < sum(r.from_right for r in rows[:400]) < 250  # either with the same probability while both last
+    switches = sum(x.from_right != y.from_right for x, y in zip(rows[:400], rows[1:400]))
+    assert 150 < switches < 250
+    some = files.mix_reads(left, right, 90, 7).orderBy("place").collect()
+    assert some == rows[:90]
+    assert files.mix_reads(left, right, 90, 8).orderBy("place").collect() != some
+    assert [r.sequence_id for r in files.mix_reads(left.limit(0), right, None, 7).orderBy("place").collect()] == [5 + 3 * i for i in range(400)]
+    assert files.mix_reads(left.limit(0), right.limit(0), 5, 7).count() == 0
+
+
 def test_stream(spark, tmp_path):
     d = Dictionary.build(spark.createDataFrame([(0, "AACTGGA")], "sequence_id long, seq string"), Config(k=3, m=2))
     spark.createDataFrame([(1, "AACTN"), (2, "TTT")], "read_id long, seq string").write.parquet(f"file://{tmp_path}/in")
