@@ -9,7 +9,7 @@ from ..config import Config
 from ..functions.sequence import dna_of, reverse_complement
 from ..operators.dictionary import Dictionary
 
-MILLION = 1 << 20
+STRETCHES = 1 << 27  # of a text; more, in a text of over 134 million characters, are an error
 _BUILT: dict[tuple, Dictionary] = {}
 
 
@@ -20,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def index_sequences(df: DataFrame, key: str, k: int) -> DataFrame:
     """(sequence_id, seq): stretches of letters of at least k, in order of row key and place."""
     parts = df.select(F.col(key).alias("id"), F.posexplode(F.split(dna_of(F.col("text")), "N")).alias("i", "seq"))
-    return parts.where(F.length("seq") >= k).select((F.col("id") * MILLION + F.col("i")).alias("sequence_id"), "seq")
+    place = F.when(F.col("i") < STRETCHES, F.col("i")).otherwise(F.raise_error(F.lit("a text has too many stretches for its sequence ids")))
+    return parts.where(F.length("seq") >= k).select((F.col("id") * STRETCHES + place).alias("sequence_id"), "seq")
 
 
 def reads_of(df: DataFrame, key: str, flip: bool = False) -> DataFrame:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from ..operators.minimizers import MULTIPLIER
+from .inputs import STRETCHES
 
-MILLION = 1048576
 DNA = "translate(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz0123456789', '" + "ACGT" * 6 + "AC" + "N" * 10 + "')"
 RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
 
@@ -17,7 +17,7 @@ def pieces(k: int, table: str = "documents", key: str = "doc_id") -> str:
     """CTE of index sequences: the stretches without N."""
     return (
         f"dna_rows as (select {key} id, string_split({DNA}, 'N') parts from {table} where text is not null), "
-        f"pieces as (select id * {MILLION} + i - 1 sid, parts[i] seq from dna_rows, unnest(range(1, len(parts) + 1)) t(i) where length(parts[i]) >= {k})"
+        f"pieces as (select id * {STRETCHES} + i - 1 sid, parts[i] seq from dna_rows, unnest(range(1, len(parts) + 1)) t(i) where length(parts[i]) >= {k})"
     )
 
 

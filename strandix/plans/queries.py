@@ -17,9 +17,9 @@ from ..operators import reads as R
 from ..operators import reorder as O
 from ..operators import statistics as T
 from ..operators import weights as W
-from ..operators.dictionary import RESULT, Dictionary
+from ..operators.dictionary import RESULT, Dictionary, running_sums
 from ..operators.protein import protein_kmers
-from ..sources.files import read_blank_separated, read_fasta, read_fastq, read_segments, read_weighted_fasta, write_fasta
+from ..sources.files import mix_reads, read_blank_separated, read_fasta, read_fastq, read_segments, read_weighted_fasta, write_fasta
 from ..sources.storage import shared_dir
 from . import oracle as Q
 from .inputs import index_of, index_sequences, reads_of, table
@@ -485,6 +485,16 @@ def fastq_round_trip(spark, sf_dir):
     return read_fastq(spark, path)
 
 
+@query("select false from_right, doc_id sequence_id, row_number() over (order by doc_id) - 1 nth, cast(length(" + Q.DNA + ") as bigint) bases from documents union all "
+       "select true, item_id, row_number() over (order by item_id) - 1, cast(length(" + Q.DNA + ") as bigint) from benchmark")
+def mixed_reads(spark, sf_dir):
+    """Documents and benchmark texts as reads, mixed at random; counted along the mix, the reads of each table come in the order of their ids, and all come."""
+    left, right = (reads_of(table(spark, sf_dir, t), key).select(F.col("read_id").cast("long").alias("sequence_id"), "seq") for t, key in (("documents", "doc_id"), ("benchmark", "item_id")))
+    mixed = mix_reads(left, right, None, SEED).withColumn("one", F.lit(1).cast("long"))
+    sides = [running_sums(mixed.where(F.col("from_right") == side), "place", {"one": "nth"}) for side in (False, True)]
+    return sides[0].unionByName(sides[1]).select("from_right", "sequence_id", "nth", F.length("seq").cast("long").alias("bases"))
+
+
 @query(_ROUND)
 def gzip_round_trip(spark, sf_dir):
     path = _folder(spark)

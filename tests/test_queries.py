@@ -18,7 +18,7 @@ def test_entry_module_names_match():
 
 
 @pytest.mark.skipif(not os.path.isdir(SMOKE) or importlib.util.find_spec("duckdb") is None, reason="no tables or no DuckDB")
-@pytest.mark.parametrize("name", ["read_report_total", "kmer_table", "buckets", "weight_runs", "protein_kmer_count", "degree_histogram", "reordering_accounting", "packed_functions", "skew_partitions", "locate_offsets", "weighted_fasta_dictionary", "read_report_percent", "members_forward_only"])
+@pytest.mark.parametrize("name", ["read_report_total", "kmer_table", "buckets", "weight_runs", "protein_kmer_count", "degree_histogram", "reordering_accounting", "packed_functions", "skew_partitions", "locate_offsets", "weighted_fasta_dictionary", "read_report_percent", "members_forward_only", "mixed_reads"])
 def test_query_equals_sql(spark, name):
     import duckdb
 
