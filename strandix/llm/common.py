@@ -109,13 +109,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a table in the shared folder: later reads survive lost executors, and the shuffles behind it can go."""
+    return written_at(df, what)[0]
+
+
+def written_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """``written``, and the table's path, for ``erase``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandix/{what}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     del df
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path), path
+
+
+def erase(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables that nothing will read again."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -9,17 +9,18 @@ at equal places, so corpus order to this depth can be put together trigger by tr
    of texts sorts its own phrases and sends one entry a content, that of its smallest document; the other documents lose
    the phrase whole at once. The bucket of a trigger merges the entries: a phrase whose content stands in a smaller document goes
    whole, and triggers of one document end there.
-2. The dictionary's. Contents that remain, once each, of triggers that have several; their suffixes are sorted to depth ``DEPTH`` on
-   their bytes.
+2. The dictionary's. Contents that remain, once each, of triggers that have several, if some string of theirs can stand in another
+   document's: a string holds ``SIDE`` bytes on the left of its trigger, or as many on the right, so two contents that differ on both
+   sides share none. Their suffixes are sorted to depth ``DEPTH`` on their bytes.
 
 Both combine to corpus order: a run of equal suffixes takes its documents from the parse's order of their phrases, and its smallest
 document decides. What is removed is told as (content, bits of its strings) a document, however often the document repeats the content,
 and is turned into places where the text is parsed again.
 
 A trigger that stands in all documents before ever new words has too many contents for one suffix array. Its strings are dealt out one
-by one by a 128-bit digest: a trigger with more than ``HOT`` contents altogether, and what a task finds of a trigger beyond
-``OFTEN`` entries, which go to buckets of contents while a marker tells the trigger's bucket. So a trigger's bucket gets at most
-``OFTEN`` entries and a marker a task, and a content or a string one entry a slice.
+by one by a 128-bit digest: a trigger with more than ``HOT`` contents for the dictionary, and what a task finds of a trigger beyond
+``OFTEN`` entries for each ``OFTEN_BYTES`` of text, which go to buckets of contents while a marker tells the trigger's bucket. So a
+trigger's bucket gets at most as many entries and a marker a task, and a content or a string one entry a slice.
 
 Phrase contents are compared by about 100 bits of hashes (of trigger, bytes and length), strings within the dictionary by their bytes.
 
@@ -39,18 +40,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, erase, release, written, written_at
 
-DEPTH, GRAM, HOT, OFTEN = 50, 16, 1_024, 64
+DEPTH, GRAM, HOT, OFTEN = 50, 16, 8_192, 64
+SIDE = (DEPTH - GRAM) // 2  # every string of a phrase holds as many bytes on the left of its trigger, or on the right
 BUCKET_BYTES = 8 << 20  # bytes of text whose phrases share a bucket
 PARSE_BYTES = 2 << 20  # of text that is parsed at a time; a longer text is parsed in segments that overlap by the depth less one
 GROUP_PHRASES = 8_000  # of the dictionary that one suffix array holds, beside what its last trigger adds
 BUCKET_STRINGS = 200_000  # of dealt strings that share a bucket
-CELL_BITS = 24  # of a task's counts of entries by trigger
+OFTEN_BYTES = 32 << 20  # of text that a task reads, for each of which it sends OFTEN entries of a trigger
+CELL_BITS = 23  # of a task's counts of entries by trigger
 BITMAP_BITS = 26
 ALL = np.uint64(2**64 - 1)
 
-_ENTRY = np.dtype([("h", "<u4"), ("c", "<u8"), ("doc", "<u2"), ("p", "<u4"), ("n", "u1")])  # a marker has no strings
+_ENTRY = np.dtype([("h", "<u4"), ("c", "<u8"), ("doc", "<u2"), ("p", "<u4"), ("n", "u1"), ("l", "<u2"), ("r", "<u2")])  # a marker has no strings
 _STRING = np.dtype([("d", "<u8"), ("e", "<u8"), ("c", "<u8"), ("doc", "<u2"), ("q", "u1")])
 _WHOLE = np.dtype([("doc", "<u2"), ("c", "<u8")])
 _WANTED = np.dtype([("doc", "<u2"), ("c", "<u8"), ("p", "<u4"), ("n", "u1"), ("h", "<i8"), ("hot", "u1")])
@@ -72,14 +75,34 @@ def _grams(joint: bytes) -> np.ndarray:
     return a
 
 
+def _sides(grams: np.ndarray, trigger: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``SIDE`` bytes on the left and on the right of each trigger, not 0; 0 where no string of the phrase holds them."""
+    out = []
+    for places, holds in (
+        ((trigger - SIDE, trigger - 1), trigger - start >= SIDE),
+        ((trigger + GRAM, trigger + SIDE), trigger - (start + count - 1) <= DEPTH - GRAM - SIDE),
+    ):
+        a, b = (grams[np.clip(x, 0, len(grams) - 1)] for x in places)
+        a = (a * _M[4] ^ (b >> np.uint64(27))) + b * _M[5]
+        a ^= a >> np.uint64(32)
+        a *= _M[0]
+        out.append(np.where(holds, np.maximum(a >> np.uint64(48), np.uint64(1)), np.uint64(0)).astype(np.uint16))
+    return out[0], out[1]
+
+
 def parse(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Phrases of texts of at most 16 MB in all: text, place, number of strings, trigger hash, content hash."""
+    return _parse(texts)[:5]
+
+
+def _parse(texts: list[bytes], sides: bool = False) -> tuple[np.ndarray, ...]:
+    """The columns of ``parse`` and, with ``sides``, the hashes of both sides of the trigger."""
     sizes = np.array([len(x) for x in texts], np.int64)
     offsets = np.cumsum(sizes) - sizes
     joint = b"".join(texts)
     if len(joint) < DEPTH:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), *(none.astype(np.uint16),) * 2
     grams = _grams(joint)
     # the place in the low bits makes the leftmost of equal hashes the smallest
     low = (grams & ~np.uint64(0xFFFFFF)) | np.arange(len(grams), dtype=np.uint64)
@@ -91,7 +114,7 @@ def parse(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         valid[max(a, a + n - DEPTH + 1) : a + n] = False
     at = np.flatnonzero(valid)
     if not len(at):
-        return parse([])
+        return _parse([])
     trigger = (low[at] & np.uint64(0xFFFFFF)).astype(np.int64)
     fresh = np.flatnonzero((np.diff(trigger) != 0) | (np.diff(at) != 1)) + 1
     first = np.concatenate([[0], fresh])
@@ -105,7 +128,7 @@ def parse(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         content *= _M[(k + 1) % 6]
     content ^= content >> np.uint64(33)
     text = np.searchsorted(offsets, start, side="right") - 1
-    return text, start - offsets[text], count, grams[trigger], content
+    return text, start - offsets[text], count, grams[trigger], content, *(_sides(grams, trigger, start, count) if sides else ())
 
 
 def _pieces(text: bytes):
@@ -186,11 +209,12 @@ def packed_phrases(rows: DataFrame, buckets: int) -> DataFrame:
     """The phrases of ``rows`` (id, key, text), packed by slice and bucket; buckets of contents come after those of triggers."""
 
     def run(batches):
-        seen, n, home, known = np.zeros(1 << CELL_BITS, np.uint8), 0, TaskContext.get().partitionId(), set()
+        seen, n, home, known, read = np.zeros(1 << CELL_BITS, np.uint16), 0, TaskContext.get().partitionId(), set(), 0
         for part in _segments(batches):
             ids, keys, doc = _documents([x[0] for x in part], [x[1] for x in part])
             shift = np.array([x[2] for x in part])
-            text, place, count, h, c = parse([x[3] for x in part])
+            text, place, count, h, c, left, right = _parse([x[3] for x in part], sides=True)
+            read += sum(len(x[3]) for x in part)
             send, goes = slice_order(ids, doc[text], c)
             cell = (h[send] >> np.uint64(64 - CELL_BITS)).astype(np.int64)
             held, at, times = np.unique(cell, return_inverse=True, return_counts=True)
@@ -199,8 +223,8 @@ def packed_phrases(rows: DataFrame, buckets: int) -> DataFrame:
             order = np.argsort(at, kind="stable")
             nth[order] = np.arange(len(cell)) - np.repeat(np.cumsum(times) - times, times)
             nth += seen[cell]
-            seen[held] = np.minimum(seen[held] + np.minimum(times, 255), 255).astype(np.uint8)
-            often = np.flatnonzero(nth >= OFTEN)
+            seen[held] = np.minimum(seen[held] + np.minimum(times, 65535), 65535).astype(np.uint16)
+            often = np.flatnonzero(nth >= OFTEN * min(1 + read // OFTEN_BYTES, 65535 // OFTEN))
             # a trigger, some of whose entries go elsewhere, is marked once a task
             _, one = np.unique(h[send[often]], return_index=True)
             first = np.array([k for k, x in zip(often[one].tolist(), h[send[often[one]]].tolist(), strict=True) if x not in known], np.int64)
@@ -208,6 +232,7 @@ def packed_phrases(rows: DataFrame, buckets: int) -> DataFrame:
             entries = np.empty(len(send) + len(first), _ENTRY)
             own, marks = entries[: len(send)], entries[len(send) :]
             own["h"], own["c"], own["doc"], own["p"], own["n"] = h[send] >> np.uint64(32), c[send], doc[text[send]], place[send] + shift[text[send]], count[send]
+            own["l"], own["r"] = left[send], right[send]
             marks[:] = own[first]
             marks["n"] = 0
             by_trigger = (h[send] % np.uint64(buckets)).astype(np.int64)
@@ -249,6 +274,16 @@ def _answers(parts: pd.DataFrame, home: pd.DataFrame, **answers: tuple[np.ndarra
     return pd.DataFrame(out)
 
 
+def _open(group: np.ndarray, side: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether contents of a group with these bytes on a side of the trigger, if any, stand first in several documents."""
+    order = np.lexsort((side, group))
+    edges = _edges(group[order], side[order])
+    several = np.minimum.reduceat(least[order], edges[:-1]) != np.maximum.reduceat(least[order], edges[:-1])
+    out = np.empty(len(group), bool)
+    out[order] = np.repeat(several, np.diff(edges))
+    return out & (side > 0)
+
+
 def decide(bucket: int, parts: pd.DataFrame, by_content: bool = False) -> pd.DataFrame:
     """The parse's order within a bucket of triggers, or of contents: those that go whole, and those that the dictionary has to settle."""
     home, parts = parts[parts["entries"].isna()], parts[parts["entries"].notna()]
@@ -274,10 +309,11 @@ def decide(bucket: int, parts: pd.DataFrame, by_content: bool = False) -> pd.Dat
     group = np.repeat(np.arange(len(h_edges) - 1), np.diff(h_edges))
     least = ids[c_edges[:-1]]  # of each content, as ids ascend within it
     first_content = content[h_edges[:-1]]
-    contents = np.diff(np.append(first_content, len(least)))
-    open_ = np.minimum.reduceat(least, first_content) != np.maximum.reduceat(least, first_content)
+    at = c_edges[:-1]
+    open_ = _open(group[at], e["l"][at], least) | _open(group[at], e["r"][at], least)
     goes = ids > least[content]
-    wanted = ~goes & (open_[group] | marked)
+    wanted = ~goes & (open_[content] | marked)
+    contents = np.add.reduceat(open_.astype(np.int64), first_content)
     asks = np.empty(int(wanted.sum()), _WANTED)
     asks["doc"], asks["c"], asks["p"], asks["n"] = doc[wanted], e["c"][wanted], e["p"][wanted], e["n"][wanted]
     # bucket and trigger in one number; a collision only adds strings to a comparison
@@ -441,7 +477,7 @@ def _strings(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def removals(rows: DataFrame) -> DataFrame:
-    """(id, key, whole, masks): for rows (id, key, text) the phrase contents of which all, or some, strings stand in a smaller document."""
+    """(id, key, whole, masks), from tables: for rows (id, key, text) the phrase contents of which all, or some, strings stand in a smaller document."""
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
 
@@ -452,13 +488,16 @@ def removals(rows: DataFrame) -> DataFrame:
     marks = written(marks.drop("masks"), "suffix-marks")
     asked = marks.where("wanted is not null")
     near = rows.where(_marked(asked.select("key"))).join(asked.groupBy("id", "key").agg(F.collect_list("wanted").alias("wanted")), ["id", "key"]).select("id", "key", "text", "wanted")
+    release(rows.sparkSession)  # a job that has only just ended may still hold its shuffles
     string_buckets = max(8, total // (4 * BUCKET_STRINGS))
-    strings = written(_strings(near, string_buckets), "suffix-strings")
+    strings, strings_at = written_at(_strings(near, string_buckets), "suffix-strings")
     dictionary = strings.where("content is not null")
     groups = max(1, dictionary.count() // GROUP_PHRASES)
     settled = dictionary.select("h", "id", "key", "c", "content", F.pmod(F.xxhash64("h"), F.lit(groups)).alias("g")).groupBy("g").applyInPandas(settle, "id long, key long, masks binary")
+    settled = written(settled, "suffix-settled")  # the shuffles of the dictionary and of dealt strings are not there at one time
     dealt = strings.where("content is null").select(*_COLUMNS).groupBy("bucket").applyInPandas(decide_strings, _DECIDED)
-    dealt = told_documents(dealt).select("id", "key", "masks")
+    dealt = written(told_documents(dealt).select("id", "key", "masks"), "suffix-dealt")
+    erase(rows.sparkSession, strings_at)
     none = F.lit(None).cast("binary")
     whole = marks.where("whole is not null").select("id", "key", "whole", none.alias("masks"))
     return whole.union(settled.union(dealt).select("id", "key", none, "masks"))
@@ -524,8 +563,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = df.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.cast("binary").alias("text"))
-    marks = written(removals(rows.where(F.col("id").isNotNull() & (F.length("text") >= DEPTH))), "suffix-removals")
+    marks = removals(rows.where(F.col("id").isNotNull() & (F.length("text") >= DEPTH)))
     marked = F.coalesce(F.col("id").isNotNull(), F.lit(False)) & _marked(marks.select("key"))
+    release(df.sparkSession)
     gathered = marks.groupBy("id", "key").agg(F.collect_list("whole").alias("whole"), F.collect_list("masks").alias("masks"))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import pathlib
 import random
 
 import numpy as np
@@ -331,3 +332,41 @@ def test_a_line_of_all_documents_and_a_phrase_without_end(spark):
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     have = collections.Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got)
     assert have == brute_repeats(rows)
+
+def test_phrases_that_share_little_more_than_a_trigger_are_settled_at_once(spark):
+    """Words of 18 bytes stand in many documents, strings of 50 bytes in few: before ever new neighbours, a word is no entry of the dictionary."""
+    r = random.Random(7)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(17)) + " " for _ in range(300)]
+    rows = [(i, "".join(r.choice(words) for _ in range(30))) for i in range(200)]
+    rows += [(1_000 + i, "".join(r.choice(words) for _ in range(4)) + rows[i][1][90 + i : 300]) for i in range(20)]
+    df = spark.createDataFrame([(i, i, x.encode()) for i, x in rows], "id long, key long, text binary").coalesce(2)
+    packed = suffix_dedup.packed_phrases(df, 8).toPandas()
+    decided = [suffix_dedup.decide(b, parts, b >= 8) for b, parts in packed.groupby("bucket")]
+    wanted = sum(len(x) for d in decided for x in d["wanted"] if x) // suffix_dedup._WANTED.itemsize
+    assert wanted < 0.25 * sum(len(x) for x in packed["entries"] if x) // suffix_dedup._ENTRY.itemsize
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    have = collections.Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got)
+    assert have == brute_repeats(rows)
+
+
+def test_sides_tell_all_phrases_that_share_a_string():
+    """Equal strings of one trigger have equal bytes, on the left or on the right of it, that both phrases tell."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcd ") for _ in range(r.randint(10, 40))) for _ in range(15)]
+    texts = ["".join(r.choice(words) for _ in range(12)).encode() for _ in range(60)]
+    text, place, count, h, _, left, right = suffix_dedup._parse(texts, sides=True)
+    assert ((left > 0) | (right > 0)).all()
+    holders = collections.defaultdict(list)
+    for i, (t, p, n) in enumerate(zip(text.tolist(), place.tolist(), count.tolist(), strict=True)):
+        for k in range(n):
+            holders[texts[t][p + k : p + k + 50]].append(i)
+    shared = [(a[0], b) for a in holders.values() for b in a[1:]]
+    assert len(shared) > 1_000
+    assert all(h[a] == h[b] and (0 < left[a] == left[b] or 0 < right[a] == right[b]) for a, b in shared)
+
+
+def test_tables_of_a_finished_step_are_deleted(spark):
+    suffix_dedup.remove_repeats(spark.createDataFrame(repeats(3), "doc_id long, text string")).count()
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), "strandix")
+    # the one is still read, the other's strings are settled
+    assert {x.name.rpartition("-")[0] for x in folder.iterdir()} & {"suffix-marks", "suffix-strings"} == {"suffix-marks"}
