@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, erase, release, written, written_at
+from .common import documents, erase, release, small_batches, written, written_at
 
 DEPTH, GRAM, HOT, OFTEN = 50, 16, 8_192, 64
 SIDE = (DEPTH - GRAM) // 2  # every string of a phrase holds as many bytes on the left of its trigger, or on the right
@@ -139,8 +139,8 @@ def _pieces(text: bytes):
 
 def _segments(batches):
     """Lists of (id, key, offset, bytes), of bounded size."""
+    held, size = [], 0
     for batch in batches:
-        held, size = [], 0
         ids, keys, texts = (batch.column(i) for i in range(3))
         for row in range(batch.num_rows):
             for at, piece in _pieces(texts[row].as_py()):
@@ -149,8 +149,8 @@ def _segments(batches):
                     held, size = [], 0
                 held.append((ids[row].as_py(), keys[row].as_py(), at, piece))
                 size += len(piece)
-        if held:
-            yield held
+    if held:
+        yield held
 
 
 def _edges(*keys: np.ndarray) -> np.ndarray:
@@ -453,6 +453,12 @@ def _strings(rows: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         part, n = TaskContext.get().partitionId(), 0
         hot, size = [], 0
+        held, found = [], 0  # a batch of the dictionary is made of many documents
+
+        def dictionary() -> pa.RecordBatch:
+            joint = {name: np.concatenate([x[k] for x in held]) for k, name in enumerate(("h", "id", "key", "c"))}
+            return table(**{name: pa.array(x, pa.int64()) for name, x in joint.items()}, content=pa.array([y for x in held for y in x[4]], pa.binary()))
+
         for batch in batches:
             ids, keys, texts, asks = (batch.column(i) for i in range(4))
             for row in range(batch.num_rows):
@@ -469,7 +475,13 @@ def _strings(rows: DataFrame, buckets: int) -> DataFrame:
                 for at in range(0, len(a), 20_000):
                     b = a[at : at + 20_000]
                     content = [text[p : p + m - 1 + DEPTH] for p, m in zip(b["p"].tolist(), b["n"].tolist(), strict=True)]
-                    yield table(h=pa.array(b["h"].astype(np.int64)), id=[i] * len(b), key=[k] * len(b), c=pa.array(b["c"].astype(np.uint64).view(np.int64)), content=content)
+                    held.append((b["h"].astype(np.int64), np.full(len(b), i), np.full(len(b), k), b["c"].astype(np.uint64).view(np.int64), content))
+                    found += len(b)
+                    if found >= 20_000:
+                        yield dictionary()
+                        held, found = [], 0
+        if held:
+            yield dictionary()
         if hot:
             yield hot_rows(part << 32 | n, n % buckets, hot)
 
@@ -563,6 +575,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = df.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.cast("binary").alias("text"))
+    small_batches(df.sparkSession)
     marks = removals(rows.where(F.col("id").isNotNull() & (F.length("text") >= DEPTH)))
     marked = F.coalesce(F.col("id").isNotNull(), F.lit(False)) & _marked(marks.select("key"))
     release(df.sparkSession)

@@ -4,8 +4,10 @@ import collections
 import hashlib
 import pathlib
 import random
+import types
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -370,3 +372,26 @@ def test_tables_of_a_finished_step_are_deleted(spark):
     folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), "strandix")
     # the one is still read, the other's strings are settled
     assert {x.name.rpartition("-")[0] for x in folder.iterdir()} & {"suffix-marks", "suffix-strings"} == {"suffix-marks"}
+
+
+def test_small_batches_share_a_slice(spark):
+    """A slice of phrases is filled from many Arrow batches, and batches that carry texts have few rows."""
+    batch = lambda i: pa.RecordBatch.from_arrays([pa.array([i]), pa.array([i]), pa.array([b"x" * 100])], names=["id", "key", "text"])
+    assert [len(x) for x in suffix_dedup._segments(map(batch, range(50)))] == [50]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(name)
+    suffix_dedup.remove_repeats(spark.createDataFrame(repeats(4), "doc_id long, text string"))
+    assert int(spark.conf.get(name)) <= 2_000
+
+
+def test_dictionary_rows_of_many_documents_share_a_batch(monkeypatch):
+    """What is found in a partition's documents leaves the worker in one batch, not in one a document."""
+    monkeypatch.setattr(suffix_dedup, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    run = suffix_dedup._strings(types.SimpleNamespace(mapInArrow=lambda run, schema: run), 8)
+    asks = np.zeros(1, suffix_dedup._WANTED)
+    asks["n"], asks["h"], asks["p"] = 3, 1, 5
+    columns = [pa.array(range(300)), pa.array(range(300)), pa.array([b"text " + bytes([65 + i % 20]) * 60 for i in range(300)]), pa.array([[asks.tobytes()]] * 300, pa.list_(pa.binary()))]
+    made = list(run([pa.RecordBatch.from_arrays(columns, names=["id", "key", "text", "wanted"]).slice(i, 10) for i in range(0, 300, 10)]))
+    assert [x.num_rows for x in made] == [300]
+    assert made[0].column(1).to_pylist() == list(range(300))
+    assert made[0].column(4).to_pylist() == [bytes([65 + i % 20]) * 52 for i in range(300)]
