@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from . import oracle
+from . import lexical, oracle, warc
+from .alignment import op13_cross_tokenizer
 from .bpe import op9_bpe
+from .lexical import op12_impact_ranking
 from .licenses import op10_license_scan
 from .mixing import op2_source_mixing
 from .mixing import oracle_sql as mixing_sql
@@ -13,6 +15,7 @@ from .secrets import op4_secret_scan
 from .suffix_dedup import op5_suffix_dedup
 from .toxicity import op3_toxicity
 from .vectors import op6_block_topk, op8_additive_quantisation
+from .warc import op11_warc_histories
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
@@ -25,9 +28,14 @@ QUERIES = {
     "op8_additive_quantisation": op8_additive_quantisation,
     "op9_bpe": op9_bpe,
     "op10_license_scan": op10_license_scan,
+    "op11_warc_histories": op11_warc_histories,
+    "op12_impact_ranking": op12_impact_ranking,
+    "op13_cross_tokenizer": op13_cross_tokenizer,
 }
 ORACLE: dict[str, str] = {
     "op1_ngram_join": oracle.ngram_components(),
     "op2_source_mixing": mixing_sql(),
     "op6_block_topk": oracle.top_inner_products(),
+    "op11_warc_histories": warc.oracle_sql(),
+    "op12_impact_ranking": lexical.oracle_sql(),
 }
