@@ -9,35 +9,19 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import VERSION, Config
 from ..functions import sequence as S
-from ..sources.storage import shared_dir, stored
-from .kmerize import kmerize
+from ..sources.storage import bucketed, bucketed_at, buckets_for, erase, shared_dir, stored
+from .blocks import number_blocks, stitched
+from .kmerize import cut, kmerize_places
+from .running import running_sums
 
-BLOCKS = 4_096  # of ids, for running sums without a single task over all rows
 RESULT = ("kmer_id", "kmer_id_in_string", "kmer_offset", "kmer_orientation", "string_id", "string_begin", "string_end")
 
 
-def running_sums(df: DataFrame, key: str, sums: dict[str, str]) -> DataFrame:
-    """Adds, under the names in ``sums``, the sum of each column over all smaller keys; keys are distinct whole numbers.
-
-    Rows are summed within blocks of the key range, and the blocks, whose number is fixed, among themselves.
-    """
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    span = max(1, -(-((high or 0) - (low or 0) + 1) // BLOCKS))
-    df = df.withColumn("__block", F.floor((F.col(key) - F.lit(low or 0)) / F.lit(span)).cast("long"))
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy("__block").agg(*(F.sum(c).alias(f"__sum_{c}") for c in sums))
-    over = before(Window.orderBy("__block"))
-    totals = totals.select("__block", *(F.coalesce(F.sum(f"__sum_{c}").over(over), F.lit(0)).alias(f"__base_{c}") for c in sums))
-    within = before(Window.partitionBy("__block").orderBy(key))
-    df = df.join(totals, "__block").withColumns({name: F.col(f"__base_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for c, name in sums.items()})
-    return df.drop("__block", *(f"__base_{c}" for c in sums))
-
-
 class Dictionary:
     """``kmers`` (kmer_id, string_id, kmer_id_in_string, kmer_offset, string_kmers, ckey, strand, weight) and
     ``strings`` (string_id, seq, len, num_kmers, string_begin, string_end, first_kmer_id)."""
@@ -53,69 +37,76 @@ class Dictionary:
 
         Sequence ids are distinct whole numbers whose order is that of the input. Each k-mer keeps its first occurrence, so
         duplicate-free input is stored as it is. Windows with other characters than ACGT are left out, as are null sequences
-        and those shorter than k. Without given weights, a k-mer's weight is the number of its occurrences.
+        and those shorter than k. Without given weights, a k-mer's weight is the number of its occurrences. With a column ``start``, rows
+        are pieces of sequences from there on, each with the first k - 1 bases of the next, so that a sequence may have any length.
+
+        All sequences lie on one line of places. A k-mer's first place and its strand are one number, whose minimum is a fixed-width
+        aggregate; what is stored is numbered in blocks of places, and strings that cross blocks are stitched by a row a block.
         """
         config = config or Config()
         spark, k = sequences.sparkSession, config.k
         path = path or f"{shared_dir(spark)}/strandix/dictionary-{uuid.uuid4().hex}"
-        windows = kmerize(sequences, "sequence_id", "seq", k)
-        first = windows.groupBy("ckey").agg(F.min(F.struct("id", "pos", "strand")).alias("f"), F.count("*").alias("weight"))
-        first = first.select("ckey", "f.id", "f.pos", "f.strand", "weight")
+        parts = [f"{path}/{x}" for x in ("pieces", "begins", "numbered", "blocks")]
+        pieces = stored(cut(sequences.select(F.col("sequence_id").cast("long").alias("id"), *(c for c in ("seq", "start") if c in sequences.columns)), k, "seq", "start" if "start" in sequences.columns else None).withColumn("size", F.length("seq").cast("long")), parts[0])
+        # sequences lie one after another, a place between them
+        lengths = pieces.groupBy("id").agg((F.max(F.col("start") + F.col("size")) + 1).alias("bases"))
+        begins = stored(running_sums(lengths, "id", {"bases": "begin"}).select("id", "begin"), parts[1])
+        placed = pieces.join(begins, "id").select((F.col("begin") + F.col("start")).alias("place"), "seq").repartition("place")
+        first = kmerize_places(placed, k).groupBy("ckey").agg(F.min("at").alias("at"), F.count("*").alias("weight"))
+        first = first.select("ckey", F.shiftright("at", 2).alias("place"), (F.col("at").bitwiseAND(F.lit(3)) - 1).cast("int").alias("strand"), "weight")
         if "weights" in sequences.columns:
-            given = sequences.select(F.col("sequence_id").alias("id"), F.posexplode("weights").alias("pos", "given"))
-            first = first.join(given.withColumn("pos", F.col("pos").cast("long")), ["id", "pos"], "left").withColumn("weight", F.coalesce("given", "weight")).drop("given")
-        along = Window.partitionBy("id").orderBy("pos")
-        breaks = F.when(F.col("pos") - F.lag("pos").over(along) == 1, 0).otherwise(1)
-        placed = first.withColumns({"new": breaks, "rank": (F.row_number().over(along) - 1).cast("long")})
-        placed = placed.withColumn("island", F.sum("new").over(along) - 1)
-        # windows by (id, island) keep the partitioning by id: one shuffle serves ranks, islands and their sizes
-        island = Window.partitionBy("id", "island")
-        placed = placed.withColumns({"first_rank": F.min("rank").over(island), "start": F.min("pos").over(island), "string_kmers": F.count("*").over(island)})
-        placed = stored(placed, f"{path}/placed")
-        per_sequence = placed.groupBy("id").agg(F.count("*").alias("n"), F.sum("new").alias("s"))
-        bases = stored(running_sums(per_sequence, "id", {"n": "kmer_base", "s": "string_base"}).select("id", "kmer_base", "string_base"), f"{path}/bases")
-        islands = placed.where("new = 1").select("id", "island", "first_rank", "start", F.col("string_kmers").alias("num_kmers")).join(bases, "id")
-        strings = islands.join(sequences.select(F.col("sequence_id").cast("long").alias("id"), "seq"), "id").select(
-            (F.col("string_base") + F.col("island")).alias("string_id"),
-            F.upper(F.substring(F.col("seq"), (F.col("start") + 1).cast("int"), (F.col("num_kmers") + k - 1).cast("int"))).alias("seq"),
-            (F.col("num_kmers") + k - 1).alias("len"),
-            "num_kmers",
-            (F.col("kmer_base") + F.col("first_rank")).alias("first_kmer_id"),
-        )
+            given = sequences.select(F.col("sequence_id").cast("long").alias("id"), F.posexplode("weights").alias("pos", "given")).join(begins, "id")
+            first = first.join(given.select((F.col("begin") + F.col("pos")).alias("place"), "given"), "place", "left").withColumn("weight", F.coalesce("given", "weight")).drop("given")
+        numbered = stored(number_blocks(first, k), parts[2])
+        blocks, total = stitched(numbered, parts[3])
+        at = numbered.join(blocks, "block").withColumns({
+            "string_id": F.col("string_base") + F.col("fragment") - 1 - F.col("joins"),
+            "first_kmer_id": F.when((F.col("fragment") == 1) & (F.col("joins") == 1), F.col("begun")).otherwise(F.col("kmer_base") + F.col("first_rank")),
+            "end_kmer_id": F.when((F.col("fragment") == F.col("fragments")) & (F.col("joined") == 1), F.col("ends")).otherwise(F.col("kmer_base") + F.col("first_rank") + F.col("size")),
+            "kmer_id": F.col("kmer_base") + F.col("rank"),
+        })
+        whole = ((F.col("fragment") > 1) | (F.col("joins") == 0)) & ((F.col("fragment") < F.col("fragments")) | (F.col("joined") == 0))
+        spelled = at.where(F.col("bases").isNotNull())
+        # a string over a border of blocks is put together from its fragments; those after the first bring a base a k-mer
+        over = spelled.where(~whole).groupBy("string_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kmer_id", F.expr(f"if(kmer_id = first_kmer_id, bases, substring(bases, {k}))").alias("bases")))), lambda x: x["bases"]), "").alias("seq"), F.min("first_kmer_id").alias("first_kmer_id"))
+        strings = spelled.where(whole).select("string_id", F.col("bases").alias("seq"), "first_kmer_id").unionByName(over)
+        length = F.length("seq").cast("long")
         begin = F.col("first_kmer_id") + F.col("string_id") * (k - 1)
-        strings = strings.withColumns({"string_begin": begin, "string_end": begin + F.col("len")})
-        kmers = placed.join(bases, "id").select(
-            (F.col("kmer_base") + F.col("rank")).alias("kmer_id"),
-            (F.col("string_base") + F.col("island")).alias("string_id"),
-            (F.col("rank") - F.col("first_rank")).alias("kmer_id_in_string"),
-            (F.col("kmer_base") + F.col("rank") + (F.col("string_base") + F.col("island")) * (k - 1)).alias("kmer_offset"),
-            "string_kmers",
+        strings = strings.select("string_id", "seq", length.alias("len"), (length - (k - 1)).alias("num_kmers"), "first_kmer_id", begin.alias("string_begin"), (begin + length).alias("string_end"))
+        kmers = at.select(
+            "kmer_id",
+            "string_id",
+            (F.col("kmer_id") - F.col("first_kmer_id")).alias("kmer_id_in_string"),
+            (F.col("kmer_id") + F.col("string_id") * (k - 1)).alias("kmer_offset"),
+            (F.col("end_kmer_id") - F.col("first_kmer_id")).alias("string_kmers"),
             "ckey",
             "strand",
             "weight",
         )
-        out = cls(stored(kmers, f"{path}/kmers"), stored(strings, f"{path}/strings"), config)
-        out._write_metadata(path)
+        out = cls(bucketed(kmers, f"{path}/kmers", "ckey", buckets_for(total)), stored(strings, f"{path}/strings"), config)
+        out._write_metadata(path, buckets_for(total))
+        erase(spark, *parts)
         return out
 
-    def _write_metadata(self, path: str) -> None:
+    def _write_metadata(self, path: str, buckets: int) -> None:
         spark = self.kmers.sparkSession
-        spark.createDataFrame([(json.dumps(self.config.as_dict()),)], "config string").coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
+        spark.createDataFrame([(json.dumps(self.config.as_dict() | {"buckets": buckets}),)], "config string").coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
 
     def save(self, path: str) -> None:
-        """Writes the tables, k-mers ranged by id, and the parameters with the version."""
-        self.kmers.repartitionByRange("kmer_id").sortWithinPartitions("kmer_id").write.mode("overwrite").parquet(f"{path}/kmers")
+        """Writes the tables, k-mers in buckets of their keys, and the parameters with the version."""
+        buckets = buckets_for(self.kmers.count())
+        bucketed(self.kmers, f"{path}/kmers", "ckey", buckets)
         self.strings.repartitionByRange("string_id").sortWithinPartitions("string_id").write.mode("overwrite").parquet(f"{path}/strings")
-        self._write_metadata(path)
+        self._write_metadata(path, buckets)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Dictionary:
         """A saved dictionary; another major version is an error."""
         found = json.loads(spark.read.parquet(f"{path}/metadata").first()["config"])
-        version = found.pop("version")
+        version, buckets = found.pop("version"), found.pop("buckets")
         if version[0] != VERSION[0]:
             raise ValueError(f"dictionary of version {version}, but this is {list(VERSION)}")
-        return cls(spark.read.parquet(f"{path}/kmers"), spark.read.parquet(f"{path}/strings"), Config(**found))
+        return cls(bucketed_at(spark, f"{path}/kmers", "ckey", buckets), spark.read.parquet(f"{path}/strings"), Config(**found))
 
     # ---- point queries -----------------------------------------------------------------------------
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,51 +67,91 @@ def pack_windows(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return key.reshape(-1).view("V16"), np.where(equal, 0, np.where(less, 1, -1)).astype(np.int8)
 
 
-def kmerize(df: DataFrame, id_col: str, seq_col: str, k: int) -> DataFrame:
-    """(id, pos, ckey, strand) for each window without a character other than ACGT; shorter sequences have none.
+def key_type(k: int) -> str:
+    return "long" if k <= 31 else "binary"
+
+
+def arrow_keys(keys: np.ndarray) -> pa.Array:
+    if keys.dtype == np.uint64:
+        return pa.array(keys.astype(np.int64))
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
+
+
+def cut(df: DataFrame, k: int, seq_col: str = "seq", start_col: str | None = None) -> DataFrame:
+    """``df`` with its sequences, as bytes, in pieces of at most ``STEP`` windows, and ``start``, where in the sequence a piece begins.
 
-    Windows of a sequence follow each other in order; null sequences have none.
+    Null sequences and those shorter than k have no piece. With ``start_col`` the rows are pieces already, each with the first k - 1 bases of the next.
     """
-    key = "long" if k <= 31 else "binary"
+    others = [c for c in df.columns if c not in (seq_col, start_col)]
+    base = F.lit(0).cast("long") if start_col is None else F.col(start_col).cast("long")
+    rows = df.where(F.length(seq_col) >= k).select(*others, base.alias("__base"), F.col(seq_col).cast("binary").alias("__seq"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.length("__seq") - k, F.lit(STEP))).alias("__at"))
+    return rows.select(*others, (F.col("__base") + F.col("__at")).alias("start"), F.substring("__seq", F.col("__at") + 1, F.lit(STEP + k - 1)).alias(seq_col))
 
-    def emit(ids: list, shifts: list, sizes: list, joint: bytes) -> pa.RecordBatch | None:
+
+def _pack(pieces: DataFrame, k: int, schema: str, finish: Callable) -> DataFrame:
+    """Packs the windows of (base, seq) rows; ``finish(bases, places, keys, strands)`` makes a batch of them."""
+
+    def emit(bases: list, sizes: list, joint: bytes) -> pa.RecordBatch | None:
         codes = _CODE[np.frombuffer(joint, np.uint8)]
-        bad = np.concatenate([[0], np.cumsum(codes > 3, dtype=np.int32)])
         if len(codes) < k:
             return None
+        bad = np.concatenate([[0], np.cumsum(codes > 3, dtype=np.int32)])
         at = np.flatnonzero(bad[k:] == bad[:-k])  # separators are no bases, so windows never cross sequences
         if not len(at):
             return None
         keys, strands = pack_windows(np.minimum(codes, 3), k)
         offsets = np.cumsum(np.array(sizes) + 1) - np.array(sizes) - 1
         row = np.searchsorted(offsets, at, side="right") - 1
-        keys = keys[at]
-        packed = pa.array(keys.astype(np.int64)) if k <= 31 else pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[row]), pa.array(at - offsets[row] + np.array(shifts, np.int64)[row]), packed, pa.array(strands[at].astype(np.int32))], names=["id", "pos", "ckey", "strand"])
+        return finish(bases, row, at - offsets[row], keys[at], strands[at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, shifts, sizes, parts, held = [], [], [], [], 0
-            for i, s in zip(batch.column(0), batch.column(1), strict=True):
+            columns, seqs = batch.columns[:-1], batch.column(batch.num_columns - 1)
+            bases, sizes, parts, held = [], [], [], 0
+            for i, s in enumerate(seqs):
                 s = s.as_py()
-                for at in range(0, max(1, len(s or b"") - k + 1), STEP):
-                    if s is None:
-                        continue
-                    part = s[at : at + STEP + k - 1]
-                    if held and held + len(part) > STEP:
-                        if (out := emit(ids, shifts, sizes, b"\n".join(parts))) is not None:
-                            yield out
-                        ids, shifts, sizes, parts, held = [], [], [], [], 0
-                    ids.append(i.as_py())
-                    shifts.append(at)
-                    sizes.append(len(part))
-                    parts.append(part)
-                    held += len(part)
-            if ids and (out := emit(ids, shifts, sizes, b"\n".join(parts))) is not None:
+                if held and held + len(s) > STEP + k:
+                    if (out := emit(bases, sizes, b"\n".join(parts))) is not None:
+                        yield out
+                    bases, sizes, parts, held = [], [], [], 0
+                bases.append([c[i].as_py() for c in columns])
+                sizes.append(len(s))
+                parts.append(s)
+                held += len(s)
+            if bases and (out := emit(bases, sizes, b"\n".join(parts))) is not None:
                 yield out
 
-    narrow = df.where(F.length(seq_col) >= k).select(F.col(id_col).cast("long").alias("id"), F.col(seq_col).cast("binary").alias("seq"))
+    return pieces.mapInArrow(run, schema)
+
+
+def kmerize(df: DataFrame, id_col: str, seq_col: str, k: int, keep: Callable | None = None, start_col: str | None = None) -> DataFrame:
+    """(id, pos, ckey, strand) for each window without a character other than ACGT; shorter sequences have none.
+
+    Windows of a piece follow each other in order; null sequences have none. ``keep``, of a batch's keys, tells which windows go on at all.
+    """
+    names = ["id", "pos", "ckey", "strand"]
+
+    def finish(bases, row, place, keys, strands):
+        if keep is not None:
+            mask = keep(keys)
+            row, place, keys, strands = row[mask], place[mask], keys[mask], strands[mask]
+        ids, starts = np.array([b[0] for b in bases], np.int64), np.array([b[1] for b in bases], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(starts[row] + place), arrow_keys(keys), pa.array(strands.astype(np.int32))], names=names)
+
+    narrow = df.select(F.col(id_col).cast("long").alias("id"), F.col(seq_col).alias("seq"), *([F.col(start_col).alias("__from")] if start_col else []))
+    pieces = cut(narrow, k, "seq", "__from" if start_col else None).select("id", "start", "seq")
     if not df.isStreaming:
-        # one file or row group may hold all sequences; dealing them out moves a twentieth of what their windows will
-        narrow = narrow.repartition("id", "seq")
-    return narrow.mapInArrow(run, f"id long, pos long, ckey {key}, strand int")
+        # one file or row group may hold all sequences; dealing their pieces out moves a twentieth of what their windows will
+        pieces = pieces.repartition("id", "start")
+    return _pack(pieces, k, f"id long, pos long, ckey {key_type(k)}, strand int", finish)
+
+
+def kmerize_places(pieces: DataFrame, k: int) -> DataFrame:
+    """(ckey, at) for the windows of (place, seq) pieces: ``at`` holds the window's place and, in two bits, its strand + 1, so its order is that of places."""
+
+    def finish(bases, row, place, keys, strands):
+        at = (np.array([b[0] for b in bases], np.int64)[row] + place) << 2 | (strands.astype(np.int64) + 1)
+        return pa.RecordBatch.from_arrays([arrow_keys(keys), pa.array(at)], names=["ckey", "at"])
+
+    return _pack(pieces.select("place", "seq"), k, f"ckey {key_type(k)}, at long", finish)

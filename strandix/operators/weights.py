@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .dictionary import Dictionary, running_sums
+from .dictionary import Dictionary
+from .running import running_sums
 
 
 def string_runs(dictionary: Dictionary) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BUCKET_ROWS, MOST_BUCKETS = 1 << 20, 1 << 14
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; where the session names none, one of this machine in local mode, and an error on a cluster."""
@@ -24,3 +27,34 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     spark, schema = df.sparkSession, df.schema
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def buckets_for(rows: int) -> int:
+    """A power of two: about a million rows a bucket."""
+    return min(MOST_BUCKETS, 1 << max(0, (rows - 1) // BUCKET_ROWS).bit_length())
+
+
+def bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """``df`` written in buckets of ``key``, one sorted file each: joins on the key shuffle the other side only."""
+    name = f"strandix_{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")  # a bucket's one file is in order, so it isn't sorted again
+    dealt = df.repartition(buckets, key).sortWithinPartitions(key)
+    dealt.write.mode("overwrite").option("compression", "zstd").option("path", path).format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
+
+
+def bucketed_at(spark: SparkSession, path: str, key: str, buckets: int) -> DataFrame:
+    """What ``bucketed`` wrote, in another session too."""
+    name = f"strandix_{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    spark.sql(f"create table {name} ({columns}) using parquet clustered by ({key}) sorted by ({key}) into {buckets} buckets location '{path}'")
+    return spark.table(name)
+
+
+def erase(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables that nothing reads again."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
