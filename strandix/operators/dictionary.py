@@ -12,10 +12,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import VERSION, Config
+from ..config import ALPHABETS, VERSION, Config
 from ..functions import sequence as S
 from ..sources.storage import bucketed, bucketed_at, buckets_for, erase, shared_dir, stored
 from .blocks import number_blocks, stitched
+from .keyfilter import assembled, filter_rows, may_hold, words_for
 from .kmerize import cut, kmerize_places
 from .running import running_sums
 
@@ -26,8 +27,16 @@ class Dictionary:
     """``kmers`` (kmer_id, string_id, kmer_id_in_string, kmer_offset, string_kmers, ckey, strand, weight) and
     ``strings`` (string_id, seq, len, num_kmers, string_begin, string_end, first_kmer_id)."""
 
-    def __init__(self, kmers: DataFrame, strings: DataFrame, config: Config):
+    def __init__(self, kmers: DataFrame, strings: DataFrame, config: Config, filter_words: int = 0, filter_path: str | None = None):
         self.kmers, self.strings, self.config = kmers, strings, config
+        self.filter_words, self.filter_path = filter_words, filter_path
+        self._kept: dict = {}
+
+    def kept(self, name: str, make):
+        """What ``make`` gives, made once for this dictionary."""
+        if name not in self._kept:
+            self._kept[name] = make()
+        return self._kept[name]
 
     # ---- building and persistence ------------------------------------------------------------------
 
@@ -84,29 +93,41 @@ class Dictionary:
             "weight",
         )
         out = cls(bucketed(kmers, f"{path}/kmers", "ckey", buckets_for(total)), stored(strings, f"{path}/strings"), config)
-        out._write_metadata(path, buckets_for(total))
+        out._write_rest(path, total)
         erase(spark, *parts)
         return out
 
-    def _write_metadata(self, path: str, buckets: int) -> None:
+    def _write_rest(self, path: str, total: int) -> None:
+        """The filter of keys, where there is one of use, and the parameters."""
+        spark, words = self.kmers.sparkSession, words_for(total)
+        if words:
+            stored(filter_rows(self.kmers, words), f"{path}/filter")
+        self.filter_words, self.filter_path = words, f"{path}/filter"
+        spark.createDataFrame([(json.dumps(self.config.as_dict() | {"buckets": buckets_for(total), "filter_words": words}),)], "config string").coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
+
+    def key_filter(self):
+        """``keep`` for packed windows: a test that is false only for keys that the dictionary doesn't hold. None without a filter."""
+        if not self.filter_words:
+            return None
         spark = self.kmers.sparkSession
-        spark.createDataFrame([(json.dumps(self.config.as_dict() | {"buckets": buckets}),)], "config string").coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
+        shared = self.kept("filter", lambda: spark.sparkContext.broadcast(assembled(spark.read.parquet(self.filter_path), self.filter_words)))
+        return lambda keys: may_hold(shared.value, keys)
 
     def save(self, path: str) -> None:
         """Writes the tables, k-mers in buckets of their keys, and the parameters with the version."""
-        buckets = buckets_for(self.kmers.count())
-        bucketed(self.kmers, f"{path}/kmers", "ckey", buckets)
+        total = self.kmers.count()
+        bucketed(self.kmers, f"{path}/kmers", "ckey", buckets_for(total))
         self.strings.repartitionByRange("string_id").sortWithinPartitions("string_id").write.mode("overwrite").parquet(f"{path}/strings")
-        self._write_metadata(path, buckets)
+        Dictionary(self.kmers, self.strings, self.config)._write_rest(path, total)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Dictionary:
         """A saved dictionary; another major version is an error."""
         found = json.loads(spark.read.parquet(f"{path}/metadata").first()["config"])
-        version, buckets = found.pop("version"), found.pop("buckets")
+        version, buckets, words = (found.pop(c) for c in ("version", "buckets", "filter_words"))
         if version[0] != VERSION[0]:
             raise ValueError(f"dictionary of version {version}, but this is {list(VERSION)}")
-        return cls(bucketed_at(spark, f"{path}/kmers", "ckey", buckets), spark.read.parquet(f"{path}/strings"), Config(**found))
+        return cls(bucketed_at(spark, f"{path}/kmers", "ckey", buckets), spark.read.parquet(f"{path}/strings"), Config(**found), words, f"{path}/filter")
 
     # ---- point queries -----------------------------------------------------------------------------
 
@@ -226,16 +247,44 @@ class Dictionary:
 
     def neighbours(self, df: DataFrame, kmer_col: str = "kmer", forward: bool = True, backward: bool = True, check_rc: bool = True) -> DataFrame:
         """A row for each of the four bases and each direction, found or not, with ``direction``, ``slot`` and ``base``."""
-        bases = F.array(*(F.lit(c) for c in self.config.alphabet))
-        base = F.upper(F.col(kmer_col))
+        steps = self._packed_steps if self.k <= 31 else self._spelled_steps
+        rows = steps(df, kmer_col, ["forward"] * forward + ["backward"] * backward)
+        found = self.lookup_keyed(rows, check_rc)
+        return found.select(*df.columns, "direction", "slot", "base", "neighbour", *RESULT)
 
-        def steps(direction: str, move) -> Column:
-            return F.transform(bases, lambda c, i: F.struct(F.lit(direction).alias("direction"), i.cast("int").alias("slot"), c.alias("base"), move(base, c).alias("neighbour")))
-
-        sides = [steps("forward", S.append_base)] * forward + [steps("backward", S.prepend_base)] * backward
-        steps = F.flatten(F.array(*sides))
-        rows = df.withColumn("__step", F.explode(steps)).select(*df.columns, "__step.direction", "__step.slot", "__step.base", F.col("__step.neighbour").alias("neighbour"))
-        return self.lookup(rows, "neighbour", check_rc)
+    def _spelled_steps(self, df: DataFrame, kmer_col: str, directions: list[str]) -> DataFrame:
+        base = F.upper(F.col(kmer_col))
+        move = {"forward": S.append_base, "backward": S.prepend_base}
+        steps = F.array(*(F.struct(F.lit(d).alias("direction"), F.lit(i).alias("slot"), F.lit(c).alias("base"), move[d](base, F.lit(c)).alias("neighbour")) for d in directions for i, c in enumerate(self.config.alphabet)))
+        rows = df.withColumn("__step", F.explode(steps)).select(*df.columns, "__step.*")
+        return self.keyed(rows, "neighbour")
+
+    def _packed_steps(self, df: DataFrame, kmer_col: str, directions: list[str]) -> DataFrame:
+        """Both packed strands of a k-mer are made once; its neighbours' are shifts of them by a base, each with the new base or its complement."""
+        mask, top = F.lit((1 << 2 * self.k) - 1), 2 * (self.k - 1)
+        valid = F.when(S.is_valid(F.col(kmer_col)) & (F.length(kmer_col) == self.k), F.upper(F.col(kmer_col)))
+        rows = df.withColumns({"__upper": F.upper(F.col(kmer_col)), "__x": S.pack(valid), "__r": S.pack(S.reverse_complement(valid))})
+        x, r = F.col("__x"), F.col("__r")
+        # a neighbour is valid if what it keeps of the k-mer is; where one base is not, the packed strands of the rest are made for it
+        move = {"forward": S.append_base, "backward": S.prepend_base}
+
+        def step(direction: str, slot: int, base: str) -> Column:
+            code = ALPHABETS["default"].index(base)
+            other = code ^ 2
+            if direction == "forward":
+                ahead, back = F.shiftright(x, 2).bitwiseOR(F.lit(code << top)), F.shiftleft(r, 2).bitwiseAND(mask).bitwiseOR(F.lit(other))
+            else:
+                ahead, back = F.shiftleft(x, 2).bitwiseAND(mask).bitwiseOR(F.lit(code)), F.shiftright(r, 2).bitwiseOR(F.lit(other << top))
+            spelled = move[direction](F.col("__upper"), F.lit(base))
+            return F.struct(F.lit(direction).alias("direction"), F.lit(slot).alias("slot"), F.lit(base).alias("base"), spelled.alias("neighbour"), ahead.cast("bigint").alias("ahead"), back.cast("bigint").alias("back"))
+
+        steps = F.array(*(step(d, i, c) for d in directions for i, c in enumerate(self.config.alphabet)))
+        rows = rows.withColumn("__step", F.explode(steps)).select(*df.columns, "__x", "__step.*")
+        late = F.when(F.col("__x").isNull() & S.is_valid(F.col("neighbour")) & (F.length("neighbour") == self.k), F.col("neighbour"))
+        ahead, back = F.coalesce("ahead", S.pack(late)), F.coalesce("back", S.pack(S.reverse_complement(late)))
+        rows = rows.withColumns({"ahead": ahead, "back": back})
+        strand = F.when(F.col("ahead") == F.col("back"), 0).when(F.col("ahead") < F.col("back"), 1).otherwise(-1).cast("int")
+        return rows.select(*df.columns, "direction", "slot", "base", "neighbour", F.least("ahead", "back").alias("__key"), F.when(F.col("ahead").isNotNull(), strand).alias("__strand"))
 
     def string_neighbours(self, check_rc: bool = True) -> DataFrame:
         """Backward neighbours of each string's first k-mer and forward ones of its last."""

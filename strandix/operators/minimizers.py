@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dictionary import Dictionary
-from .kmerize import _CODE, _windows
+from .kmerize import _CODE, STEP, _windows
 
 # The mixer's multiplier, and the classes' bounds.
 MULTIPLIER = 0x517CC1B727220A95
@@ -26,6 +26,32 @@ def magic_of(seed: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
+def sliding_minimum(values: np.ndarray, span: int, rightmost: bool = False) -> np.ndarray:
+    """Where in each window of ``span`` values its smallest is, the leftmost or the rightmost one of equal ones.
+
+    A window lies in two neighbouring blocks of ``span``: its smallest is that of the first block's end or that of the second one's beginning.
+    Minima of all ends and beginnings take one step a place of a block, for all blocks at a time.
+    """
+    n, blocks = len(values) - span + 1, -(-len(values) // span)
+    padded = np.full(blocks * span, np.iinfo(np.uint64).max, np.uint64)
+    padded[: len(values)] = values
+    table = padded.reshape(blocks, span)
+    places = np.arange(blocks * span).reshape(blocks, span)
+    low, at = table.copy(), places.copy()  # of a block up to a place
+    for j in range(1, span):
+        older = low[:, j - 1] < low[:, j] if rightmost else low[:, j - 1] <= low[:, j]
+        low[:, j] = np.where(older, low[:, j - 1], low[:, j])
+        at[:, j] = np.where(older, at[:, j - 1], at[:, j])
+    low_end, at_end = table.copy(), places.copy()  # of a block from a place on
+    for j in range(span - 2, -1, -1):
+        later = low_end[:, j + 1] <= low_end[:, j] if rightmost else low_end[:, j + 1] < low_end[:, j]
+        low_end[:, j] = np.where(later, low_end[:, j + 1], low_end[:, j])
+        at_end[:, j] = np.where(later, at_end[:, j + 1], at_end[:, j])
+    first, second = low_end.reshape(-1)[:n], low.reshape(-1)[span - 1 : span - 1 + n]
+    from_second = second <= first if rightmost else second < first
+    return np.where(from_second, at.reshape(-1)[span - 1 : span - 1 + n], at_end.reshape(-1)[:n]) - np.arange(n)
+
+
 def window_minimizers(codes: np.ndarray, k: int, m: int, magic: int, canonical: bool) -> tuple[np.ndarray, np.ndarray]:
     """For every window of k codes its minimizer and where in the window that begins: the leftmost of smallest hash.
 
@@ -36,13 +62,7 @@ def window_minimizers(codes: np.ndarray, k: int, m: int, magic: int, canonical:
     mixed = lambda x: x * np.uint64(MULTIPLIER) ^ np.uint64(magic % 2**64)
 
     def best(values: np.ndarray, rightmost: bool) -> np.ndarray:
-        hashes = mixed(values)
-        low, at = hashes[:n].copy(), np.zeros(n, np.int64)
-        for i in range(1, span):
-            now = hashes[i : i + n]
-            better = now <= low if rightmost else now < low
-            low, at = np.where(better, now, low), np.where(better, i, at)
-        return at
+        return sliding_minimum(mixed(values), span, rightmost)
 
     at = best(forward, False)
     chosen = forward[np.arange(n) + at]
@@ -59,13 +79,31 @@ def kmer_minimizers(dictionary: Dictionary) -> DataFrame:
     magic = magic_of(c.seed)
     names = ["string_id", "kmer_id", "minimizer", "pos_in_seq", "pos_in_kmer"]
 
+    def emit(strings: list, firsts: list, begins: list, seqs: list) -> pa.RecordBatch:
+        sizes = np.array([len(x) for x in seqs])
+        ends = np.cumsum(sizes)
+        value, at = window_minimizers(_CODE[np.frombuffer(b"".join(seqs), np.uint8)], c.k, c.m, magic, c.canonical)
+        row = np.repeat(np.arange(len(seqs)), sizes)[: len(value)]
+        place = np.arange(len(value)) - (ends - sizes)[row]
+        inside = place + c.k <= sizes[row]  # others cross from one string to the next
+        row, place, value, at = row[inside], place[inside], value[inside], at[inside]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.array(strings)[row], np.array(firsts)[row] + place, value, np.array(begins)[row] + place + at, at)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held: list[tuple] = []
+            size = 0
             for s, first, begin, seq in zip(*(batch.column(i) for i in range(4)), strict=True):
-                codes = _CODE[np.frombuffer(seq.as_py(), np.uint8)]
-                value, at = window_minimizers(codes, c.k, c.m, magic, c.canonical)
-                place = np.arange(len(value))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), s.as_py())), pa.array(first.as_py() + place), pa.array(value), pa.array(begin.as_py() + place + at), pa.array(at)], names=names)
+                s, first, begin, seq = s.as_py(), first.as_py(), begin.as_py(), seq.as_py()
+                for cut in range(0, len(seq) - c.k + 1, STEP):
+                    part = seq[cut : cut + STEP + c.k - 1]
+                    if held and size + len(part) > STEP:
+                        yield emit(*map(list, zip(*held, strict=True)))
+                        held, size = [], 0
+                    held.append((s, first + cut, begin + cut, part))
+                    size += len(part)
+            if held:
+                yield emit(*map(list, zip(*held, strict=True)))
 
     rows = dictionary.strings.select("string_id", "first_kmer_id", "string_begin", F.col("seq").cast("binary"))
     return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names))

@@ -15,9 +15,9 @@ def positive_windows(dictionary: Dictionary, reads: DataFrame) -> DataFrame:
     """(read_id, pos, kmer_id, string_id, kmer_orientation, extended) of the windows that are found.
 
     A window is an extension if the window just before it in its read was found next to it, on the side that it was read from, in
-    the same string. Reads are split over tasks by id; a task holds one read's hits at a time, in sorted, spillable rows.
+    the same string. The dictionary's filter of keys drops most windows that are not found before they are shuffled. Reads are split over tasks by id; a task holds one read's hits at a time, in sorted, spillable rows.
     """
-    windows = kmerize(reads, "read_id", "seq", dictionary.k).withColumnsRenamed({"id": "read_id", "strand": "read_strand"})
+    windows = kmerize(reads, "read_id", "seq", dictionary.k, dictionary.key_filter()).withColumnsRenamed({"id": "read_id", "strand": "read_strand"})
     found = windows.join(dictionary.kmers.select("ckey", "kmer_id", "string_id", "strand"), "ckey")
     found = found.select("read_id", "pos", "kmer_id", "string_id", dictionary._orientation(F.col("read_strand")).alias("kmer_orientation"))
     along = Window.partitionBy("read_id").orderBy("pos")

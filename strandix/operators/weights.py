@@ -2,34 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .dictionary import Dictionary
-from .running import running_sums
+from .runs import weight_runs
 
 
 def string_runs(dictionary: Dictionary) -> DataFrame:
-    """Runs of equal weight that restart with each string: string_id, run, begin and end (exclusive) id, weight."""
-    along = Window.partitionBy("string_id").orderBy("kmer_id")
-    rows = dictionary.kmers.select("string_id", "kmer_id", "weight").withColumn("fresh", F.when(F.lag("weight").over(along) == F.col("weight"), 0).otherwise(1))
-    rows = rows.withColumn("run", F.sum("fresh").over(along))
-    return rows.groupBy("string_id", "run").agg(F.min("kmer_id").alias("begin_kmer_id"), (F.max("kmer_id") + 1).alias("end_kmer_id"), F.first("weight").alias("weight"))
+    """Runs of equal weight that restart with each string: string_id, run (from 1), begin and end (exclusive) id, weight; made once a dictionary."""
+    return dictionary.kept("string runs", lambda: weight_runs(dictionary.kmers, True)).select("string_id", "run", "begin_kmer_id", "end_kmer_id", "weight")
 
 
 def global_runs(dictionary: Dictionary) -> DataFrame:
-    """Runs over all ids, which go on across strings: run_id, begin and end (exclusive) id, weight.
-
-    Runs are made within strings; a string's first run joins the last of the string before when their weights agree. Run ids are
-    running sums in blocks, so no task orders all rows.
-    """
-    runs = string_runs(dictionary)
-    ends = runs.groupBy("string_id").agg(F.min_by("weight", "run").alias("front"), F.max_by("weight", "run").alias("back"), F.max("run").alias("n"))
-    before = ends.select((F.col("string_id") + 1).alias("string_id"), F.col("back").alias("previous"))
-    ends = ends.join(before, "string_id", "left").withColumn("joins", F.coalesce((F.col("previous") == F.col("front")).cast("long"), F.lit(0)))
-    numbered = running_sums(ends.select("string_id", (F.col("n") - F.col("joins")).alias("n"), "joins"), "string_id", {"n": "base"})
-    rows = runs.join(numbered.select("string_id", "base", "joins"), "string_id").withColumn("run_id", F.col("base") + F.col("run") - 1 - F.col("joins"))
-    return rows.groupBy("run_id").agg(F.min("begin_kmer_id").alias("begin_kmer_id"), F.max("end_kmer_id").alias("end_kmer_id"), F.first("weight").alias("weight"))
+    """Runs over all ids, which go on across strings: run_id (from 0), begin and end (exclusive) id, weight; made once a dictionary."""
+    return dictionary.kept("runs", lambda: weight_runs(dictionary.kmers, False)).select("run_id", "begin_kmer_id", "end_kmer_id", "weight")
 
 
 def weight_of_ids(df: DataFrame, runs: DataFrame, id_col: str = "kmer_id", block: int = 1 << 16) -> DataFrame:
