@@ -16,14 +16,20 @@ from .operators.dictionary import Dictionary
 from .operators.minimizers import bucket_classes, skew_partitions
 from .operators.reads import file_report, report_lines
 from .operators.statistics import minimizer_advice, offset_widths, space_breakdown, space_model
-from .sources.files import read_sequences, read_weighted_fasta, write_fasta, write_metrics
+from .sources.files import kind_of, read_sequences, read_weighted_fasta, write_fasta, write_metrics
+from .sources.pieces import read_pieces
 
 
 def _build(spark, args) -> None:
     config = Config(k=args.k, m=args.m, seed=args.seed, canonical=args.canonical, weighted=args.weighted, encoding=args.encoding)
     if args.threads:  # a hint only: tasks run on whatever the session has
         spark.conf.set("spark.sql.shuffle.partitions", str(args.threads))
-    rows = read_weighted_fasta(spark, args.input, args.k) if args.weighted else read_sequences(spark, args.input)
+    if args.weighted:
+        rows = read_weighted_fasta(spark, args.input, args.k)
+    elif kind_of(args.input) == "fasta":
+        rows = read_pieces(spark, args.input, args.k)
+    else:
+        rows = read_sequences(spark, args.input)
     dictionary = Dictionary.build(rows, config, args.directory)
     if args.verbose:
         for table in (dictionary.metadata(), space_model(dictionary), space_breakdown(dictionary), offset_widths(dictionary), minimizer_advice(dictionary), bucket_classes(dictionary), skew_partitions(dictionary)):

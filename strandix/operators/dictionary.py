@@ -23,6 +23,20 @@ from .running import running_sums
 RESULT = ("kmer_id", "kmer_id_in_string", "kmer_offset", "kmer_orientation", "string_id", "string_begin", "string_end")
 
 
+def _with_places(stored_kmers: DataFrame, k: int) -> DataFrame:
+    """The k-mers as stored, with what their ids tell: place in the string and offset."""
+    return stored_kmers.select(
+        "kmer_id",
+        "string_id",
+        (F.col("kmer_id") - F.col("first_kmer_id")).alias("kmer_id_in_string"),
+        (F.col("kmer_id") + F.col("string_id") * (k - 1)).alias("kmer_offset"),
+        "string_kmers",
+        "ckey",
+        "strand",
+        "weight",
+    )
+
+
 class Dictionary:
     """``kmers`` (kmer_id, string_id, kmer_id_in_string, kmer_offset, string_kmers, ckey, strand, weight) and
     ``strings`` (string_id, seq, len, num_kmers, string_begin, string_end, first_kmer_id)."""
@@ -66,7 +80,7 @@ class Dictionary:
         if "weights" in sequences.columns:
             given = sequences.select(F.col("sequence_id").cast("long").alias("id"), F.posexplode("weights").alias("pos", "given")).join(begins, "id")
             first = first.join(given.select((F.col("begin") + F.col("pos")).alias("place"), "given"), "place", "left").withColumn("weight", F.coalesce("given", "weight")).drop("given")
-        numbered = stored(number_blocks(first, k), parts[2])
+        numbered = stored(number_blocks(first, k), parts[2], "lz4")
         blocks, total = stitched(numbered, parts[3])
         at = numbered.join(blocks, "block").withColumns({
             "string_id": F.col("string_base") + F.col("fragment") - 1 - F.col("joins"),
@@ -82,17 +96,8 @@ class Dictionary:
         length = F.length("seq").cast("long")
         begin = F.col("first_kmer_id") + F.col("string_id") * (k - 1)
         strings = strings.select("string_id", "seq", length.alias("len"), (length - (k - 1)).alias("num_kmers"), "first_kmer_id", begin.alias("string_begin"), (begin + length).alias("string_end"))
-        kmers = at.select(
-            "kmer_id",
-            "string_id",
-            (F.col("kmer_id") - F.col("first_kmer_id")).alias("kmer_id_in_string"),
-            (F.col("kmer_id") + F.col("string_id") * (k - 1)).alias("kmer_offset"),
-            (F.col("end_kmer_id") - F.col("first_kmer_id")).alias("string_kmers"),
-            "ckey",
-            "strand",
-            "weight",
-        )
-        out = cls(bucketed(kmers, f"{path}/kmers", "ckey", buckets_for(total)), stored(strings, f"{path}/strings"), config)
+        kmers = at.select("kmer_id", "string_id", "first_kmer_id", (F.col("end_kmer_id") - F.col("first_kmer_id")).alias("string_kmers"), "ckey", "strand", "weight")
+        out = cls(_with_places(bucketed(kmers, f"{path}/kmers", "ckey", buckets_for(total)), k), stored(strings, f"{path}/strings"), config)
         out._write_rest(path, total)
         erase(spark, *parts)
         return out
@@ -110,13 +115,14 @@ class Dictionary:
         if not self.filter_words:
             return None
         spark = self.kmers.sparkSession
-        shared = self.kept("filter", lambda: spark.sparkContext.broadcast(assembled(spark.read.parquet(self.filter_path), self.filter_words)))
+        shared = self.kept("filter", lambda: spark.sparkContext.broadcast(assembled(spark.read.schema("row long, words binary").parquet(self.filter_path), self.filter_words)))
         return lambda keys: may_hold(shared.value, keys)
 
     def save(self, path: str) -> None:
         """Writes the tables, k-mers in buckets of their keys, and the parameters with the version."""
         total = self.kmers.count()
-        bucketed(self.kmers, f"{path}/kmers", "ckey", buckets_for(total))
+        kmers = self.kmers.withColumn("first_kmer_id", F.col("kmer_id") - F.col("kmer_id_in_string"))
+        bucketed(kmers.select("kmer_id", "string_id", "first_kmer_id", "string_kmers", "ckey", "strand", "weight"), f"{path}/kmers", "ckey", buckets_for(total))
         self.strings.repartitionByRange("string_id").sortWithinPartitions("string_id").write.mode("overwrite").parquet(f"{path}/strings")
         Dictionary(self.kmers, self.strings, self.config)._write_rest(path, total)
 
@@ -124,10 +130,11 @@ class Dictionary:
     def load(cls, spark: SparkSession, path: str) -> Dictionary:
         """A saved dictionary; another major version is an error."""
         found = json.loads(spark.read.parquet(f"{path}/metadata").first()["config"])
-        version, buckets, words = (found.pop(c) for c in ("version", "buckets", "filter_words"))
+        version, buckets, words = found.pop("version"), found.pop("buckets", 1), found.pop("filter_words", 0)
         if version[0] != VERSION[0]:
             raise ValueError(f"dictionary of version {version}, but this is {list(VERSION)}")
-        return cls(bucketed_at(spark, f"{path}/kmers", "ckey", buckets), spark.read.parquet(f"{path}/strings"), Config(**found), words, f"{path}/filter")
+        config = Config(**found)
+        return cls(_with_places(bucketed_at(spark, f"{path}/kmers", "ckey", buckets), config.k), spark.read.parquet(f"{path}/strings"), config, words, f"{path}/filter")
 
     # ---- point queries -----------------------------------------------------------------------------
 

@@ -46,37 +46,47 @@ def _numpy_keys(column: pa.Array) -> np.ndarray:
 
 
 def filter_rows(kmers: DataFrame, words: int) -> DataFrame:
-    """(row, words) of the filter; rows without a bit are left out."""
+    """(row, words) of the filter; rows without a bit are left out. What a task's keys set goes on as one packed list a row."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            word, bits = spots(_numpy_keys(batch.column(0)), words)
-            order = np.argsort(word, kind="stable")
-            word, bits = word[order], bits[order]
-            at = np.flatnonzero(np.concatenate([[True], np.diff(word) != 0]))
-            yield pa.RecordBatch.from_arrays([pa.array(word[at]), pa.array(np.bitwise_or.reduceat(bits, at).astype(np.int64))], names=["word", "bits"])
+            if batch.num_rows:
+                held.append(spots(_numpy_keys(batch.column(0)), words))
+                size += batch.num_rows
+            if size >= 1 << 21:
+                yield marked(held)
+                held, size = [], 0
+        if held:
+            yield marked(held)
+
+    def marked(held: list[tuple]) -> pa.RecordBatch:
+        word, bits = (np.concatenate([x[i] for x in held]) for i in range(2))
+        order = np.argsort(word)
+        word, bits = word[order], bits[order]
+        at = np.flatnonzero(np.concatenate([[True], np.diff(word) != 0]))
+        word, bits = word[at], np.bitwise_or.reduceat(bits, at)
+        row = word >> ROW_BITS
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1, [len(row)]])
+        cells = np.empty(len(word), [("at", "<u2"), ("bits", "<u8")])
+        cells["at"], cells["bits"] = word & (1 << ROW_BITS) - 1, bits
+        ranges = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(row[cuts[:-1]]), pa.array([cells[a:b].tobytes() for a, b in ranges], pa.binary())], names=["row", "cells"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, row = None, np.zeros(1 << ROW_BITS, np.uint64)
+        now, held = None, np.zeros(1 << ROW_BITS, np.uint64)
         for batch in batches:
-            word, bits = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint64)
-            number = word >> ROW_BITS
-            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(word)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                if now is not None and number[a] != now:
-                    yield pa.RecordBatch.from_pydict({"row": [int(now)], "words": [row.tobytes()]})
-                    row[:] = 0
-                now = number[a]
-                row[word[a:b] & (1 << ROW_BITS) - 1] |= bits[a:b]
+            for row, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if now is not None and row != now:
+                    yield pa.RecordBatch.from_pydict({"row": [now], "words": [held.tobytes()]})
+                    held[:] = 0
+                now = row
+                found = np.frombuffer(cells, [("at", "<u2"), ("bits", "<u8")])
+                held[found["at"]] |= found["bits"]
         if now is not None:
-            yield pa.RecordBatch.from_pydict({"row": [int(now)], "words": [row.tobytes()]})
+            yield pa.RecordBatch.from_pydict({"row": [now], "words": [held.tobytes()]})
 
-    marked = kmers.select("ckey").mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    return marked.repartition(F.shiftright("word", ROW_BITS)).sortWithinPartitions("word").mapInArrow(pack, "row long, words binary")
+    return kmers.select("ckey").mapInArrow(mark, "row long, cells binary").repartition("row").sortWithinPartitions("row").mapInArrow(pack, "row long, words binary")
 
 
 def assembled(rows: DataFrame, words: int) -> np.ndarray:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .dictionary import Dictionary
 from .kmerize import kmerize
 
+BLOCK_BITS = 17  # of the windows of a read that one task's rows are in order of
 COUNTERS = ("num_kmers", "num_positive_kmers", "num_negative_kmers", "num_invalid_kmers", "num_searches", "num_extensions")
 
 
@@ -15,25 +16,35 @@ def positive_windows(dictionary: Dictionary, reads: DataFrame) -> DataFrame:
     """(read_id, pos, kmer_id, string_id, kmer_orientation, extended) of the windows that are found.
 
     A window is an extension if the window just before it in its read was found next to it, on the side that it was read from, in
-    the same string. The dictionary's filter of keys drops most windows that are not found before they are shuffled. Reads are split over tasks by id; a task holds one read's hits at a time, in sorted, spillable rows.
+    the same string. The dictionary's filter of keys drops most windows that are not found before they are shuffled. With a column ``start``,
+    reads come in pieces, each with the first k - 1 bases of the next. Hits are split over tasks by read and block of 2^17 windows; a block's last hit is
+    sent to the next block too, which needs to know what came before.
     """
-    windows = kmerize(reads, "read_id", "seq", dictionary.k, dictionary.key_filter()).withColumnsRenamed({"id": "read_id", "strand": "read_strand"})
+    windows = kmerize(reads, "read_id", "seq", dictionary.k, dictionary.key_filter(), "start" if "start" in reads.columns else None).withColumnsRenamed({"id": "read_id", "strand": "read_strand"})
     found = windows.join(dictionary.kmers.select("ckey", "kmer_id", "string_id", "strand"), "ckey")
-    found = found.select("read_id", "pos", "kmer_id", "string_id", dictionary._orientation(F.col("read_strand")).alias("kmer_orientation"))
-    along = Window.partitionBy("read_id").orderBy("pos")
+    block = F.shiftright("pos", BLOCK_BITS)
+    ends = F.col("pos").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) == (1 << BLOCK_BITS) - 1
+    blocks = F.explode(F.when(ends, F.array(block, block + 1)).otherwise(F.array(block)))
+    found = found.select("read_id", "pos", "kmer_id", "string_id", dictionary._orientation(F.col("read_strand")).alias("kmer_orientation"), blocks.alias("__block"))
+    along = Window.partitionBy("read_id", "__block").orderBy("pos")
     before = lambda c: F.lag(c).over(along)
     extended = (before("pos") == F.col("pos") - 1) & (before("string_id") == F.col("string_id")) & (before("kmer_id") + before("kmer_orientation") == F.col("kmer_id"))
-    return found.withColumn("extended", F.coalesce(extended, F.lit(False)))
+    return found.withColumn("extended", F.coalesce(extended, F.lit(False))).where(F.col("__block") == block).drop("__block")
 
 
 def read_report(dictionary: Dictionary, reads: DataFrame) -> DataFrame:
-    """The six counters of each read of (read_id, seq). Read ids are distinct; a null or short read has no k-mers."""
+    """The six counters of each read of (read_id, seq). Read ids are distinct; a null or short read has no k-mers.
+
+    With a column ``start``, reads come in pieces, each with the first k - 1 bases of the next.
+    """
     k = dictionary.k
     hits = positive_windows(dictionary, reads).groupBy("read_id").agg(F.count("*").alias("p"), F.count_if("extended").alias("e"))
     # invalid windows are those that hold another character: all less the windows of the stretches without one
     stretches = F.filter(F.split(F.regexp_replace("seq", "[^ACGTacgt]", "N"), "N"), lambda s: F.length(s) >= k)
     valid = F.coalesce(F.aggregate(stretches, F.lit(0).cast("long"), lambda n, s: n + F.length(s) - (k - 1)), F.lit(0).cast("long"))
     sizes = reads.select(F.col("read_id").cast("long").alias("read_id"), F.coalesce(F.greatest(F.lit(0), F.length("seq") - (k - 1)), F.lit(0)).cast("long").alias("num_kmers"), valid.alias("valid"))
+    if "start" in reads.columns:
+        sizes = sizes.groupBy("read_id").agg(F.sum("num_kmers").alias("num_kmers"), F.sum("valid").alias("valid"))
     p, e = F.coalesce("p", F.lit(0)), F.coalesce("e", F.lit(0))
     return sizes.join(hits, "read_id", "left").select("read_id", "num_kmers", p.alias("num_positive_kmers"), (F.col("valid") - p).alias("num_negative_kmers"), (F.col("num_kmers") - F.col("valid")).alias("num_invalid_kmers"), (p - e).alias("num_searches"), e.alias("num_extensions"))
 
@@ -65,14 +76,24 @@ def report_lines(report: DataFrame) -> list[str]:
     return [f"{r.num_kmers} k-mers"] + [f"{getattr(r, f'num_{x}_kmers')} {x} ({getattr(r, f'{x}_percent'):.2f} %)" for x in ("positive", "negative", "invalid")] + [f"{r.num_searches} searches, {r.num_extensions} extensions ({r.extension_percent:.2f} % of positive)"]
 
 
-def file_report(dictionary: Dictionary, path: str, multiline: bool = False) -> DataFrame:
-    """The total report of a read file; a file of an unknown kind has no reads, so all its counters are 0."""
+def file_report(dictionary: Dictionary, path: str, multiline: bool = False, split: int | None = None) -> DataFrame:
+    """The total report of a read file, or of a folder of such; a file of an unknown kind has no reads, so all its counters are 0.
+
+    FASTA and FASTQ are read in splits of bytes, and FASTA records of any length in pieces.
+    """
     from ..sources.files import kind_of, read_sequences
+    from ..sources.pieces import SPLIT, read_fastq_splits, read_pieces
 
-    spark = dictionary.kmers.sparkSession
-    if kind_of(path) is None:
+    spark, kind = dictionary.kmers.sparkSession, kind_of(path)
+    if kind is None:
         return total_report(dictionary, spark.createDataFrame([], "read_id long, seq string"))
-    return total_report(dictionary, read_sequences(spark, path, multiline).withColumnRenamed("sequence_id", "read_id"))
+    if kind == "fasta" and not multiline:
+        rows = read_pieces(spark, path, dictionary.k, split or SPLIT).select("sequence_id", "start", "seq")
+    elif kind == "fastq":
+        rows = read_fastq_splits(spark, path, split or SPLIT)
+    else:
+        rows = read_sequences(spark, path, multiline)
+    return total_report(dictionary, rows.withColumnRenamed("sequence_id", "read_id"))
 
 
 def require_mode(dictionary: Dictionary, canonical: bool) -> Dictionary:

@@ -21,6 +21,7 @@ from ..operators.dictionary import RESULT, Dictionary
 from ..operators.protein import protein_kmers
 from ..operators.running import running_sums
 from ..sources.files import mix_reads, read_blank_separated, read_fasta, read_fastq, read_segments, read_weighted_fasta, write_fasta
+from ..sources.pieces import read_pieces, stream_sequences
 from ..sources.storage import shared_dir
 from . import oracle as Q
 from .inputs import index_of, index_sequences, reads_of, table
@@ -532,6 +533,56 @@ def save_and_load(spark, sf_dir):
     return d.kmers.select("kmer_id", "string_id", "kmer_id_in_string", "kmer_offset", d.kmer_strings().alias("kmer"), "weight")
 
 
+def _one_record(spark, sf_dir, name, key) -> str:
+    """A folder of files that are parts of one text: a single FASTA record of all sequences, a line and an N each."""
+    path = f"{_folder(spark)}/record.fa"
+    rows = reads_of(table(spark, sf_dir, name).where("text is not null"), key).select(F.col("read_id").alias("at"), F.concat("seq", F.lit("N")).alias("value"))
+    head = table(spark, sf_dir, name).agg((F.min(key) - 1).alias("at"), F.lit(">all of it").alias("value"))
+    head.unionByName(rows).repartitionByRange(3, "at").sortWithinPartitions("at").select("value").write.text(path)
+    return path
+
+
+@query(CTE + BENCH + " select kmer_id, string_id, kmer_id_in_string, kmer_offset, kmer, weight from kmers")
+def long_record_dictionary(spark, sf_dir):
+    """All benchmark texts as one record over several files, read in splits of 2,000 bytes and pieces of 700 bases."""
+    path = _one_record(spark, sf_dir, "benchmark", "item_id")
+    d = Dictionary.build(read_pieces(spark, path, SMALL_K, split=2_000, piece=700, joined=True), Config(k=SMALL_K, m=SMALL_M, seed=SEED))
+    return d.kmers.select("kmer_id", "string_id", "kmer_id_in_string", "kmer_offset", d.kmer_strings().alias("kmer"), "weight")
+
+
+@query(CTE + DOCS + " select string_id, seq, cast(length(seq) as bigint) len, num_kmers, string_begin, string_end, first_kmer_id from strings")
+def long_record_strings(spark, sf_dir):
+    """The strings of all documents, whose sequences are one record, read in splits of 100 KB."""
+    path = _one_record(spark, sf_dir, "documents", "doc_id")
+    d = Dictionary.build(read_pieces(spark, path, K, split=100_000, joined=True), Config(k=K))
+    return d.strings.select("string_id", "seq", "len", "num_kmers", "string_begin", "string_end", "first_kmer_id")
+
+
+@query(CTE + DOCS + ", " + READS + ", " + _REPORT + f", total as ({_TOTAL}) select kind, total.* from total, (values ('fasta'), ('fasta, gzipped'), ('fastq')) t(kind)")
+def file_reports(spark, sf_dir):
+    """The report of the same reads from files of three kinds, cut into small splits."""
+    d, path = _docs(spark, sf_dir), _folder(spark)
+    reads = reads_of(table(spark, sf_dir, "benchmark"), "item_id", True)
+    rows = reads.repartitionByRange(2, "read_id").sortWithinPartitions("read_id")
+    fasta = rows.select(F.concat(F.lit(">"), F.col("read_id").cast("string"), F.lit("\n"), F.regexp_replace("seq", "(.{60})(?=.)", "$1\n")).alias("value"))
+    fasta.write.text(f"{path}/reads.fa")
+    fasta.write.option("compression", "gzip").text(f"{path}/reads.fa.gz")
+    rows.select(F.concat(F.lit("@"), F.col("read_id").cast("string"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.expr("repeat('I', length(seq))")).alias("value")).write.text(f"{path}/reads.fq")
+    kinds = {"fasta": "reads.fa", "fasta, gzipped": "reads.fa.gz", "fastq": "reads.fq"}
+    reports = [R.file_report(d, f"{path}/{name}", split=3_000).select(F.lit(kind).alias("kind"), *R.COUNTERS) for kind, name in kinds.items()]
+    return reports[0].unionByName(reports[1]).unionByName(reports[2])
+
+
+@query(f"select row_number() over (order by item_id) record, cast(item_id as varchar) header, {Q.DNA} seq from benchmark")
+def streamed_fastq(spark, sf_dir):
+    """A FASTQ file of all benchmark texts, taken up by a stream."""
+    path = _folder(spark)
+    rows = reads_of(table(spark, sf_dir, "benchmark"), "item_id").repartitionByRange(1, "read_id").sortWithinPartitions("read_id")
+    rows.select(F.concat(F.lit("@"), F.col("read_id").cast("string"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.expr("repeat('I', length(seq))")).alias("value")).write.text(f"{path}/in")
+    stream_sequences(spark, f"{path}/in").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("record", "header", "seq")
+
+
 # ---- one strand only, packed forms, offsets ------------------------------------------------------------
 
 

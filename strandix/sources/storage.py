@@ -22,10 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, path: str) -> DataFrame:
+def stored(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
     """``df`` written to ``path`` and read back: its lineage ends there."""
     spark, schema = df.sparkSession, df.schema
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
