@@ -22,7 +22,9 @@ def _halves(keys: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     if k <= 31:
         low = keys.to_numpy().astype(np.uint64)
         return low, np.zeros(len(low), np.uint64)
-    wide = np.frombuffer(keys.cast(pa.binary(16)).buffers()[1], ">u8", count=2 * len(keys), offset=16 * keys.offset).reshape(-1, 2) if len(keys) else np.zeros((0, 2), np.uint64)
+    _, offsets, data = keys.buffers()
+    first = np.frombuffer(offsets, np.int32, count=1, offset=4 * keys.offset)[0]
+    wide = np.frombuffer(data, ">u8", count=2 * len(keys), offset=int(first)).reshape(-1, 2)
     return wide[:, 1].astype(np.uint64), wide[:, 0].astype(np.uint64)
 
 
