@@ -17,7 +17,7 @@ Repeated rows count each on their own; a null id is passed through; other column
 
 from __future__ import annotations
 
-import hashlib
+import json
 import os
 import re
 import uuid
@@ -37,56 +37,74 @@ _BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
 _INNER_SPACE = re.compile("[^▁]▁")
 #: UTF-8 bytes of text whose pairs are made distinct together.
 SLICE = 8 << 20
-#: Transitions, and aligned stretches of at most 64 characters, that a task keeps.
-KEPT_TRANSITIONS, KEPT_STRETCHES = 1 << 20, 1 << 18
+#: Transitions, and aligned stretches of at most 64 characters (twice as many), that a task keeps.
+KEPT_TRANSITIONS, KEPT_STRETCHES = 1 << 20, 1 << 17
+#: Characters of a stretch that the faster library gets; its time grows with the square.
+SHORT = 200
 
 
 class Transducer:
-    """State: (side that leads, residual bytes); (0, b"") is closed."""
-
-    def __init__(self):
-        self.next: dict[tuple, tuple] = {}
-
-    def step(self, side: int, residual: bytes, token: bytes) -> tuple[int, bytes] | None:
-        """The state after the lagging side's next token; None where the bytes differ."""
-        key = (side, residual, token)
-        found = self.next.get(key, 0)
-        if found == 0:
-            if residual.startswith(token):
-                rest = residual[len(token) :]
-                found = (side, rest) if rest else (0, b"")
-            elif token.startswith(residual):
-                found = (1 - side, token[len(residual) :])
-            else:
-                found = None
-            if len(self.next) >= KEPT_TRANSITIONS:
-                self.next.clear()
-            self.next[key] = found
+    """States are numbers: 0 is closed, others stand for the side that leads and its residual bytes. Transitions are kept by state and next token."""
+
+    LEFT, RIGHT, DIFFER = 0, 1, -1
+
+    def __init__(self, left: list[bytes], right: list[bytes]):
+        self.tokens = (left, right)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.next: dict[int, int] = {}
+        self.number: dict[tuple[int, bytes], int] = {(self.RIGHT, b""): 0}
+        self.states: list[tuple[int, bytes]] = [(self.RIGHT, b"")]  # a closed state takes from the left, as one that the right leads does
+        self.takes_left: list[bool] = [True]
+
+    def _make(self, state: int, side: int, token: int) -> int:
+        """The state after the lagging side's token, or DIFFER."""
+        lead, residual = self.states[state]
+        piece = self.tokens[side][token]
+        if not piece:
+            return self.DIFFER
+        if residual.startswith(piece):
+            after = (lead, residual[len(piece) :])
+        elif piece.startswith(residual):
+            after = (side, piece[len(residual) :])
+        else:
+            return self.DIFFER
+        if not after[1]:
+            return 0
+        found = self.number.setdefault(after, len(self.states))
+        if found == len(self.states):
+            self.states.append(after)
+            self.takes_left.append(after[0] == self.RIGHT)
         return found
 
-    def groups(self, left: list[bytes], right: list[bytes]) -> list[tuple[int, int]] | None:
-        """How many tokens of each side end with each group; None if the sides don't spell the same bytes. No token is empty."""
-        i, j, side, residual, out = 0, 0, 0, b"", []
-        while i < len(left) or j < len(right):
-            if not residual:
-                if i == len(left):
-                    return None
-                side, residual, i = 0, left[i], i + 1
-            if side == 0:
-                if j == len(right):
+    def groups(self, left: list[int], right: list[int]) -> list[tuple[int, int]] | None:
+        """How many tokens of each side end with each group; None if the sides don't spell the same bytes."""
+        if len(self.next) >= KEPT_TRANSITIONS:
+            self._clear()
+        i, j, state, out, n, m = 0, 0, 0, [], len(left), len(right)
+        known, takes_left = self.next.get, self.takes_left
+        while i < n or j < m:
+            if takes_left[state]:
+                if i == n:
                     return None
-                token, j = right[j], j + 1
+                token, side = left[i], 0
+                i += 1
             else:
-                if i == len(left):
+                if j == m:
+                    return None
+                token, side = right[j], 1
+                j += 1
+            key = state << 33 | side << 32 | token
+            after = known(key)
+            if after is None:
+                after = self.next[key] = self._make(state, side, token)
+            if after <= 0:
+                if after:
                     return None
-                token, i = left[i], i + 1
-            state = self.step(side, residual, token)
-            if state is None:
-                return None
-            side, residual = state
-            if not residual:
                 out.append((i, j))
-        return None if residual else out
+            state = after
+        return None if state else out
 
 
 class Pieces:
@@ -115,16 +133,58 @@ class Pieces:
         return not any(_INNER_SPACE.search(self.model.id_to_piece(i)) for i in range(self.model.get_piece_size()))
 
 
+class Encoder:
+    """The first tokenizer's ids of stretches. Where its file is plain byte-level BPE with ids in the order of merges, short stretches take a faster library's way to the same ids."""
+
+    def __init__(self, vocabulary: Vocabulary, pieces: dict[int, bytes]):
+        self.tokenizer = vocabulary.tokenizer
+        self.tokenizer.encode_special_tokens = True
+        with open(vocabulary.path, encoding="utf-8") as f:
+            file = json.load(f)
+        model, split, special = file["model"], file.get("pre_tokenizer") or {}, set(vocabulary.special().values())
+        names = [x if isinstance(x, str) else "".join(x) for x in model.get("merges", ())]
+        order = [model["vocab"].get(x.replace(" ", "")) for x in names]
+        plain = model.get("type") == "BPE" and not file.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        self.quick = None
+        if plain and None not in order and order == sorted(set(order)) and len(order) + 256 + len(special) == len(pieces):
+            import public_tokenizers
+            import tiktoken
+
+            self.quick = tiktoken.Encoding("stretches", pat_str=public_tokenizers.PATTERN, mergeable_ranks={x: i for i, x in pieces.items() if i not in special}, special_tokens={})
+
+    def __call__(self, parts: list[str]) -> list[list[int]]:
+        if self.quick is None:
+            return [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        encode = self.quick.encode_ordinary
+        out = [encode(p) if len(p) <= SHORT else None for p in parts]
+        long = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(long, self.tokenizer.encode_batch_fast([parts[i] for i in long], add_special_tokens=False) if long else (), strict=True):
+            out[i] = x.ids
+        return out
+
+
+_ALIGNERS: dict[tuple[str, str], Aligner] = {}
+
+
 class Aligner:
-    """Both tokenizers and the transducer in one task; stretches that were aligned before are kept."""
+    """Both tokenizers and the transducer in one Python worker; stretches that were aligned before are kept, for its later tasks too."""
+
+    @classmethod
+    def of(cls, left: Vocabulary, right: Pieces) -> Aligner:
+        key = (left.path, right.path)
+        if key not in _ALIGNERS:
+            _ALIGNERS.clear()
+            _ALIGNERS[key] = cls(left, right)
+        return _ALIGNERS[key]
 
     def __init__(self, left: Vocabulary, right: Pieces):
-        self.tokenizer = left.tokenizer
-        self.tokenizer.encode_special_tokens = True
         self.model, self.right, self.splits = right.model, right.bytes_of(), right.splits()
         known = left.pieces()
+        self.encode = Encoder(left, known)
         self.left = [known.get(i, b"") for i in range(max(known) + 1)]
-        self.transducer, self.kept = Transducer(), {}
+        self.transducer = Transducer(self.left, self.right)
+        self.written = [str(i) for i in range(max(len(self.left), len(self.right)))]
+        self.young, self.old = {}, {}  # stretches that are met again stay when the others go
 
     def stretches(self, text: str) -> list[str]:
         """Parts of a space and the text, each beginning with a space."""
@@ -132,31 +192,43 @@ class Aligner:
 
     def align(self, parts: list[str]) -> list[tuple | None]:
         """(tokens left, tokens right, groups as text, linked pairs) of each part; None where the bytes differ."""
-        new = [p for p in parts if p not in self.kept]
-        made = {}
-        for at in range(0, len(new), 2000):  # the libraries' results are large
-            some = new[at : at + 2000]
+        out: list = []
+        new, places = [], []
+        for at, p in enumerate(parts):
+            found = self.young.get(p, 0)
+            if found == 0:
+                found = self.old.get(p, 0)
+                if found == 0:
+                    new.append(p)
+                    places.append(at)
+                else:
+                    self._keep(p, found)
+            out.append(found)
+        for start in range(0, len(new), 2000):  # the libraries' results are large
+            some = new[start : start + 2000]
             theirs = self.model.encode([p[1:] for p in some], num_threads=1)
-            for p, a, b in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), theirs, strict=True):
-                made[p] = self._one(p, a.ids, b)
-        out = [self.kept[p] if p in self.kept else made[p] for p in parts]
-        for p, x in made.items():
-            if len(p) <= 64:
-                if len(self.kept) >= KEPT_STRETCHES:
-                    self.kept.clear()
-                self.kept[p] = x
+            for n, (p, a, b) in enumerate(zip(some, self.encode(some), theirs, strict=True), start):
+                found = out[places[n]] = self._one(p, a, b)
+                if len(p) <= 64:
+                    self._keep(p, found)
         return out
 
+    def _keep(self, part: str, found: tuple | None) -> None:
+        if len(self.young) >= KEPT_STRETCHES:
+            self.old, self.young = self.young, {}
+        self.young[part] = found
+
     def _one(self, part: str, a: list[int], b: list[int]) -> tuple | None:
-        left, right = [self.left[i] for i in a], [self.right[i] for i in b]
-        if b"".join(left) != part.encode() or b"" in right:
+        if b"".join([self.left[i] for i in a]) != part.encode():
             return None
-        cuts = self.transducer.groups(left, right)
+        cuts = self.transducer.groups(a, b)
         if cuts is None:
             return None
-        text, pairs, i, j = [], [], 0, 0
+        written, text, pairs, i, j = self.written, [], [], 0, 0
         for x, y in cuts:  # the tokens that close a group are the only pair that ends there
-            text.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
+            mine = written[a[i]] if x == i + 1 else ",".join([written[t] for t in a[i:x]])
+            theirs = written[b[j]] if y == j + 1 else ",".join([written[t] for t in b[j:y]])
+            text.append(f"{mine}|{theirs}")
             pairs.append(a[x - 1] << 32 | b[y - 1])
             i, j = x, y
         return len(a), len(b), ";".join(text), pairs
@@ -185,19 +257,25 @@ def align_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         bad = {i for i, x in enumerate(made) if x is None}
         if bad:
             places = [[] if not bad.isdisjoint(p) else p for p in places]
-        flat = np.concatenate([np.array(p, np.int64) for p in places]) if places else np.zeros(0, np.int64)
+        flat = np.fromiter((i for p in places for i in p), np.int64)
         used = np.bincount(flat, minlength=len(index)) if len(flat) else np.zeros(len(index), np.int64)
         ends = np.cumsum([len(x[3]) if x else 0 for x in made], dtype=np.int64)
         keys = np.fromiter((k for x in made if x for k in x[3]), np.int64, int(ends[-1]) if len(ends) else 0)
         pairs, links = np.unique(keys, return_inverse=True)
         times = np.bincount(links, weights=np.repeat(used, np.diff(ends, prepend=0)), minlength=len(pairs)).astype(np.int64) if len(pairs) else np.zeros(0, np.int64)
-        n_a, n_b = np.array([x[0] if x else 0 for x in made], np.int64), np.array([x[1] if x else 0 for x in made], np.int64)
+        sizes = np.array([len(p) for p in places], np.int64)
+        stops = np.cumsum(sizes)
+
+        def summed(i: int) -> list[int]:
+            done = np.concatenate([[0], np.cumsum(np.array([x[i] if x else 0 for x in made], np.int64)[flat])])
+            return (done[stops] - done[stops - sizes]).tolist()
+
         texts_of = [x[2] if x else "" for x in made]
-        a, b = [int(n_a[p].sum()) if p else 0 for p in places], [int(n_b[p].sum()) if p else 0 for p in places]
-        return [uuid.uuid4().hex, ids, a, b, [of(";".join([texts_of[i] for i in p])) if p else "" for p in places], [len(p) for p in places], flat.astype("<u4").tobytes(), ends.astype("<u4").tobytes(), links.astype("<u4").tobytes(), pairs.tolist(), times.tolist()]
+        a, b = summed(0), summed(1)
+        return [uuid.uuid4().hex, ids, a, b, [of(";".join([texts_of[i] for i in p])) if p else "" for p in places], sizes.tolist(), flat.astype("<u4").tobytes(), ends.astype("<u4").tobytes(), links.astype("<u4").tobytes(), pairs.tolist(), times.tolist()]
 
     def run(batches):
-        arrow, aligner = to_arrow_schema(schema), Aligner(vocabulary, pieces)
+        arrow, aligner = to_arrow_schema(schema), Aligner.of(vocabulary, pieces)
         for batch in batches:
             at = 0
             while at < batch.num_rows:
