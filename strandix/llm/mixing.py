@@ -106,10 +106,12 @@ def with_probability(profile: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def mix(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, share: float = SHARE, **columns) -> DataFrame:
-    """The sampled rows of ``df``, with all their columns."""
-    profile = profiled(df, **columns)
+    """The sampled rows of ``df``, with all their columns, whatever their names."""
+    inner = {c: f"in_{i}" for i, c in enumerate(df.columns)}
+    used = {"id_col": "doc_id", "text_col": "text", "source_col": "source", "lang_col": "lang"} | columns
+    profile = profiled(df.toDF(*inner.values()), **{k: inner[c] for k, c in used.items()})
     cells = raked_cells(profile, targets, rounds, share)
-    return with_probability(profile, cells).where(F.col("__u") < F.col("__f")).select(*(F.col(f"`{c}`") for c in df.columns))
+    return with_probability(profile, cells).where(F.col("__u") < F.col("__f")).select(*(F.col(inner[c]).alias(c) for c in df.columns))
 
 
 def op2_source_mixing(spark, sf_dir):

@@ -15,13 +15,14 @@ orders n-grams of like rarity. Two sets that reach the threshold share an n-gram
 Defined results: a null or empty text, or one without words, has an empty set, is linked with nothing and is a class and a component of
 its own; with fewer than n words the whole sequence is the one n-gram; repeated rows are documents of the same class; a null id takes
 part, and is the id of a class or component only if that has no other id; other columns are never read; an empty table gives
-an empty result. n-grams are compared by 64-bit hashes, sets by their size and 128 bits of a digest: a number of 63 bits stands for a
+an empty result. Words have 64 bits of a digest under a key that each run draws anew, n-grams 64 bits made of those, and sets are compared by their size and 128 bits of a digest: a number of 63 bits stands for a
 class, and where sets of different digests meet in one number, the number is changed for all but one of them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, documents, map_texts, written
+from .common import SLICE_BYTES, documents, free_name, map_texts, written
 from .graph import components
 
 LIST, BLOCK, BLOCK_GRAMS = 64, 512, 1 << 19
 TASK_GRAMS = 1 << 20  # n-grams of the small families that one group verifies
 STEP_BYTES = 1 << 20  # of text that is hashed at a time
+WORDS = 100_000  # digests of words that a task keeps, twice as many at most beside those of one step
 SKETCH_BITS, CHUNK_BITS = 22, 16
 BITMAP_BITS = 26
 SIZE_STEP = 1.02  # a class's number begins with the logarithm of its size to this base
@@ -55,25 +57,31 @@ def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 class Shingler:
     """Hashes of the word n-grams of texts, a slice of texts at a time."""
 
-    def __init__(self, n: int):
-        self.n = n
+    def __init__(self, n: int, key: bytes = b""):
+        self.n, self.key = n, key
         self.place = _mix(np.arange(1, n + 1, dtype=np.uint64), 0x2545F4914F6CDD1D) | np.uint64(1)
-
-    @staticmethod
-    def words(joint: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of the words at some places: mixed pieces of eight bytes, each with its number, added up and mixed with the length."""
-        if not len(starts):
-            return np.zeros(0, np.uint64)
-        size = ends - starts
-        pieces = (size + 7) >> 3
-        first = np.cumsum(pieces) - pieces
-        number = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
-        eights = np.ndarray((len(joint) + 1,), "<u8", buffer=joint + bytes(8), strides=(1,))
-        read = eights[np.repeat(starts, pieces) + 8 * number]
-        last = first + pieces - 1
-        read[last] &= (np.uint64(1) << ((size - 8 * (pieces - 1)).astype(np.uint64) * np.uint64(8) & np.uint64(63))) - np.uint64(1) | np.where(size & 7, np.uint64(0), ~np.uint64(0))
-        mixed = _mix(read ^ _mix(number.astype(np.uint64), 0x5851F42D4C957F2D))
-        return _mix(np.add.reduceat(mixed, first), 0x9E3779B97F4A7C15) ^ _mix(size.astype(np.uint64), 0xD6E8FEB86659FD93)
+        self.young: dict[bytes, int] = {}  # digests of words, and those of the words before them
+        self.old: dict[bytes, int] = {}
+
+    def words(self, texts: bytes) -> np.ndarray:
+        """Keyed digests of the words of lower-case bytes."""
+        words = texts.split()
+        index: dict[bytes, int] = {}
+        number = index.setdefault
+        at = np.fromiter((number(w, len(index)) for w in words), np.int64, len(words))
+        young, old, key, digests = self.young, self.old, self.key, []
+        for w in index:
+            found = young.get(w)
+            if found is None:
+                found = old.get(w)
+                if found is None:
+                    found = int.from_bytes(hashlib.blake2b(w, digest_size=8, key=key).digest(), "little")
+                if len(w) <= 64:
+                    young[w] = found
+            digests.append(found)
+        if len(young) > WORDS:
+            self.old, self.young = young, {}
+        return np.array(digests, np.uint64)[at] if len(at) else np.zeros(0, np.uint64)
 
     def sets(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """For each text the sorted hashes of its distinct n-grams; texts are UTF-8, A-Z count as a-z."""
@@ -92,8 +100,8 @@ class Shingler:
         raw = np.frombuffer(joint, np.uint8)
         space = _SPACE[raw]
         edge = np.flatnonzero(np.diff(space, prepend=True))
-        starts, ends = edge[::2], edge[1::2]
-        words = self.words(joint, starts, ends)
+        starts = edge[::2]
+        words = self.words(joint)
         bounds = np.searchsorted(starts, np.cumsum([0] + [len(x) + 1 for x in texts]))
         n, total = self.n, len(words)
         grams = np.zeros(max(0, total - n + 1), np.uint64)
@@ -124,12 +132,12 @@ def _batches(batches: Iterator[pa.RecordBatch]):
             at = stop
 
 
-def rarity_sketch(df: DataFrame, id_col: str, text_col: str, n: int) -> np.ndarray:
+def rarity_sketch(df: DataFrame, id_col: str, text_col: str, n: int, key: bytes = b"") -> np.ndarray:
     """For each of 2^22 cells a level that grows with the number of n-grams of all documents that fall into it."""
     cells, chunk = 1 << SKETCH_BITS, 1 << CHUNK_BITS
 
     def count(batches):
-        shingler, held, seen = Shingler(n), np.zeros(cells, np.uint32), False
+        shingler, held, seen = Shingler(n, key), np.zeros(cells, np.uint32), False
         for _, texts in _batches(batches):
             for s in shingler.sets(texts):
                 seen = True
@@ -210,13 +218,13 @@ def overlap_bound(x: bytes, y: bytes) -> tuple[int, int]:
     return int(np.minimum(a, b).sum()), int(a.sum() + b.sum())
 
 
-def classified(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+def classified(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, key: bytes = b"") -> DataFrame:
     """id, hash of the text, size of the set, class, and for the first of each class in a task its prefixes under the three orders."""
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(rarity_sketch(df, id_col, text_col, n))
+    shared = spark.sparkContext.broadcast(rarity_sketch(df, id_col, text_col, n, key))
 
     def fresh():
-        shingler, seen = Shingler(n), set()
+        shingler, seen = Shingler(n, key), set()
 
         def kernel(keys, texts):
             level = shared.value
@@ -366,7 +374,7 @@ def linked(sets: list[np.ndarray], percent: int, split: int | None = None, weigh
     return out, links
 
 
-def verified_links(df: DataFrame, id_col: str, text_col: str, classes: DataFrame, families: DataFrame, n: int, percent: int) -> DataFrame:
+def verified_links(df: DataFrame, id_col: str, text_col: str, classes: DataFrame, families: DataFrame, n: int, percent: int, key: bytes = b"") -> DataFrame:
     """(u, v, links): links between classes within their families, from the sets of one document a class; without v, linked documents of u."""
     spark = df.sparkSession
     first = classes.where("c is not null").join(families.select(F.col("node").alias("c"), "root"), "c").groupBy("c", "root").agg(F.min("id").alias("id"), F.count("*").alias("docs"), F.min("c0").alias("c0"), F.min("d").alias("d"))
@@ -380,7 +388,7 @@ def verified_links(df: DataFrame, id_col: str, text_col: str, classes: DataFrame
     place = F.when(F.col(id_col).isNotNull(), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << BITMAP_BITS)))
 
     def fresh():
-        shingler = Shingler(n)
+        shingler = Shingler(n, key)
 
         def kernel(places, texts):
             marks = bits.value
@@ -430,9 +438,10 @@ def verified_links(df: DataFrame, id_col: str, text_col: str, classes: DataFrame
 
 def _components(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """id, t, n, c, and by class its smallest id, its number of documents and links, and root and smallest id of its component."""
-    classes = classified(df, id_col, text_col, n, percent)
+    key = secrets.token_bytes(16)  # drawn after the texts were written, so none of them can be made to collide
+    classes = classified(df, id_col, text_col, n, percent, key)
     families = written(components(candidate_edges(classes, percent)), "ngram-families")
-    verified = written(verified_links(df, id_col, text_col, classes, families, n, percent), "ngram-links")
+    verified = written(verified_links(df, id_col, text_col, classes, families, n, percent, key), "ngram-links")
     links = components(verified.where("v is not null").select("u", "v"))
     counts = verified.where("v is null").groupBy("u").agg(F.sum("links").alias("links"))
     least = classes.where("c is not null").groupBy("c").agg(F.min("id").alias("least"), F.count("*").alias("docs"))
@@ -452,21 +461,22 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` without near duplicates: of each component one row of its smallest id.
+    """The rows of ``df`` without near duplicates: of each component one row of its smallest id; its columns may have any names.
 
-    Rows without an id all stay. Of a component's rows of that id that one stays whose text has the smallest class, then hash; a row
+    Rows without an id all stay. Of a component's rows of that id that one stays whose text has the smallest hash; a row
     that equals it in id and text goes. Rows of one id with texts that are not linked are of different components and all stay, rows without words too,
     but for equal ones.
     """
-    found = _components(df, id_col, text_col, n, percent).where("id is not null and (c is null or id = component)")
+    found = _components(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", n, percent).where("id is not null and (c is null or id = component)")
     # a component keeps one text of its smallest id; texts without words are their own components
-    kept = found.groupBy(F.coalesce("root", F.lit(-1)).alias("root"), "id", F.when(F.col("c").isNull(), F.col("t")).alias("own")).agg(F.min(F.struct("c", "t")).alias("x"), F.count("*").alias("rows"))
-    kept = written(kept.select(F.col("id").alias("__id"), F.col("x.t").alias("__t"), "rows").coalesce(8), "ngram-kept")
-    hashed = df.withColumn("__t", F.xxhash64(F.col(text_col).cast("string")))
-    own = hashed.join(kept.select("__id", "__t"), (F.col(id_col) == F.col("__id")) & (hashed["__t"] == kept["__t"]), "left_semi")
+    kept = found.groupBy(F.coalesce("root", F.lit(-1)).alias("root"), "id", F.when(F.col("c").isNull(), F.col("t")).alias("own")).agg(F.min("t").alias("t"), F.count("*").alias("rows"))
+    t, mine, theirs = (free_name(df, x) for x in ("t", "kept_id", "kept_t"))
+    kept = written(kept.select(F.col("id").alias(mine), F.col("t").alias(theirs), F.col("rows").alias("rows")).coalesce(8), "ngram-kept")
+    hashed = df.withColumn(t, F.xxhash64(F.col(text_col).cast("string")))
+    own = hashed.join(kept.select(mine, theirs), (F.col(id_col) == F.col(mine)) & (F.col(t) == F.col(theirs)), "left_semi")
     if kept.where("rows > 1").head(1):  # only then can two rows have one id and text
-        own = own.dropDuplicates([id_col, "__t"])
-    return own.drop("__t").union(df.where(F.col(id_col).isNull()))
+        own = own.dropDuplicates([id_col, t])
+    return own.drop(t).union(df.where(F.col(id_col).isNull()))
 
 
 def op1_ngram_join(spark, sf_dir):

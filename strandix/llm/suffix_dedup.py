@@ -22,7 +22,8 @@ by one by a 128-bit digest: a trigger with more than ``HOT`` contents for the di
 ``OFTEN`` entries for each ``OFTEN_BYTES`` of text, which go to buckets of contents while a marker tells the trigger's bucket. So a
 trigger's bucket gets at most as many entries and a marker a task, and a content or a string one entry a slice.
 
-Phrase contents are compared by about 100 bits of hashes (of trigger, bytes and length), strings within the dictionary by their bytes.
+Phrase contents are compared by 64 bits of a digest under a key that each run draws anew, beside 32 bits or more of their trigger's hash, strings within the
+dictionary by their bytes.
 
 Defined results: a null or empty text has no bytes and no spans; texts shorter than the depth stay whole; rows of one id remove
 nothing from each other; a row with a null id stays whole and removes nothing; repeated rows get equal results; other columns are never
@@ -32,6 +33,7 @@ read; an empty table gives an empty result. Ids are whole numbers. Matches never
 from __future__ import annotations
 
 from hashlib import blake2b
+from secrets import token_bytes
 
 import numpy as np
 import pandas as pd
@@ -90,12 +92,12 @@ def _sides(grams: np.ndarray, trigger: np.ndarray, start: np.ndarray, count: np.
     return out[0], out[1]
 
 
-def parse(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Phrases of texts of at most 16 MB in all: text, place, number of strings, trigger hash, content hash."""
-    return _parse(texts)[:5]
+def parse(texts: list[bytes], key: bytes = b"") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases of texts of at most 16 MB in all: text, place, number of strings, trigger hash, keyed digest of the content."""
+    return _parse(texts, key=key)[:5]
 
 
-def _parse(texts: list[bytes], sides: bool = False) -> tuple[np.ndarray, ...]:
+def _parse(texts: list[bytes], sides: bool = False, key: bytes = b"") -> tuple[np.ndarray, ...]:
     """The columns of ``parse`` and, with ``sides``, the hashes of both sides of the trigger."""
     sizes = np.array([len(x) for x in texts], np.int64)
     offsets = np.cumsum(sizes) - sizes
@@ -121,12 +123,7 @@ def _parse(texts: list[bytes], sides: bool = False) -> tuple[np.ndarray, ...]:
     count = np.diff(np.concatenate([first, [len(at)]]))
     start, trigger = at[first], trigger[first]
     end = start + count - 1 + DEPTH
-    content = count.astype(np.uint64)
-    for k, place in enumerate((start, start + 16, start + 32, np.minimum(start + 48, end - GRAM), end - 32, end - GRAM)):
-        content += grams[place] * _M[k]
-        content ^= content >> np.uint64(31)
-        content *= _M[(k + 1) % 6]
-    content ^= content >> np.uint64(33)
+    content = np.frombuffer(b"".join([blake2b(joint[a:b], digest_size=8, key=key).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]), "<u8")
     text = np.searchsorted(offsets, start, side="right") - 1
     return text, start - offsets[text], count, grams[trigger], content, *(_sides(grams, trigger, start, count) if sides else ())
 
@@ -205,7 +202,7 @@ def _documents(ids: list[int], keys: list[int]) -> tuple[np.ndarray, np.ndarray,
     return np.array([i for i, _ in known], np.int64), np.array([k for _, k in known], np.int64), rows
 
 
-def packed_phrases(rows: DataFrame, buckets: int) -> DataFrame:
+def packed_phrases(rows: DataFrame, buckets: int, key: bytes = b"") -> DataFrame:
     """The phrases of ``rows`` (id, key, text), packed by slice and bucket; buckets of contents come after those of triggers."""
 
     def run(batches):
@@ -213,9 +210,9 @@ def packed_phrases(rows: DataFrame, buckets: int) -> DataFrame:
         for part in _segments(batches):
             ids, keys, doc = _documents([x[0] for x in part], [x[1] for x in part])
             shift = np.array([x[2] for x in part])
-            text, place, count, h, c, left, right = _parse([x[3] for x in part], sides=True)
+            text, place, count, h, c, left, right = _parse([x[3] for x in part], True, key)
             read += sum(len(x[3]) for x in part)
-            send, goes = slice_order(ids, doc[text], c)
+            send, goes = slice_order(ids, doc[text], c, h)
             cell = (h[send] >> np.uint64(64 - CELL_BITS)).astype(np.int64)
             held, at, times = np.unique(cell, return_inverse=True, return_counts=True)
             # the first entries of a trigger in the task go to its bucket, the others to those of their contents
@@ -488,7 +485,7 @@ def _strings(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, "h long, id long, key long, c long, content binary, " + _PACKED)
 
 
-def removals(rows: DataFrame) -> DataFrame:
+def removals(rows: DataFrame, secret: bytes = b"") -> DataFrame:
     """(id, key, whole, masks), from tables: for rows (id, key, text) the phrase contents of which all, or some, strings stand in a smaller document."""
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
@@ -496,7 +493,7 @@ def removals(rows: DataFrame) -> DataFrame:
     def decide_bucket(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         return decide(int(key[0]), parts, int(key[0]) >= buckets)
 
-    marks = told_documents(packed_phrases(rows, buckets).groupBy("bucket").applyInPandas(decide_bucket, _DECIDED))
+    marks = told_documents(packed_phrases(rows, buckets, secret).groupBy("bucket").applyInPandas(decide_bucket, _DECIDED))
     marks = written(marks.drop("masks"), "suffix-marks")
     asked = marks.where("wanted is not null")
     near = rows.where(_marked(asked.select("key"))).join(asked.groupBy("id", "key").agg(F.collect_list("wanted").alias("wanted")), ["id", "key"]).select("id", "key", "text", "wanted")
@@ -515,7 +512,7 @@ def removals(rows: DataFrame) -> DataFrame:
     return whole.union(settled.union(dealt).select("id", "key", none, "masks"))
 
 
-def _cut(texts: list[bytes], whole: list[list[bytes]], masks: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], bytes]]:
+def _cut(texts: list[bytes], whole: list[list[bytes]], masks: list[list[bytes]], key: bytes = b"") -> list[tuple[list[tuple[int, int]], bytes]]:
     """For each text its maximal removed spans, and the bytes that stay."""
     w = [np.frombuffer(b"".join(x), _WHOLE)["c"] for x in whole]
     m = [np.frombuffer(b"".join(x), _MASK) for x in masks]
@@ -531,7 +528,7 @@ def _cut(texts: list[bytes], whole: list[list[bytes]], masks: list[list[bytes]])
     edge = np.zeros(int(sizes.sum()) + 1, np.int32)
 
     def mark(rows: list[int], shifts: list[int], pieces: list[bytes]) -> None:
-        piece, place, count, _, c = parse(pieces)
+        piece, place, count, _, c = parse(pieces, key)
         rows_, shifts_ = np.array(rows), np.array(shifts)
         row = np.minimum(np.searchsorted(known, c), len(known) - 1)
         code = row * len(texts) + rows_[piece]
@@ -576,7 +573,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.cast("binary").alias("text"))
     small_batches(df.sparkSession)
-    marks = removals(rows.where(F.col("id").isNotNull() & (F.length("text") >= DEPTH)))
+    secret = token_bytes(16)  # drawn after the texts were written, so none of them can be made to collide
+    marks = removals(rows.where(F.col("id").isNotNull() & (F.length("text") >= DEPTH)), secret)
     marked = F.coalesce(F.col("id").isNotNull(), F.lit(False)) & _marked(marks.select("key"))
     release(df.sparkSession)
     gathered = marks.groupBy("id", "key").agg(F.collect_list("whole").alias("whole"), F.collect_list("masks").alias("masks"))
@@ -591,7 +589,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     size += columns[1][stop].as_buffer().size
                     stop += 1
                 ids, texts, whole, masks = (c[row:stop].to_pylist() for c in columns)
-                made = _cut(texts, [x or [] for x in whole], [x or [] for x in masks])
+                made = _cut(texts, [x or [] for x in whole], [x or [] for x in masks], secret)
                 spans = [[{"start": a, "end": b} for a, b in gone] for gone, _ in made]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in texts], pa.int64()), pa.array(spans, span), pa.array([kept for _, kept in made], pa.binary())], names=["id", "n_bytes", "spans", "kept"])
                 row = stop

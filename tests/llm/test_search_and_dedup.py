@@ -91,10 +91,33 @@ def test_words_that_defeat_polynomials(spark):
 def test_word_hashes_tell_words():
     r = random.Random(1)
     words = sorted({"".join(r.choice("ab\x80") for _ in range(r.randint(1, 40))) for _ in range(20_000)} | {"ab", "ab\0", "ab\0\0"})
-    joint = " ".join(words).encode() + b" "
-    ends = np.cumsum([len(w.encode()) + 1 for w in words]) - 1
-    starts = ends - [len(w.encode()) for w in words]
-    assert len(np.unique(ngram_join.Shingler.words(joint, starts, ends))) == len(words)
+    joint = "\t".join(words).encode() + b"\x0b"
+    shingler = ngram_join.Shingler(3, b"key")
+    hashes = shingler.words(joint)
+    assert len(np.unique(hashes)) == len(words) and shingler.words(joint).tolist() == hashes.tolist()  # the second time from what is kept
+    assert not set(hashes.tolist()) & set(ngram_join.Shingler(3, b"other").words(joint).tolist())
+
+
+def test_words_made_to_collide_are_no_link(spark):
+    """Words of one hash under an unkeyed sum of mixed pieces."""
+    rows = [(1, "x y bcclfxzvjitgtbsv"), (2, "x y bhdpmuxb.//445m[")]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), n=3, percent=90).collect()
+    assert {(r.doc_id, r.component_id, r.class_id, r.n_links) for r in got} == {(1, 1, 1, 0), (2, 2, 2, 0)}
+
+
+def test_phrases_made_to_collide_stay(spark):
+    """Phrases of one hash under unkeyed 64-bit steps; the last 34 bytes are shared, and no 50."""
+    rows = [(1, "eszycidpyopumzgd joeyuzgqivkkkricqhbcbnm jbwjpnkpq"), (2, "RcD!\\4Kqa cbtqvk joeyuzgqivkkkricqhbcbnm jbwjpnkpq")]
+    assert all(len(x) == 50 for _, x in rows)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, bytes(r.kept).decode()) for r in got} == set(rows)
+
+
+def test_near_duplicates_of_a_table_with_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, 7, 8, 9), (2, text, 1, 2, 3), (3, "other words here", 4, 5, 6), (3, "other words here", 4, 5, 6)]
+    got = ngram_join.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, __t int, kept_id int, T int")).collect()
+    assert sorted(map(tuple, got)) == [rows[0], rows[2]]
 
 
 def test_classes_that_meet_are_told_apart(spark, monkeypatch):

@@ -409,3 +409,10 @@ def test_digests_of_queries(spark):
     for r in secrets.op4_secret_scan(spark, path).collect():
         base = sorted((m for m in secrets.in_code_points(text[r.doc_id].encode(), secrets.scan(text[r.doc_id].encode())) if m[0] in secrets.BASE_KINDS), key=lambda s: (s[1], secrets.KINDS[s[0]]))
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    rows = [(i, f"text {i} of some words", "s" if i % 3 else "t", "en", 777, 5, 6, 7) for i in range(60)]
+    names = ["doc_id", "text", "source", "lang", "__u", "__tokens", "__f", "x.y"]
+    got = mixing.mix(spark.createDataFrame(rows, names), share=0.9)
+    assert got.columns == names and {tuple(r)[4:] for r in got.collect()} == {(777, 5, 6, 7)} and set(map(tuple, got.collect())) <= set(rows)
