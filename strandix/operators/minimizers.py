@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import Config
 from .dictionary import Dictionary
 from .kmerize import _CODE, STEP, _windows
 
@@ -109,6 +110,57 @@ def kmer_minimizers(dictionary: Dictionary) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
+def minimizer_sweep(dictionary: Dictionary, lengths: list[int]) -> DataFrame:
+    """For each minimizer length, in one scan of the strings: minimizers, their distinct places, super-k-mers, the largest bucket and k-mers a super-k-mer.
+
+    Only super-k-mers leave the kernel. A long string is cut with a window more than it needs, which tells whether a cut goes through one.
+    """
+    c = dictionary.config
+    for m in lengths:
+        Config(k=c.k, m=m)  # checks it
+    magic = magic_of(c.seed)
+    names = ["m", "minimizer", "pos", "num_kmers", "fresh"]
+
+    def supers(m: int, begins: list, again: list, seqs: list) -> pa.RecordBatch:
+        sizes = np.array([len(x) for x in seqs])
+        ends = np.cumsum(sizes)
+        value, at = window_minimizers(_CODE[np.frombuffer(b"".join(seqs), np.uint8)], c.k, m, magic, c.canonical)
+        row = np.repeat(np.arange(len(seqs)), sizes)[: len(value)]
+        place = np.arange(len(value)) - (ends - sizes)[row]
+        inside = place + c.k <= sizes[row]
+        row, place, value, at = row[inside], place[inside], value[inside], at[inside]
+        pos = np.array(begins)[row] + place + at
+        turn = np.concatenate([[True], (np.diff(row) != 0) | (np.diff(value) != 0) | (np.diff(pos) != 0)])
+        first = np.flatnonzero(turn)
+        count = np.diff(np.append(first, len(row)))
+        seen = np.array(again)[row[first]] & (place[first] == 0)  # its first window was the last one of the cut before
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), m)), pa.array(value[first]), pa.array(pos[first]), pa.array(count - seen), pa.array((~seen).astype(np.int64))], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple] = []
+            size = 0
+            for begin, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for cut in range(0, len(seq) - c.k + 1, STEP):
+                    back = 1 if cut else 0
+                    part = seq[cut - back : cut + STEP + c.k - 1]
+                    if held and size + len(part) > STEP:
+                        for m in lengths:
+                            yield supers(m, *map(list, zip(*held, strict=True)))
+                        held, size = [], 0
+                    held.append((begin + cut - back, bool(back), part))
+                    size += len(part)
+            if held:
+                for m in lengths:
+                    yield supers(m, *map(list, zip(*held, strict=True)))
+
+    rows = dictionary.strings.select("string_begin", F.col("seq").cast("binary")).mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    places = rows.groupBy("m", "minimizer", "pos").agg(F.sum("num_kmers").alias("n"), F.sum("fresh").alias("s"))
+    sizes = places.groupBy("m", "minimizer").agg(F.count("*").alias("size"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    totals = sizes.groupBy("m").agg(F.count("*").alias("num_minimizers"), F.sum("size").alias("num_positions"), F.sum("s").alias("num_super_kmers"), F.max("size").alias("max_bucket"), F.sum("n").alias("num_kmers"))
+    return totals.withColumn("kmers_per_super_kmer", F.round(F.col("num_kmers") / F.col("num_super_kmers"), 6))
+
+
 def super_kmers(dictionary: Dictionary) -> DataFrame:
     """Maximal runs of k-mers of one string that share a minimizer and its place: first k-mer, place in it, length."""
     along = Window.partitionBy("string_id").orderBy("kmer_id")

@@ -74,7 +74,3 @@ def export_csv(df: DataFrame, path: str) -> None:
     """A result table as CSV files with a header."""
     df.write.mode("overwrite").option("header", True).csv(path)
 
-
-def sweep(sequences: DataFrame, configs, measure) -> list[dict]:
-    """One dictionary a configuration, and what ``measure`` tells of it as a row; a parameter sweep."""
-    return [c.as_dict() | measure(Dictionary.build(sequences, c)).first().asDict() for c in configs]

@@ -733,3 +733,70 @@ def reordering_accounting(spark, sf_dir):
 @query(CTE + DOCS + ", " + Q.RUNS + " select (select count(*) from strings) num_strings, (select count(*) from kmers) num_kmers, (select count(*) from (select distinct string_id, run from runs)) num_runs, (select count(distinct weight) from kmers) distinct_weights, (select cast(sum(weight) as bigint) from kmers) sum_of_weights")
 def weighted_scan_summary(spark, sf_dir):
     return O.scan_summary(O.weighted_strings(_docs(spark, sf_dir)))
+
+
+# ---- sweeps, exports, permutation files ------------------------------------------------------------------
+
+_SWEPT = (5, 7, 9)
+
+
+def _swept(m: int) -> str:
+    inner = CTE + BENCH + ", " + Q.minimizers(SMALL_K, m, MAGIC) + ", " + Q.SUPER
+    return f"select * from ({inner} select {m}::bigint m, count(*) num_minimizers, cast(sum(size) as bigint) num_positions, cast(sum(num_super_kmers) as bigint) num_super_kmers, max(size) max_bucket, cast(sum(num_kmers) as bigint) num_kmers, round(sum(num_kmers)::double / sum(num_super_kmers), 6) kmers_per_super_kmer from buckets)"
+
+
+@query(" union all ".join(_swept(m) for m in _SWEPT))
+def minimizer_sweep(spark, sf_dir):
+    return M.minimizer_sweep(_bench(spark, sf_dir), list(_SWEPT))
+
+
+@query(ORACLE["hit_rates_by_language"])
+def exported_hit_rates(spark, sf_dir):
+    """The rates written as CSV and read back."""
+    path = _folder(spark)
+    rates = hit_rates_by_language(spark, sf_dir)
+    T.export_csv(rates, path)
+    return spark.read.schema(rates.schema).option("header", True).csv(path)
+
+
+@query(CTE + DOCS + " select string_id, 1::bigint places, true in_range, true known_sign from strings")
+def permutation_file(spark, sf_dir):
+    """The permutation written and read back: each string has one place, from 0 on, and a sign."""
+    d, path = _docs(spark, sf_dir), _folder(spark)
+    order, _ = O.permutation(W.endpoints(d))
+    O.write_permutation(order, path)
+    read = O.read_permutation(spark, path)
+    n = d.strings.count()
+    return read.groupBy("string_id").agg(F.count("*").alias("places"), F.bool_and((F.col("new_pos") >= 0) & (F.col("new_pos") < n)).alias("in_range"), F.bool_and(F.col("forward").isNotNull()).alias("known_sign"))
+
+
+@query(CTE + _BENCH31 + f" select cast(string_id as bigint) string_id, seq, cast(length(seq) - {K - 1} as bigint) num_weights, w total from strings join (select string_id, cast(sum(weight) as bigint) w from kmers group by string_id) using (string_id)")
+def permuted_fasta(spark, sf_dir):
+    """Weighted strings written in their new order and orientation, read back and turned round again: strings and weights are as before."""
+    d, path = _bench(spark, sf_dir, k=K, m=20), _folder(spark)
+    order, _ = O.permutation(W.endpoints(d))
+    write_fasta(O.apply_permutation(O.weighted_strings(d), order), path, "string_id", "seq", "new_pos", K)
+    back = read_weighted_fasta(spark, path, K).withColumn("string_id", F.regexp_extract("header", r"^(\d+)", 1).cast("long")).join(order, "string_id")
+    turned = S.reversed_weights(F.col("header"))
+    head = F.when(F.col("forward"), F.col("header")).otherwise(turned)
+    weights = F.split(F.trim(F.regexp_extract(head, r"ab:Z:([\d ]+)", 1)), " ").cast("array<bigint>")
+    seq = F.when(F.col("forward"), F.col("seq")).otherwise(S.reverse_complement(F.col("seq")))
+    return back.select("string_id", seq.alias("seq"), F.size(weights).cast("long").alias("num_weights"), F.aggregate(weights, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(CTE + READS + " select read_id, pos, kmer, left(kmer, 1) first_base, cast(instr('ACGT', left(kmer, 1)) - 1 as integer) code, right(kmer, 1) = 'A' ends_with_a from read_windows")
+def bases_by_code(spark, sf_dir):
+    """A base turned into its code and back, in the other alphabet, and the end of a k-mer."""
+    e, x = "traditional", F.col("kmer")
+    code = S.char_code(S.base_at(x, 0), e)
+    return _windows(spark, sf_dir).select("read_id", "pos", "kmer", S.code_char(code, e).alias("first_base"), code.alias("code"), x.endswith("A").alias("ends_with_a"))
+
+
+@query(CTE + DOCS + ", " + READS + ", " + f"found as ({Q.lookup('read_windows', K)}) select read_id, pos, true same, d.kmer_id is null missing from found d")
+def lookups_of_both_strands_agree(spark, sf_dir):
+    """A k-mer and its opposite strand are looked up in one dictionary: the results agree in all but orientation."""
+    d = R.require_mode(_docs(spark, sf_dir), canonical=False)
+    rows = _windows(spark, sf_dir).select("read_id", "pos", F.upper("kmer").alias("kmer"))
+    one = d.lookup(rows).select("read_id", "pos", F.struct("kmer_id", "kmer_id_in_string", F.abs("kmer_orientation").alias("kmer_orientation"), "string_id", "string_begin", "string_end").alias("left"))
+    other = d.lookup(rows.withColumn("kmer", S.reverse_complement(F.col("kmer")))).select("read_id", "pos", F.struct("kmer_id", "kmer_id_in_string", F.abs("kmer_orientation").alias("kmer_orientation"), "string_id", "string_begin", "string_end").alias("right"))
+    return one.join(other, ["read_id", "pos"]).select("read_id", "pos", S.same_result("left", "right").alias("same"), F.col("left.kmer_id").isNull().alias("missing"))
