@@ -4,18 +4,25 @@ A string is an edge between its first and last weight, and may be turned round.
 a weight, so a walk of such strings is a trail, and the fewest walks are the fewest trails that use every edge once: half the weights of
 odd degree in a connected part, at least one. They are found by joining odd weights in pairs with helper edges, walking a closed
 trail of each part, and cutting it at the helpers. Strings of one pair of weights are alike to this: all but one or two of them are
-walked there and back in one go. So the driver walks the distinct pairs of weights with their counts, and strings take their places by a join on
-their pair and their number in it.
+walked there and back in one go. So only the distinct pairs of weights are walked, with their counts, and strings take their places by a join on
+their pair and their number in it. A bounded number of pairs is walked on the driver, more by joins (``cover``).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..sources.storage import shared_dir, stored
+from .cover import walks
+from .running import running_sums
+
+ON_DRIVER = 100_000  # distinct pairs of weights that the driver walks; more are walked by joins
+SALTS = 64
 
 
 def trails(edges: list[tuple[int, int, int]]) -> list[list[tuple[int, bool]]]:
@@ -86,47 +93,68 @@ def pair_runs(pairs: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, i
     edges = []
     for k, (a, b, n) in enumerate(pairs):
         edges += [(2 * k + j, a, b) for j in range(1 if a == b or n % 2 else 2)]
-    walks, runs, done, place = trails(edges), [], {}, 0
-    for walk in walks:
+    found, runs, done, place = trails(edges), [], {}, 0
+    for walk in found:
         for i, forward in walk:
             a, b, n = pairs[i // 2]
             size = 1 if i // 2 in done else n if a == b else n - 1 + n % 2
             runs.append((a, b, done.get(i // 2, 0), size, place, forward))
             done[i // 2] = done.get(i // 2, 0) + size
             place += size
-    return runs, len(walks)
-
-
-def permutation(endpoints: DataFrame, block: int = 1 << 16) -> tuple[DataFrame, int]:
+    return runs, len(found)
+
+
+def _runs_of_pairs(pairs: DataFrame, on_driver: int) -> tuple[DataFrame, int, bool]:
+    """(a, b, number, size, place, from_low), the number of walks, and whether pairs are within ``on_driver``: then they are walked on the driver, else by joins."""
+    spark = pairs.sparkSession
+    if len(pairs.limit(on_driver + 1).head(on_driver + 1)) <= on_driver:
+        runs, n = pair_runs([tuple(r) for r in pairs.orderBy("low", "high").collect()])
+        return spark.createDataFrame(runs, "a long, b long, number long, size long, place long, from_low boolean"), n, True
+    keyed = stored(pairs.withColumns({"key": F.monotonically_increasing_id(), "one": F.lit(1).cast("long")}), f"{shared_dir(spark)}/strandix/pairs-{uuid.uuid4().hex}")
+    numbered = running_sums(keyed, "key", {"one": "p"})
+    # an odd number of strings is one edge; an even one two, all but one string and that
+    several = (F.col("low") != F.col("high")) & (F.col("n") % 2 == 0)
+    first = numbered.select((2 * F.col("p")).alias("e"), "low", "high", F.lit(0).cast("long").alias("number"), (F.col("n") - several.cast("long")).alias("size"))
+    second = numbered.where(several).select((2 * F.col("p") + 1).alias("e"), "low", "high", (F.col("n") - 1).alias("number"), F.lit(1).cast("long").alias("size"))
+    edges = stored(first.unionByName(second), f"{shared_dir(spark)}/strandix/edges-{uuid.uuid4().hex}")
+    found, n = walks(edges.select("e", "low", "high", "size"))
+    return edges.join(found, "e").select(F.col("low").alias("a"), F.col("high").alias("b"), "number", "size", "place", "from_low"), n, False
+
+
+def permutation(endpoints: DataFrame, block: int = 1 << 16, on_driver: int = ON_DRIVER) -> tuple[DataFrame, int]:
     """(string_id, new_pos, forward) from (string_id, front, back), and the number of walks.
 
-    The driver holds one row a distinct pair of weights. Strings are numbered within their pair in blocks of ids.
+    Distinct pairs of weights are walked on the driver up to ``on_driver`` of them, and by joins beyond. Strings are numbered within their pair
+    in blocks of ids; those of a frequent pair meet its runs in a broadcast of that bound, or dealt out by a number of their own.
     """
-    spark = endpoints.sparkSession
     ends = endpoints.select("string_id", "front", F.least("front", "back").alias("low"), F.greatest("front", "back").alias("high"), F.floor(F.col("string_id") / block).alias("block"))
-    counts = ends.groupBy("low", "high", "block").agg(F.count("*").alias("n"))
-    pairs = counts.groupBy("low", "high").agg(F.sum("n").alias("n")).orderBy("low", "high")
-    runs, walks = pair_runs([tuple(r) for r in pairs.toLocalIterator()])
+    counts = stored(ends.groupBy("low", "high", "block").agg(F.count("*").alias("n")), f"{shared_dir(ends.sparkSession)}/strandix/pairs-{uuid.uuid4().hex}")
+    runs, n, small = _runs_of_pairs(counts.groupBy("low", "high").agg(F.sum("n").alias("n")), on_driver)
     before = F.sum("n").over(Window.partitionBy("low", "high").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     bases = counts.select("low", "high", "block", F.coalesce(before, F.lit(0)).alias("base"))
     nth = F.row_number().over(Window.partitionBy("low", "high", "block").orderBy("string_id")) - 1
     numbered = ends.withColumn("nth", nth).join(bases, ["low", "high", "block"]).withColumn("nth", F.col("base") + F.col("nth"))
-    table = spark.createDataFrame(runs, "a long, b long, number long, size long, place long, from_low boolean")
     at = (F.col("low") == F.col("a")) & (F.col("high") == F.col("b")) & (F.col("nth") >= F.col("number")) & (F.col("nth") < F.col("number") + F.col("size"))
+    if small:
+        runs = F.broadcast(runs)  # two rows a pair at most
+    else:
+        numbered = numbered.withColumn("__salt", F.pmod(F.xxhash64("string_id"), F.lit(SALTS)).cast("int"))
+        runs = runs.withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        at = at & (F.col("__salt") == F.col("__of"))
     step = F.col("nth") - F.col("number")
     ahead = F.col("from_low") == (step % 2 == 0)
     forward = F.when(F.col("low") == F.col("high"), F.lit(True)).otherwise((F.col("front") == F.col("low")) == ahead)
-    return numbered.join(table, at).select("string_id", (F.col("place") + step).alias("new_pos"), forward.alias("forward")), walks
+    return numbered.join(runs, at).select("string_id", (F.col("place") + step).alias("new_pos"), forward.alias("forward")), n
 
 
 def accounting(endpoints: DataFrame) -> DataFrame:
     """One row: runs before, strings, walks, runs as these promise (before - strings + walks), and runs as they are after reordering."""
-    order, walks = permutation(endpoints)
+    order, n = permutation(endpoints)
     placed = endpoints.join(order, "string_id").select("new_pos", "num_runs", F.when(F.col("forward"), F.col("front")).otherwise(F.col("back")).alias("first"), F.when(F.col("forward"), F.col("back")).otherwise(F.col("front")).alias("last"))
     meets = placed.join(placed.select((F.col("new_pos") + 1).alias("new_pos"), F.col("last").alias("previous")), "new_pos", "left")
     out = meets.agg(F.coalesce(F.sum("num_runs"), F.lit(0)).alias("runs_before"), F.count("*").alias("num_strings"), F.count_if(F.col("previous") == F.col("first")).alias("met"))
-    promised = F.col("runs_before") - F.col("num_strings") + walks
-    return out.select("runs_before", "num_strings", F.lit(walks).cast("long").alias("num_walks"), promised.alias("runs_promised"), (F.col("runs_before") - F.col("met")).alias("runs_after"))
+    promised = F.col("runs_before") - F.col("num_strings") + n
+    return out.select("runs_before", "num_strings", F.lit(n).cast("long").alias("num_walks"), promised.alias("runs_promised"), (F.col("runs_before") - F.col("met")).alias("runs_after"))
 
 
 def write_permutation(order: DataFrame, path: str) -> None:
