@@ -8,6 +8,7 @@ VERSION = (1, 0, 0)
 
 # The default two-bit order of bases, and the alphabetic one.
 ALPHABETS = {"default": "ACTG", "traditional": "ACGT"}
+COMPLEMENT = {"default": 2, "traditional": 3}  # which bits of a base's code differ from its complement's
 MAX_K = 63
 
 

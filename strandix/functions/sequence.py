@@ -71,22 +71,22 @@ def unpack_wide(x: Column, k: int, encoding: str = "default") -> Column:
     return F.translate(digits, "0123", ALPHABETS[encoding])
 
 
-def stored_kmer(key: Column, strand: Column, k: int) -> Column:
+def stored_kmer(key: Column, strand: Column, k: int, encoding: str = "default") -> Column:
     """The k-mer in the orientation in which it was stored under its key."""
-    s = unpack(key, k) if k <= 31 else unpack_wide(key, k)
+    s = unpack(key, k, encoding) if k <= 31 else unpack_wide(key, k, encoding)
     return F.when(strand >= 0, s).otherwise(reverse_complement(s))
 
 
-def key_of(s: Column, k: int) -> Column:
+def key_of(s: Column, k: int, encoding: str = "default") -> Column:
     """The key under which a k-mer and its opposite strand are stored: the smaller of the packed two."""
     p = pack if k <= 31 else pack_wide
-    return F.least(p(s), p(reverse_complement(s)))
+    return F.least(p(s, encoding), p(reverse_complement(s), encoding))
 
 
-def strand_of(s: Column, k: int) -> Column:
+def strand_of(s: Column, k: int, encoding: str = "default") -> Column:
     """1 if the k-mer itself is the smaller of its packed strands, -1 if the other is, 0 for a palindrome."""
     p = pack if k <= 31 else pack_wide
-    a, b = p(s), p(reverse_complement(s))
+    a, b = p(s, encoding), p(reverse_complement(s), encoding)
     return F.when(a == b, 0).when(a < b, 1).otherwise(-1).cast("int")
 
 

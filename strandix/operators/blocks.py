@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import ALPHABETS, COMPLEMENT
 from ..sources.storage import stored
 from .kmerize import key_type
 from .running import running
 
 BLOCK_BITS = 17
-_LETTERS = np.frombuffer(b"ACTG", np.uint8)
 
 
 def _halves(keys: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -28,24 +28,25 @@ def _halves(keys: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return wide[:, 1].astype(np.uint64), wide[:, 0].astype(np.uint64)
 
 
-def _base(low: np.ndarray, high: np.ndarray, strand: np.ndarray, j: int, k: int) -> np.ndarray:
+def _base(low: np.ndarray, high: np.ndarray, strand: np.ndarray, j: int, k: int, flip: int) -> np.ndarray:
     """Code of base j of stored k-mers, whose strand tells whether the key is the opposite one."""
 
     def at(i: int) -> np.ndarray:
         return (low >> np.uint64(2 * i) if i < 32 else high >> np.uint64(2 * (i - 32))) & np.uint64(3)
 
-    return np.where(strand >= 0, at(j), at(k - 1 - j) ^ np.uint64(2)).astype(np.int64)
+    return np.where(strand >= 0, at(j), at(k - 1 - j) ^ np.uint64(flip)).astype(np.int64)
 
 
-def _spelled(low: np.ndarray, high: np.ndarray, strand: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k: int) -> pa.Array:
+def _spelled(low: np.ndarray, high: np.ndarray, strand: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k: int, encoding: str) -> pa.Array:
     """A fragment's bases in the row of its first k-mer, null in others."""
     n, lengths = len(low), sizes + (k - 1)
+    letters, flip = np.frombuffer(ALPHABETS[encoding].encode(), np.uint8), COMPLEMENT[encoding]
     ends = np.cumsum(lengths)
     begins = ends - lengths
     text = np.empty(int(ends[-1]), np.uint8)
     for j in range(k - 1):
-        text[begins + j] = _LETTERS[_base(low[starts], high[starts], strand[starts], j, k)]
-    text[np.repeat(begins - starts, sizes) + np.arange(n) + (k - 1)] = _LETTERS[_base(low, high, strand, k - 1, k)]
+        text[begins + j] = letters[_base(low[starts], high[starts], strand[starts], j, k, flip)]
+    text[np.repeat(begins - starts, sizes) + np.arange(n) + (k - 1)] = letters[_base(low, high, strand, k - 1, k, flip)]
     offsets = np.zeros(n + 1, np.int32)
     offsets[starts + 1] = lengths
     fresh = np.zeros(n, bool)
@@ -53,7 +54,7 @@ def _spelled(low: np.ndarray, high: np.ndarray, strand: np.ndarray, starts: np.n
     return pa.Array.from_buffers(pa.string(), n, [pa.py_buffer(np.packbits(fresh, bitorder="little").tobytes()), pa.py_buffer(np.cumsum(offsets, dtype=np.int32).tobytes()), pa.py_buffer(text.tobytes())])
 
 
-def number_blocks(first: DataFrame, k: int) -> DataFrame:
+def number_blocks(first: DataFrame, k: int, encoding: str = "default") -> DataFrame:
     """(ckey, place, strand, weight) with ``block``, ``rank`` in it, the ``fragment`` of consecutive places from 1, its ``first_rank`` and ``size``, and its ``bases``.
 
     A block has at most 2^17 places, so a task holds that many rows at a time.
@@ -68,7 +69,7 @@ def number_blocks(first: DataFrame, k: int) -> DataFrame:
         sizes = np.diff(np.append(starts, n))
         low, high = _halves(ckey, k)
         ints = lambda x: pa.array(x.astype(np.int32))
-        bases = _spelled(low, high, strand.to_numpy(), starts, sizes, k)
+        bases = _spelled(low, high, strand.to_numpy(), starts, sizes, k, encoding)
         columns = [block, place, ints(np.arange(n)), ints(np.repeat(np.arange(len(starts)) + 1, sizes)), ints(np.repeat(starts, sizes)), ints(np.repeat(sizes, sizes)), bases, ckey, strand, weight]
         yield from pa.Table.from_arrays(columns, names=names).to_batches(max_chunksize=20_000)
 

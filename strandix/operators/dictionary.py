@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ALPHABETS, VERSION, Config
+from ..config import COMPLEMENT, VERSION, Config
 from ..functions import sequence as S
 from ..sources.storage import bucketed, bucketed_at, buckets_for, erase, shared_dir, stored
 from .blocks import number_blocks, stitched
@@ -20,6 +20,7 @@ from .keyfilter import assembled, filter_rows, may_hold, words_for
 from .kmerize import cut, kmerize_places
 from .running import running_sums
 
+HASHER = "multiply-xor 64"
 RESULT = ("kmer_id", "kmer_id_in_string", "kmer_offset", "kmer_orientation", "string_id", "string_begin", "string_end")
 
 
@@ -75,12 +76,12 @@ class Dictionary:
         lengths = pieces.groupBy("id").agg((F.max(F.col("start") + F.col("size")) + 1).alias("bases"))
         begins = stored(running_sums(lengths, "id", {"bases": "begin"}).select("id", "begin"), parts[1])
         placed = pieces.join(begins, "id").select((F.col("begin") + F.col("start")).alias("place"), "seq").repartition("place")
-        first = kmerize_places(placed, k).groupBy("ckey").agg(F.min("at").alias("at"), F.count("*").alias("weight"))
+        first = kmerize_places(placed, k, config.encoding).groupBy("ckey").agg(F.min("at").alias("at"), F.count("*").alias("weight"))
         first = first.select("ckey", F.shiftright("at", 2).alias("place"), (F.col("at").bitwiseAND(F.lit(3)) - 1).cast("int").alias("strand"), "weight")
         if "weights" in sequences.columns:
             given = sequences.select(F.col("sequence_id").cast("long").alias("id"), F.posexplode("weights").alias("pos", "given")).join(begins, "id")
             first = first.join(given.select((F.col("begin") + F.col("pos")).alias("place"), "given"), "place", "left").withColumn("weight", F.coalesce("given", "weight")).drop("given")
-        numbered = stored(number_blocks(first, k), parts[2], "lz4")
+        numbered = stored(number_blocks(first, k, config.encoding), parts[2], "lz4")
         blocks, total = stitched(numbered, parts[3])
         at = numbered.join(blocks, "block").withColumns({
             "string_id": F.col("string_base") + F.col("fragment") - 1 - F.col("joins"),
@@ -143,7 +144,7 @@ class Dictionary:
         return self.config.k
 
     def kmer_strings(self) -> Column:
-        return S.stored_kmer(F.col("ckey"), F.col("strand"), self.k)
+        return S.stored_kmer(F.col("ckey"), F.col("strand"), self.k, self.config.encoding)
 
     def _orientation(self, query_strand: Column) -> Column:
         both = query_strand * F.col("strand")
@@ -152,7 +153,7 @@ class Dictionary:
     def keyed(self, df: DataFrame, kmer_col: str = "kmer") -> DataFrame:
         """``df`` with ``__key`` and ``__strand``; both null for anything but k valid bases."""
         s = F.when(S.is_valid(F.col(kmer_col)) & (F.length(kmer_col) == self.k), F.col(kmer_col))
-        return df.withColumns({"__key": S.key_of(s, self.k), "__strand": S.strand_of(s, self.k)})
+        return df.withColumns({"__key": S.key_of(s, self.k, self.config.encoding), "__strand": S.strand_of(s, self.k, self.config.encoding)})
 
     def lookup_keyed(self, df: DataFrame, check_rc: bool = True) -> DataFrame:
         """``df`` with ``__key`` and ``__strand`` replaced by the lookup result."""
@@ -186,7 +187,7 @@ class Dictionary:
         return df.join(stored_, F.col(id_col) == F.col("__id"), "left").select(*df.columns, *(c.alias(name) for name, c in columns.items()))
 
     def _stored_kmer(self) -> Column:
-        return S.stored_kmer(F.col("__ckey"), F.col("__stored"), self.k)
+        return S.stored_kmer(F.col("__ckey"), F.col("__stored"), self.k, self.config.encoding)
 
     def access(self, df: DataFrame, id_col: str = "kmer_id") -> DataFrame:
         """``df`` with the k-mer of each id, on its stored strand."""
@@ -244,11 +245,12 @@ class Dictionary:
         return self.strings.select("string_id", "num_kmers", "string_begin", "string_end", S.prefix(F.col("seq"), self.k).alias("string_prefix"), F.right(F.col("seq"), F.lit(self.k - 1)).alias("string_suffix"))
 
     def metadata(self) -> DataFrame:
-        """One row: parameters and counts."""
+        """One row: version, the minimizers' hash, parameters and counts."""
         n = self.kmers.agg(F.count("*").alias("num_kmers"))
         s = self.strings.agg(F.count("*").alias("num_strings"), F.sum("len").alias("num_bases"), F.max("len").alias("max_len"))
         c = self.config
-        return n.crossJoin(s).select(F.lit(c.k).alias("k"), F.lit(c.m).alias("m"), F.lit(c.canonical).alias("canonical"), F.lit(c.weighted).alias("weighted"), "num_kmers", "num_strings", "num_bases", "max_len")
+        version = ".".join(map(str, VERSION))
+        return n.crossJoin(s).select(F.lit(version).alias("version"), F.lit(HASHER).alias("hasher"), F.lit(c.k).alias("k"), F.lit(c.m).alias("m"), F.lit(c.canonical).alias("canonical"), F.lit(c.weighted).alias("weighted"), "num_kmers", "num_strings", "num_bases", "max_len")
 
     # ---- navigation --------------------------------------------------------------------------------
 
@@ -270,14 +272,15 @@ class Dictionary:
         """Both packed strands of a k-mer are made once; its neighbours' are shifts of them by a base, each with the new base or its complement."""
         mask, top = F.lit((1 << 2 * self.k) - 1), 2 * (self.k - 1)
         valid = F.when(S.is_valid(F.col(kmer_col)) & (F.length(kmer_col) == self.k), F.upper(F.col(kmer_col)))
-        rows = df.withColumns({"__upper": F.upper(F.col(kmer_col)), "__x": S.pack(valid), "__r": S.pack(S.reverse_complement(valid))})
+        pack = lambda s: S.pack(s, self.config.encoding)
+        rows = df.withColumns({"__upper": F.upper(F.col(kmer_col)), "__x": pack(valid), "__r": pack(S.reverse_complement(valid))})
         x, r = F.col("__x"), F.col("__r")
         # a neighbour is valid if what it keeps of the k-mer is; where one base is not, the packed strands of the rest are made for it
         move = {"forward": S.append_base, "backward": S.prepend_base}
 
         def step(direction: str, slot: int, base: str) -> Column:
-            code = ALPHABETS["default"].index(base)
-            other = code ^ 2
+            code = self.config.alphabet.index(base)
+            other = code ^ COMPLEMENT[self.config.encoding]
             if direction == "forward":
                 ahead, back = F.shiftright(x, 2).bitwiseOR(F.lit(code << top)), F.shiftleft(r, 2).bitwiseAND(mask).bitwiseOR(F.lit(other))
             else:
@@ -288,7 +291,7 @@ class Dictionary:
         steps = F.array(*(step(d, i, c) for d in directions for i, c in enumerate(self.config.alphabet)))
         rows = rows.withColumn("__step", F.explode(steps)).select(*df.columns, "__x", "__step.*")
         late = F.when(F.col("__x").isNull() & S.is_valid(F.col("neighbour")) & (F.length("neighbour") == self.k), F.col("neighbour"))
-        ahead, back = F.coalesce("ahead", S.pack(late)), F.coalesce("back", S.pack(S.reverse_complement(late)))
+        ahead, back = F.coalesce("ahead", pack(late)), F.coalesce("back", pack(S.reverse_complement(late)))
         rows = rows.withColumns({"ahead": ahead, "back": back})
         strand = F.when(F.col("ahead") == F.col("back"), 0).when(F.col("ahead") < F.col("back"), 1).otherwise(-1).cast("int")
         return rows.select(*df.columns, "direction", "slot", "base", "neighbour", F.least("ahead", "back").alias("__key"), F.when(F.col("ahead").isNotNull(), strand).alias("__strand"))

@@ -9,17 +9,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import ALPHABETS, COMPLEMENT
+
 STEP = 1 << 20  # bases that are packed at a time; longer sequences are cut with an overlap of k - 1
 
-_CODE = np.full(256, 4, np.uint8)
-for _i, _c in enumerate("ACTG"):
-    _CODE[ord(_c)] = _CODE[ord(_c.lower())] = _i
 
+def _codes(alphabet: str) -> np.ndarray:
+    """The code of each byte; 4 for what is no base."""
+    out = np.full(256, 4, np.uint8)
+    for i, c in enumerate(alphabet):
+        out[ord(c)] = out[ord(c.lower())] = i
+    return out
+
+
+CODES = {name: _codes(alphabet) for name, alphabet in ALPHABETS.items()}
 
-def _windows(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+
+def _windows(codes: np.ndarray, k: int, flip: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Packed forward and reverse-complement value of every window of k <= 32 codes, by doubling."""
     f = codes.astype(np.uint64)
-    r = f ^ np.uint64(2)
+    r = f ^ np.uint64(flip)
     powers = {1: (f, r)}
     size = 1
     while size * 2 <= k:
@@ -42,17 +51,17 @@ def _windows(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out_f, out_r
 
 
-def pack_windows(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def pack_windows(codes: np.ndarray, k: int, flip: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Key and strand of every window; keys are numbers for k <= 31, else 16 bytes each, most significant first."""
     if len(codes) < k:
         return np.zeros(0, np.uint64 if k <= 31 else "V16"), np.zeros(0, np.int8)
     if k <= 31:
-        f, r = _windows(codes, k)
+        f, r = _windows(codes, k, flip)
         return np.minimum(f, r), np.where(f == r, 0, np.where(f < r, 1, -1)).astype(np.int8)
     n = len(codes) - k + 1
-    low, r_high = _windows(codes, 32)  # the first 32 bases of a window, and their complement's end
+    low, r_high = _windows(codes, 32, flip)  # the first 32 bases of a window, and their complement's end
     none = np.zeros(len(codes) + 1, np.uint64)
-    high, r_low = _windows(codes, k - 32) if k > 32 else (none, none)
+    high, r_low = _windows(codes, k - 32, flip) if k > 32 else (none, none)
     low, high = low[:n], high[32 : 32 + n]
     # the opposite strand begins with the complement of the last k - 32 bases
     r_low, r_high = r_low[32 : 32 + n], r_high[:n]
@@ -89,18 +98,20 @@ def cut(df: DataFrame, k: int, seq_col: str = "seq", start_col: str | None = Non
     return rows.select(*others, (F.col("__base") + F.col("__at")).alias("start"), F.substring("__seq", F.col("__at") + 1, F.lit(STEP + k - 1)).alias(seq_col))
 
 
-def _pack(pieces: DataFrame, k: int, schema: str, finish: Callable) -> DataFrame:
+def _pack(pieces: DataFrame, k: int, schema: str, finish: Callable, encoding: str) -> DataFrame:
     """Packs the windows of (base, seq) rows; ``finish(bases, places, keys, strands)`` makes a batch of them."""
 
+    code, flip = CODES[encoding], COMPLEMENT[encoding]
+
     def emit(bases: list, sizes: list, joint: bytes) -> pa.RecordBatch | None:
-        codes = _CODE[np.frombuffer(joint, np.uint8)]
+        codes = code[np.frombuffer(joint, np.uint8)]
         if len(codes) < k:
             return None
         bad = np.concatenate([[0], np.cumsum(codes > 3, dtype=np.int32)])
         at = np.flatnonzero(bad[k:] == bad[:-k])  # separators are no bases, so windows never cross sequences
         if not len(at):
             return None
-        keys, strands = pack_windows(np.minimum(codes, 3), k)
+        keys, strands = pack_windows(np.minimum(codes, 3), k, flip)
         offsets = np.cumsum(np.array(sizes) + 1) - np.array(sizes) - 1
         row = np.searchsorted(offsets, at, side="right") - 1
         return finish(bases, row, at - offsets[row], keys[at], strands[at])
@@ -125,7 +136,7 @@ def _pack(pieces: DataFrame, k: int, schema: str, finish: Callable) -> DataFrame
     return pieces.mapInArrow(run, schema)
 
 
-def kmerize(df: DataFrame, id_col: str, seq_col: str, k: int, keep: Callable | None = None, start_col: str | None = None) -> DataFrame:
+def kmerize(df: DataFrame, id_col: str, seq_col: str, k: int, keep: Callable | None = None, start_col: str | None = None, encoding: str = "default") -> DataFrame:
     """(id, pos, ckey, strand) for each window without a character other than ACGT; shorter sequences have none.
 
     Windows of a piece follow each other in order; null sequences have none. ``keep``, of a batch's keys, tells which windows go on at all.
@@ -144,14 +155,14 @@ def kmerize(df: DataFrame, id_col: str, seq_col: str, k: int, keep: Callable | N
     if not df.isStreaming:
         # one file or row group may hold all sequences; dealing their pieces out moves a twentieth of what their windows will
         pieces = pieces.repartition("id", "start")
-    return _pack(pieces, k, f"id long, pos long, ckey {key_type(k)}, strand int", finish)
+    return _pack(pieces, k, f"id long, pos long, ckey {key_type(k)}, strand int", finish, encoding)
 
 
-def kmerize_places(pieces: DataFrame, k: int) -> DataFrame:
+def kmerize_places(pieces: DataFrame, k: int, encoding: str = "default") -> DataFrame:
     """(ckey, at) for the windows of (place, seq) pieces: ``at`` holds the window's place and, in two bits, its strand + 1, so its order is that of places."""
 
     def finish(bases, row, place, keys, strands):
         at = (np.array([b[0] for b in bases], np.int64)[row] + place) << 2 | (strands.astype(np.int64) + 1)
         return pa.RecordBatch.from_arrays([arrow_keys(keys), pa.array(at)], names=["ckey", "at"])
 
-    return _pack(pieces.select("place", "seq"), k, f"ckey {key_type(k)}, at long", finish)
+    return _pack(pieces.select("place", "seq"), k, f"ckey {key_type(k)}, at long", finish, encoding)

@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import Config
+from ..config import COMPLEMENT, Config
 from .dictionary import Dictionary
-from .kmerize import _CODE, STEP, _windows
+from .kmerize import CODES, STEP, _windows
 
 # The mixer's multiplier, and the classes' bounds.
 MULTIPLIER = 0x517CC1B727220A95
@@ -53,12 +53,12 @@ def sliding_minimum(values: np.ndarray, span: int, rightmost: bool = False) -> n
     return np.where(from_second, at.reshape(-1)[span - 1 : span - 1 + n], at_end.reshape(-1)[:n]) - np.arange(n)
 
 
-def window_minimizers(codes: np.ndarray, k: int, m: int, magic: int, canonical: bool) -> tuple[np.ndarray, np.ndarray]:
+def window_minimizers(codes: np.ndarray, k: int, m: int, magic: int, canonical: bool, flip: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """For every window of k codes its minimizer and where in the window that begins: the leftmost of smallest hash.
 
     In canonical mode the opposite strand's minimizer is taken where its packed value is smaller.
     """
-    forward, reverse = _windows(codes, m)
+    forward, reverse = _windows(codes, m, flip)
     n, span = len(codes) - k + 1, k - m + 1
     mixed = lambda x: x * np.uint64(MULTIPLIER) ^ np.uint64(magic % 2**64)
 
@@ -83,7 +83,7 @@ def kmer_minimizers(dictionary: Dictionary) -> DataFrame:
     def emit(strings: list, firsts: list, begins: list, seqs: list) -> pa.RecordBatch:
         sizes = np.array([len(x) for x in seqs])
         ends = np.cumsum(sizes)
-        value, at = window_minimizers(_CODE[np.frombuffer(b"".join(seqs), np.uint8)], c.k, c.m, magic, c.canonical)
+        value, at = window_minimizers(CODES[c.encoding][np.frombuffer(b"".join(seqs), np.uint8)], c.k, c.m, magic, c.canonical, COMPLEMENT[c.encoding])
         row = np.repeat(np.arange(len(seqs)), sizes)[: len(value)]
         place = np.arange(len(value)) - (ends - sizes)[row]
         inside = place + c.k <= sizes[row]  # others cross from one string to the next
@@ -124,7 +124,7 @@ def minimizer_sweep(dictionary: Dictionary, lengths: list[int]) -> DataFrame:
     def supers(m: int, begins: list, again: list, seqs: list) -> pa.RecordBatch:
         sizes = np.array([len(x) for x in seqs])
         ends = np.cumsum(sizes)
-        value, at = window_minimizers(_CODE[np.frombuffer(b"".join(seqs), np.uint8)], c.k, m, magic, c.canonical)
+        value, at = window_minimizers(CODES[c.encoding][np.frombuffer(b"".join(seqs), np.uint8)], c.k, m, magic, c.canonical, COMPLEMENT[c.encoding])
         row = np.repeat(np.arange(len(seqs)), sizes)[: len(value)]
         place = np.arange(len(value)) - (ends - sizes)[row]
         inside = place + c.k <= sizes[row]

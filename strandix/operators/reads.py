@@ -20,7 +20,7 @@ def positive_windows(dictionary: Dictionary, reads: DataFrame) -> DataFrame:
     reads come in pieces, each with the first k - 1 bases of the next. Hits are split over tasks by read and block of 2^17 windows; a block's last hit is
     sent to the next block too, which needs to know what came before.
     """
-    windows = kmerize(reads, "read_id", "seq", dictionary.k, dictionary.key_filter(), "start" if "start" in reads.columns else None).withColumnsRenamed({"id": "read_id", "strand": "read_strand"})
+    windows = kmerize(reads, "read_id", "seq", dictionary.k, dictionary.key_filter(), "start" if "start" in reads.columns else None, dictionary.config.encoding).withColumnsRenamed({"id": "read_id", "strand": "read_strand"})
     found = windows.join(dictionary.kmers.select("ckey", "kmer_id", "string_id", "strand"), "ckey")
     block = F.shiftright("pos", BLOCK_BITS)
     ends = F.col("pos").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) == (1 << BLOCK_BITS) - 1

@@ -79,7 +79,7 @@ def valid_sequences(spark, sf_dir):
 # ---- the dictionary itself ---------------------------------------------------------------------------
 
 
-@query(CTE + DOCS + " select 31 k, 20 m, false canonical, false weighted, (select count(*) from kmers) num_kmers, count(*) num_strings, cast(sum(length(seq)) as bigint) num_bases, cast(max(length(seq)) as bigint) max_len from strings")
+@query(CTE + DOCS + " select '1.0.0' " + "\"version\", 'multiply-xor 64' hasher, 31 k, 20 m, false canonical, false weighted, (select count(*) from kmers) num_kmers, count(*) num_strings, cast(sum(length(seq)) as bigint) num_bases, cast(max(length(seq)) as bigint) max_len from strings")
 def dictionary_metadata(spark, sf_dir):
     return _docs(spark, sf_dir).metadata()
 
@@ -800,3 +800,31 @@ def lookups_of_both_strands_agree(spark, sf_dir):
     one = d.lookup(rows).select("read_id", "pos", F.struct("kmer_id", "kmer_id_in_string", F.abs("kmer_orientation").alias("kmer_orientation"), "string_id", "string_begin", "string_end").alias("left"))
     other = d.lookup(rows.withColumn("kmer", S.reverse_complement(F.col("kmer")))).select("read_id", "pos", F.struct("kmer_id", "kmer_id_in_string", F.abs("kmer_orientation").alias("kmer_orientation"), "string_id", "string_begin", "string_end").alias("right"))
     return one.join(other, ["read_id", "pos"]).select("read_id", "pos", S.same_result("left", "right").alias("same"), F.col("left.kmer_id").isNull().alias("missing"))
+
+
+# ---- dictionaries in the other order of bases ------------------------------------------------------------
+
+_OTHER = "traditional"
+
+
+@query(CTE + BENCH + " select kmer_id, string_id, kmer_id_in_string, kmer_offset, kmer, weight from kmers")
+def kmer_table_in_the_other_alphabet(spark, sf_dir):
+    d = _bench(spark, sf_dir, encoding=_OTHER)
+    return d.kmers.select("kmer_id", "string_id", "kmer_id_in_string", "kmer_offset", d.kmer_strings().alias("kmer"), "weight")
+
+
+@query((CTE + BENCH + ", " + Q.minimizers(SMALL_K, SMALL_M, MAGIC, True)).replace("'ACTG'", "'ACGT'") + " select * from mins")
+def minimizers_in_the_other_alphabet(spark, sf_dir):
+    """Minimizers, in canonical mode, of k-mers packed in the other order."""
+    return M.kmer_minimizers(_bench(spark, sf_dir, encoding=_OTHER, canonical=True))
+
+
+@query((CTE + BENCH + ", " + Q.reads(SMALL_K, "documents", "doc_id", False) + ", " + Q.report(SMALL_K)[0] + " " + Q.report(SMALL_K)[1]))
+def read_report_in_the_other_alphabet(spark, sf_dir):
+    return R.read_report(_bench(spark, sf_dir, encoding=_OTHER), reads_of(table(spark, sf_dir, "documents"), "doc_id"))
+
+
+@query(CTE + BENCH + ", " + _steps("kmers", SMALL_K, keep="kmer_id from_kmer, kmer").replace("(0, 'A'), (1, 'C'), (2, 'T'), (3, 'G')", "(0, 'A'), (1, 'C'), (2, 'G'), (3, 'T')") + f" select from_kmer, kmer, direction, slot, base, neighbour, {RESULTS} from found")
+def neighbours_in_the_other_alphabet(spark, sf_dir):
+    d = _bench(spark, sf_dir, encoding=_OTHER)
+    return d.neighbours(d.kmers.select(F.col("kmer_id").alias("from_kmer"), d.kmer_strings().alias("kmer")))
