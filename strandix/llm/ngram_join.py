@@ -15,7 +15,8 @@ orders n-grams of like rarity. Two sets that reach the threshold share an n-gram
 Defined results: a null or empty text, or one without words, has an empty set, is linked with nothing and is a class and a component of
 its own; with fewer than n words the whole sequence is the one n-gram; repeated rows are documents of the same class; a null id takes
 part, and is the id of a class or component only if that has no other id; other columns are never read; an empty table gives
-an empty result. Words have 64 bits of a digest under a key that each run draws anew, n-grams 64 bits made of those, and sets are compared by their size and 128 bits of a digest: a number of 63 bits stands for a
+an empty result. Words have 64 bits, under a key that each run draws anew: a bijection of those of up to seven bytes, a digest of others. n-grams
+have 64 bits made of those with multipliers of that key, and sets are compared by their size and 128 bits of a digest: a number of 63 bits stands for a
 class, and where sets of different digests meet in one number, the number is changed for all but one of them.
 """
 
@@ -54,34 +55,47 @@ def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Digests(dict):
+    """64-bit digests of words under a key; words that are met again stay when the others go."""
+
+    def __init__(self, key: bytes):
+        self.key, self.old = key, {}
+
+    def __missing__(self, word: bytes) -> int:
+        found = self.old.get(word)
+        if found is None:
+            found = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=self.key).digest(), "little")
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+    def shrink(self) -> None:
+        if len(self) > WORDS:
+            self.old = dict(self)
+            self.clear()
+
+
 class Shingler:
     """Hashes of the word n-grams of texts, a slice of texts at a time."""
 
     def __init__(self, n: int, key: bytes = b""):
         self.n, self.key = n, key
-        self.place = _mix(np.arange(1, n + 1, dtype=np.uint64), 0x2545F4914F6CDD1D) | np.uint64(1)
-        self.young: dict[bytes, int] = {}  # digests of words, and those of the words before them
-        self.old: dict[bytes, int] = {}
-
-    def words(self, texts: bytes) -> np.ndarray:
-        """Keyed digests of the words of lower-case bytes."""
-        words = texts.split()
-        index: dict[bytes, int] = {}
-        number = index.setdefault
-        at = np.fromiter((number(w, len(index)) for w in words), np.int64, len(words))
-        young, old, key, digests = self.young, self.old, self.key, []
-        for w in index:
-            found = young.get(w)
-            if found is None:
-                found = old.get(w)
-                if found is None:
-                    found = int.from_bytes(hashlib.blake2b(w, digest_size=8, key=key).digest(), "little")
-                if len(w) <= 64:
-                    young[w] = found
-            digests.append(found)
-        if len(young) > WORDS:
-            self.old, self.young = young, {}
-        return np.array(digests, np.uint64)[at] if len(at) else np.zeros(0, np.uint64)
+        seeds = [hashlib.blake2b(i.to_bytes(8, "little"), digest_size=8, key=key).digest() for i in range(n)]
+        self.place = np.frombuffer(b"".join(seeds), "<u8") | np.uint64(1)
+        self.salt = np.frombuffer(hashlib.blake2b(b"salt", digest_size=8, key=key).digest(), "<u8")[0]
+        self.digests = _Digests(key)
+
+    def words(self, joint: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Keyed hashes of words: a bijection of the bytes and length of those up to seven bytes, digests of longer ones."""
+        size = ends - starts
+        eights = np.ndarray((len(joint) + 1,), "<u8", buffer=joint + bytes(8), strides=(1,))
+        bits = np.minimum(size, 7).astype(np.uint64) * np.uint64(8)
+        out = _mix((eights[starts] & ((np.uint64(1) << bits) - np.uint64(1)) | size.astype(np.uint64) << np.uint64(56)) ^ self.salt)
+        long = np.flatnonzero(size > 7)
+        digests = self.digests
+        out[long] = np.fromiter((digests[joint[a:b]] for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), np.uint64, len(long))
+        digests.shrink()
+        return out
 
     def sets(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """For each text the sorted hashes of its distinct n-grams; texts are UTF-8, A-Z count as a-z."""
@@ -100,8 +114,8 @@ class Shingler:
         raw = np.frombuffer(joint, np.uint8)
         space = _SPACE[raw]
         edge = np.flatnonzero(np.diff(space, prepend=True))
-        starts = edge[::2]
-        words = self.words(joint)
+        starts, ends = edge[::2], edge[1::2]
+        words = self.words(joint, starts, ends)
         bounds = np.searchsorted(starts, np.cumsum([0] + [len(x) + 1 for x in texts]))
         n, total = self.n, len(words)
         grams = np.zeros(max(0, total - n + 1), np.uint64)

@@ -92,10 +92,12 @@ def test_word_hashes_tell_words():
     r = random.Random(1)
     words = sorted({"".join(r.choice("ab\x80") for _ in range(r.randint(1, 40))) for _ in range(20_000)} | {"ab", "ab\0", "ab\0\0"})
     joint = "\t".join(words).encode() + b"\x0b"
+    ends = np.cumsum([len(w.encode()) + 1 for w in words]) - 1
+    starts = ends - [len(w.encode()) for w in words]
     shingler = ngram_join.Shingler(3, b"key")
-    hashes = shingler.words(joint)
-    assert len(np.unique(hashes)) == len(words) and shingler.words(joint).tolist() == hashes.tolist()  # the second time from what is kept
-    assert not set(hashes.tolist()) & set(ngram_join.Shingler(3, b"other").words(joint).tolist())
+    hashes = shingler.words(joint, starts, ends)
+    assert len(np.unique(hashes)) == len(words) and shingler.words(joint, starts, ends).tolist() == hashes.tolist()  # the second time from what is kept
+    assert not set(hashes.tolist()) & set(ngram_join.Shingler(3, b"other").words(joint, starts, ends).tolist())
 
 
 def test_words_made_to_collide_are_no_link(spark):
