@@ -23,4 +23,4 @@ def test_entry_without_the_subpackage(tmp_path, drop):
     there = (copy / "strandix/llm/registry.py").exists()
     out = subprocess.run([sys.executable, "-c", NAMES], cwd=copy, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr
-    assert out.stdout.split() == ["10" if there else "0", "False", "True"]
+    assert out.stdout.split() == ["13" if there else "0", "False", "True"]
