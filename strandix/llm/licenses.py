@@ -144,12 +144,27 @@ class LicenseScanner:
             todo = [sorted(matches)]
             while todo:
                 some = todo.pop()
-                cover, first, last = self._chain(some)
-                if cover / self.sizes[k] < self.min_cover:
+                ends = self._chains(some)
+                best = max(x[0] for x in ends)
+                if best / self.sizes[k] < self.min_cover:
                     continue
-                out.append((self.labels[k], first, last, cover / self.sizes[k]))
-                # further copies of the text stand before or behind
-                todo += [x for x in ([m for m in some if m[0] + m[2] <= first], [m for m in some if m[0] >= last]) if x]
+                # all copies of the best cover that do not overlap, from left to right; what stands between them is looked at again, for less
+                taken, free = [], 0
+                for _, first, last in sorted(x for x in ends if x[0] == best):
+                    if first >= free:
+                        taken.append((first, last))
+                        free = last
+                out += [(self.labels[k], first, last, best / self.sizes[k]) for first, last in taken]
+                at, before = 0, 0
+                for first, last in [*taken, (some[-1][0] + some[-1][2] + 1,) * 2]:
+                    part = []
+                    while at < len(some) and some[at][0] < first:
+                        if some[at][0] >= before and some[at][0] + some[at][2] <= first:
+                            part.append(some[at])
+                        at += 1
+                    if part:
+                        todo.append(part)
+                    before = last
         return sorted(out, key=lambda x: (self.labels.index(x[0]), x[1]))
 
     def _known_runs(self, words: list[bytes]):
@@ -171,10 +186,9 @@ class LicenseScanner:
                 yield a, words[a:b]
             at, probe = b, b + least - 1 if b - a >= least else max(b, probe + least)
 
-    def _chain(self, matches: list[tuple[int, int, int]]) -> tuple[int, int, int]:
-        """Most template words that matches cover in both orders, gaps bounded; with the chain's words in the text."""
-        best: list[tuple[int, int]] = []
-        top = (0, 0, 0)
+    def _chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """For each match the most template words that matches up to it cover in both orders, gaps bounded; with the chain's words in the text."""
+        best: list[tuple[int, int, int]] = []
         low = 0
         for i, (x, y, n) in enumerate(matches):
             score, first = n, x
@@ -186,9 +200,8 @@ class LicenseScanner:
                     gain = n - max(0, a + m - x, b + m - y)
                     if gain > 0 and best[j][0] + gain > score:
                         score, first = best[j][0] + gain, best[j][1]
-            best.append((score, first))
-            top = max(top, (score, -first, x + n))
-        return top[0], -top[1], top[2]
+            best.append((score, first, x + n))
+        return best
 
     def scan(self, text: bytes | None) -> tuple:
         words = words_of(text)

@@ -416,3 +416,66 @@ def test_mixing_keeps_columns_of_any_name(spark):
     names = ["doc_id", "text", "source", "lang", "__u", "__tokens", "__f", "x.y"]
     got = mixing.mix(spark.createDataFrame(rows, names), share=0.9)
     assert got.columns == names and {tuple(r)[4:] for r in got.collect()} == {(777, 5, 6, 7)} and set(map(tuple, got.collect())) <= set(rows)
+
+
+def chains_by_trying(scanner, k, matches):
+    """Chains of one template one after another: the best, then what stands before and behind."""
+    out, todo = [], [sorted(matches)]
+    while todo:
+        some = todo.pop()
+        score, first, last = max(((s, -f, e) for s, f, e in scanner._chains(some)), default=(0, 0, 0))
+        first = -first
+        if not some or score / scanner.sizes[k] < scanner.min_cover:
+            continue
+        out.append((scanner.labels[k], first, last, score / scanner.sizes[k]))
+        todo += [[m for m in some if m[0] + m[2] <= first], [m for m in some if m[0] >= last]]
+    return sorted(out, key=lambda x: x[1])
+
+
+def best_cover(scanner, matches, at=None, i=-1):
+    """The most words of a chain, by trying all subsequences of matches."""
+    most = 0
+    for j in range(i + 1, len(matches)):
+        x, y, n = matches[j]
+        if at is None:
+            gain = n
+        else:
+            a, b, m = at
+            if not (a < x and b < y and x <= a + m + scanner.gap and y <= b + m + scanner.gap):
+                continue
+            gain = n - max(0, a + m - x, b + m - y)
+            if gain <= 0:
+                continue
+        most = max(most, gain + best_cover(scanner, matches, matches[j], j))
+    return most
+
+
+def test_license_chains_by_brute_force():
+    r = random.Random(11)
+    s = licenses.LicenseScanner({"t": " ".join(f"w{i}" for i in range(24)), "u": " ".join(f"v{i % 7}" for i in range(20))}, min_match=3, min_cover=0.3, gap=4)
+    for _ in range(300):
+        words = []
+        for _ in range(r.randint(1, 6)):
+            base = r.choice([[f"w{i}" for i in range(24)], [f"v{i % 7}" for i in range(20)], ["x"] * 6])
+            a = r.randint(0, len(base) - 1)
+            words += base[a : a + r.randint(1, 20)] + ["y"] * r.randint(0, 5)
+        words = [w.encode() for w in words]
+        held = [[], []]
+        for at, run in s._known_runs(words):
+            for end, n, state in s.automaton.matches(run, s.min_match):
+                for k, stop in set(s.automaton.ends[state]):
+                    held[k].append((at + end - n, stop - n, n))
+        got = s.spans(words)
+        assert got == [x for k in range(2) for x in chains_by_trying(s, k, held[k])]
+        for k in range(2):
+            if len(held[k]) <= 10:
+                most = best_cover(s, sorted(held[k]))
+                own = [x[3] for x in got if x[0] == s.labels[k]]
+                assert max(own, default=0) == (most / s.sizes[k] if most / s.sizes[k] >= 0.3 else 0)
+
+
+def test_many_copies_of_a_notice_are_one_pass():
+    began = time.time()
+    text = (licenses.TEMPLATES["mit-text"] + " ").encode() * 20_000
+    assert len(licenses.LicenseScanner().scan(text)[2]) == 20_000
+    assert time.time() - began < 60
