@@ -132,6 +132,8 @@ def test_ranking_matches_brute_force(spark, monkeypatch, seed):
     for small in (1 << 14, 50):
         monkeypatch.setattr(lexical, "SEGMENT_DOCS", small)
         assert collections.Counter(map(tuple, lexical.rank_documents(docs, asked).collect())) == want
+    renamed = asked.select(F.col("item_id").alias("item"), "text")
+    assert collections.Counter(map(tuple, lexical.rank_documents(docs, renamed, item_col="item").collect())) == want
     whole = lexical.index(docs)
     assert collections.Counter(map(tuple, lexical.rank_documents(docs, asked, segments=lexical.written(whole, "all-terms")).collect())) == want
 
