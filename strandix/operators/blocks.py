@@ -105,18 +105,19 @@ def stitched(numbered: DataFrame, path: str) -> tuple[DataFrame, int]:
         F.max(F.when(F.col("fragment") == 1, F.col("size"))).alias("head"),
     )
     blocks = stored(blocks, f"{path}/one")
+    total, low, high = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.min("block"), F.lit(0)), F.coalesce(F.max("block"), F.lit(0))).first()
     before = blocks.select((F.col("block") + 1).alias("block"), F.col("last").alias("__last"))
     after = blocks.select((F.col("block") - 1).alias("block"), F.col("first").alias("__first"))
     flag = lambda x: F.coalesce(x.cast("long"), F.lit(0).cast("long"))
     rows = blocks.join(before, "block", "left").join(after, "block", "left")
     rows = rows.select(*blocks.columns, flag(F.col("__last") + 1 == F.col("first")).alias("joins"), flag(F.col("last") + 1 == F.col("__first")).alias("joined"))
     rows = rows.withColumn("strings", F.col("fragments") - F.col("joins"))
-    rows = stored(running(rows, "block", {"n": "kmer_base", "strings": "string_base"}), f"{path}/two")
+    rows = stored(running(rows, "block", {"n": "kmer_base", "strings": "string_base"}, bounds=(low, high)), f"{path}/two")
     alone = F.col("fragments") == 1
     rows = rows.withColumns({
         "__begin": F.when(~(alone & (F.col("joins") == 1)), F.col("kmer_base") + F.col("tail_rank")),
         "__end": F.when(~(alone & (F.col("joined") == 1)), F.col("kmer_base") + F.col("head")),
     })
-    rows = running(rows, "block", highest={"__begin": "begun"}, lowest_after={"__end": "ends"})
+    rows = running(rows, "block", highest={"__begin": "begun"}, lowest_after={"__end": "ends"}, bounds=(low, high))
     out = stored(rows.select("block", "fragments", "joins", "joined", "kmer_base", "string_base", "begun", "ends"), f"{path}/three")
-    return out, blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return out, total

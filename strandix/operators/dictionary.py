@@ -189,9 +189,21 @@ class Dictionary:
     def _stored_kmer(self) -> Column:
         return S.stored_kmer(F.col("__ckey"), F.col("__stored"), self.k, self.config.encoding)
 
-    def access(self, df: DataFrame, id_col: str = "kmer_id") -> DataFrame:
-        """``df`` with the k-mer of each id, on its stored strand."""
-        return self._of_ids(df, id_col, kmer=self._stored_kmer())
+    def access(self, df: DataFrame, id_col: str = "kmer_id", block: int = 1 << 10) -> DataFrame:
+        """``df`` with the k-mer of each id, on its stored strand; null outside [0, n).
+
+        Read off the strings, which are a small part of the k-mers: an interval join with ids and strings cut into blocks of ids.
+        """
+        first, end = F.col("first_kmer_id"), F.col("first_kmer_id") + F.col("num_kmers")
+        spread = self.strings.select(first.alias("__first"), end.alias("__end"), F.col("seq").cast("binary").alias("__seq"), F.explode(F.sequence(F.floor(first / block), F.floor((end - 1) / block))).alias("__block"))
+        begin = F.greatest(F.col("__first"), F.col("__block") * block)
+        stop = F.least(F.col("__end"), (F.col("__block") + 1) * block)
+        part = F.substring("__seq", (begin - F.col("__first") + 1).cast("int"), (stop - begin + (self.k - 1)).cast("int"))
+        spread = spread.select("__block", begin.alias("__begin"), stop.alias("__stop"), part.alias("__part"))
+        left = df.withColumn("__of", F.floor(F.col(id_col) / block))
+        inside = (left["__of"] == spread["__block"]) & (spread["__begin"] <= left[id_col]) & (left[id_col] < spread["__stop"])
+        kmer = F.substring("__part", (left[id_col] - F.col("__begin") + 1).cast("int"), F.lit(self.k)).cast("string")
+        return left.join(spread, inside, "left").select(*(left[c] for c in df.columns), kmer.alias("kmer"))
 
     def weights(self, df: DataFrame, id_col: str = "kmer_id") -> DataFrame:
         """``df`` with the weight of each id."""

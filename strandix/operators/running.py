@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 BLOCKS = 4_096  # of the key range
 
 
-def running(df: DataFrame, key: str, sums: dict[str, str] | None = None, highest: dict[str, str] | None = None, lowest_after: dict[str, str] | None = None) -> DataFrame:
+def running(df: DataFrame, key: str, sums: dict[str, str] | None = None, highest: dict[str, str] | None = None, lowest_after: dict[str, str] | None = None, bounds: tuple[int, int] | None = None) -> DataFrame:
     """Adds, under the names given, the sum and the highest of columns over all smaller keys, and the lowest over all larger ones; keys are distinct whole numbers.
 
     Rows are taken together within blocks of the key range, and the blocks, whose number is fixed, among themselves. A sum of nothing is 0, a highest or lowest null.
+    ``bounds`` are the smallest and the largest key, if they are known.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
+    low, high = bounds or df.agg(F.min(key), F.max(key)).first()
     span = max(1, -(-((high or 0) - (low or 0) + 1) // BLOCKS))
     df = df.withColumn("__block", F.floor((F.col(key) - F.lit(low or 0)) / F.lit(span)).cast("long"))
     wanted = [(c, name, F.sum, lambda x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)), False) for c, name in (sums or {}).items()]

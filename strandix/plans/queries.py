@@ -172,6 +172,11 @@ def access_and_weight(spark, sf_dir):
     return d.access_weighted(ids)
 
 
+@query(CTE + DOCS + " select l.doc_id kmer_id, k.kmer from labels l left join kmers k on k.kmer_id = l.doc_id")
+def access_from_strings(spark, sf_dir):
+    return _docs(spark, sf_dir).access(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("kmer_id")))
+
+
 @query(CTE + DOCS + " select l.doc_id kmer_id, k.weight from labels l left join kmers k on k.kmer_id = l.doc_id")
 def weight_by_interval(spark, sf_dir):
     ids = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("kmer_id"))

@@ -65,6 +65,9 @@ def test_strings_cross_blocks(spark, monkeypatch, k):
     table_ = d.strings.orderBy("string_id").collect()
     assert [r.seq for r in table_] == strings and [r.first_kmer_id for r in table_] == [next(i for i, _, s, _ in kmers if s == n) for n in range(len(strings))]
     assert d.check() == {"ids": 0, "lookup": 0, "strings": 0, "navigation": 0, "negative": 0}
+    ids = spark.range(-2, len(kmers) + 2).withColumnRenamed("id", "kmer_id")
+    for size in (3, 1 << 10):
+        assert [r.kmer for r in d.access(ids, block=size).orderBy("kmer_id").collect()] == [None, None, *(x for _, x, *_ in kmers), None, None]
     inner = d.kmers.join(d.strings, "string_id").where("kmer_id_in_string <> kmer_id - first_kmer_id or string_kmers <> num_kmers or kmer_offset <> string_begin + kmer_id_in_string").count()
     assert inner == 0
 
