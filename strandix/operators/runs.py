@@ -19,24 +19,27 @@ _PIECE = ("block", "index", "last", "start", "string_id", "begin", "size", "weig
 
 def _pieces(rows: DataFrame, by_string: bool) -> DataFrame:
     """The runs of each block of 2^17 ids: number in the block, whether the last, number of the last one that begins a string (else -1), string, first id, size, weight."""
+    bits = BLOCK_BITS
 
     def whole(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(parts)
-        block, ids, string, place, weight = (table.column(i).to_numpy() for i in range(5))
+        ids, weight = table.column(0).to_numpy(), table.column(1).to_numpy()
         turn = np.diff(weight) != 0
         if by_string:
+            string = table.column(2).to_numpy()
             turn |= np.diff(string) != 0
         at = np.concatenate([[0], np.flatnonzero(turn) + 1])
         index, last = np.arange(len(at)), np.zeros(len(at), bool)
         last[-1] = True
-        start = np.maximum.accumulate(np.where(place[at] == 0, index, -1))
-        columns = [block[at], index, last, start, string[at], ids[at], np.diff(np.append(at, len(ids))), weight[at]]
+        none = np.zeros(len(at), np.int64)
+        start = np.maximum.accumulate(np.where(table.column(3).to_numpy()[at] == 0, index, -1)) if by_string else none - 1
+        columns = [ids[at] >> bits, index, last, start, string[at] if by_string else none, ids[at], np.diff(np.append(at, len(ids))), weight[at]]
         yield from pa.Table.from_arrays([pa.array(c) for c in columns], names=list(_PIECE)).to_batches(max_chunksize=50_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for batch in batches:
-            blocks = batch.column(0).to_numpy()
+            blocks = batch.column(0).to_numpy() >> bits
             cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
@@ -49,8 +52,8 @@ def _pieces(rows: DataFrame, by_string: bool) -> DataFrame:
         if held:
             yield from whole(held)
 
-    narrow = rows.select(F.shiftright("kmer_id", BLOCK_BITS).alias("block"), "kmer_id", "string_id", "kmer_id_in_string", "weight")
-    narrow = narrow.repartition("block").sortWithinPartitions("block", "kmer_id")
+    narrow = rows.select("kmer_id", "weight", *(["string_id", "kmer_id_in_string"] if by_string else []))
+    narrow = narrow.repartition(F.shiftright("kmer_id", bits)).sortWithinPartitions("kmer_id")
     return narrow.mapInArrow(run, "block long, index long, last boolean, start long, string_id long, begin long, size long, weight long")
 
 
