@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from ..config import COMPLEMENT, VERSION, Config
 from ..functions import sequence as S
 from ..sources.storage import bucketed, bucketed_at, buckets_for, erase, shared_dir, stored
-from .blocks import number_blocks, stitched
+from . import blocks as blocks_of
+from .blocks import expanded, given_weights, number_blocks, stitched
+from .firsts import first_places
 from .keyfilter import assembled, filter_rows, may_hold, words_for
-from .kmerize import cut, kmerize_places
+from .kmerize import cut
 from .running import running_sums
 
 HASHER = "multiply-xor 64"
@@ -42,9 +44,10 @@ class Dictionary:
     """``kmers`` (kmer_id, string_id, kmer_id_in_string, kmer_offset, string_kmers, ckey, strand, weight) and
     ``strings`` (string_id, seq, len, num_kmers, string_begin, string_end, first_kmer_id)."""
 
-    def __init__(self, kmers: DataFrame, strings: DataFrame, config: Config, filter_words: int = 0, filter_path: str | None = None):
+    def __init__(self, kmers: DataFrame, strings: DataFrame, config: Config, filter_words: int = 0, filter_path: str | None = None, spans: DataFrame | None = None, path: str | None = None, total: int = 0):
         self.kmers, self.strings, self.config = kmers, strings, config
         self.filter_words, self.filter_path = filter_words, filter_path
+        self.spans, self.path, self.total = spans, path, total
         self._kept: dict = {}
 
     def kept(self, name: str, make):
@@ -64,78 +67,111 @@ class Dictionary:
         and those shorter than k. Without given weights, a k-mer's weight is the number of its occurrences. With a column ``start``, rows
         are pieces of sequences from there on, each with the first k - 1 bases of the next, so that a sequence may have any length.
 
-        All sequences lie on one line of places. A k-mer's first place and its strand are one number, whose minimum is a fixed-width
-        aggregate; what is stored is numbered in blocks of places, and strings that cross blocks are stitched by a row a block.
+        All sequences lie on one line of places. First places are found in bins of minimizers, to which stretches of bases move and no row a window;
+        fragments of consecutive first places are numbered in blocks of places, and strings that cross blocks are stitched by a row a block. What is kept
+        are these spans of bases with their weights: ``kmers`` are made of them when read, and laid out by key when first looked up. With a ``path``
+        the dictionary is written whole, so that it can be loaded.
         """
         config = config or Config()
         spark, k = sequences.sparkSession, config.k
-        path = path or f"{shared_dir(spark)}/strandix/dictionary-{uuid.uuid4().hex}"
-        parts = [f"{path}/{x}" for x in ("pieces", "begins", "numbered", "blocks")]
+        named, path = path is not None, path or f"{shared_dir(spark)}/strandix/dictionary-{uuid.uuid4().hex}"
+        parts = [f"{path}/{x}" for x in ("pieces", "begins", "numbered", "blocks", "placed")]
         pieces = stored(cut(sequences.select(F.col("sequence_id").cast("long").alias("id"), *(c for c in ("seq", "start") if c in sequences.columns)), k, "seq", "start" if "start" in sequences.columns else None).withColumn("size", F.length("seq").cast("long")), parts[0])
         # sequences lie one after another, a place between them
         lengths = pieces.groupBy("id").agg((F.max(F.col("start") + F.col("size")) + 1).alias("bases"))
         begins = stored(running_sums(lengths, "id", {"bases": "begin"}).select("id", "begin"), parts[1])
-        placed = pieces.join(begins, "id").select((F.col("begin") + F.col("start")).alias("place"), "seq").repartition("place")
-        first = kmerize_places(placed, k, config.encoding).groupBy("ckey").agg(F.min("at").alias("at"), F.count("*").alias("weight"))
-        first = first.select("ckey", F.shiftright("at", 2).alias("place"), (F.col("at").bitwiseAND(F.lit(3)) - 1).cast("int").alias("strand"), "weight")
+        # pieces are dealt out anew, as one file or row group may hold all sequences
+        placed = stored(pieces.join(begins, "id").select((F.col("begin") + F.col("start")).alias("place"), "seq").repartition("place"), parts[4])
+        given = None
         if "weights" in sequences.columns:
-            given = sequences.select(F.col("sequence_id").cast("long").alias("id"), F.posexplode("weights").alias("pos", "given")).join(begins, "id")
-            first = first.join(given.select((F.col("begin") + F.col("pos")).alias("place"), "given"), "place", "left").withColumn("weight", F.coalesce("given", "weight")).drop("given")
-        numbered = stored(number_blocks(first, k, config.encoding), parts[2], "lz4")
+            given = given_weights(sequences.select(F.col("sequence_id").cast("long").alias("id"), "weights").join(begins, "id").select(F.col("begin").alias("place"), "weights"))
+        firsts = first_places(placed, k, config.encoding, blocks_of.BLOCK_BITS + blocks_of.GROUP_BITS)
+        numbered = stored(number_blocks(placed, firsts, k, given), parts[2])
         blocks, total = stitched(numbered, parts[3])
         at = numbered.join(blocks, "block").withColumns({
             "string_id": F.col("string_base") + F.col("fragment") - 1 - F.col("joins"),
             "first_kmer_id": F.when((F.col("fragment") == 1) & (F.col("joins") == 1), F.col("begun")).otherwise(F.col("kmer_base") + F.col("first_rank")),
             "end_kmer_id": F.when((F.col("fragment") == F.col("fragments")) & (F.col("joined") == 1), F.col("ends")).otherwise(F.col("kmer_base") + F.col("first_rank") + F.col("size")),
-            "kmer_id": F.col("kmer_base") + F.col("rank"),
+            "kmer_id": F.col("kmer_base") + F.col("first_rank"),
         })
         whole = ((F.col("fragment") > 1) | (F.col("joins") == 0)) & ((F.col("fragment") < F.col("fragments")) | (F.col("joined") == 0))
-        spelled = at.where(F.col("bases").isNotNull())
         # a string over a border of blocks is put together from its fragments; those after the first bring a base a k-mer
-        over = spelled.where(~whole).groupBy("string_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kmer_id", F.expr(f"if(kmer_id = first_kmer_id, bases, substring(bases, {k}))").alias("bases")))), lambda x: x["bases"]), "").alias("seq"), F.min("first_kmer_id").alias("first_kmer_id"))
-        strings = spelled.where(whole).select("string_id", F.col("bases").alias("seq"), "first_kmer_id").unionByName(over)
+        over = at.where(~whole).groupBy("string_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kmer_id", F.expr(f"if(kmer_id = first_kmer_id, bases, substring(bases, {k}))").alias("bases")))), lambda x: x["bases"]), "").alias("seq"), F.min("first_kmer_id").alias("first_kmer_id"))
+        strings = at.where(whole).select("string_id", F.col("bases").alias("seq"), "first_kmer_id").unionByName(over)
         length = F.length("seq").cast("long")
         begin = F.col("first_kmer_id") + F.col("string_id") * (k - 1)
         strings = strings.select("string_id", "seq", length.alias("len"), (length - (k - 1)).alias("num_kmers"), "first_kmer_id", begin.alias("string_begin"), (begin + length).alias("string_end"))
-        kmers = at.select("kmer_id", "string_id", "first_kmer_id", (F.col("end_kmer_id") - F.col("first_kmer_id")).alias("string_kmers"), "ckey", "strand", "weight")
-        out = cls(_with_places(bucketed(kmers, f"{path}/kmers", "ckey", buckets_for(total)), k), stored(strings, f"{path}/strings"), config)
-        out._write_rest(path, total)
+        spans = stored(at.select("kmer_id", "string_id", "first_kmer_id", (F.col("end_kmer_id") - F.col("first_kmer_id")).alias("string_kmers"), "bases", "weights"), f"{path}/spans")
+        out = cls(_with_places(expanded(spans, k, config.encoding), k), stored(strings, f"{path}/strings"), config, words_for(total), f"{path}/filter", spans, path, total)
+        if named:
+            out._write_kmers(path, total)
+            out._write_rest(path, total)
         erase(spark, *parts)
         return out
 
+    @property
+    def by_key(self) -> DataFrame:
+        """The k-mers in sorted buckets of their keys, without weights: made where keys are first looked up, as most queries need ids and strings only."""
+        return self.kmers if self.path is None else self.kept("by key", self._bucketed_by_key)
+
+    def _bucketed_by_key(self) -> DataFrame:
+        # a string has under 2^31 k-mers, so its length and a place in it are one number; what ids tell isn't stored
+        low = F.lit((1 << 32) - 1)
+        rows = self.kmers.select("ckey", F.shiftleft("kmer_id", 2).bitwiseOR(F.col("strand").cast("long") + 1).alias("at"), "string_id", F.shiftleft("kmer_id_in_string", 32).bitwiseOR(F.col("string_kmers")).alias("inside"))
+        made = bucketed(rows, f"{self.path}/keys", "ckey", buckets_for(self.total))
+        kmer_id = F.shiftright("at", 2)
+        return made.select(kmer_id.alias("kmer_id"), "string_id", F.shiftright("inside", 32).alias("kmer_id_in_string"), (kmer_id + F.col("string_id") * (self.k - 1)).alias("kmer_offset"), F.col("inside").bitwiseAND(low).alias("string_kmers"), "ckey", (F.col("at").bitwiseAND(F.lit(3)) - 1).cast("int").alias("strand"))
+
+    def weighted_spans(self) -> DataFrame:
+        """(kmer_id, string_id, first_kmer_id, weights): the weights of k-mers with consecutive ids, from one on."""
+        if self.spans is not None:
+            return self.spans.select("kmer_id", "string_id", "first_kmer_id", "weights")
+        return self.kmers.select("kmer_id", "string_id", (F.col("kmer_id") - F.col("kmer_id_in_string")).alias("first_kmer_id"), F.array("weight").alias("weights"))
+
+    def _write_kmers(self, path: str, total: int) -> None:
+        kmers = self.kmers.withColumn("first_kmer_id", F.col("kmer_id") - F.col("kmer_id_in_string"))
+        bucketed(kmers.select("kmer_id", "string_id", "first_kmer_id", "string_kmers", "ckey", "strand", "weight"), f"{path}/kmers", "ckey", buckets_for(total))
+
     def _write_rest(self, path: str, total: int) -> None:
         """The filter of keys, where there is one of use, and the parameters."""
         spark, words = self.kmers.sparkSession, words_for(total)
         if words:
             stored(filter_rows(self.kmers, words), f"{path}/filter")
-        self.filter_words, self.filter_path = words, f"{path}/filter"
-        spark.createDataFrame([(json.dumps(self.config.as_dict() | {"buckets": buckets_for(total), "filter_words": words}),)], "config string").coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
+        spark.createDataFrame([(json.dumps(self.config.as_dict() | {"buckets": buckets_for(total), "filter_words": words, "spans": self.spans is not None}),)], "config string").coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
 
     def key_filter(self):
         """``keep`` for packed windows: a test that is false only for keys that the dictionary doesn't hold. None without a filter."""
         if not self.filter_words:
             return None
         spark = self.kmers.sparkSession
-        shared = self.kept("filter", lambda: spark.sparkContext.broadcast(assembled(spark.read.schema("row long, words binary").parquet(self.filter_path), self.filter_words)))
+
+        def rows() -> DataFrame:
+            if self.path is not None:
+                return stored(filter_rows(self.by_key, self.filter_words), self.filter_path)
+            return spark.read.schema("row long, words binary").parquet(self.filter_path)
+
+        shared = self.kept("filter", lambda: spark.sparkContext.broadcast(assembled(rows(), self.filter_words)))
         return lambda keys: may_hold(shared.value, keys)
 
     def save(self, path: str) -> None:
         """Writes the tables, k-mers in buckets of their keys, and the parameters with the version."""
         total = self.kmers.count()
-        kmers = self.kmers.withColumn("first_kmer_id", F.col("kmer_id") - F.col("kmer_id_in_string"))
-        bucketed(kmers.select("kmer_id", "string_id", "first_kmer_id", "string_kmers", "ckey", "strand", "weight"), f"{path}/kmers", "ckey", buckets_for(total))
+        self._write_kmers(path, total)
+        if self.spans is not None:
+            stored(self.spans, f"{path}/spans")
         self.strings.repartitionByRange("string_id").sortWithinPartitions("string_id").write.mode("overwrite").parquet(f"{path}/strings")
-        Dictionary(self.kmers, self.strings, self.config)._write_rest(path, total)
+        self._write_rest(path, total)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Dictionary:
         """A saved dictionary; another major version is an error."""
         found = json.loads(spark.read.parquet(f"{path}/metadata").first()["config"])
         version, buckets, words = found.pop("version"), found.pop("buckets", 1), found.pop("filter_words", 0)
+        spans = spark.read.parquet(f"{path}/spans") if found.pop("spans", False) else None
         if version[0] != VERSION[0]:
             raise ValueError(f"dictionary of version {version}, but this is {list(VERSION)}")
         config = Config(**found)
-        return cls(_with_places(bucketed_at(spark, f"{path}/kmers", "ckey", buckets), config.k), spark.read.parquet(f"{path}/strings"), config, words, f"{path}/filter")
+        return cls(_with_places(bucketed_at(spark, f"{path}/kmers", "ckey", buckets), config.k), spark.read.parquet(f"{path}/strings"), config, words, f"{path}/filter", spans)
 
     # ---- point queries -----------------------------------------------------------------------------
 
@@ -157,7 +193,7 @@ class Dictionary:
 
     def lookup_keyed(self, df: DataFrame, check_rc: bool = True) -> DataFrame:
         """``df`` with ``__key`` and ``__strand`` replaced by the lookup result."""
-        stored_ = self.kmers.withColumnRenamed("ckey", "__key").drop("weight")
+        stored_ = self.by_key.withColumnRenamed("ckey", "__key").drop("weight")
         found = df.join(stored_, "__key", "left")
         orientation = self._orientation(F.col("__strand"))
         hit = F.col("kmer_id").isNotNull()
@@ -175,16 +211,26 @@ class Dictionary:
     def members(self, df: DataFrame, kmer_col: str = "kmer", present: bool = True, check_rc: bool = True) -> DataFrame:
         """The rows whose k-mer is, or is not, in the dictionary; ``check_rc=False`` counts stored strands only, in regular mode."""
         keyed = self.keyed(df, kmer_col)
-        keys = self.kmers.select(F.col("ckey").alias("__ckey"), F.col("strand").alias("__stored"))
+        keys = self.by_key.select(F.col("ckey").alias("__ckey"), F.col("strand").alias("__stored"))
         same = keyed["__key"] == keys["__ckey"]
         if not check_rc and not self.config.canonical:
             same = same & (keyed["__strand"] * keys["__stored"] >= 0)
         return keyed.join(keys, same, "left_semi" if present else "left_anti").select(df.columns)
 
-    def _of_ids(self, df: DataFrame, id_col: str, **columns: Column) -> DataFrame:
-        """``df`` with columns of the k-mer of each id, null outside [0, n); what is stored is joined first and unpacked after."""
-        stored_ = self.kmers.select(F.col("kmer_id").alias("__id"), F.col("ckey").alias("__ckey"), F.col("strand").alias("__stored"), F.col("weight").alias("__weight"))
-        return df.join(stored_, F.col(id_col) == F.col("__id"), "left").select(*df.columns, *(c.alias(name) for name, c in columns.items()))
+    def _of_ids(self, df: DataFrame, id_col: str, block: int = 1 << 10) -> DataFrame:
+        """``df`` with k-mer and weight of each id, null outside [0, n): an interval join with ids and spans cut into blocks of ids; without spans, a join with the k-mers."""
+        if self.spans is None:
+            stored_ = self.kmers.select(F.col("kmer_id").alias("__id"), F.col("ckey").alias("__ckey"), F.col("strand").alias("__stored"), F.col("weight").alias("__weight"))
+            return df.join(stored_, F.col(id_col) == F.col("__id"), "left").select(*df.columns, self._stored_kmer().alias("__kmer"), "__weight")
+        first, end = F.col("kmer_id"), F.col("kmer_id") + F.size("weights")
+        spread = self.spans.select(first.alias("__first"), end.alias("__end"), F.col("bases").cast("binary").alias("__bases"), F.col("weights").alias("__weights"), F.explode(F.sequence(F.floor(first / block), F.floor((end - 1) / block))).alias("__block"))
+        begin, stop = F.greatest(F.col("__first"), F.col("__block") * block), F.least(F.col("__end"), (F.col("__block") + 1) * block)
+        at, size = (begin - F.col("__first") + 1).cast("int"), (stop - begin).cast("int")
+        spread = spread.select("__block", begin.alias("__begin"), stop.alias("__stop"), F.substring("__bases", at, size + (self.k - 1)).alias("__part"), F.slice("__weights", at, size).alias("__some"))
+        left = df.withColumn("__of", F.floor(F.col(id_col) / block))
+        inside = (left["__of"] == spread["__block"]) & (spread["__begin"] <= left[id_col]) & (left[id_col] < spread["__stop"])
+        place = (left[id_col] - F.col("__begin") + 1).cast("int")
+        return left.join(spread, inside, "left").select(*(left[c] for c in df.columns), F.substring("__part", place, F.lit(self.k)).cast("string").alias("__kmer"), F.element_at("__some", place).alias("__weight"))
 
     def _stored_kmer(self) -> Column:
         return S.stored_kmer(F.col("__ckey"), F.col("__stored"), self.k, self.config.encoding)
@@ -207,11 +253,11 @@ class Dictionary:
 
     def weights(self, df: DataFrame, id_col: str = "kmer_id") -> DataFrame:
         """``df`` with the weight of each id."""
-        return self._of_ids(df, id_col, weight=F.col("__weight"))
+        return self._of_ids(df, id_col).select(*df.columns, F.col("__weight").alias("weight"))
 
     def access_weighted(self, df: DataFrame, id_col: str = "kmer_id") -> DataFrame:
         """``df`` with the k-mer and weight of each id, by one join."""
-        return self._of_ids(df, id_col, kmer=self._stored_kmer(), weight=F.col("__weight"))
+        return self._of_ids(df, id_col).select(*df.columns, F.col("__kmer").alias("kmer"), F.col("__weight").alias("weight"))
 
     def locate(self, df: DataFrame, offset_col: str = "offset", block: int = 1 << 16) -> DataFrame:
         """``df`` with the string that holds each offset of bases, and the k-mer that begins there; null where there is none.
@@ -245,12 +291,19 @@ class Dictionary:
 
     def iterate(self, first_id: int = 0, string_id: int | None = None, backward: bool = False) -> DataFrame:
         """(kmer_id, kmer) from an id on, or of one string, in order of id; backward, the opposite strands in falling order."""
-        rows = self.kmers.where(F.col("kmer_id") >= first_id)
+        order = F.desc("kmer_id") if backward else F.asc("kmer_id")
+        if self.spans is None:
+            rows = self.kmers.where(F.col("kmer_id") >= first_id)
+        else:  # spans are put in order, which their k-mers keep
+            rows = self.spans.where(F.col("kmer_id") + F.size("weights") > first_id)
         if string_id is not None:
             rows = rows.where(F.col("string_id") == string_id)
-        if backward:
-            return rows.select("kmer_id", S.reverse_complement(self.kmer_strings()).alias("kmer")).orderBy(F.desc("kmer_id"))
-        return rows.select("kmer_id", self.kmer_strings().alias("kmer")).orderBy("kmer_id")
+        if self.spans is None:
+            rows = rows.orderBy(order)
+        else:
+            rows = expanded(rows.repartitionByRange(order).sortWithinPartitions(order), self.k, self.config.encoding, backward).where(F.col("kmer_id") >= first_id)
+        kmer = self.kmer_strings()
+        return rows.select("kmer_id", (S.reverse_complement(kmer) if backward else kmer).alias("kmer"))
 
     def string_ends(self) -> DataFrame:
         """Number of k-mers, offsets, and first and last k-1 bases of each string."""
@@ -258,11 +311,10 @@ class Dictionary:
 
     def metadata(self) -> DataFrame:
         """One row: version, the minimizers' hash, parameters and counts."""
-        n = self.kmers.agg(F.count("*").alias("num_kmers"))
-        s = self.strings.agg(F.count("*").alias("num_strings"), F.sum("len").alias("num_bases"), F.max("len").alias("max_len"))
+        s = self.strings.agg(F.coalesce(F.sum("num_kmers"), F.lit(0)).alias("num_kmers"), F.count("*").alias("num_strings"), F.sum("len").alias("num_bases"), F.max("len").alias("max_len"))
         c = self.config
         version = ".".join(map(str, VERSION))
-        return n.crossJoin(s).select(F.lit(version).alias("version"), F.lit(HASHER).alias("hasher"), F.lit(c.k).alias("k"), F.lit(c.m).alias("m"), F.lit(c.canonical).alias("canonical"), F.lit(c.weighted).alias("weighted"), "num_kmers", "num_strings", "num_bases", "max_len")
+        return s.select(F.lit(version).alias("version"), F.lit(HASHER).alias("hasher"), F.lit(c.k).alias("k"), F.lit(c.m).alias("m"), F.lit(c.canonical).alias("canonical"), F.lit(c.weighted).alias("weighted"), "num_kmers", "num_strings", "num_bases", "max_len")
 
     # ---- navigation --------------------------------------------------------------------------------
 

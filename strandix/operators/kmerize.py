@@ -98,40 +98,47 @@ def cut(df: DataFrame, k: int, seq_col: str = "seq", start_col: str | None = Non
     return rows.select(*others, (F.col("__base") + F.col("__at")).alias("start"), F.substring("__seq", F.col("__at") + 1, F.lit(STEP + k - 1)).alias(seq_col))
 
 
+def valid_windows(codes: np.ndarray, k: int) -> np.ndarray:
+    """Where windows of k bases begin; separators are no bases, so windows never cross sequences."""
+    if len(codes) < k:
+        return np.zeros(0, np.int64)
+    bad = np.concatenate([[0], np.cumsum(codes > 3, dtype=np.int32)])
+    return np.flatnonzero(bad[k:] == bad[:-k])
+
+
+def joint_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list, list, bytes]]:
+    """Rows less their last column, its lengths, and its bytes with a separator between, about ``STEP`` bases at a time."""
+    for batch in batches:
+        columns, seqs = batch.columns[:-1], batch.column(batch.num_columns - 1)
+        bases, sizes, parts, held = [], [], [], 0
+        for i, s in enumerate(seqs):
+            s = s.as_py()
+            if held and held + len(s) > STEP + k:
+                yield bases, sizes, b"\n".join(parts)
+                bases, sizes, parts, held = [], [], [], 0
+            bases.append([c[i].as_py() for c in columns])
+            sizes.append(len(s))
+            parts.append(s)
+            held += len(s)
+        if bases:
+            yield bases, sizes, b"\n".join(parts)
+
+
 def _pack(pieces: DataFrame, k: int, schema: str, finish: Callable, encoding: str) -> DataFrame:
     """Packs the windows of (base, seq) rows; ``finish(bases, places, keys, strands)`` makes a batch of them."""
 
     code, flip = CODES[encoding], COMPLEMENT[encoding]
 
-    def emit(bases: list, sizes: list, joint: bytes) -> pa.RecordBatch | None:
-        codes = code[np.frombuffer(joint, np.uint8)]
-        if len(codes) < k:
-            return None
-        bad = np.concatenate([[0], np.cumsum(codes > 3, dtype=np.int32)])
-        at = np.flatnonzero(bad[k:] == bad[:-k])  # separators are no bases, so windows never cross sequences
-        if not len(at):
-            return None
-        keys, strands = pack_windows(np.minimum(codes, 3), k, flip)
-        offsets = np.cumsum(np.array(sizes) + 1) - np.array(sizes) - 1
-        row = np.searchsorted(offsets, at, side="right") - 1
-        return finish(bases, row, at - offsets[row], keys[at], strands[at])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns, seqs = batch.columns[:-1], batch.column(batch.num_columns - 1)
-            bases, sizes, parts, held = [], [], [], 0
-            for i, s in enumerate(seqs):
-                s = s.as_py()
-                if held and held + len(s) > STEP + k:
-                    if (out := emit(bases, sizes, b"\n".join(parts))) is not None:
-                        yield out
-                    bases, sizes, parts, held = [], [], [], 0
-                bases.append([c[i].as_py() for c in columns])
-                sizes.append(len(s))
-                parts.append(s)
-                held += len(s)
-            if bases and (out := emit(bases, sizes, b"\n".join(parts))) is not None:
-                yield out
+        for bases, sizes, joint in joint_batches(batches, k):
+            codes = code[np.frombuffer(joint, np.uint8)]
+            at = valid_windows(codes, k)
+            if not len(at):
+                continue
+            keys, strands = pack_windows(np.minimum(codes, 3), k, flip)
+            offsets = np.cumsum(np.array(sizes) + 1) - np.array(sizes) - 1
+            row = np.searchsorted(offsets, at, side="right") - 1
+            yield finish(bases, row, at - offsets[row], keys[at], strands[at])
 
     return pieces.mapInArrow(run, schema)
 

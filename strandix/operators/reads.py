@@ -21,7 +21,7 @@ def positive_windows(dictionary: Dictionary, reads: DataFrame) -> DataFrame:
     sent to the next block too, which needs to know what came before.
     """
     windows = kmerize(reads, "read_id", "seq", dictionary.k, dictionary.key_filter(), "start" if "start" in reads.columns else None, dictionary.config.encoding).withColumnsRenamed({"id": "read_id", "strand": "read_strand"})
-    found = windows.join(dictionary.kmers.select("ckey", "kmer_id", "string_id", "strand"), "ckey")
+    found = windows.join(dictionary.by_key.select("ckey", "kmer_id", "string_id", "strand"), "ckey")
     block = F.shiftright("pos", BLOCK_BITS)
     ends = F.col("pos").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) == (1 << BLOCK_BITS) - 1
     blocks = F.explode(F.when(ends, F.array(block, block + 1)).otherwise(F.array(block)))

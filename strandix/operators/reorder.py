@@ -192,5 +192,5 @@ def apply_permutation(strings: DataFrame, order: DataFrame) -> DataFrame:
 
 def weighted_strings(dictionary) -> DataFrame:
     """string_id, seq and the weights of its k-mers in order."""
-    w = dictionary.kmers.groupBy("string_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("kmer_id", "weight"))), lambda x: x["weight"]).alias("weights"))
+    w = dictionary.weighted_spans().groupBy("string_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("kmer_id", "weights"))), lambda x: x["weights"])).alias("weights"))
     return dictionary.strings.select("string_id", "seq").join(w, "string_id")

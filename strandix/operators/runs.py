@@ -15,6 +15,7 @@ from .running import running
 
 BLOCK_BITS = 17
 _PIECE = ("block", "index", "last", "start", "string_id", "begin", "size", "weight")
+_SCHEMA = "block long, index long, last boolean, start long, string_id long, begin long, size long, weight long"
 
 
 def _pieces(rows: DataFrame, by_string: bool) -> DataFrame:
@@ -52,15 +53,38 @@ def _pieces(rows: DataFrame, by_string: bool) -> DataFrame:
         if held:
             yield from whole(held)
 
+    if "weights" in rows.columns:
+        return _spread(rows, bits).mapInArrow(lambda batches: run(_opened(batches)), _SCHEMA)
     narrow = rows.select("kmer_id", "weight", *(["string_id", "kmer_id_in_string"] if by_string else []))
     narrow = narrow.repartition(F.shiftright("kmer_id", bits)).sortWithinPartitions("kmer_id")
-    return narrow.mapInArrow(run, "block long, index long, last boolean, start long, string_id long, begin long, size long, weight long")
+    return narrow.mapInArrow(run, _SCHEMA)
+
+
+def _spread(spans: DataFrame, bits: int) -> DataFrame:
+    """Spans cut at the borders of blocks of ids, in blocks and in order."""
+    end = F.col("kmer_id") + F.size("weights")
+    cut = spans.select("*", end.alias("__end"), F.explode(F.sequence(F.shiftright("kmer_id", bits), F.shiftright(end - 1, bits))).alias("block"))
+    begin, stop = F.greatest(F.col("kmer_id"), F.shiftleft("block", bits)), F.least(F.col("__end"), F.shiftleft(F.col("block") + 1, bits))
+    cut = cut.select("block", begin.alias("begin"), F.slice("weights", (begin - F.col("kmer_id") + 1).cast("int"), (stop - begin).cast("int")).alias("weights"), "string_id", "first_kmer_id")
+    return cut.repartition("block").sortWithinPartitions("begin").select("begin", "weights", "string_id", "first_kmer_id")
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a k-mer: id, weight, string and place in it."""
+    for batch in batches:
+        weights = batch.column(1)
+        n = np.diff(weights.offsets.to_numpy())
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        ids = np.repeat(batch.column(0).to_numpy(), n) + within
+        columns = [ids, weights.flatten().to_numpy(), np.repeat(batch.column(2).to_numpy(), n), ids - np.repeat(batch.column(3).to_numpy(), n)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kmer_id", "weight", "string_id", "kmer_id_in_string"])
 
 
 def weight_runs(kmers: DataFrame, by_string: bool) -> DataFrame:
     """run_id, string_id, ``run`` in its string from 1, begin and end (exclusive) id, weight; without ``by_string`` runs go on across strings and only run_id counts.
 
-    K-mers move once, into blocks of ids; a row a block then stitches what goes on across borders.
+    ``kmers`` are rows (kmer_id, string_id, kmer_id_in_string, weight), or spans (kmer_id, string_id, first_kmer_id, weights) of consecutive ids, of which
+    only the weights move. They move once, into blocks of ids; a row a block then stitches what goes on across borders.
     """
     path = f"{shared_dir(kmers.sparkSession)}/strandix/runs-{uuid.uuid4().hex}"
     pieces = stored(_pieces(kmers, by_string), f"{path}/pieces")

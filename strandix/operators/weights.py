@@ -11,12 +11,12 @@ from .runs import weight_runs
 
 def string_runs(dictionary: Dictionary) -> DataFrame:
     """Runs of equal weight that restart with each string: string_id, run (from 1), begin and end (exclusive) id, weight; made once a dictionary."""
-    return dictionary.kept("string runs", lambda: weight_runs(dictionary.kmers, True)).select("string_id", "run", "begin_kmer_id", "end_kmer_id", "weight")
+    return dictionary.kept("string runs", lambda: weight_runs(dictionary.weighted_spans(), True)).select("string_id", "run", "begin_kmer_id", "end_kmer_id", "weight")
 
 
 def global_runs(dictionary: Dictionary) -> DataFrame:
     """Runs over all ids, which go on across strings: run_id (from 0), begin and end (exclusive) id, weight; made once a dictionary."""
-    return dictionary.kept("runs", lambda: weight_runs(dictionary.kmers, False)).select("run_id", "begin_kmer_id", "end_kmer_id", "weight")
+    return dictionary.kept("runs", lambda: weight_runs(dictionary.weighted_spans(), False)).select("run_id", "begin_kmer_id", "end_kmer_id", "weight")
 
 
 def weight_of_ids(df: DataFrame, runs: DataFrame, id_col: str = "kmer_id", block: int = 1 << 16) -> DataFrame:
@@ -28,7 +28,7 @@ def weight_of_ids(df: DataFrame, runs: DataFrame, id_col: str = "kmer_id", block
 
 
 def weight_frequencies(dictionary: Dictionary) -> DataFrame:
-    return dictionary.kmers.groupBy("weight").agg(F.count("*").alias("num_kmers"))
+    return dictionary.weighted_spans().select(F.explode("weights").alias("weight")).groupBy("weight").agg(F.count("*").alias("num_kmers"))
 
 
 def weight_summary(dictionary: Dictionary) -> DataFrame:

@@ -14,7 +14,7 @@ from ..operators.reads import read_report
 def stream_hits(dictionary: Dictionary, reads: DataFrame) -> DataFrame:
     """A stream of (read_id, pos, kmer_id, string_id, kmer_orientation): a stream-static join without state."""
     windows = kmerize(reads, "read_id", "seq", dictionary.k, dictionary.key_filter(), encoding=dictionary.config.encoding).withColumnsRenamed({"id": "read_id", "strand": "read_strand"})
-    found = windows.join(dictionary.kmers.select("ckey", "kmer_id", "string_id", "strand"), "ckey")
+    found = windows.join(dictionary.by_key.select("ckey", "kmer_id", "string_id", "strand"), "ckey")
     return found.select("read_id", "pos", "kmer_id", "string_id", dictionary._orientation(F.col("read_strand")).alias("kmer_orientation"))
 
 
