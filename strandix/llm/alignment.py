@@ -296,39 +296,36 @@ def align_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     highest = counts.groupBy(of_b.alias("b")).agg(F.max("links").alias("highest"))  # a row an id of the second vocabulary, whose size is fixed
     ranked = counts.withColumn("b", of_b).join(F.broadcast(highest), "b").select("pair", "b", "links", (F.col("links") == F.col("highest")).alias("best"))
     rows = parts.select("slice", F.posexplode("pairs").alias("k", "pair")).join(ranked.select("pair", "links", "best"), "pair")
-    back = rows.groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("k", "links", "best"))).alias("counts"))
     out = T._parse_datatype_string(f"{id_col} {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
 
-    def put_together(batches):
-        arrow = to_arrow_schema(out)
-        for batch in batches:
-            for row in range(batch.num_rows):
-                x = {f.name: batch.column(i)[row] for i, f in enumerate(batch.schema)}
-                sizes, places = np.array(x["sizes"].as_py(), np.int64), np.frombuffer(x["places"].as_py(), "<u4")
-                ends, links = np.frombuffer(x["ends"].as_py(), "<u4").astype(np.int64), np.frombuffer(x["links"].as_py(), "<u4")
-                value, best = np.zeros(len(x["pairs"]), np.int64), np.zeros(len(x["pairs"]), np.int64)
-                if x["counts"].is_valid and len(x["counts"]):
-                    c = x["counts"].values
-                    k = c.field("k").to_numpy()
-                    value[k], best[k] = c.field("links").to_numpy(), c.field("best").to_numpy(zero_copy_only=False)
-                bound = np.concatenate([[0], ends])
-
-                def total(per_stretch, sizes=sizes, places=places):
-                    done = np.concatenate([[0], np.cumsum(per_stretch[places])])
-                    stop = np.cumsum(sizes)
-                    return (done[stop] - done[stop - sizes]).tolist()
-
-                def of_stretches(v, links=links, bound=bound):
-                    done = np.concatenate([[0], np.cumsum(v[links])])
-                    return done[bound[1:]] - done[bound[:-1]]
-
-                n = total(np.diff(bound))
-                columns = [x["ids"].as_py(), x["a"].as_py(), x["b"].as_py(), n, n, total(of_stretches(best)), total(of_stretches(value)), x["groups"].as_py()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-
-    joined = parts.select("slice", "ids", "a", "b", "groups", "sizes", "places", "ends", "links", "pairs").join(back, "slice", "left").drop("slice")
+    def put_together(slices: pa.Table, counts: pa.Table) -> pa.Table:
+        arrow, x = to_arrow_schema(out), {name: slices.column(name)[0] for name in slices.column_names}
+        sizes, places = np.array(x["sizes"].as_py(), np.int64), np.frombuffer(x["places"].as_py(), "<u4")
+        ends, links = np.frombuffer(x["ends"].as_py(), "<u4").astype(np.int64), np.frombuffer(x["links"].as_py(), "<u4")
+        value, best = np.zeros(x["distinct"].as_py(), np.int64), np.zeros(x["distinct"].as_py(), np.int64)
+        if counts.num_rows:
+            k = counts.column("k").to_numpy()
+            value[k], best[k] = counts.column("links").to_numpy(), counts.column("best").to_numpy()
+        bound = np.concatenate([[0], ends])
+
+        def total(per_stretch):
+            done = np.concatenate([[0], np.cumsum(per_stretch[places])])
+            stop = np.cumsum(sizes)
+            return (done[stop] - done[stop - sizes]).tolist()
+
+        def of_stretches(v):
+            done = np.concatenate([[0], np.cumsum(v[links])])
+            return done[bound[1:]] - done[bound[:-1]]
+
+        n = total(np.diff(bound))
+        columns = [x["ids"].as_py(), x["a"].as_py(), x["b"].as_py(), n, n, total(of_stretches(best)), total(of_stretches(value)), x["groups"].as_py()]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    # counts come to their slice as rows, which Spark sorts and spills: a task holds one slice's at a time, in its Python worker
+    slices = parts.select("slice", "ids", "a", "b", "groups", "sizes", "places", "ends", "links", F.size("pairs").alias("distinct"))
+    joined = slices.groupBy("slice").cogroup(rows.select(F.col("slice").alias("of_slice"), F.col("k").alias("k"), F.col("links").alias("links"), F.col("best").alias("best")).groupBy("of_slice")).applyInArrow(put_together, out)
     pairs = ranked.select(F.shiftright("pair", 32).alias("a"), "b", "links", "best")
-    return joined.mapInArrow(put_together, out), pairs
+    return joined, pairs
 
 
 def op13_cross_tokenizer(spark, sf_dir):

@@ -209,6 +209,15 @@ def test_alignment_matches_whole_texts(spark, monkeypatch):
     assert sum(1 for x in want if x[1] == 0) >= 3 and any(x[1] for x in want)
 
 
+def test_counts_of_slices_are_not_collected(spark):
+    """Counts meet their slices as rows that are sorted and may spill: no list of them is held on the JVM's heap, where a task kept up to 128 slices' at a time."""
+    docs = spark.createDataFrame([(i, f"some words {i} and more") for i in range(20)], "doc_id long, text string")
+    aligned, _ = alignment.align_documents(docs)
+    plan = aligned._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "ObjectHashAggregate" not in plan and "FlatMapCoGroupsInArrow" in plan
+    assert sorted(r.doc_id for r in aligned.collect()) == list(range(20))
+
+
 def test_long_text_is_aligned_whole(spark):
     x = "".join(random.Random(2).choice("abcdefgh") for _ in range(60_000))
     (row,) = alignment.align_documents(spark.createDataFrame([(1, x + " end")], "doc_id long, text string"))[0].collect()
