@@ -14,15 +14,16 @@ from pyspark.sql import functions as F
 
 from ..config import COMPLEMENT, VERSION, Config
 from ..functions import sequence as S
-from ..sources.storage import bucketed, bucketed_at, buckets_for, erase, shared_dir, stored
+from ..sources.storage import bucketed, bucketed_at, buckets_for, erase, release, shared_dir, stored
 from . import blocks as blocks_of
 from .blocks import expanded, given_weights, number_blocks, stitched
 from .firsts import first_places
-from .keyfilter import assembled, filter_rows, may_hold, words_for
+from .keyfilter import assembled, filter_rows, may_hold, words_asked, words_for
 from .kmerize import cut
 from .running import running_sums
 
 HASHER = "multiply-xor 64"
+LAID_OUT = 1 << 20  # dictionaries of fewer k-mers are laid out by key, however few are looked up
 RESULT = ("kmer_id", "kmer_id_in_string", "kmer_offset", "kmer_orientation", "string_id", "string_begin", "string_end")
 
 
@@ -75,18 +76,23 @@ class Dictionary:
         config = config or Config()
         spark, k = sequences.sparkSession, config.k
         named, path = path is not None, path or f"{shared_dir(spark)}/strandix/dictionary-{uuid.uuid4().hex}"
-        parts = [f"{path}/{x}" for x in ("pieces", "begins", "numbered", "blocks", "placed")]
+        parts = [f"{path}/{x}" for x in ("pieces", "begins", "numbered", "blocks", "placed", "firsts")]
         pieces = stored(cut(sequences.select(F.col("sequence_id").cast("long").alias("id"), *(c for c in ("seq", "start") if c in sequences.columns)), k, "seq", "start" if "start" in sequences.columns else None).withColumn("size", F.length("seq").cast("long")), parts[0])
         # sequences lie one after another, a place between them
         lengths = pieces.groupBy("id").agg((F.max(F.col("start") + F.col("size")) + 1).alias("bases"))
         begins = stored(running_sums(lengths, "id", {"bases": "begin"}).select("id", "begin"), parts[1])
-        # pieces are dealt out anew, as one file or row group may hold all sequences
-        placed = stored(pieces.join(begins, "id").select((F.col("begin") + F.col("start")).alias("place"), "seq").repartition("place"), parts[4])
+        # pieces are dealt out anew, as one file or row group may hold all sequences; neighbours stay together
+        dealt = pieces.join(begins, "id").select((F.col("begin") + F.col("start")).alias("place"), "seq").repartition(F.shiftright("place", blocks_of.BLOCK_BITS)).sortWithinPartitions("place")
+        placed = stored(dealt, parts[4])
+        erase(spark, parts[0])
         given = None
         if "weights" in sequences.columns:
             given = given_weights(sequences.select(F.col("sequence_id").cast("long").alias("id"), "weights").join(begins, "id").select(F.col("begin").alias("place"), "weights"))
-        firsts = first_places(placed, k, config.encoding, blocks_of.BLOCK_BITS + blocks_of.GROUP_BITS)
+        firsts = stored(first_places(placed, k, config.encoding, blocks_of.BLOCK_BITS + blocks_of.GROUP_BITS, small=True), parts[5], "uncompressed")
+        release(spark)  # the stretches
         numbered = stored(number_blocks(placed, firsts, k, given), parts[2])
+        erase(spark, parts[4], parts[5])
+        release(spark)
         blocks, total = stitched(numbered, parts[3])
         at = numbered.join(blocks, "block").withColumns({
             "string_id": F.col("string_base") + F.col("fragment") - 1 - F.col("joins"),
@@ -114,6 +120,25 @@ class Dictionary:
         """The k-mers in sorted buckets of their keys, without weights: made where keys are first looked up, as most queries need ids and strings only."""
         return self.kmers if self.path is None else self.kept("by key", self._bucketed_by_key)
 
+    def among(self, queries: DataFrame, key_col: str, n: int | None = None) -> DataFrame | None:
+        """The k-mers that queries may find, as in ``by_key``: read off the spans through a filter of the queries' keys, so that no row a k-mer moves.
+
+        None where queries are to meet all keys laid out: if they are so already, the dictionary is small, or queries are not few against it. ``n`` bounds the queries, if that is known.
+        """
+        if self.path is None or "by key" in self._kept or queries.isStreaming or self.total < LAID_OUT:
+            return None
+        keys = queries.where(F.col(key_col).isNotNull()).select(F.col(key_col).alias("ckey"))
+        n = keys.count() if n is None else n
+        words = words_asked(n)
+        if 4 * n > self.total or not words:
+            return None
+        spark = queries.sparkSession
+        path = f"{self.path}/asked-{uuid.uuid4().hex}"
+        shared = spark.sparkContext.broadcast(assembled(stored(filter_rows(keys, words), path), words))
+        erase(spark, path)
+        rows = expanded(self.spans, self.k, self.config.encoding, keep=lambda x: may_hold(shared.value, x))
+        return _with_places(rows, self.k).drop("weight")
+
     def _bucketed_by_key(self) -> DataFrame:
         # a string has under 2^31 k-mers, so its length and a place in it are one number; what ids tell isn't stored
         low = F.lit((1 << 32) - 1)
@@ -193,7 +218,8 @@ class Dictionary:
 
     def lookup_keyed(self, df: DataFrame, check_rc: bool = True) -> DataFrame:
         """``df`` with ``__key`` and ``__strand`` replaced by the lookup result."""
-        stored_ = self.by_key.withColumnRenamed("ckey", "__key").drop("weight")
+        few = self.among(df, "__key")
+        stored_ = (self.by_key if few is None else few).withColumnRenamed("ckey", "__key").drop("weight")
         found = df.join(stored_, "__key", "left")
         orientation = self._orientation(F.col("__strand"))
         hit = F.col("kmer_id").isNotNull()
@@ -211,7 +237,8 @@ class Dictionary:
     def members(self, df: DataFrame, kmer_col: str = "kmer", present: bool = True, check_rc: bool = True) -> DataFrame:
         """The rows whose k-mer is, or is not, in the dictionary; ``check_rc=False`` counts stored strands only, in regular mode."""
         keyed = self.keyed(df, kmer_col)
-        keys = self.by_key.select(F.col("ckey").alias("__ckey"), F.col("strand").alias("__stored"))
+        few = self.among(keyed, "__key")
+        keys = (self.by_key if few is None else few).select(F.col("ckey").alias("__ckey"), F.col("strand").alias("__stored"))
         same = keyed["__key"] == keys["__ckey"]
         if not check_rc and not self.config.canonical:
             same = same & (keyed["__strand"] * keys["__stored"] >= 0)

@@ -1,7 +1,7 @@
 """First places and numbers of k-mers, found in bins of stretches that share a minimizer.
 
 Windows of one k-mer, on either strand, have the same smallest hashed m-mer, so they lie in one bin. Neighbouring windows mostly share it too, and go there as one
-stretch of two bits a base: about two bytes a window are moved, where a row a window takes twenty. How many windows there are of each of 2^16 classes of m-mers is counted
+stretch of two bits a base: about a byte a window is moved, where a row a window takes twenty. How many windows there are of each of 2^16 classes of m-mers is counted
 first; classes are laid together into bins of a bounded number of windows, and a class of more windows is split by hashes of the keys themselves. What a task holds of a bin is
 made distinct whenever it grows, so that repeats of one key don't add up.
 """
@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import COMPLEMENT
-from .kmerize import CODES, _windows, joint_batches, key_type, pack_windows, valid_windows
+from .kmerize import CODES, _windows, four_a_byte, joint_batches, one_a_byte, pack_windows, squeezed, unsqueezed, valid_windows
 
 CLASS_BITS = 16
 BIN_WINDOWS = 1 << 20
 HELD = 1 << 22  # windows of a bin that are held before they are made distinct
+SENT = 1 << 24  # windows whose stretches are sent to their bins together, and first places to their groups: rows get longer, not more, as bins and groups do
 MOST_M = 12
 _MULTIPLY, _AGAIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -90,6 +91,7 @@ def _stretches(pieces: DataFrame, k: int, encoding: str, counts: np.ndarray) ->
     names = ["bin", "places", "sizes", "bases"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
         for rows, lengths, joint in joint_batches(batches, k):
             codes = code[np.frombuffer(joint, np.uint8)]
             at = valid_windows(codes, k)
@@ -103,24 +105,44 @@ def _stretches(pieces: DataFrame, k: int, encoding: str, counts: np.ndarray) ->
                 bins = bins + (_hashes(keys[at]) % splits[of].astype(np.uint64)).astype(np.int64)
             starts = np.concatenate([[0], np.flatnonzero((np.diff(bins) != 0) | (np.diff(at) != 1)) + 1])
             sizes = np.diff(np.append(starts, len(at)))
-            order = np.argsort(bins[starts], kind="stable")
-            starts, sizes = starts[order], sizes[order]
             begin, to = at[starts], bins[starts]
             offsets = np.cumsum(np.array(lengths) + 1) - np.array(lengths) - 1
             row = np.searchsorted(offsets, begin, side="right") - 1
             places = np.array([r[0] for r in rows], np.int64)[row] + begin - offsets[row]
+            order = np.lexsort((places, to))
+            begin, to, sizes, places = begin[order], to[order], sizes[order], places[order]
             long = sizes + (k - 1)
             ends = np.cumsum(long)
             stream = codes[np.repeat(begin - (ends - long), long) + np.arange(int(ends[-1]))]
-            cuts = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]])
+            held.append((to[cuts[:-1]], cuts, np.concatenate([[0], ends])[cuts], places, sizes, stream))
+            waiting += len(at)
+            if waiting > SENT:
+                yield from sent(held)
+                held, waiting = [], 0
+        if held:
+            yield from sent(held)
+
+    def sent(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """A row a bin of what is held."""
+        to = np.concatenate([h[0] for h in held])
+        of = np.repeat(np.arange(len(held)), [len(h[0]) for h in held])
+        nth = np.concatenate([np.arange(len(h[0])) for h in held])
+        order = np.argsort(to, kind="stable")
+        to, of, nth = to[order], of[order].tolist(), nth[order].tolist()
+        turns = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
+        for chunk in range(0, len(turns) - 1, 10_000):
             columns: list[list] = [[], [], [], []]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                part = stream[ends[a] - long[a] : ends[b - 1]]
-                part = np.concatenate([part, np.zeros(-len(part) % 4, np.uint8)]).reshape(-1, 4)
+            for a, b in zip(turns[chunk : chunk + 10_000], turns[chunk + 1 : chunk + 10_001]):
+                parts = []
+                for h, i in zip(of[a:b], nth[a:b], strict=True):
+                    _, cuts, bases, places, sizes, stream = held[h]
+                    parts.append((places[cuts[i] : cuts[i + 1]], sizes[cuts[i] : cuts[i + 1]], stream[bases[i] : bases[i + 1]]))
+                places, sizes, stream = (np.concatenate(x) for x in zip(*parts, strict=True))
                 columns[0].append(int(to[a]))
-                columns[1].append(places[a:b].tobytes())
-                columns[2].append(sizes[a:b].astype("<u4").tobytes())
-                columns[3].append((part[:, 0] | part[:, 1] << 2 | part[:, 2] << 4 | part[:, 3] << 6).tobytes())
+                columns[1].append(squeezed(np.diff(places, prepend=0)))
+                columns[2].append(squeezed(sizes.astype("<u4")))
+                columns[3].append(four_a_byte(stream))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
 
     return pieces.select("place", "seq").mapInArrow(run, "bin long, places binary, sizes binary, bases binary")
@@ -128,12 +150,9 @@ def _stretches(pieces: DataFrame, k: int, encoding: str, counts: np.ndarray) ->
 
 def _opened(rows: list[tuple], k: int, flip: int) -> tuple[np.ndarray, np.ndarray]:
     """Key of each window of a bin's rows, and its place with the strand in two bits."""
-    places = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
-    every = [np.frombuffer(r[1], "<u4").astype(np.int64) for r in rows]
-    streams = []
-    for (_, _, packed), n in zip(rows, every, strict=True):
-        x = np.frombuffer(packed, np.uint8)
-        streams.append(np.stack([x & 3, x >> 2 & 3, x >> 4 & 3, x >> 6], 1).reshape(-1)[: int(n.sum()) + (k - 1) * len(n)])
+    places = np.concatenate([np.cumsum(unsqueezed(r[0], "<i8")) for r in rows])
+    every = [unsqueezed(r[1], "<u4").astype(np.int64) for r in rows]
+    streams = [one_a_byte(r[2], int(n.sum()) + (k - 1) * len(n)) for r, n in zip(rows, every, strict=True)]
     sizes, codes = np.concatenate(every), np.concatenate(streams)
     long = sizes + (k - 1)
     within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -159,11 +178,11 @@ def _distinct(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def of_bins(pieces: DataFrame, k: int, encoding: str, schema: str, finish: Callable) -> DataFrame:
-    """What ``finish(keys, places and strands, counts)`` makes of the distinct k-mers of each bin of (place, seq) pieces, as batches."""
+    """The batches that ``finish`` makes of a task's bins of (place, seq) pieces, each of which comes as the keys, places with strands, and counts of its distinct k-mers."""
     flip, most = COMPLEMENT[encoding], HELD
     dealt_ = _stretches(pieces, k, encoding, _class_counts(pieces, k, encoding))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         now, rows, waiting, done = None, [], 0, []
 
         def settle() -> None:
@@ -178,7 +197,7 @@ def of_bins(pieces: DataFrame, k: int, encoding: str, schema: str, finish: Calla
             for to, *row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if now is not None and to != now:
                     settle()
-                    yield from finish(*done[0])
+                    yield done[0]
                     done = []
                 now = to
                 rows.append(tuple(row))
@@ -187,26 +206,31 @@ def of_bins(pieces: DataFrame, k: int, encoding: str, schema: str, finish: Calla
                     settle()
         if rows or done:
             settle()
-            yield from finish(*done[0])
+            yield done[0]
 
-    return dealt_.repartition("bin").sortWithinPartitions("bin").mapInArrow(run, schema)
+    return dealt_.repartition("bin").sortWithinPartitions("bin").mapInArrow(lambda batches: finish(bins(batches)), schema)
 
 
 def count_kmers(pieces: DataFrame, k: int, encoding: str = "default") -> DataFrame:
     """One row: how many windows (place, seq) pieces have, and how many k-mers."""
 
-    def finish(keys, at, n):
-        yield pa.RecordBatch.from_pydict({"windows": [int(n.sum())], "kmers": [len(keys)]})
+    def finish(bins):
+        for keys, _, n in bins:
+            yield pa.RecordBatch.from_pydict({"windows": [int(n.sum())], "kmers": [len(keys)]})
 
     return of_bins(pieces, k, encoding, "windows long, kmers long", finish).agg(F.sum("windows").alias("num_windows"), F.coalesce(F.sum("kmers"), F.lit(0)).alias("num_kmers"))
 
 
-def first_places(pieces: DataFrame, k: int, encoding: str, bits: int) -> DataFrame:
-    """(group, firsts, repeated, times): where in a group of 2^bits places k-mers first stand, in rising order as differences, and of those that stand more than once, which they are and how often."""
+def first_places(pieces: DataFrame, k: int, encoding: str, bits: int, small: bool = False) -> DataFrame:
+    """(group, firsts, repeated, times): where in a group of 2^bits places k-mers first stand, in rising order as differences, and of those that stand more than once, which they are and how often.
+
+    ``small`` squeezes the numbers, which are of 4, 4 and 8 bytes; those of ``repeated`` are differences then too.
+    """
     names = ["group", "firsts", "repeated", "times"]
+    out = squeezed if small else np.ndarray.tobytes
 
-    def finish(keys, at, n):
-        place = at >> 2
+    def laid(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        place, n = (np.concatenate([h[i] for h in held]) for i in range(2))
         order = np.argsort(place)
         place, n = place[order], n[order]
         group = place >> bits
@@ -217,9 +241,20 @@ def first_places(pieces: DataFrame, k: int, encoding: str, bits: int) -> DataFra
             for a, b in zip(cuts[chunk : chunk + 10_000], cuts[chunk + 1 : chunk + 10_001]):
                 more = np.flatnonzero(n[a:b] > 1)
                 columns[0].append(int(group[a]))
-                columns[1].append(np.diff(inside[a:b], prepend=0).astype("<u4").tobytes())
-                columns[2].append(more.astype("<u4").tobytes())
-                columns[3].append(n[a:b][more].tobytes())
+                columns[1].append(out(np.diff(inside[a:b], prepend=0).astype("<u4")))
+                columns[2].append(out((np.diff(more, prepend=0) if small else more).astype("<u4")))
+                columns[3].append(out(n[a:b][more]))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
 
+    def finish(bins):
+        held, waiting = [], 0
+        for _, at, n in bins:
+            held.append((at >> 2, n))
+            waiting += len(n)
+            if waiting > SENT // 2:
+                yield from laid(held)
+                held, waiting = [], 0
+        if held:
+            yield from laid(held)
+
     return of_bins(pieces, k, encoding, "group long, firsts binary, repeated binary, times binary", finish)

@@ -26,6 +26,12 @@ def words_for(keys: int) -> int:
     return words if 64 * words >= 6 * keys else 0
 
 
+def words_asked(keys: int) -> int:
+    """For keys that are looked up: eight words a key up to ``MOST_WORDS``, so that few others pass, or 0 for more keys than a filter is of use for."""
+    words = min(MOST_WORDS, 1 << max(ROW_BITS, (8 * max(1, keys) - 1).bit_length()))
+    return words if 64 * words >= 6 * keys else 0
+
+
 def spots(keys: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The word of each key and its bits; keys are numbers or 16 bytes."""
     if keys.dtype == np.uint64:

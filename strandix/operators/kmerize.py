@@ -86,6 +86,34 @@ def arrow_keys(keys: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes, compressed, with the length in front; nothing for no numbers."""
+    if not len(x):
+        return b""
+    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes, dtype: str) -> np.ndarray:
+    """What ``squeezed`` was given."""
+    if not data:
+        return np.zeros(0, dtype)
+    planes = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).reshape(-1)
+
+
+def four_a_byte(codes: np.ndarray) -> bytes:
+    """Codes of bases, two bits each."""
+    part = np.concatenate([codes, np.zeros(-len(codes) % 4, np.uint8)]).reshape(-1, 4)
+    return (part[:, 0] | part[:, 1] << 2 | part[:, 2] << 4 | part[:, 3] << 6).tobytes()
+
+
+def one_a_byte(data: bytes, n: int) -> np.ndarray:
+    """The first n codes of what ``four_a_byte`` made."""
+    x = np.frombuffer(data, np.uint8)
+    return np.stack([x & 3, x >> 2 & 3, x >> 4 & 3, x >> 6], 1).reshape(-1)[:n]
+
+
 def cut(df: DataFrame, k: int, seq_col: str = "seq", start_col: str | None = None) -> DataFrame:
     """``df`` with its sequences, as bytes, in pieces of at most ``STEP`` windows, and ``start``, where in the sequence a piece begins.
 

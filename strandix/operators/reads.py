@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .dictionary import Dictionary
+from .dictionary import LAID_OUT, Dictionary
 from .kmerize import kmerize
 
 BLOCK_BITS = 17  # of the windows of a read that one task's rows are in order of
@@ -20,8 +20,15 @@ def positive_windows(dictionary: Dictionary, reads: DataFrame) -> DataFrame:
     reads come in pieces, each with the first k - 1 bases of the next. Hits are split over tasks by read and block of 2^17 windows; a block's last hit is
     sent to the next block too, which needs to know what came before.
     """
-    windows = kmerize(reads, "read_id", "seq", dictionary.k, dictionary.key_filter(), "start" if "start" in reads.columns else None, dictionary.config.encoding).withColumnsRenamed({"id": "read_id", "strand": "read_strand"})
-    found = windows.join(dictionary.by_key.select("ckey", "kmer_id", "string_id", "strand"), "ckey")
+
+    def windows(keep) -> DataFrame:
+        return kmerize(reads, "read_id", "seq", dictionary.k, keep, "start" if "start" in reads.columns else None, dictionary.config.encoding).withColumnsRenamed({"id": "read_id", "strand": "read_strand"})
+
+    few = None
+    if dictionary.total >= LAID_OUT and not reads.isStreaming:
+        few = dictionary.among(windows(None), "ckey", int(reads.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]))
+    packed = windows(dictionary.key_filter() if few is None else None)
+    found = packed.join((dictionary.by_key if few is None else few).select("ckey", "kmer_id", "string_id", "strand"), "ckey")
     block = F.shiftright("pos", BLOCK_BITS)
     ends = F.col("pos").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) == (1 << BLOCK_BITS) - 1
     blocks = F.explode(F.when(ends, F.array(block, block + 1)).otherwise(F.array(block)))
