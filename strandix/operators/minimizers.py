@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import COMPLEMENT, Config
@@ -16,6 +16,7 @@ from .kmerize import CODES, STEP, _windows
 # The mixer's multiplier, and the classes' bounds.
 MULTIPLIER = 0x517CC1B727220A95
 MIDLOAD, HEAVYLOAD = 2, 65
+SUPER = ("string_id", "first_kmer_id", "minimizer", "pos_in_seq", "pos_in_kmer", "num_kmers")
 SIZE_CLASSES = (4, 8, 16, 32, 64, 128, 256, 512, 1024, 4096)
 
 
@@ -76,6 +77,12 @@ def window_minimizers(codes: np.ndarray, k: int, m: int, magic: int, canonical:
 
 def kmer_minimizers(dictionary: Dictionary) -> DataFrame:
     """(string_id, kmer_id, minimizer, pos_in_seq, pos_in_kmer) of each k-mer; pos_in_seq counts over all strings."""
+    names = ("string_id", "kmer_id", "minimizer", "pos_in_seq", "pos_in_kmer")
+    return _of_strings(dictionary, lambda batches: batches, names)
+
+
+def _of_strings(dictionary: Dictionary, finish: Callable, columns: tuple) -> DataFrame:
+    """What ``finish`` makes of the minimizers of all k-mers of a task's strings, which come in order."""
     c = dictionary.config
     magic = magic_of(c.seed)
     names = ["string_id", "kmer_id", "minimizer", "pos_in_seq", "pos_in_kmer"]
@@ -107,7 +114,7 @@ def kmer_minimizers(dictionary: Dictionary) -> DataFrame:
                 yield emit(*map(list, zip(*held, strict=True)))
 
     rows = dictionary.strings.select("string_id", "first_kmer_id", "string_begin", F.col("seq").cast("binary"))
-    return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return rows.mapInArrow(lambda batches: finish(run(batches)), ", ".join(f"{x} long" for x in columns))
 
 
 def minimizer_sweep(dictionary: Dictionary, lengths: list[int]) -> DataFrame:
@@ -162,17 +169,73 @@ def minimizer_sweep(dictionary: Dictionary, lengths: list[int]) -> DataFrame:
 
 
 def super_kmers(dictionary: Dictionary) -> DataFrame:
-    """Maximal runs of k-mers of one string that share a minimizer and its place: first k-mer, place in it, length."""
-    along = Window.partitionBy("string_id").orderBy("kmer_id")
-    fresh = F.when((F.lag("minimizer").over(along) == F.col("minimizer")) & (F.lag("pos_in_seq").over(along) == F.col("pos_in_seq")), 0).otherwise(1)
-    rows = kmer_minimizers(dictionary).withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(along))
-    return rows.groupBy("string_id", "run").agg(F.min("kmer_id").alias("first_kmer_id"), F.first("minimizer").alias("minimizer"), F.first("pos_in_seq").alias("pos_in_seq"), F.max("pos_in_kmer").alias("pos_in_kmer"), F.count("*").alias("num_kmers")).drop("run")
+    """Maximal runs of k-mers of one string that share a minimizer and its place: first k-mer, place in it, length.
+
+    A string is one row, so its runs are found where its k-mers are made; one that goes on in the next batch is held back.
+    """
+    return _of_strings(dictionary, _runs, SUPER)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last: list = []
+    for batch in batches:
+        columns = [x.to_numpy() for x in batch.columns]
+        if not batch.num_rows:
+            continue
+        turn = np.flatnonzero(np.concatenate([[True], np.any([np.diff(columns[i]) != 0 for i in (0, 2, 3)], axis=0)]))
+        out = [x[turn] for x in columns] + [np.diff(np.append(turn, batch.num_rows))]
+        if last and all(last[i][0] == out[i][0] for i in (0, 2, 3)):
+            out[1][0], out[4][0] = last[1][0], last[4][0]
+            out[5][0] += last[5][0]
+        elif last:
+            out = [np.concatenate(x) for x in zip(last, out, strict=True)]
+        last = [x[-1:] for x in out]
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1]) for x in out], names=list(SUPER))
+    if last:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=list(SUPER))
+
+
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a minimizer of a batch: its distinct places, their k-mers and super-k-mers, and the longest of those.
+
+    A place lies in one string. Another run may come back to it as long as windows hold it, so places that the next window may hold are held back.
+    """
+    names = ["minimizer", "size", "n", "s", "x"]
+
+    def summed(string, value, pos, n) -> pa.RecordBatch:
+        order = np.lexsort((pos, value))
+        value, pos, n = value[order], pos[order], n[order]
+        turn = np.flatnonzero(np.concatenate([[True], np.diff(value) != 0]))
+        fresh = np.concatenate([[1], (np.diff(value) != 0) | (np.diff(pos) != 0)])
+        runs = np.diff(np.append(turn, len(value)))
+        columns = [value[turn], np.add.reduceat(fresh, turn), np.add.reduceat(n, turn), runs, np.maximum.reduceat(n, turn)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
+
+    held: list = []
+    for batch in _runs(batches):
+        if not batch.num_rows:
+            continue
+        string, _, value, pos, at, n = (x.to_numpy() for x in batch.columns)
+        begin = pos[-1] - at[-1] + n[-1] - 1  # of the last window
+        rows = [string, value, pos, n]
+        rows = [np.concatenate(x) for x in zip(held, rows, strict=True)] if held else rows
+        late = (rows[0] == string[-1]) & (rows[2] >= begin)
+        held = [x[late] for x in rows]
+        if not late.all():
+            yield summed(*(x[~late] for x in rows))
+    if held and len(held[0]):
+        yield summed(*held)
+
+
+def _buckets(dictionary: Dictionary) -> DataFrame:
+    # a minimizer's rows are one a batch, so summing them where they come from would only take memory
+    rows = _of_strings(dictionary, _sized, ("minimizer", "size", "n", "s", "x")).repartition("minimizer")
+    return rows.groupBy("minimizer").agg(F.sum("size").alias("size"), F.sum("n").alias("num_kmers"), F.sum("s").alias("num_super_kmers"), F.max("x").alias("longest"))
 
 
 def buckets(dictionary: Dictionary) -> DataFrame:
     """minimizer, size (distinct places), k-mers, class, and the skew partition of a heavy bucket."""
-    rows = super_kmers(dictionary).groupBy("minimizer", "pos_in_seq").agg(F.sum("num_kmers").alias("n"), F.count("*").alias("s"))
-    rows = rows.groupBy("minimizer").agg(F.count("*").alias("size"), F.sum("n").alias("num_kmers"), F.sum("s").alias("num_super_kmers"))
+    rows = _buckets(dictionary).drop("longest")
     kind = F.when(F.col("size") < MIDLOAD, "SINGLETON").when(F.col("size") < HEAVYLOAD, "MIDLOAD").otherwise("HEAVYLOAD")
     part = F.when(F.col("size") >= HEAVYLOAD, F.ceil(F.log2("size")) - 7).cast("int")
     return rows.withColumns({"bucket_class": kind, "skew_partition": part})
@@ -202,9 +265,7 @@ def super_kmer_histogram(dictionary: Dictionary) -> DataFrame:
 
 def minimizer_counts(dictionary: Dictionary) -> DataFrame:
     """One row: minimizers, their distinct places, super-k-mers, the largest bucket and the most k-mers of a super-k-mer."""
-    runs = super_kmers(dictionary)
-    longest = runs.agg(F.max("num_kmers").alias("max_super_kmer"))
-    return buckets(dictionary).agg(F.count("*").alias("num_minimizers"), F.sum("size").alias("num_positions"), F.sum("num_super_kmers").alias("num_super_kmers"), F.max("size").alias("max_bucket")).crossJoin(longest)
+    return _buckets(dictionary).agg(F.count("*").alias("num_minimizers"), F.sum("size").alias("num_positions"), F.sum("num_super_kmers").alias("num_super_kmers"), F.max("size").alias("max_bucket"), F.max("longest").alias("max_super_kmer"))
 
 
 def skew_partitions(dictionary: Dictionary) -> DataFrame:

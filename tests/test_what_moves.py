@@ -59,6 +59,15 @@ def test_super_kmers_move_no_row_a_kmer(spark, seqs, monkeypatch, canonical):
     assert "Window" not in found._jdf.queryExecution().toString() and "Exchange" not in found._jdf.queryExecution().toString()
     assert sorted(map(list, (tuple(x) for x in found.collect()))) == wanted
     assert minimizers.minimizer_counts(d).first().max_super_kmer == max(x[5] for x in wanted)
+    places = {}
+    for _, _, value, pos, _, n in wanted:
+        x = places.setdefault(value, [set(), 0, 0])
+        x[0].add(pos)
+        x[1] += n
+        x[2] += 1
+    sized = minimizers.buckets(d)
+    assert sized._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # one row a minimizer of a batch moves, once
+    assert {x.minimizer: (x.size, x.num_kmers, x.num_super_kmers) for x in sized.collect()} == {v: (len(p), n, s) for v, (p, n, s) in places.items()}
 
 
 def test_squeezed_numbers():
