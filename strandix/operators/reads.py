@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +43,22 @@ def positive_windows(dictionary: Dictionary, reads: DataFrame) -> DataFrame:
     return found.withColumn("extended", F.coalesce(extended, F.lit(False))).where(F.col("__block") == block).drop("__block")
 
 
+_STOPS = bytes(x if x in b"ACGTacgt" else 78 for x in range(256))
+
+
+def _sizes(reads: DataFrame, k: int) -> DataFrame:
+    """(read_id, num_kmers, valid): windows of each read, and those without another character, which lie in the stretches without one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs = [x or "" for x in batch.column(1).to_pylist()]
+            valid = [sum(max(0, len(s) - (k - 1)) for s in x.encode().translate(_STOPS).split(b"N")) if x.isascii() else sum(max(0, len(s) - (k - 1)) for s in re.split("[^ACGTacgt]", x)) for x in seqs]
+            columns = [batch.column(0), pa.array([max(0, len(x) - (k - 1)) for x in seqs], pa.int64()), pa.array(valid, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["read_id", "num_kmers", "valid"])
+
+    return reads.select(F.col("read_id").cast("long").alias("read_id"), "seq").mapInArrow(run, "read_id long, num_kmers long, valid long")
+
+
 def read_report(dictionary: Dictionary, reads: DataFrame) -> DataFrame:
     """The six counters of each read of (read_id, seq). Read ids are distinct; a null or short read has no k-mers.
 
@@ -46,10 +66,7 @@ def read_report(dictionary: Dictionary, reads: DataFrame) -> DataFrame:
     """
     k = dictionary.k
     hits = positive_windows(dictionary, reads).groupBy("read_id").agg(F.count("*").alias("p"), F.count_if("extended").alias("e"))
-    # invalid windows are those that hold another character: all less the windows of the stretches without one
-    stretches = F.filter(F.split(F.regexp_replace("seq", "[^ACGTacgt]", "N"), "N"), lambda s: F.length(s) >= k)
-    valid = F.coalesce(F.aggregate(stretches, F.lit(0).cast("long"), lambda n, s: n + F.length(s) - (k - 1)), F.lit(0).cast("long"))
-    sizes = reads.select(F.col("read_id").cast("long").alias("read_id"), F.coalesce(F.greatest(F.lit(0), F.length("seq") - (k - 1)), F.lit(0)).cast("long").alias("num_kmers"), valid.alias("valid"))
+    sizes = _sizes(reads, k)
     if "start" in reads.columns:
         sizes = sizes.groupBy("read_id").agg(F.sum("num_kmers").alias("num_kmers"), F.sum("valid").alias("valid"))
     p, e = F.coalesce("p", F.lit(0)), F.coalesce("e", F.lit(0))

@@ -5,12 +5,15 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandix.config import Config
 from strandix.operators import dictionary as of_dictionary
 from strandix.operators import kmerize, minimizers
 from strandix.operators import reads as R
+from strandix.functions.sequence import dna_of
 from strandix.operators.dictionary import Dictionary
+from strandix.plans.inputs import reads_of
 
 RC = str.maketrans("ACGT", "TGCA")
 
@@ -70,6 +73,20 @@ def test_super_kmers_move_no_row_a_kmer(spark, seqs, monkeypatch, canonical):
     assert {x.minimizer: (x.size, x.num_kmers, x.num_super_kmers) for x in sized.collect()} == {v: (len(p), n, s) for v, (p, n, s) in places.items()}
 
 
+def test_texts_become_reads_a_batch_at_a_time(spark):
+    """The kernel's bases are those of the column expression, which is evaluated for every use; so are the counts of windows."""
+    texts = ["Az 09-bC", "\u0130\u212a\u00c5 stra\u00dfe", "", None, "\n".join(map(chr, range(32, 0x250)))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = reads_of(df, "doc_id")
+    wanted = df.select("doc_id", dna_of(F.col("text")))
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, wanted.collect()))
+    assert "RegExpReplace" not in rows._jdf.queryExecution().toString() and "regexp_replace" not in rows._jdf.queryExecution().toString()
+    d = built(spark, ["ACGTTGCAAC" * 10])
+    report = R.read_report(d, spark.createDataFrame([(0, "ACGTTGCAAC" * 4 + "N" + "acgttgcaac" * 5), (1, None), (2, "\u00e9" + "A" * 31), (3, "AC")], "read_id long, seq string"))
+    assert {x.read_id: (x.num_kmers, x.num_kmers - x.num_invalid_kmers) for x in report.collect()} == {0: (61, 30), 1: (0, 0), 2: (2, 1), 3: (0, 0)}
+    assert "regexp_replace" not in report._jdf.queryExecution().toString()
+
+
 def test_squeezed_numbers():
     for x, dtype in (([], "<u4"), ([7], "<u4"), (list(range(0, 90_000, 7)), "<u4"), ([-5, 1 << 60, 0], "<i8")):
         data = kmerize.squeezed(np.array(x, dtype))
