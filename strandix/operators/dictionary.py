@@ -16,11 +16,10 @@ from ..config import COMPLEMENT, VERSION, Config
 from ..functions import sequence as S
 from ..sources.storage import bucketed, bucketed_at, buckets_for, erase, release, shared_dir, stored
 from . import blocks as blocks_of
-from .blocks import expanded, given_weights, number_blocks, stitched
+from .blocks import expanded, given_weights, number_blocks, on_a_line, stitched
 from .firsts import first_places
 from .keyfilter import assembled, filter_rows, may_hold, words_asked, words_for
-from .kmerize import cut
-from .running import running_sums
+from .kmerize import cut, squeezed_pieces
 
 HASHER = "multiply-xor 64"
 LAID_OUT = 1 << 20  # dictionaries of fewer k-mers are laid out by key, however few are looked up
@@ -76,24 +75,22 @@ class Dictionary:
         config = config or Config()
         spark, k = sequences.sparkSession, config.k
         named, path = path is not None, path or f"{shared_dir(spark)}/strandix/dictionary-{uuid.uuid4().hex}"
-        parts = [f"{path}/{x}" for x in ("pieces", "begins", "numbered", "blocks", "placed", "firsts")]
-        pieces = stored(cut(sequences.select(F.col("sequence_id").cast("long").alias("id"), *(c for c in ("seq", "start") if c in sequences.columns)), k, "seq", "start" if "start" in sequences.columns else None).withColumn("size", F.length("seq").cast("long")), parts[0])
-        # sequences lie one after another, a place between them
-        lengths = pieces.groupBy("id").agg((F.max(F.col("start") + F.col("size")) + 1).alias("bases"))
-        begins = stored(running_sums(lengths, "id", {"bases": "begin"}).select("id", "begin"), parts[1])
-        # pieces are dealt out anew, as one file or row group may hold all sequences; neighbours stay together
-        dealt = pieces.join(begins, "id").select((F.col("begin") + F.col("start")).alias("place"), "seq").repartition(F.shiftright("place", blocks_of.BLOCK_BITS)).sortWithinPartitions("place")
-        placed = stored(dealt, parts[4])
+        parts = [f"{path}/{x}" for x in ("pieces", "placed", "firsts", "numbered", "blocks")]
+        own = sequences.select(F.col("sequence_id").cast("long").alias("id"), *(c for c in ("seq", "start") if c in sequences.columns))
+        pieces = cut(own, k, "seq", "start" if "start" in sequences.columns else None)
+        placed = on_a_line(stored(squeezed_pieces(pieces), parts[0]), parts[1])
         erase(spark, parts[0])
+        release(spark)
         given = None
         if "weights" in sequences.columns:
+            begins = placed.groupBy("id").agg(F.min(F.col("place") - F.col("start")).alias("begin"))
             given = given_weights(sequences.select(F.col("sequence_id").cast("long").alias("id"), "weights").join(begins, "id").select(F.col("begin").alias("place"), "weights"))
-        firsts = stored(first_places(placed, k, config.encoding, blocks_of.BLOCK_BITS + blocks_of.GROUP_BITS, small=True), parts[5], "uncompressed")
+        firsts = stored(first_places(placed, k, config.encoding, blocks_of.BLOCK_BITS + blocks_of.GROUP_BITS, small=True), parts[2], "uncompressed")
         release(spark)  # the stretches
-        numbered = stored(number_blocks(placed, firsts, k, given), parts[2])
-        erase(spark, parts[4], parts[5])
+        numbered = stored(number_blocks(placed, firsts, k, given), parts[3])
+        erase(spark, parts[1], parts[2])
         release(spark)
-        blocks, total = stitched(numbered, parts[3])
+        blocks, total = stitched(numbered, parts[4])
         at = numbered.join(blocks, "block").withColumns({
             "string_id": F.col("string_base") + F.col("fragment") - 1 - F.col("joins"),
             "first_kmer_id": F.when((F.col("fragment") == 1) & (F.col("joins") == 1), F.col("begun")).otherwise(F.col("kmer_base") + F.col("first_rank")),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandix.config import Config
 from strandix.operators import dictionary as of_dictionary
-from strandix.operators import kmerize, minimizers
+from strandix.operators import blocks, kmerize, minimizers
 from strandix.operators import reads as R
 from strandix.functions.sequence import dna_of
 from strandix.operators.dictionary import Dictionary
@@ -98,3 +98,48 @@ def test_squeezed_numbers():
 def test_a_build_leaves_no_table_of_its_steps(spark, seqs):
     d = built(spark, seqs)
     assert sorted(os.listdir(d.path.removeprefix("file://"))) == ["spans", "strings"]
+
+
+def test_sequences_are_laid_on_a_line_by_one_move(spark, seqs, monkeypatch):
+    """However many sequences there are: bases meet the places of their sequences without a join that moves them."""
+    plans = []
+
+    def watched(stored):
+        return lambda df, *a: (plans.append((dict(df.dtypes).get("seq"), df._jdf.queryExecution().executedPlan().toString())), stored(df, *a))[1]
+
+    for module in (of_dictionary, blocks):
+        monkeypatch.setattr(module, "stored", watched(module.stored))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = built(spark, seqs)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [x.seq for x in d.strings.orderBy("string_id").collect()] == seqs
+    moved = [plan for kind, plan in plans if kind == "binary"]
+    assert moved and sum(plan.count("Exchange") for plan in moved) == 1
+
+
+def test_a_sequence_goes_on_over_tasks(spark, tmp_path):
+    """Places are those of one line, wherever its ranges are cut; sequences without an id have none."""
+    r = random.Random(5)
+    rows, wanted, place = [], {}, 0
+    for at in (-7, 0, 3, 4, 1 << 40):
+        size, pieces = 0, [r.randint(5, 60) for _ in range(r.choice((1, 40)))]
+        for n in pieces:
+            rows.append((at, size, bytes(r.choice(b"ACGTNx") for _ in range(n + 4))))
+            wanted[at, size] = (place + size, rows[-1][2])
+            size += n
+        place += size + 4 + 1
+    frame = spark.createDataFrame([*rows, (None, 0, b"ACGTACGT")], "id long, start long, seq binary").repartition(5)
+    for key, value in (("spark.sql.adaptive.coalescePartitions.enabled", "false"), ("spark.sql.shuffle.partitions", "9")):
+        spark.conf.set(key, value)
+    try:
+        line = blocks.on_a_line(kmerize.squeezed_pieces(frame), f"file://{tmp_path}/line")
+        got = {(x.id, x.start): (x.place, bytes(x.seq)) for x in line.collect()}
+        parts = spark.read.parquet(f"file://{tmp_path}/line").select("part").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == wanted and parts > 5
+    assert blocks.on_a_line(kmerize.squeezed_pieces(frame.where("false")), f"file://{tmp_path}/none").count() == 0
+    assert kmerize.unsqueezed_pieces(kmerize.squeezed_pieces(frame)).exceptAll(frame).count() == 0
