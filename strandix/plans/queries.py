@@ -19,7 +19,7 @@ from ..operators import statistics as T
 from ..operators import weights as W
 from ..operators.dictionary import RESULT, Dictionary
 from ..operators.firsts import count_kmers
-from ..operators.kmerize import cut
+from ..operators.kmerize import cut, squeezed_pieces, unsqueezed_pieces
 from ..operators.protein import protein_kmers
 from ..operators.running import running_sums
 from ..sources.files import mix_reads, read_blank_separated, read_fasta, read_fastq, read_segments, read_weighted_fasta, write_fasta
@@ -116,8 +116,8 @@ def heaviest_kmers(spark, sf_dir):
 @query(CTE + "p as (" + f"select string_split({Q.DNA}, 'N') parts from documents where text is not null), s as (select unnest(parts) seq from p), w as (select substr(seq, cast(i + 1 as bigint), {K}) kmer from s, unnest(range(0, length(seq) - {K} + 1)) t(i)) select count(*) num_windows, count(distinct least(kmer, {Q.rc('kmer')})) num_kmers from w")
 def kmer_count(spark, sf_dir):
     sequences = index_sequences(table(spark, sf_dir, "documents"), "doc_id", K).withColumnRenamed("sequence_id", "id")
-    pieces = cut(sequences, K).select("id", F.col("start").alias("place"), "seq").repartition("id", "place")
-    return count_kmers(stored(pieces, _folder(spark)), K)
+    pieces = squeezed_pieces(cut(sequences, K).select("id", F.col("start").alias("place"), "seq")).repartition("id", "place")
+    return count_kmers(unsqueezed_pieces(stored(pieces, _folder(spark))), K)
 
 
 # ---- point queries -----------------------------------------------------------------------------------
