@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from ..config import COMPLEMENT, VERSION, Config
 from ..functions import sequence as S
-from ..sources.storage import bucketed, bucketed_at, buckets_for, erase, release, shared_dir, stored
+from ..sources.storage import bucketed, bucketed_at, buckets_for, erase, release, shared_dir, stored, stored_in_turns
 from . import blocks as blocks_of
 from .blocks import expanded, given_weights, number_blocks, on_a_line, stitched
-from .firsts import first_places
+from .firsts import class_counts, first_places, turns_for
 from .keyfilter import assembled, filter_rows, may_hold, words_asked, words_for
 from .kmerize import cut, squeezed_pieces
 
@@ -68,7 +68,8 @@ class Dictionary:
         are pieces of sequences from there on, each with the first k - 1 bases of the next, so that a sequence may have any length.
 
         All sequences lie on one line of places. First places are found in bins of minimizers, to which stretches of bases move and no row a window;
-        fragments of consecutive first places are numbered in blocks of places, and strings that cross blocks are stitched by a row a block. What is kept
+        fragments of consecutive first places are numbered in blocks of places, and strings that cross blocks are stitched by a row a block. Bins, and then groups of blocks,
+        are made in up to four turns where they are many, so that a quarter of the stretches, or of the bases, is on disk at a time. What is kept
         are these spans of bases with their weights: ``kmers`` are made of them when read, and laid out by key when first looked up. With a ``path``
         the dictionary is written whole, so that it can be loaded.
         """
@@ -85,11 +86,11 @@ class Dictionary:
         if "weights" in sequences.columns:
             begins = placed.groupBy("id").agg(F.min(F.col("place") - F.col("start")).alias("begin"))
             given = given_weights(sequences.select(F.col("sequence_id").cast("long").alias("id"), "weights").join(begins, "id").select(F.col("begin").alias("place"), "weights"))
-        firsts = stored(first_places(placed, k, config.encoding, blocks_of.BLOCK_BITS + blocks_of.GROUP_BITS, small=True), parts[2], "uncompressed")
-        release(spark)  # the stretches
-        numbered = stored(number_blocks(placed, firsts, k, given), parts[3])
+        counts = class_counts(placed, k, config.encoding)
+        turns, bits = turns_for(counts), blocks_of.BLOCK_BITS + blocks_of.GROUP_BITS
+        firsts = stored_in_turns(lambda turn: first_places(placed, k, config.encoding, bits, True, counts, turn, turns), turns, parts[2], "uncompressed")
+        numbered = stored_in_turns(lambda turn: number_blocks(placed, firsts, k, given, turn, turns), turns, parts[3])
         erase(spark, parts[1], parts[2])
-        release(spark)
         blocks, total = stitched(numbered, parts[4])
         at = numbered.join(blocks, "block").withColumns({
             "string_id": F.col("string_base") + F.col("fragment") - 1 - F.col("joins"),

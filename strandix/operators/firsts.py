@@ -21,6 +21,7 @@ from .kmerize import CODES, _windows, four_a_byte, joint_batches, one_a_byte, pa
 CLASS_BITS = 16
 BIN_WINDOWS = 1 << 20
 HELD = 1 << 22  # windows of a bin that are held before they are made distinct
+TURN_WINDOWS, MOST_TURNS = 1 << 27, 4  # stretches of about so many windows are on disk at a time; more turns would each read all bases once more
 SENT = 1 << 24  # windows whose stretches are sent to their bins together, and first places to their groups: rows get longer, not more, as bins and groups do
 MOST_M = 12
 _MULTIPLY, _AGAIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -51,6 +52,21 @@ def _hashes(keys: np.ndarray) -> np.ndarray:
     return _mixed(_mixed(halves[:, 0].astype(np.uint64)) ^ halves[:, 1].astype(np.uint64)) >> np.uint64(32)
 
 
+def _stream(codes: np.ndarray, begin: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """The codes of stretches, one after another."""
+    ends = np.cumsum(long)
+    return codes[np.repeat(begin - (ends - long), long) + np.arange(int(long.sum()))]
+
+
+def _keys_at(codes: np.ndarray, at: np.ndarray, k: int, flip: int) -> np.ndarray:
+    """The keys of the windows at rising places; those of other windows are not made, but between stretches."""
+    starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    sizes = np.diff(np.append(starts, len(at)))
+    long = sizes + (k - 1)
+    keys, _ = pack_windows(_stream(codes, at[starts], long), k, flip)
+    return keys[np.arange(len(at)) + (k - 1) * np.repeat(np.arange(len(starts)), sizes)]
+
+
 def dealt(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The first bin of each class and over how many it is split: bins have at most about twice ``most`` windows."""
     splits = np.maximum(1, -(-counts // most))
@@ -63,7 +79,7 @@ def dealt(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return first, splits
 
 
-def _class_counts(pieces: DataFrame, k: int, encoding: str) -> np.ndarray:
+def class_counts(pieces: DataFrame, k: int, encoding: str) -> np.ndarray:
     """How many windows each class has: at most 2^16 numbers."""
     code, flip = CODES[encoding], COMPLEMENT[encoding]
 
@@ -83,8 +99,16 @@ def _class_counts(pieces: DataFrame, k: int, encoding: str) -> np.ndarray:
     return out
 
 
-def _stretches(pieces: DataFrame, k: int, encoding: str, counts: np.ndarray) -> DataFrame:
-    """(bin, places, sizes, bases): the stretches of a batch that go to a bin, with the place of the first window, the number of windows, and all bases at two bits each."""
+def turns_for(counts: np.ndarray) -> int:
+    """In how many turns the bins of so many windows in each class are made."""
+    return max(1, min(MOST_TURNS, -(-int(counts.sum()) // TURN_WINDOWS)))
+
+
+def _stretches(pieces: DataFrame, k: int, encoding: str, counts: np.ndarray, turn: int = 0, turns: int = 1) -> DataFrame:
+    """(bin, places, sizes, bases): the stretches of a batch that go to a bin, with the place of the first window, the number of windows, and all bases at two bits each.
+
+    A turn has every so manieth bin.
+    """
     code, flip = CODES[encoding], COMPLEMENT[encoding]
     first, splits = dealt(counts, BIN_WINDOWS)
     split = bool((splits > 1).any())
@@ -101,8 +125,13 @@ def _stretches(pieces: DataFrame, k: int, encoding: str, counts: np.ndarray) ->
             of = _classes(codes, k, flip)[at]
             bins = first[of]
             if split:
-                keys, _ = pack_windows(codes, k, flip)
-                bins = bins + (_hashes(keys[at]) % splits[of].astype(np.uint64)).astype(np.int64)
+                many = np.flatnonzero(splits[of] > 1)
+                bins[many] += (_hashes(_keys_at(codes, at[many], k, flip)) % splits[of[many]].astype(np.uint64)).astype(np.int64)
+            if turns > 1:
+                now = np.flatnonzero(bins % turns == turn)
+                at, bins = at[now], bins[now]
+                if not len(at):
+                    continue
             starts = np.concatenate([[0], np.flatnonzero((np.diff(bins) != 0) | (np.diff(at) != 1)) + 1])
             sizes = np.diff(np.append(starts, len(at)))
             begin, to = at[starts], bins[starts]
@@ -112,8 +141,7 @@ def _stretches(pieces: DataFrame, k: int, encoding: str, counts: np.ndarray) ->
             order = np.lexsort((places, to))
             begin, to, sizes, places = begin[order], to[order], sizes[order], places[order]
             long = sizes + (k - 1)
-            ends = np.cumsum(long)
-            stream = codes[np.repeat(begin - (ends - long), long) + np.arange(int(ends[-1]))]
+            ends, stream = np.cumsum(long), _stream(codes, begin, long)
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]])
             held.append((to[cuts[:-1]], cuts, np.concatenate([[0], ends])[cuts], places, sizes, stream))
             waiting += len(at)
@@ -177,10 +205,13 @@ def _distinct(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[starts], np.minimum.reduceat(at[order], starts), np.add.reduceat(n[order], starts)
 
 
-def of_bins(pieces: DataFrame, k: int, encoding: str, schema: str, finish: Callable) -> DataFrame:
-    """The batches that ``finish`` makes of a task's bins of (place, seq) pieces, each of which comes as the keys, places with strands, and counts of its distinct k-mers."""
+def of_bins(pieces: DataFrame, k: int, encoding: str, schema: str, finish: Callable, counts: np.ndarray | None = None, turn: int = 0, turns: int = 1) -> DataFrame:
+    """The batches that ``finish`` makes of a task's bins of (place, seq) pieces, each of which comes as the keys, places with strands, and counts of its distinct k-mers.
+
+    ``counts`` are those of ``class_counts``, if they are known; with ``turns``, only the bins of one are made.
+    """
     flip, most = COMPLEMENT[encoding], HELD
-    dealt_ = _stretches(pieces, k, encoding, _class_counts(pieces, k, encoding))
+    dealt_ = _stretches(pieces, k, encoding, class_counts(pieces, k, encoding) if counts is None else counts, turn, turns)
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         now, rows, waiting, done = None, [], 0, []
@@ -221,10 +252,10 @@ def count_kmers(pieces: DataFrame, k: int, encoding: str = "default") -> DataFra
     return of_bins(pieces, k, encoding, "windows long, kmers long", finish).agg(F.sum("windows").alias("num_windows"), F.coalesce(F.sum("kmers"), F.lit(0)).alias("num_kmers"))
 
 
-def first_places(pieces: DataFrame, k: int, encoding: str, bits: int, small: bool = False) -> DataFrame:
+def first_places(pieces: DataFrame, k: int, encoding: str, bits: int, small: bool = False, counts: np.ndarray | None = None, turn: int = 0, turns: int = 1) -> DataFrame:
     """(group, firsts, repeated, times): where in a group of 2^bits places k-mers first stand, in rising order as differences, and of those that stand more than once, which they are and how often.
 
-    ``small`` squeezes the numbers, which are of 4, 4 and 8 bytes; those of ``repeated`` are differences then too.
+    ``small`` squeezes the numbers, which are of 4, 4 and 8 bytes; those of ``repeated`` are differences then too. ``counts`` and turns as in ``of_bins``.
     """
     names = ["group", "firsts", "repeated", "times"]
     out = squeezed if small else np.ndarray.tobytes
@@ -257,4 +288,4 @@ def first_places(pieces: DataFrame, k: int, encoding: str, bits: int, small: boo
         if held:
             yield from laid(held)
 
-    return of_bins(pieces, k, encoding, "group long, firsts binary, repeated binary, times binary", finish)
+    return of_bins(pieces, k, encoding, "group long, firsts binary, repeated binary, times binary", finish, counts, turn, turns)

@@ -6,6 +6,7 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,14 @@ def stored(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def stored_in_turns(make: Callable[[int], DataFrame], turns: int, path: str, compression: str = "zstd") -> DataFrame:
+    """What ``make`` gives for each turn, written one after another and read back as one: the shuffle files of a turn go before the next one's come."""
+    for turn in range(turns):
+        part = stored(make(turn), f"{path}/{turn}", compression)
+        release(part.sparkSession)
+    return part.sparkSession.read.schema(part.schema).parquet(*(f"{path}/{turn}" for turn in range(turns)))
+
+
 def buckets_for(rows: int) -> int:
     """A power of two: about a million rows a bucket."""
     return min(MOST_BUCKETS, 1 << max(0, (rows - 1) // BUCKET_ROWS).bit_length())

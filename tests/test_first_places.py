@@ -87,3 +87,13 @@ def test_keys_are_laid_out_for_lookups_only(spark):
     assert d.lookup(spark.createDataFrame([(seqs[3][7:38],)], "kmer string")).first().kmer_id_in_string == 7
     assert "keys" in os.listdir(at)
     assert d.kmers.agg(F.sum("weight")).first()[0] == n
+
+
+@pytest.mark.parametrize("k", [1, 31, 32, 63])
+def test_keys_of_some_windows(k):
+    """Keys are made of the windows that are asked for, wherever these lie, and of none."""
+    r = np.random.default_rng(4)
+    codes = r.integers(0, 4, 2_000).astype(np.uint8)
+    keys, _ = firsts.pack_windows(codes, k, 2)
+    for at in (np.arange(len(keys)), np.array([0]), np.array([5, 6, 7, 8 + k, len(keys) - 1]), np.flatnonzero(r.random(len(keys)) < 0.3), np.zeros(0, np.int64)):
+        assert firsts._keys_at(codes, at, k, 2).tolist() == keys[at].tolist()

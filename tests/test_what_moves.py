@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from strandix.config import Config
 from strandix.operators import dictionary as of_dictionary
-from strandix.operators import blocks, kmerize, minimizers
+from strandix.operators import blocks, firsts, kmerize, minimizers
 from strandix.operators import reads as R
 from strandix.functions.sequence import dna_of
 from strandix.operators.dictionary import Dictionary
 from strandix.plans.inputs import reads_of
+from strandix.sources import storage
 
 RC = str.maketrans("ACGT", "TGCA")
 
@@ -143,3 +144,48 @@ def test_a_sequence_goes_on_over_tasks(spark, tmp_path):
     assert got == wanted and parts > 5
     assert blocks.on_a_line(kmerize.squeezed_pieces(frame.where("false")), f"file://{tmp_path}/none").count() == 0
     assert kmerize.unsqueezed_pieces(kmerize.squeezed_pieces(frame)).exceptAll(frame).count() == 0
+
+
+def test_a_build_in_turns(spark, seqs, monkeypatch):
+    """Stretches and bases of one turn are on disk at a time: turns have about the same share of both, and make together what one turn makes."""
+    odd = [*seqs, seqs[0][500:900], seqs[1][::-1].translate(RC), "AC" * 400, "A" * 700 + "N" + "C" * 50]
+    whole = built(spark, odd)
+    monkeypatch.setattr(firsts, "BIN_WINDOWS", 700)
+    monkeypatch.setattr(firsts, "TURN_WINDOWS", 10_000)
+    monkeypatch.setattr(blocks, "BLOCK_BITS", 8)
+    monkeypatch.setattr(blocks, "GROUP_BITS", 2)
+    written = []
+
+    def watched(df, path, *a):
+        written.append((path.rpartition("/")[0].rpartition("/")[2], out := stored(df, path, *a)))
+        return out
+
+    stored = storage.stored
+    monkeypatch.setattr(storage, "stored", watched)
+    monkeypatch.setattr(of_dictionary, "erase", lambda *a: None)
+    d = built(spark, odd)
+    for name in ("strings", "spans"):
+        assert getattr(d, name).selectExpr("count(*)").first()[0] > 0
+    assert sorted(map(tuple, d.strings.collect())) == sorted(map(tuple, whole.strings.collect()))
+    ordered = lambda x: sorted(tuple(bytes(v) if isinstance(v, bytearray) else v for v in row) for row in x.kmers.collect())
+    assert ordered(d) == ordered(whole)
+    for name, size in (("firsts", "octet_length(firsts)"), ("numbered", "size")):
+        shares = [x.selectExpr(f"sum({size})").first()[0] for at, x in written if at == name]
+        assert len(shares) == 4 and max(shares) < 0.4 * sum(shares)
+
+
+def test_turns_deal_out_all_stretches(spark, seqs, monkeypatch):
+    """Every window is in the stretches of one turn, split classes too; few windows take one turn."""
+    monkeypatch.setattr(firsts, "BIN_WINDOWS", 700)
+    rows = [(i * 4_000, x.encode()) for i, x in enumerate([*seqs[:5], "A" * 3_000])]
+    df = spark.createDataFrame(rows, "place long, seq binary")
+    counts = firsts.class_counts(df, 31, "default")
+    bins, sizes = [], []
+    for turn in range(3):
+        part = firsts._stretches(df, 31, "default", counts, turn, 3).collect()
+        bins += [{x.bin for x in part}]
+        sizes += [sum(int(kmerize.unsqueezed(x.sizes, "<u4").sum()) for x in part)]
+    assert sum(sizes) == counts.sum() == 6 * 2_970 and max(sizes) < 0.5 * sum(sizes)
+    assert sum(map(len, bins)) == len(set.union(*bins)) > 6
+    assert firsts.turns_for(counts) == 1 and firsts.turns_for(counts * 0) == 1
+    assert firsts.turns_for(np.array([firsts.TURN_WINDOWS, 1])) == 2 and firsts.turns_for(np.array([1 << 40])) == firsts.MOST_TURNS
