@@ -104,10 +104,10 @@ def turns_for(counts: np.ndarray) -> int:
     return max(1, min(MOST_TURNS, -(-int(counts.sum()) // TURN_WINDOWS)))
 
 
-def _stretches(pieces: DataFrame, k: int, encoding: str, counts: np.ndarray, turn: int = 0, turns: int = 1) -> DataFrame:
+def _stretches(pieces: DataFrame, k: int, encoding: str, counts: np.ndarray, turn: int = 0, turns: int = 1, sides: bool = False) -> DataFrame:
     """(bin, places, sizes, bases): the stretches of a batch that go to a bin, with the place of the first window, the number of windows, and all bases at two bits each.
 
-    A turn has every so manieth bin.
+    A turn has every so manieth bin. With ``sides``, a stretch also brings the base before it and the base behind it, where there are such; two low bits of its place tell which.
     """
     code, flip = CODES[encoding], COMPLEMENT[encoding]
     first, splits = dealt(counts, BIN_WINDOWS)
@@ -121,7 +121,7 @@ def _stretches(pieces: DataFrame, k: int, encoding: str, counts: np.ndarray, tur
             at = valid_windows(codes, k)
             if not len(at):
                 continue
-            codes = np.minimum(codes, 3)
+            known, codes = codes <= 3, np.minimum(codes, 3)
             of = _classes(codes, k, flip)[at]
             bins = first[of]
             if split:
@@ -138,9 +138,14 @@ def _stretches(pieces: DataFrame, k: int, encoding: str, counts: np.ndarray, tur
             offsets = np.cumsum(np.array(lengths) + 1) - np.array(lengths) - 1
             row = np.searchsorted(offsets, begin, side="right") - 1
             places = np.array([r[0] for r in rows], np.int64)[row] + begin - offsets[row]
-            order = np.lexsort((places, to))
-            begin, to, sizes, places = begin[order], to[order], sizes[order], places[order]
             long = sizes + (k - 1)
+            if sides:
+                before = (begin > 0) & known[begin - 1]
+                behind = (begin + long < len(codes)) & known[np.minimum(begin + long, len(codes) - 1)]
+                places = places << 2 | before.astype(np.int64) << 1 | behind
+                begin, long = begin - before, long + before + behind
+            order = np.lexsort((places, to))
+            begin, long, to, sizes, places = begin[order], long[order], to[order], sizes[order], places[order]
             ends, stream = np.cumsum(long), _stream(codes, begin, long)
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]])
             held.append((to[cuts[:-1]], cuts, np.concatenate([[0], ends])[cuts], places, sizes, stream))
@@ -189,20 +194,30 @@ def _opened(rows: list[tuple], k: int, flip: int) -> tuple[np.ndarray, np.ndarra
     return keys[at], (np.repeat(places, sizes) + within) << 2 | (strands[at].astype(np.int64) + 1)
 
 
-def _distinct(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, the smallest place of each and how often it stands."""
-    keys, at, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
+def numbered_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order in which equal keys stand together, the number of the key at each place of that order, and where there each key begins."""
     if keys.dtype == np.uint64:
         order = np.argsort(keys)
-        keys = keys[order]
-        turn = keys[1:] != keys[:-1]
+        sorted_ = keys[order]
+        turn = sorted_[1:] != sorted_[:-1]
     else:
         halves = keys.view(">u8").reshape(-1, 2).astype(np.uint64)
-        order = np.lexsort((halves[:, 1], halves[:, 0]))
-        keys, halves = keys[order], halves[order]
-        turn = (halves[1:] != halves[:-1]).any(axis=1)
-    starts = np.concatenate([[0], np.flatnonzero(turn) + 1])
-    return keys[starts], np.minimum.reduceat(at[order], starts), np.add.reduceat(n[order], starts)
+        mixed = _mixed(_mixed(halves[:, 0]) ^ halves[:, 1])
+        order = np.argsort(mixed)  # one sort of whole numbers, instead of one a half
+        sorted_, mixed = halves[order], mixed[order]
+        turn = (sorted_[1:] != sorted_[:-1]).any(axis=1)
+        if (turn & (mixed[1:] == mixed[:-1])).any():  # different keys of one hash may lie mixed up
+            order = np.lexsort((halves[:, 1], halves[:, 0]))
+            sorted_ = halves[order]
+            turn = (sorted_[1:] != sorted_[:-1]).any(axis=1)
+    return order, np.concatenate([[0], np.cumsum(turn)]), np.concatenate([[0], np.flatnonzero(turn) + 1])
+
+
+def _distinct(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the smallest place of each and how often it stands."""
+    keys, at, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order, _, starts = numbered_keys(keys)
+    return keys[order[starts]], np.minimum.reduceat(at[order], starts), np.add.reduceat(n[order], starts)
 
 
 def of_bins(pieces: DataFrame, k: int, encoding: str, schema: str, finish: Callable, counts: np.ndarray | None = None, turn: int = 0, turns: int = 1) -> DataFrame:

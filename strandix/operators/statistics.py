@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .degrees import degree_counts
 from .dictionary import Dictionary
 from .weights import global_runs, weight_frequencies
 
@@ -33,7 +34,9 @@ def suggested_minimizer_length(num_bases: int) -> int:
 
 def degree_histogram(dictionary: Dictionary) -> DataFrame:
     """How many k-mers have how many forward and backward neighbours."""
-    rows = dictionary.kmers.select(F.col("kmer_id").alias("from_kmer"), dictionary.kmer_strings().alias("kmer"))
+    if dictionary.k > 1:
+        return degree_counts(dictionary.strings, dictionary.k, dictionary.config.encoding)
+    rows = dictionary.kmers.select(F.col("kmer_id").alias("from_kmer"), dictionary.kmer_strings().alias("kmer"))  # k-mers of one base share none: at most two of them
     found = dictionary.neighbours(rows)
     each = found.groupBy("from_kmer").agg(F.count_if((F.col("direction") == "forward") & F.col("kmer_id").isNotNull()).alias("forward_degree"), F.count_if((F.col("direction") == "backward") & F.col("kmer_id").isNotNull()).alias("backward_degree"))
     return each.groupBy("forward_degree", "backward_degree").agg(F.count("*").alias("num_kmers"))
