@@ -20,6 +20,7 @@ from .blocks import expanded, given_weights, number_blocks, on_a_line, stitched
 from .firsts import class_counts, first_places, turns_for
 from .keyfilter import assembled, filter_rows, may_hold, words_asked, words_for
 from .kmerize import cut, squeezed_pieces
+from .running import running_sums  # noqa: F401  (imported from here, too)
 
 HASHER = "multiply-xor 64"
 LAID_OUT = 1 << 20  # dictionaries of fewer k-mers are laid out by key, however few are looked up
