@@ -34,6 +34,8 @@ def test_degrees(spark, monkeypatch, k, encoding, small):
     if small:
         monkeypatch.setattr(firsts, "BIN_WINDOWS", 40)
         monkeypatch.setattr(firsts, "SENT", 100)
+        monkeypatch.setattr(firsts, "TURN_WINDOWS", 300)
+        monkeypatch.setattr(degrees, "SENT", 50)
         monkeypatch.setattr(kmerize, "STEP", 70)
     d = Dictionary.build(spark.createDataFrame(list(enumerate(seqs)), "sequence_id long, seq string"), Config(k=k, m=min(k, 9), encoding=encoding))
     found = degree_histogram(d)
