@@ -104,15 +104,16 @@ def turns_for(counts: np.ndarray) -> int:
     return max(1, min(MOST_TURNS, -(-int(counts.sum()) // TURN_WINDOWS)))
 
 
-def _stretches(pieces: DataFrame, k: int, encoding: str, counts: np.ndarray, turn: int = 0, turns: int = 1, sides: bool = False) -> DataFrame:
+def _stretches(pieces: DataFrame, k: int, encoding: str, counts: np.ndarray, turn: int = 0, turns: int = 1, sides: bool = False, ids: bool = False) -> DataFrame:
     """(bin, places, sizes, bases): the stretches of a batch that go to a bin, with the place of the first window, the number of windows, and all bases at two bits each.
 
-    A turn has every so manieth bin. With ``sides``, a stretch also brings the base before it and the base behind it, where there are such; two low bits of its place tell which.
+    A turn has every so manieth bin; windows of classes that ``counts`` has none of go nowhere. With ``sides``, a stretch also brings the base before it and the base behind it, where there are such; two low bits of its place tell which.
+    With ``ids``, pieces are (id, place, seq), and a fourth column of bytes has the id of each stretch.
     """
     code, flip = CODES[encoding], COMPLEMENT[encoding]
     first, splits = dealt(counts, BIN_WINDOWS)
-    split = bool((splits > 1).any())
-    names = ["bin", "places", "sizes", "bases"]
+    split, unused = bool((splits > 1).any()), bool((counts == 0).any())
+    names = ["bin", "places", "sizes", "bases", *(["ids"] if ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting = [], 0
@@ -123,6 +124,11 @@ def _stretches(pieces: DataFrame, k: int, encoding: str, counts: np.ndarray, tur
                 continue
             known, codes = codes <= 3, np.minimum(codes, 3)
             of = _classes(codes, k, flip)[at]
+            if unused:
+                now = np.flatnonzero(counts[of] > 0)
+                at, of = at[now], of[now]
+                if not len(at):
+                    continue
             bins = first[of]
             if split:
                 many = np.flatnonzero(splits[of] > 1)
@@ -137,18 +143,19 @@ def _stretches(pieces: DataFrame, k: int, encoding: str, counts: np.ndarray, tur
             begin, to = at[starts], bins[starts]
             offsets = np.cumsum(np.array(lengths) + 1) - np.array(lengths) - 1
             row = np.searchsorted(offsets, begin, side="right") - 1
-            places = np.array([r[0] for r in rows], np.int64)[row] + begin - offsets[row]
+            places = np.array([r[-1] for r in rows], np.int64)[row] + begin - offsets[row]
+            own = np.array([r[0] for r in rows], np.int64)[row] if ids else None
             long = sizes + (k - 1)
             if sides:
                 before = (begin > 0) & known[begin - 1]
                 behind = (begin + long < len(codes)) & known[np.minimum(begin + long, len(codes) - 1)]
                 places = places << 2 | before.astype(np.int64) << 1 | behind
                 begin, long = begin - before, long + before + behind
-            order = np.lexsort((places, to))
+            order = np.lexsort((places, own, to) if ids else (places, to))
             begin, long, to, sizes, places = begin[order], long[order], to[order], sizes[order], places[order]
             ends, stream = np.cumsum(long), _stream(codes, begin, long)
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]])
-            held.append((to[cuts[:-1]], cuts, np.concatenate([[0], ends])[cuts], places, sizes, stream))
+            held.append((to[cuts[:-1]], cuts, np.concatenate([[0], ends])[cuts], places, sizes, stream, own[order] if ids else None))
             waiting += len(at)
             if waiting > SENT:
                 yield from sent(held)
@@ -165,20 +172,24 @@ def _stretches(pieces: DataFrame, k: int, encoding: str, counts: np.ndarray, tur
         to, of, nth = to[order], of[order].tolist(), nth[order].tolist()
         turns = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
         for chunk in range(0, len(turns) - 1, 10_000):
-            columns: list[list] = [[], [], [], []]
+            columns: list[list] = [[] for _ in names]
             for a, b in zip(turns[chunk : chunk + 10_000], turns[chunk + 1 : chunk + 10_001]):
-                parts = []
+                parts, owns = [], []
                 for h, i in zip(of[a:b], nth[a:b], strict=True):
-                    _, cuts, bases, places, sizes, stream = held[h]
+                    _, cuts, bases, places, sizes, stream, own = held[h]
+                    if ids:
+                        owns.append(own[cuts[i] : cuts[i + 1]])
                     parts.append((places[cuts[i] : cuts[i + 1]], sizes[cuts[i] : cuts[i + 1]], stream[bases[i] : bases[i + 1]]))
                 places, sizes, stream = (np.concatenate(x) for x in zip(*parts, strict=True))
                 columns[0].append(int(to[a]))
                 columns[1].append(squeezed(np.diff(places, prepend=0)))
                 columns[2].append(squeezed(sizes.astype("<u4")))
                 columns[3].append(four_a_byte(stream))
+                if ids:
+                    columns[4].append(squeezed(np.diff(np.concatenate(owns), prepend=0)))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
 
-    return pieces.select("place", "seq").mapInArrow(run, "bin long, places binary, sizes binary, bases binary")
+    return pieces.select(*(["id"] if ids else []), "place", "seq").mapInArrow(run, ", ".join(f"{x} {'binary' if i else 'long'}" for i, x in enumerate(names)))
 
 
 def _opened(rows: list[tuple], k: int, flip: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,6 +205,12 @@ def _opened(rows: list[tuple], k: int, flip: int) -> tuple[np.ndarray, np.ndarra
     return keys[at], (np.repeat(places, sizes) + within) << 2 | (strands[at].astype(np.int64) + 1)
 
 
+def full_hashes(keys: np.ndarray) -> np.ndarray:
+    """64 bits of keys of 16 bytes."""
+    halves = keys.view(">u8").reshape(-1, 2).astype(np.uint64)
+    return _mixed(_mixed(halves[:, 0]) ^ halves[:, 1])
+
+
 def numbered_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order in which equal keys stand together, the number of the key at each place of that order, and where there each key begins."""
     if keys.dtype == np.uint64:
@@ -202,7 +219,7 @@ def numbered_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         turn = sorted_[1:] != sorted_[:-1]
     else:
         halves = keys.view(">u8").reshape(-1, 2).astype(np.uint64)
-        mixed = _mixed(_mixed(halves[:, 0]) ^ halves[:, 1])
+        mixed = full_hashes(keys)
         order = np.argsort(mixed)  # one sort of whole numbers, instead of one a half
         sorted_, mixed = halves[order], mixed[order]
         turn = (sorted_[1:] != sorted_[:-1]).any(axis=1)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from .dictionary import LAID_OUT, Dictionary
 from .kmerize import kmerize
+from .meeting import met_in_bins
 
+MANY = 1 << 22  # bases of reads from which no row a window moves
 BLOCK_BITS = 17  # of the windows of a read that one task's rows are in order of
 COUNTERS = ("num_kmers", "num_positive_kmers", "num_negative_kmers", "num_invalid_kmers", "num_searches", "num_extensions")
 
@@ -20,7 +22,7 @@ def positive_windows(dictionary: Dictionary, reads: DataFrame) -> DataFrame:
     """(read_id, pos, kmer_id, string_id, kmer_orientation, extended) of the windows that are found.
 
     A window is an extension if the window just before it in its read was found next to it, on the side that it was read from, in
-    the same string. The dictionary's filter of keys drops most windows that are not found before they are shuffled. With a column ``start``,
+    the same string. Many reads meet a large dictionary in bins of minimizers; else the dictionary's filter of keys drops most windows that are not found before they are shuffled. With a column ``start``,
     reads come in pieces, each with the first k - 1 bases of the next. Hits are split over tasks by read and block of 2^17 windows; a block's last hit is
     sent to the next block too, which needs to know what came before.
     """
@@ -28,11 +30,15 @@ def positive_windows(dictionary: Dictionary, reads: DataFrame) -> DataFrame:
     def windows(keep) -> DataFrame:
         return kmerize(reads, "read_id", "seq", dictionary.k, keep, "start" if "start" in reads.columns else None, dictionary.config.encoding).withColumnsRenamed({"id": "read_id", "strand": "read_strand"})
 
-    few = None
-    if dictionary.total >= LAID_OUT and not reads.isStreaming:
-        few = dictionary.among(windows(None), "ckey", int(reads.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]))
-    packed = windows(dictionary.key_filter() if few is None else None)
-    found = packed.join((dictionary.by_key if few is None else few).select("ckey", "kmer_id", "string_id", "strand"), "ckey")
+    n = None
+    if dictionary.path is not None and dictionary.total >= LAID_OUT and not reads.isStreaming:
+        n = int(reads.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0])
+    if n is not None and n > MANY:
+        found = met_in_bins(dictionary.strings, reads, dictionary.k, dictionary.config.encoding)
+    else:
+        few = None if n is None else dictionary.among(windows(None), "ckey", n)
+        packed = windows(dictionary.key_filter() if few is None else None)
+        found = packed.join((dictionary.by_key if few is None else few).select("ckey", "kmer_id", "string_id", "strand"), "ckey")
     block = F.shiftright("pos", BLOCK_BITS)
     ends = F.col("pos").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) == (1 << BLOCK_BITS) - 1
     blocks = F.explode(F.when(ends, F.array(block, block + 1)).otherwise(F.array(block)))
