@@ -21,6 +21,7 @@ import json
 import os
 import re
 import uuid
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -37,6 +38,8 @@ _BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
 _INNER_SPACE = re.compile("[^▁]▁")
 #: UTF-8 bytes of text whose pairs are made distinct together.
 SLICE = 8 << 20
+#: Slices that a task's writer or reader holds together, however many the task has.
+SLICES_TOGETHER = 2
 #: Transitions, and aligned stretches of at most 64 characters (twice as many), that a task keeps.
 KEPT_TRANSITIONS, KEPT_STRETCHES = 1 << 20, 1 << 17
 #: Characters of a stretch that the faster library gets; its time grows with the square.
@@ -177,6 +180,10 @@ class Aligner:
             _ALIGNERS[key] = cls(left, right)
         return _ALIGNERS[key]
 
+    @staticmethod
+    def forget() -> None:
+        _ALIGNERS.clear()
+
     def __init__(self, left: Vocabulary, right: Pieces):
         self.model, self.right, self.splits = right.model, right.bytes_of(), right.splits()
         known = left.pieces()
@@ -191,7 +198,7 @@ class Aligner:
         return _BOUNDARY.split(" " + text) if self.splits else [" " + text]
 
     def align(self, parts: list[str]) -> list[tuple | None]:
-        """(tokens left, tokens right, groups as text, linked pairs) of each part; None where the bytes differ."""
+        """(tokens left, tokens right, groups as text, linked pairs in eight bytes each) of each part; None where the bytes differ."""
         out: list = []
         new, places = [], []
         for at, p in enumerate(parts):
@@ -231,7 +238,7 @@ class Aligner:
             text.append(f"{mine}|{theirs}")
             pairs.append(a[x - 1] << 32 | b[y - 1])
             i, j = x, y
-        return len(a), len(b), ";".join(text), pairs
+        return len(a), len(b), ";".join(text), array("q", pairs).tobytes()  # a third of a list's memory, for as long as the stretch is kept
 
 
 def align_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", left: str | None = None, right: str | None = None, *, groups: Callable[[str], str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -259,8 +266,8 @@ def align_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             places = [[] if not bad.isdisjoint(p) else p for p in places]
         flat = np.fromiter((i for p in places for i in p), np.int64)
         used = np.bincount(flat, minlength=len(index)) if len(flat) else np.zeros(len(index), np.int64)
-        ends = np.cumsum([len(x[3]) if x else 0 for x in made], dtype=np.int64)
-        keys = np.fromiter((k for x in made if x for k in x[3]), np.int64, int(ends[-1]) if len(ends) else 0)
+        ends = np.cumsum([len(x[3]) >> 3 if x else 0 for x in made], dtype=np.int64)
+        keys = np.frombuffer(b"".join([x[3] for x in made if x]), np.int64)
         pairs, links = np.unique(keys, return_inverse=True)
         times = np.bincount(links, weights=np.repeat(used, np.diff(ends, prepend=0)), minlength=len(pairs)).astype(np.int64) if len(pairs) else np.zeros(0, np.int64)
         sizes = np.array([len(p) for p in places], np.int64)
@@ -288,7 +295,7 @@ def align_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(slice_row(aligner, ids, texts), arrow, strict=True)], schema=arrow)
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    parts = written(narrow.mapInArrow(run, schema), "alignment-slices")
+    parts = written(narrow.mapInArrow(run, schema), "alignment-slices", SLICES_TOGETHER)
     zipped = F.explode(F.arrays_zip(F.col("pairs").alias("pair"), F.col("times").alias("times")))
     counts = parts.select(zipped.alias("z")).where("z.times > 0").groupBy(F.col("z.pair").alias("pair")).agg(F.sum("z.times").alias("links"))
     counts = written(counts, "alignment-counts")
@@ -299,6 +306,7 @@ def align_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = T._parse_datatype_string(f"{id_col} {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
 
     def put_together(slices: pa.Table, counts: pa.Table) -> pa.Table:
+        Aligner.forget()  # a worker that aligned before holds a hundred megabytes and more, which nothing asks for now
         arrow, x = to_arrow_schema(out), {name: slices.column(name)[0] for name in slices.column_names}
         sizes, places = np.array(x["sizes"].as_py(), np.int64), np.frombuffer(x["places"].as_py(), "<u4")
         ends, links = np.frombuffer(x["ends"].as_py(), "<u4").astype(np.int64), np.frombuffer(x["links"].as_py(), "<u4")

@@ -115,18 +115,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a table in the shared folder: later reads survive lost executors, and the shuffles behind it can go."""
-    return written_at(df, what)[0]
+def written(df: DataFrame, what: str, together: int | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder: later reads survive lost executors, and the shuffles behind it can go.
+
+    At most ``together`` rows are held by a writer, and by a reader, at a time: without it a hundred at least are, which is much where rows have megabytes.
+    """
+    return written_at(df, what, together)[0]
 
 
-def written_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+def written_at(df: DataFrame, what: str, together: int | None = None) -> tuple[DataFrame, str]:
     """``written``, and the table's path, for ``erase``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandix/{what}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    del df
+    writer = df.write.option("compression", "zstd")
+    (writer if together is None else writer.option("parquet.block.row.count.limit", together)).parquet(path)
+    del df, writer
     release(spark)
     return spark.read.schema(schema).parquet(path), path
 
