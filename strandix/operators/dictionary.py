@@ -16,7 +16,7 @@ from ..config import COMPLEMENT, VERSION, Config
 from ..functions import sequence as S
 from ..sources.storage import bucketed, bucketed_at, buckets_for, erase, release, shared_dir, stored, stored_in_turns
 from . import blocks as blocks_of
-from .blocks import expanded, given_weights, number_blocks, on_a_line, stitched
+from .blocks import expanded, given_weights, number_blocks, on_a_line, spelled, stitched
 from .firsts import class_counts, first_places, turns_for
 from .keyfilter import assembled, filter_rows, may_hold, words_asked, words_for
 from .kmerize import cut, squeezed_pieces
@@ -206,6 +206,13 @@ class Dictionary:
     def kmer_strings(self) -> Column:
         return S.stored_kmer(F.col("ckey"), F.col("strand"), self.k, self.config.encoding)
 
+    def kmer_table(self) -> DataFrame:
+        """(kmer_id, string_id, kmer_id_in_string, kmer_offset, kmer, weight) of all k-mers, read off the spans where there are such."""
+        if self.spans is None:
+            return self.kmers.select("kmer_id", "string_id", "kmer_id_in_string", "kmer_offset", self.kmer_strings().alias("kmer"), "weight")
+        inside, offset = F.col("kmer_id") - F.col("first_kmer_id"), F.col("kmer_id") + F.col("string_id") * (self.k - 1)
+        return spelled(self.spans, self.k).select("kmer_id", "string_id", inside.alias("kmer_id_in_string"), offset.alias("kmer_offset"), "kmer", "weight")
+
     def _orientation(self, query_strand: Column) -> Column:
         both = query_strand * F.col("strand")
         return F.when(both == 0, -1 if self.config.canonical else 1).otherwise(both).cast("int")

@@ -98,8 +98,7 @@ def string_ends(spark, sf_dir):
 
 @query(CTE + BENCH + " select kmer_id, string_id, kmer_id_in_string, kmer_offset, kmer, weight from kmers")
 def kmer_table(spark, sf_dir):
-    d = _bench(spark, sf_dir)
-    return d.kmers.select("kmer_id", "string_id", "kmer_id_in_string", "kmer_offset", d.kmer_strings().alias("kmer"), "weight")
+    return _bench(spark, sf_dir).kmer_table()
 
 
 @query(CTE + DOCS + " select weight, count(*) num_kmers from kmers group by weight")
@@ -286,8 +285,7 @@ def document_report_k63(spark, sf_dir):
 
 @query(CTE + Q.dictionary(_K63, "benchmark", "item_id") + " select kmer_id, string_id, kmer_id_in_string, kmer_offset, kmer, weight from kmers")
 def kmer_table_k63(spark, sf_dir):
-    d = _bench(spark, sf_dir, k=_K63, m=20)
-    return d.kmers.select("kmer_id", "string_id", "kmer_id_in_string", "kmer_offset", d.kmer_strings().alias("kmer"), "weight")
+    return _bench(spark, sf_dir, k=_K63, m=20).kmer_table()
 
 
 # ---- minimizers --------------------------------------------------------------------------------------
@@ -343,14 +341,12 @@ def super_kmer_histogram(spark, sf_dir):
 
 @query()
 def kmer_table_of_documents(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    return d.kmers.select("kmer_id", "string_id", "kmer_id_in_string", "kmer_offset", d.kmer_strings().alias("kmer"), "weight")
+    return _docs(spark, sf_dir).kmer_table()
 
 
 @query()
 def kmer_table_k63_of_documents(spark, sf_dir):
-    d = index_of(spark, sf_dir, k=_K63)
-    return d.kmers.select("kmer_id", "string_id", "kmer_id_in_string", "kmer_offset", d.kmer_strings().alias("kmer"), "weight")
+    return index_of(spark, sf_dir, k=_K63).kmer_table()
 
 
 @query()
